@@ -1,10 +1,11 @@
 """Exact de-duplication by skew-safe combining.
 
 Rows are combined three times: in the map task that reads them (the partial
-aggregate), by digest and salt, and by digest alone. Each time the whole
-normalised text is part of the grouping key, so a digest that two texts share
-never merges them. After the salted step a text has at most ``salts`` rows, so
-the last step is small however large a group of copies is.
+aggregate or the task it is dealt to), by digest and salt, and, for digests hot
+enough to be salted, by digest alone. Each time the whole normalised text is
+part of the grouping key, so a digest that two texts share never merges them.
+After the salted step a hot text has at most ``salts`` rows, so the last step is
+small however large a group of copies is; other texts move once.
 """
 
 from __future__ import annotations
@@ -18,6 +19,9 @@ from .skew import SALTS, salt_of, salted_join
 from .store import keep
 from .text import ascii_lower
 
+#: A digest with over one HOT-th of all rows is dealt by salts.
+HOT = 10_000
+
 
 def sha256(text: Column) -> Column:
     return F.sha2(text, 256)
@@ -41,19 +45,25 @@ def exact_duplicates(
     An empty table gives an empty result.
     """
     base = docs.select(F.col(id_col).alias("id"), normalise(F.coalesce(F.col(text_col), F.lit(""))).alias("t")).withColumn("digest", digest(F.col("t")))
-    local = base.groupBy("digest", "t", salt_of("id", salts=salts).alias("salt")).agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("n"))
-    # Dealt by digest alone, so that the next two aggregates need no exchange.
-    groups = local.repartition("digest").groupBy("digest", "t").agg(F.max("keep_id").alias("keep_id"), F.sum("n").alias("group_size"))
+    rows = keep(base.select("id", "digest"), "digests")
+    # At most ``HOT`` digests have over a HOT-th of all rows, so they may be broadcast.
+    hot = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") * HOT > rows.count()).select("digest", F.lit(True).alias("hot"))
+    dealt = base.join(F.broadcast(hot), "digest", "left").withColumn("salt", F.when(F.col("hot"), salt_of("id", salts=salts)).otherwise(0))
+    local = dealt.repartition("digest", "salt").groupBy("digest", "salt", "t").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("n"), F.max("hot").alias("hot"))
+    # What wasn't salted is whole by now: it goes on without its text, under a
+    # number of its own, and only hot winners are compared again.
+    winners = local.select("digest", F.when(F.col("hot"), F.col("t")).alias("t"), F.when(F.col("hot").isNull(), F.monotonically_increasing_id()).alias("single"), "keep_id", "n")
+    merged = winners.repartition("digest").groupBy("digest", "t", "single").agg(F.max("keep_id").alias("keep_id"), F.sum("n").alias("group_size"))
     per_digest = keep(
-        groups.groupBy("digest").agg(F.count(F.lit(1)).alias("texts"), F.max("keep_id").alias("keep_id"), F.max("group_size").alias("group_size")).where("texts > 1 or group_size > 1"),
+        merged.groupBy("digest").agg(F.count(F.lit(1)).alias("texts"), F.max("keep_id").alias("keep_id"), F.max("group_size").alias("group_size")).where("texts > 1 or group_size > 1"),
         "exact",
     )
-    rows = base.select("id", "digest")
     found = salted_join(rows, per_digest, ["digest"], ["id"], salts=salts)
     if not per_digest.where("texts > 1").isEmpty():
         # Texts that share a digest are told apart by the text itself.
         shared = per_digest.where("texts > 1").select("digest")
-        apart = salted_join(base.join(shared, "digest", "left_semi"), groups.join(shared, "digest", "left_semi"), ["digest", "t"], ["id"], salts=salts)
+        groups = local.join(shared, "digest", "left_semi").groupBy("digest", "t").agg(F.max("keep_id").alias("keep_id"), F.sum("n").alias("group_size"))
+        apart = salted_join(base.join(shared, "digest", "left_semi"), groups, ["digest", "t"], ["id"], salts=salts)
         found = found.where("texts is null or texts = 1").drop("texts").unionByName(apart.select("id", "digest", "keep_id", "group_size"))
     return found.select(
         "id",
