@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, lines, mixing, toxicity
+from . import exact, lines, mixing, token_orc, toxicity, warc_zip
+from .store import shared_path
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,17 +25,35 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_path(spark, "packages")
+    warc_zip.write_packages(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
+    return warc_zip.read_packages(spark, path, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = lines.repeated_lines(_documents(spark, sf_dir))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("line_text", 256).alias("kept_sha256"))
 
 
+def vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op8_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_path(spark, "tokens")
+    token_orc.write_tokens(_documents(spark, sf_dir), path, vocabulary())
+    return token_orc.digests(spark, path)
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = exact.exact_duplicates(_documents(spark, sf_dir))
     return out.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op3_mixing, op7_line_dedup, op9_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op3_mixing, op4_warc, op7_line_dedup, op8_token_orc, op9_exact_dedup)}
 
 ASCII = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -59,6 +78,12 @@ p AS (SELECT s.*, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN floo
 SELECT doc_id, size, source_size, target,
        (CASE WHEN source_size > 0 THEN whole + CASE WHEN so_far + size / 2.0 < target - whole * source_size THEN 1 ELSE 0 END ELSE 0 END * size)::BIGINT AS taken
 FROM p""",
+    "op4_warc": """
+WITH p AS (SELECT page_id, sha1(coalesce(html, '')) AS payload_digest, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes FROM pages),
+g AS (SELECT payload_digest, max(page_id) AS last FROM p WHERE payload_bytes >= 1000 GROUP BY payload_digest)
+SELECT page_id, payload_bytes, p.payload_digest, CASE WHEN last <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN last <> page_id THEN last END AS refers_to
+FROM p LEFT JOIN g ON p.payload_digest = g.payload_digest AND payload_bytes >= 1000""",
     "op7_line_dedup": f"""
 WITH l AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,

@@ -42,3 +42,9 @@ def drop(spark: SparkSession, path: str) -> None:
     """Delete a path written by this package."""
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
+
+
+def make_dir(spark: SparkSession, path: str) -> None:
+    """Make a folder, so that what is written to it by no task can be read too."""
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(jvm_path)
