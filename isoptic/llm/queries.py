@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, lines, mixing, token_orc, toxicity, warc_zip
+from . import decontam, exact, lines, mixing, pii, token_orc, toxicity, warc_zip
 from .store import shared_path
 
 
@@ -31,6 +31,10 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_zip.read_packages(spark, path, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = lines.repeated_lines(_documents(spark, sf_dir))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("line_text", 256).alias("kept_sha256"))
@@ -53,7 +57,14 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op3_mixing, op4_warc, op7_line_dedup, op8_token_orc, op9_exact_dedup)}
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.find(_documents(spark, sf_dir))
+    base = F.filter("spans", lambda x: x["k"] < pii.KINDS.index("term"))
+    n = [pii.count(F.col("spans"), k).alias(f"n_{k}") for k in pii.KINDS[:4]]
+    return out.select(F.col("id").alias("doc_id"), *n, F.sha2(pii.written(base), 256).alias("base_sha256"), pii.written(F.col("spans")).alias("spans"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op3_mixing, op4_warc, op5_decontamination, op7_line_dedup, op8_token_orc, op9_exact_dedup, op10_pii)}
 
 ASCII = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
