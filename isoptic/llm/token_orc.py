@@ -23,15 +23,25 @@ from . import tokens
 FIELDS = "doc_id long, part int, start_in_part long, n_tokens int, ids array<int>"
 STRIPE_BYTES = 16 << 20
 ROW_INDEX_STRIDE = 1000
-#: Words whose ids a worker remembers.
-REMEMBER = 400_000
+#: Words whose ids a worker remembers, at about 40 bytes each.
+REMEMBER = 3_000_000
+
+
+#: A word that stands between others when many are encoded at once.
+BETWEEN = "\x01"
+_TAIL = np.zeros(256, bool)
+_TAIL[[ord(c) for c in ".,:;!?"]] = True
+_ALNUM = np.zeros(256, bool)
+_ALNUM[[i for i in range(128) if chr(i).isalnum()]] = True
 
 
 class Encoder:
     """A tokenizer that encodes each distinct word once.
 
-    White space separates the tokenizer's pieces and is dropped, so the ids of
-    a text are those of its words one after the other.
+    White space separates the tokenizer's pieces and is dropped, case is
+    dropped too, and punctuation after an ASCII letter or digit is a piece of
+    its own; so the ids of a text are those of its lower-cased words and of the
+    punctuation behind them, one after the other.
     """
 
     def __init__(self, vocabulary: str, end_id: int) -> None:
@@ -39,41 +49,67 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.end_id = Tokenizer.from_file(vocabulary), end_id
+        self.between = self._ids([BETWEEN])[0]
         self.forget()
 
     def forget(self) -> None:
-        """Only the end id, as word 0, is known."""
-        self.known: dict[int, int] = {}
-        self.flat = [np.array([self.end_id], np.int32)]
-        self.sizes = [1]
+        """Only the end id is known, at the start of the ids."""
+        self.hash, self.begin, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat = np.array([self.end_id], np.int32)
+
+    def _ids(self, strings: list[str]) -> list[list[int]]:
+        return [x.ids for x in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
+
+    def _encoded(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The strings' ids and their counts."""
+        ids, sizes = [], []
+        for at in range(0, len(strings), 200):
+            part = strings[at : at + 200]
+            if len(self.between) == 1 and not any(BETWEEN in x for x in part):
+                got = np.array(self._ids([f" {BETWEEN} ".join(part)])[0], np.int32)
+                cut = np.flatnonzero(got == self.between[0])
+                sizes.append(np.diff(np.concatenate([[-1], cut, [len(got)]])) - 1)
+                ids.append(np.delete(got, cut))
+            else:
+                every = self._ids(part)
+                sizes.append(np.array([len(x) for x in every]))
+                ids.append(np.array([i for x in every for i in x], np.int32))
+        return np.concatenate(ids), np.concatenate(sizes)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, each ended by the end id, and where each begins."""
         w = tokens.words(texts)
-        kinds, first, which = np.unique(w.hash, return_index=True, return_inverse=True)
-        if len(self.known) + len(kinds) > REMEMBER:
+        data = tokens.LOWER[w.data]
+        marked = np.flatnonzero(w.data == ord("<"))  # special tokens keep their case
+        for k in np.unique(np.searchsorted(w.start, marked, "right") - 1) if len(marked) else ():
+            data[w.start[k] : w.end[k]] = w.data[w.start[k] : w.end[k]]
+        cut, more = w.end.copy(), np.arange(len(w.end))
+        while len(more):
+            more = more[(cut[more] - w.start[more] > 1) & _TAIL[data[cut[more] - 1]]]
+            cut[more] -= 1
+        tail = np.flatnonzero((cut < w.end) & _ALNUM[data[np.maximum(cut - 1, 0)]] if len(data) else cut < 0)
+        end = w.end.copy()
+        end[tail] = cut[tail]
+        start, end = np.insert(w.start, tail + 1, cut[tail]), np.insert(end, tail + 1, w.end[tail])
+        first = w.first + np.searchsorted(tail, w.first)
+
+        kinds, at, which = np.unique(tokens.hash_spans(data, start, end), return_index=True, return_inverse=True)
+        if len(self.hash) + len(kinds) > REMEMBER:
             self.forget()
-        kinds = kinds.tolist()
-        new = [i for i, h in enumerate(kinds) if h not in self.known]
-        raw = w.data.tobytes()
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            strings = [raw[w.start[first[i]] : w.end[first[i]]].decode() for i in part]
-            for i, found in zip(part, self.tokenizer.encode_batch_fast(strings, add_special_tokens=False), strict=True):
-                ids = found.ids
-                self.known[kinds[i]] = len(self.sizes)
-                self.sizes.append(len(ids))
-                self.flat.append(np.array(ids, np.int32))
-        self.flat = [np.concatenate(self.flat)]
-        sizes = np.array(self.sizes, np.int64)
-        begin = np.cumsum(sizes) - sizes
-        word = np.array([self.known[h] for h in kinds], np.int64)[which] if kinds else np.zeros(0, np.int64)
-        word = np.insert(word, w.first[1:], 0)  # the end id after each text's words
-        n = sizes[word]
+        place = np.searchsorted(self.hash, kinds)
+        new = np.flatnonzero(self.hash[np.minimum(place, len(self.hash) - 1)] != kinds) if len(self.hash) else np.arange(len(kinds))
+        if len(new):
+            raw = data.tobytes()
+            ids, sizes = self._encoded([raw[a:b].decode() for a, b in zip(start[at[new]].tolist(), end[at[new]].tolist(), strict=True)])
+            self.begin = np.insert(self.begin, place[new], len(self.flat) + np.cumsum(sizes) - sizes)
+            self.size, self.hash = np.insert(self.size, place[new], sizes), np.insert(self.hash, place[new], kinds[new])
+            self.flat = np.concatenate([self.flat, ids])
+        known = np.searchsorted(self.hash, kinds)
+        # The end id stands after each text's words.
+        begin, n = np.insert(self.begin[known][which], first[1:], 0), np.insert(self.size[known][which], first[1:], 1)
         ends = np.cumsum(n)
-        ids = self.flat[0][np.repeat(begin[word] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
-        last = w.first[1:] + np.arange(len(w.first) - 1)
-        return ids, np.concatenate([[0], ends[last]])
+        ids = self.flat[np.repeat(begin - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
+        return ids, np.concatenate([[0], ends[first[1:] + np.arange(len(first) - 1)]])
 
 
 _ENCODERS: dict[tuple[str, int], Encoder] = {}
@@ -98,7 +134,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = 1, i
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, at = _encoder(vocabulary, end_id), TaskContext.get().partitionId(), 0
-        for batch in tokens.pieces(batches, "text", 2 << 20):
+        for batch in tokens.pieces(batches, "text"):
             ids, off = encoder.encode(batch.column("text"))
             n = np.diff(off)
             yield pa.record_batch(

@@ -20,6 +20,8 @@ TEXTS = [
     (None, "a b"),
     (9, "word " * 3000),
     (11, "x" * 20_000),
+    (12, "a\x01b \x01 c\x01. <|ENDOFTEXT|> x<|endoftext|>. dogs'. 'stop IT'S, É!, …, 3.14. a..b?! ?! . <b.>."),
+    (13, "\u0301a, \u00a0b. c\u0085d, ½. Σ. ΑΣ,"),
     (8, "\x0b tab\tnl\n 123 don't"),
     (8, "\x0b tab\tnl\n 123 don't"),
 ]
