@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, exact, jaccard, lines, mixing, pii, token_orc, toxicity, warc_zip
+from . import decontam, exact, jaccard, lines, mixing, pii, substring, token_orc, toxicity, warc_zip
 from .store import shared_path
 
 
@@ -40,6 +40,11 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op6_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring.without_repeats(_documents(spark, sf_dir).select("doc_id", "text"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = lines.repeated_lines(_documents(spark, sf_dir))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("line_text", 256).alias("kept_sha256"))
@@ -69,7 +74,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), *n, F.sha2(pii.written(base), 256).alias("base_sha256"), pii.written(F.col("spans")).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_ngram_jaccard, op3_mixing, op4_warc, op5_decontamination, op7_line_dedup, op8_token_orc, op9_exact_dedup, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_ngram_jaccard, op3_mixing, op4_warc, op5_decontamination, op6_substring, op7_line_dedup, op8_token_orc, op9_exact_dedup, op10_pii)}
 
 ASCII = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -111,6 +116,18 @@ g AS (SELECT payload_digest, max(page_id) AS last FROM p WHERE payload_bytes >=
 SELECT page_id, payload_bytes, p.payload_digest, CASE WHEN last <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
        CASE WHEN last <> page_id THEN last END AS refers_to
 FROM p LEFT JOIN g ON p.payload_digest = g.payload_digest AND payload_bytes >= 1000""",
+    "op6_substring": """
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+h AS (SELECT doc_id, list_transform(range(1, len(w) - 48), lambda i: md5(array_to_string(w[i:i + 49], ' '))) AS h FROM w),
+x AS (SELECT doc_id, unnest(h) AS g, generate_subscripts(h, 1) AS pos FROM h),
+f AS (SELECT g, min(doc_id) AS least FROM x GROUP BY g),
+l AS (SELECT x.doc_id, x.pos FROM x JOIN f ON x.g = f.g AND f.least < x.doc_id),
+p AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM w),
+m AS (SELECT p.doc_id, p.pos, word, coalesce(max(CASE WHEN l.pos IS NOT NULL THEN 1 END) OVER (PARTITION BY p.doc_id ORDER BY p.pos ROWS BETWEEN 49 PRECEDING AND CURRENT ROW), 0) AS gone
+      FROM p LEFT JOIN l ON l.doc_id = p.doc_id AND l.pos = p.pos)
+SELECT d.doc_id, count(word) AS n_words, coalesce(sum(gone), 0)::BIGINT AS n_removed,
+       sha256(coalesce(string_agg(word, ' ' ORDER BY pos) FILTER (gone = 0), '')) AS kept_sha256
+FROM documents d LEFT JOIN m ON m.doc_id = d.doc_id GROUP BY d.doc_id""",
     "op7_line_dedup": f"""
 WITH l AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
