@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
+from .skew import hinted
 from .store import keep
 
 #: Words of a seed, and of the items that are broadcast at a time.
@@ -187,4 +188,4 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """``docs`` without the documents that hold a copy of an item."""
     hit = keep(contaminated(docs, benchmark, id_col=id_col, **options).select(F.col("doc_id").alias("_id")).distinct(), "leaks")
-    return docs.join(hit, docs[id_col] == hit["_id"], "left_anti")
+    return docs.join(hinted(hit), docs[id_col] == hit["_id"], "left_anti")

@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .skew import salted_join
+from .skew import hinted, salted_join
 from .store import keep
 from .text import word_count
 
@@ -123,6 +123,6 @@ def mix(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     Rows that repeat an id repeat as the one with most copies. Empty texts
     have nothing to give to the mix; they follow their place in the order.
     """
-    taken = mixture(docs, id_col=id_col, **options).groupBy("id").agg(F.max("copies").alias("_copies"))
-    found = docs.join(taken, docs[id_col].eqNullSafe(taken["id"]))
+    taken = keep(mixture(docs, id_col=id_col, **options).groupBy("id").agg(F.max("copies").alias("_copies")), "copies")
+    found = docs.join(hinted(taken), docs[id_col].eqNullSafe(taken["id"]))
     return found.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[docs[c] for c in docs.columns])

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Rows up to which a side of ids may be broadcast (16 MB or so).
+BROADCAST = 1_000_000
 #: Parts that the rows of every key are dealt to.
 SALTS = 16
 
@@ -24,3 +26,9 @@ def salted_join(rows: DataFrame, per_key: DataFrame, key: list[str], spread: lis
     left = rows.withColumn("_salt", salt_of(*spread, salts=salts))
     right = per_key.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return left.join(right, [*key, "_salt"], how).drop("_salt")
+
+
+def hinted(ids: DataFrame, most: int = BROADCAST) -> DataFrame:
+    """``ids`` to be broadcast if counted to be few; else they are shuffled.
+    For tables that are cheap to count, with rows of a few bytes."""
+    return F.broadcast(ids) if ids.count() <= most else ids
