@@ -26,14 +26,16 @@ from pyspark.sql import types as T
 
 from . import tokens
 from .skew import salted_join
-from .store import keep
+from .store import arrow_rows, keep
 
 WINDOW, GRAM = 50, 20
 #: Windows of a run, at most; words of an index and of a shard, about; runs of
 #: one minimiser beyond which its windows are dealt one by one.
-RUN, INDEX_WORDS, SHARD_WORDS, HOT = 64, 1_000_000, 1_500_000, 2_000
+RUN, INDEX_WORDS, SHARD_WORDS, HOT = 64, 500_000, 1_500_000, 2_000
 _BASE = int(tokens.multipliers(7)[-1])
 _BACK = pow(_BASE, -1, 1 << 64)
+#: Rows of an Arrow batch, where rows hold a text and its minimisers.
+ROWS = 2000
 KEYED = np.dtype([("key", "<u8"), ("c", "<u8"), ("doc", "<i8")])
 PIECE = np.dtype([("key", "<u8"), ("c", "<u8"), ("doc", "<i8"), ("n", "<u4"), ("words", "<u4")])
 
@@ -120,7 +122,7 @@ def _keys(window: int, gram: int, buckets: int):
             e = np.empty(len(runs.key), KEYED)
             e["key"], e["c"], e["doc"] = runs.key, runs.c, batch.column("id").to_numpy()[runs.row]
             held.append(e)
-            if sum(map(len, held)) > 1_500_000:
+            if sum(map(len, held)) > 400_000:
                 yield from flush()
         yield from flush()
 
@@ -223,7 +225,7 @@ def _cut(window: int, gram: int, buckets: int):
             raw = w.data.tobytes()
             held.append((e, [raw[a:b] for a, b in zip(w.start[at].tolist(), w.end[at + n + window - 2].tolist(), strict=True)]))
             size += int(e["words"].sum())
-            if size > 6_000_000:
+            if size > 2_000_000:
                 yield from flush()
                 size = 0
         yield from flush()
@@ -410,13 +412,14 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     spark = docs.sparkSession
     rows = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keyed = rows.mapInArrow(_keys(window, gram, parts), BLOBS).repartition(parts, "bucket").select("blob").mapInArrow(_shared(hot), "id long, keys binary, hot binary, runs long")
+    keyed = rows.mapInArrow(tokens.tidy(_keys(window, gram, parts)), BLOBS).repartition(parts, "bucket").select("blob").mapInArrow(tokens.tidy(_shared(hot)), "id long, keys binary, hot binary, runs long")
     shared = keep(keyed, "minimisers")
     runs = shared.agg(F.sum("runs")).first()[0] or 0
     shards = max(parts, runs * (window + 15) // SHARD_WORDS)
     listed = shared.groupBy("id").agg(F.collect_list("keys").alias("keys"), F.collect_list("hot").alias("hot"))
-    cut = keep(rows.withColumn("th", F.xxhash64("text")).join(listed, "id").mapInArrow(_cut(window, gram, shards), CUT), "runs")
-    found = keep(cut.where("blob is not null").select("bucket", "blob").repartition(shards, "bucket").select("blob").mapInArrow(_index(window), FOUND), "found")
+    with arrow_rows(spark, ROWS):
+        cut = keep(rows.withColumn("th", F.xxhash64("text")).join(listed, "id").mapInArrow(tokens.tidy(_cut(window, gram, shards)), CUT), "runs")
+    found = keep(cut.where("blob is not null").select("bucket", "blob").repartition(shards, "bucket").select("blob").mapInArrow(tokens.tidy(_index(window)), FOUND), "found")
     places = cut.where("c is not null").select("c", "id", "th", "at", "n")
     met = salted_join(places, found, ["c"], ["id", "at"], how="inner").where("id > m or size(spans) > 0")
     word = lambda s, e: F.struct((F.col("at") + s).alias("s"), (F.col("at") + e + (window - 1)).alias("e"))
@@ -465,4 +468,4 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             cols = [batch.column(c) for c in rest]
             yield pa.record_batch([*cols, pa.array(kept, pa.binary()).cast(pa.string()), pa.array(n, pa.int64()), pa.array(removed, pa.int64())], names=schema.names)
 
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(tokens.tidy(run), schema)
