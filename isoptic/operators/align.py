@@ -20,14 +20,13 @@ def hinted(df: DataFrame, most: int = BROADCAST) -> DataFrame:
 
 def range_join(samples: DataFrame, intervals: DataFrame, keys: Keys, t: str, lo: str = "lo", hi: str = "hi", how: str = "inner", closed: bool = False) -> DataFrame:
     """Samples within intervals of the same ``keys``, open at both ends."""
-    inside = (samples[t] >= intervals[lo]) & (samples[t] <= intervals[hi]) if closed else (samples[t] > intervals[lo]) & (samples[t] < intervals[hi])
-    on = inside
-    for k in keys:
-        on = on & (samples[k] == intervals[k])
-    out = samples.join(intervals, on, how)
-    for k in keys:
-        out = out.drop(intervals[k])
-    return out
+    # Renamed first: both sides may stem from one table.
+    names = {k: f"_k{i}" for i, k in enumerate(keys)}
+    spans = intervals.withColumnsRenamed(names)
+    inside = (F.col(t) >= F.col(lo)) & (F.col(t) <= F.col(hi)) if closed else (F.col(t) > F.col(lo)) & (F.col(t) < F.col(hi))
+    for k, n in names.items():
+        inside = inside & (F.col(k) == F.col(n))
+    return samples.join(spans, inside, how).drop(*names.values())
 
 
 def bucketed_range_join(samples: DataFrame, intervals: DataFrame, keys: Keys, t: str, width: float, lo: str = "lo", hi: str = "hi") -> DataFrame:
@@ -137,11 +136,12 @@ def targets_of(df: DataFrame, targets: DataFrame, ordinal: str, name: str = "ord
 
 def slices(starts: DataFrame, ends: DataFrame, df: DataFrame, keys: Keys, order: str, inclusive: bool = False) -> DataFrame:
     """Rows from the n-th start to the n-th end of their series, with ``ord``."""
-    spans = pair_in_order(starts, ends, keys, order, order, "_lo", "_hi")
-    on = (df[order] >= spans["_lo"]) & ((df[order] <= spans["_hi"]) if inclusive else (df[order] < spans["_hi"]))
-    for k in keys:
-        on = on & (df[k] == spans[k])
-    return df.join(spans, on).select(*[df[c] for c in df.columns], "ord")
+    names = {k: f"_k{i}" for i, k in enumerate(keys)}
+    spans = pair_in_order(starts, ends, keys, order, order, "_lo", "_hi").withColumnsRenamed(names)
+    on = (F.col(order) >= F.col("_lo")) & ((F.col(order) <= F.col("_hi")) if inclusive else (F.col(order) < F.col("_hi")))
+    for k, n in names.items():
+        on = on & (F.col(k) == F.col(n))
+    return df.join(spans, on).drop("_lo", "_hi", *names.values())
 
 
 def with_predictions(df: DataFrame, predictions: DataFrame, keys: Keys, t: str, value: str = "evt", window: str | None = None) -> DataFrame:

@@ -224,3 +224,479 @@ def event_features(spark, sf_dir):
     wide = {k: 300 for k in range(1, 6)}  # at 10 samples a second: 3 samples
     out = label.event_features(e, U, "idx", 10.0, "code", "value", "k", wide, velocity_ms=500)
     return out.select("user_id", "run", "s", "e", "code", *[r(c) for c in ("posx_s", "posx_e", "posx_mean", "posy_med", "pv")], "pv_index", r("dur"), r("ampl"))
+
+
+@query(f"""WITH {E}, d AS (SELECT user_id, 1 / (t - lag(t) OVER w) AS x FROM e {W}), m AS (SELECT user_id, median(x) AS rate FROM d GROUP BY user_id)
+SELECT user_id, round(rate, 9) AS rate, list_sort([{', '.join(f'({{"d": abs(rate - {f}), "i": {i}, "f": {f}}})'.replace('"', "'") for i, f in enumerate((2000, 500, 25, 1)))}])[1].f AS fs FROM m""")
+def rate_estimate(spark, sf_dir):
+    return label.sampling_rate(events(spark, sf_dir), "t", U, "event_id", (2000, 500, 25, 1)).select("user_id", r("rate", 9), "fs")
+
+
+@query(f"WITH {E} SELECT user_id, event_id, coalesce(lead(code) OVER w - code = 1, false) AS onset FROM e {W}")
+def onsets(spark, sf_dir):
+    return label.onsets(events(spark, sf_dir), "code", U, "event_id").select("user_id", "event_id", "onset")
+
+
+@query(f"WITH {E} SELECT event_id, CASE WHEN code = 5 THEN 1 ELSE code END AS known, CASE WHEN code IN (1, 2, 3) THEN 1 ELSE 0 END AS status, CASE WHEN code = 1 THEN 1 ELSE 2 END AS evt FROM e")
+def event_recodes(spark, sf_dir):
+    e = events(spark, sf_dir).withColumns({"evt": F.when(F.col("code") == 5, 0).otherwise(F.col("code")), "status": F.lit(1)})
+    known = label.recode_unknown(e).withColumnRenamed("evt", "known")
+    return label.binary_events(label.clear_status(known, (1, 2, 3), "code").withColumn("evt", F.col("code"))).select("event_id", "known", "status", "evt")
+
+
+# Alignment.
+
+
+@query("""WITH p AS (SELECT user_id, event_id AS pid, epoch_us(ts) / 1000000.0 AS lo, epoch_us(ts) / 1000000.0 + 86400 AS hi FROM events WHERE event_type = 'purchase')
+SELECT v.user_id, v.event_id, pid FROM events v JOIN p ON v.user_id = p.user_id AND epoch_us(v.ts) / 1000000.0 > lo AND epoch_us(v.ts) / 1000000.0 < hi WHERE v.event_type = 'view'""")
+def range_join_open(spark, sf_dir):
+    e = events(spark, sf_dir)
+    p = e.where("event_type = 'purchase'").select("user_id", F.col("event_id").alias("pid"), F.col("t").alias("lo"), (F.col("t") + 86400).alias("hi"))
+    return align.range_join(e.where("event_type = 'view'"), p, U, "t").select("user_id", "event_id", "pid")
+
+
+QUERIES["range_join_bucketed"] = lambda spark, sf_dir: (
+    lambda e: align.bucketed_range_join(
+        e.where("event_type = 'view'"), e.where("event_type = 'purchase'").select("user_id", F.col("event_id").alias("pid"), F.col("t").alias("lo"), (F.col("t") + 86400).alias("hi")), U, "t", 86400.0
+    ).select("user_id", "event_id", "pid")
+)(events(spark, sf_dir))
+SQL["range_join_bucketed"] = SQL["range_join_open"]
+
+_NEAR = """v AS (SELECT * FROM s WHERE event_type = 'view'), p AS (SELECT * FROM s WHERE event_type = 'purchase'),
+n AS (SELECT p.user_id, p.event_id, (SELECT v.event_id FROM v WHERE v.user_id = p.user_id ORDER BY abs(v.t - p.t), v.t, v.event_id LIMIT 1) AS nearest FROM p)"""
+
+
+@query(f"WITH {S}, {_NEAR} SELECT user_id, event_id, nearest FROM n")
+def nearest_event(spark, sf_dir):
+    e = events(spark, sf_dir)
+    views = e.where("event_type = 'view'").withColumnRenamed("event_id", "vid")
+    return align.nearest_asof(e.where("event_type = 'purchase'").select("user_id", "event_id", "t"), views, U, "t", "event_id", "vid").select("user_id", "event_id", "nearest")
+
+
+@query(f"""WITH {S}, {_NEAR}, o AS (SELECT n.user_id, nearest, arg_max(p.code, n.event_id) AS c FROM n JOIN p ON p.event_id = n.event_id GROUP BY n.user_id, nearest)
+SELECT v.user_id, v.event_id, coalesce(c, 0) AS audio_event FROM v LEFT JOIN o ON o.nearest = v.event_id""")
+def correlate_events(spark, sf_dir):
+    e = events(spark, sf_dir)
+    p = e.where("event_type = 'purchase'").select("user_id", "t", F.col("event_id").alias("pid"), "code")
+    return align.correlate(e.where("event_type = 'view'"), p, U, "t", "code", "pid", "event_id").select("user_id", "event_id", "audio_event")
+
+
+@query(f"""WITH {S}, b AS (SELECT *, last_value(CASE WHEN event_type = 'view' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM s)
+SELECT user_id, event_id, before FROM b WHERE event_type = 'purchase'""")
+def strict_prev_event(spark, sf_dir):
+    e = align.strict_before(events(spark, sf_dir), F.col("event_type") == "view", "event_id", U, "event_id", "before")
+    return e.where("event_type = 'purchase'").select("user_id", "event_id", "before")
+
+
+_SEG = """g AS (SELECT *, coalesce(sum((event_type = 'purchase')::INT) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS segment,
+  sum((event_type = 'purchase')::INT) OVER (PARTITION BY user_id) AS total FROM s),
+x AS (SELECT * FROM g WHERE event_type <> 'purchase' AND idx > 0 AND segment < total)"""
+
+
+@query(f"WITH {S}, {_SEG} SELECT user_id, event_id, segment FROM x")
+def segment_between(spark, sf_dir):
+    return align.segments_between(events(spark, sf_dir), F.col("event_type") == "purchase", U, "event_id").select("user_id", "event_id", "segment")
+
+
+_PAIR = """a AS (SELECT user_id, event_id AS lo, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS ord FROM s WHERE event_type = 'purchase'),
+b AS (SELECT user_id, event_id AS hi, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS ord FROM s WHERE event_type = 'signup')"""
+
+
+@query(f"WITH {S}, {_PAIR} SELECT s.user_id, s.event_id, a.ord::INT AS ord FROM s JOIN a ON a.user_id = s.user_id JOIN b ON b.user_id = a.user_id AND b.ord = a.ord WHERE s.event_id >= lo AND s.event_id < hi")
+def paired_slices(spark, sf_dir):
+    e = events(spark, sf_dir)
+    return align.slices(e.where("event_type = 'purchase'"), e.where("event_type = 'signup'"), e, U, "event_id").select("user_id", "event_id", "ord")
+
+
+_GRID = "t AS (SELECT i::INT AS ord, 537 + (i % 15) * (1379 - 537) / 14.0 AS tx, 296 + (i // 15) * (1034 - 296) / 7.0 AS ty FROM range(120) r(i))"
+
+
+@query(f"WITH {_GRID} SELECT ord, round(tx, 6) AS x, round(ty, 6) AS y FROM t")
+def target_grid(spark, sf_dir):
+    return grid.target_grid(spark).select("ord", r("x"), r("y"))
+
+
+@query(f"WITH {S}, {_SEG}, {_GRID} SELECT user_id, event_id, segment, round(tx, 6) AS x, round(ty, 6) AS y FROM x JOIN t ON t.ord = segment")
+def ordinal_targets(spark, sf_dir):
+    parts = align.segments_between(events(spark, sf_dir), F.col("event_type") == "purchase", U, "event_id")
+    return align.targets_of(parts, grid.target_grid(spark), "segment").select("user_id", "event_id", "segment", r("x"), r("y"))
+
+
+@query(f"""WITH {S}, {_SEG}, {_GRID}, c AS (SELECT *, coalesce((code <> lag(code) OVER w)::INT, 0) AS ch FROM x WINDOW w AS (PARTITION BY user_id, segment ORDER BY event_id)),
+g2 AS (SELECT *, sum(ch) OVER (PARTITION BY user_id, segment ORDER BY event_id) AS run FROM c),
+m AS (SELECT user_id, segment, run, any_value(code) AS code, avg(value) AS x, avg(k) AS y FROM g2 GROUP BY ALL),
+d AS (SELECT user_id, segment, min(CASE WHEN code = 1 THEN sqrt(pow(x - tx, 2) + pow(y - ty, 2)) END) AS d FROM m JOIN t ON t.ord = segment GROUP BY ALL)
+SELECT user_id, segment, coalesce(round(d, 6), 1e18) AS distance FROM d""")
+def closest_run(spark, sf_dir):
+    parts = align.segments_between(events(spark, sf_dir), F.col("event_type") == "purchase", U, "event_id")
+    aimed = align.targets_of(parts, grid.target_grid(spark).withColumnsRenamed({"x": "tx", "y": "ty"}), "segment")
+    out = stats.closest_run(aimed, "value", "k", "tx", "ty", "code", U, "segment", "event_id")
+    return out.select("user_id", "segment", F.when(F.col("distance") == float("inf"), 1e18).otherwise(F.round("distance", 6)).alias("distance"))
+
+
+@query("""SELECT n_nationkey, n_name, min(s_name) AS s_name FROM nation LEFT JOIN supplier ON ends_with(s_name, lpad(n_nationkey::VARCHAR, 2, '0')) GROUP BY ALL""")
+def first_match(spark, sf_dir):
+    n, s = table(spark, sf_dir, "nation"), table(spark, sf_dir, "supplier")
+    on = s["s_name"].endswith(F.lpad(n["n_nationkey"].cast("string"), 2, "0"))
+    return align.first_match(n, s, on, ["n_nationkey"], F.col("s_name")).select("n_nationkey", "n_name", "s_name")
+
+
+@query("SELECT o_custkey, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS o_orderkey FROM orders GROUP BY o_custkey")
+def latest_override(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").withColumn("_at", F.struct("o_orderdate", "o_orderkey"))
+    return align.latest(o, ["o_custkey"], "_at").select("o_custkey", "o_orderkey")
+
+
+@query(f"""WITH {S}, p AS (SELECT user_id, event_id // 2 * 2 AS event_id, code, count(*) AS n FROM s GROUP BY ALL),
+o AS (SELECT user_id, event_id, arg_max(code, (n, -code)) AS c FROM p GROUP BY ALL) SELECT s.user_id, s.event_id, coalesce(c, 0) AS code_pred FROM s LEFT JOIN o USING (user_id, event_id)""")
+def joined_predictions(spark, sf_dir):
+    e = events(spark, sf_dir).select("user_id", "event_id", "code")
+    guess = e.withColumn("event_id", F.floor(F.col("event_id") / 2) * 2)
+    return align.with_predictions(e, guess, U, "event_id", "code").select("user_id", "event_id", "code_pred")
+
+
+@query("""WITH m AS (SELECT *, role = 'user' AS u FROM conversations), c AS (SELECT conv_id FROM m GROUP BY conv_id HAVING count(*) FILTER (u) = count(*) FILTER (NOT u)),
+a AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS ord FROM m JOIN c USING (conv_id) WHERE u),
+b AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS ord FROM m JOIN c USING (conv_id) WHERE NOT u)
+SELECT conv_id, ord::INT AS ord, a.turn AS lo, b.turn AS hi FROM a JOIN b USING (conv_id, ord)""")
+def ordinal_pairs(spark, sf_dir):
+    m = table(spark, sf_dir, "conversations").withColumn("_u", F.col("role") == "user")
+    even = m.groupBy("conv_id").agg(F.count_if("_u").alias("a"), F.count_if(~F.col("_u")).alias("b")).where("a = b")
+    m = m.join(even, "conv_id", "left_semi")
+    return align.pair_in_order(m.where("_u"), m.where(~F.col("_u")), ["conv_id"], "turn", "turn").select("conv_id", "ord", "lo", "hi")
+
+
+@query(f"WITH {S} SELECT a.user_id, a.idx, a.code AS a, b.code AS b FROM s a JOIN s b ON a.user_id = b.user_id AND b.idx = a.idx AND b.idx % 2 = 0")
+def zipped_rows(spark, sf_dir):
+    s = series(spark, sf_dir)
+    other = s.where("idx % 2 = 0").select("user_id", "idx", F.col("code").alias("b"))
+    return align.zip_rows(s.select("user_id", "idx", F.col("code").alias("a")), other, U, "idx")
+
+
+# Segmentation.
+
+
+_FRAMES = """z AS (SELECT u.user_id, f.f AS frame FROM (SELECT user_id, max(idx) AS m FROM s GROUP BY user_id) u, range(0, 1000) f(f) WHERE f.f <= (u.m + 1) // 4),
+rms AS (SELECT z.user_id, frame, sqrt(coalesce(sum(value * value), 0) / 16) AS rms FROM z LEFT JOIN s ON s.user_id = z.user_id AND s.idx >= frame * 4 - 8 + 4 - 4 AND s.idx < frame * 4 + 8 GROUP BY ALL)"""
+_ACTIVE = """nrm AS (SELECT *, (rms - min(rms) OVER p) / nullif(max(rms) OVER p - min(rms) OVER p, 0) AS v FROM rms WINDOW p AS (PARTITION BY user_id)),
+act AS (SELECT *, coalesce((v >= median(v) OVER p + stddev_pop(v) OVER p / 4 AND v > 0)::INT, 0) AS active FROM nrm WINDOW p AS (PARTITION BY user_id)),
+edg AS (SELECT *, CASE WHEN row_number() OVER w = 1 AND active = 1 THEN 1 ELSE coalesce(lead(active) OVER w - active, 0) END AS edge FROM act WINDOW w AS (PARTITION BY user_id ORDER BY frame))"""
+
+
+@query(f"WITH {S}, {_FRAMES} SELECT user_id, frame, round(rms, 6) AS rms FROM rms")
+def rms_frames(spark, sf_dir):
+    return segment.rms_frames(series(spark, sf_dir), "value", U, "idx", 16, 4).select("user_id", "frame", r("rms"))
+
+
+@query(f"WITH {S}, {_FRAMES}, {_ACTIVE} SELECT user_id, frame, active, edge FROM edg")
+def threshold_edges(spark, sf_dir):
+    frames = segment.rms_frames(series(spark, sf_dir), "value", U, "idx", 16, 4)
+    return segment.edges(segment.above_threshold(frames, "rms", U), "active", U, "frame").select("user_id", "frame", "active", "edge")
+
+
+@query(f"""WITH {S}, {_FRAMES}, {_ACTIVE}, q AS (SELECT user_id FROM s GROUP BY user_id HAVING median(abs(value)) <= 40),
+n AS (SELECT user_id, edge, frame, row_number() OVER (PARTITION BY user_id, edge ORDER BY frame) AS ord FROM edg JOIN q USING (user_id) WHERE edge <> 0),
+i AS (SELECT a.user_id, a.ord, a.frame * 4 AS s0, coalesce(b.frame * 4, l.m) AS e0, l.m FROM n a LEFT JOIN n b ON b.user_id = a.user_id AND b.ord = a.ord AND b.edge = -1
+  JOIN (SELECT user_id, max(idx) AS m FROM s GROUP BY user_id) l ON l.user_id = a.user_id WHERE a.edge = 1),
+k AS (SELECT * FROM i WHERE e0 - s0 >= 4)
+SELECT user_id, ord::INT AS ord, round(least(s0, m) / 16.0 * 1000000, 5) AS t, s0 AS signal_index, 1 AS sentence_breaks FROM k
+UNION ALL SELECT user_id, ord::INT, round(least(e0, m) / 16.0 * 1000000, 5), e0, -1 FROM k""")
+def speech_events(spark, sf_dir):
+    return segment.speech_events(series(spark, sf_dir), "value", U, "idx", 16, 16, 4, 0.25, 40.0)
+
+
+@query(f"""WITH {S}, p AS (SELECT *, lead(t) OVER (PARTITION BY user_id ORDER BY event_id) - t AS gap FROM s WHERE event_type = 'purchase') SELECT user_id, event_id, round(gap, 6) AS gap FROM p WHERE gap IS NOT NULL""")
+def utterance_gaps(spark, sf_dir):
+    e = events(spark, sf_dir).withColumn("mark", F.when(F.col("event_type") == "purchase", 1).otherwise(-1))
+    return segment.utterance_gaps(e, "t", U, "event_id", mark="mark", name="gap").select("user_id", "event_id", r("gap"))
+
+
+@query(f"""WITH {S}, p AS (SELECT *, lead(t) OVER w - t AS gap, row_number() OVER w AS n, count(*) OVER (PARTITION BY user_id) AS m FROM s {W}) SELECT user_id, event_id, round(gap, 6) AS gap FROM p WHERE gap IS NOT NULL AND n <= m // 2""")
+def utterance_gaps_first_half(spark, sf_dir):
+    e = events(spark, sf_dir).withColumn("mark", F.lit(1))
+    return segment.utterance_gaps(e, "t", U, "event_id", parity=True, mark="mark", name="gap").select("user_id", "event_id", r("gap"))
+
+
+# Statistics.
+
+
+@query("""WITH o AS (SELECT c_nationkey, c_mktsegment, o_totalprice FROM orders JOIN customer ON o_custkey = c_custkey),
+g AS (SELECT c_nationkey, c_mktsegment, median(o_totalprice) AS m, stddev_pop(o_totalprice) AS s FROM o GROUP BY ALL HAVING count(*) > 25)
+SELECT c_nationkey, round(median(m), 4) AS median, round(median(s), 4) AS std, count(*) AS groups FROM g GROUP BY c_nationkey HAVING count(*) = 5""")
+def group_median_std(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_custkey", "o_totalprice").join(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment"), F.col("o_custkey") == F.col("c_custkey"))
+    return stats.two_level_median(o, "o_totalprice", ["c_nationkey"], ["c_mktsegment"], 5, 25).select("c_nationkey", r("median", 4), r("std", 4), "groups")
+
+
+@query("SELECT c_nationkey, round(avg(c_acctbal), 4) AS mean, round(stddev_pop(c_acctbal), 4) AS std, count(*) AS n FROM customer GROUP BY c_nationkey")
+def subject_mean_std(spark, sf_dir):
+    return stats.mean_std(table(spark, sf_dir, "customer"), "c_acctbal", ["c_nationkey"]).select("c_nationkey", r("mean", 4), r("std", 4), "n")
+
+
+@query(f"WITH {E}, c AS (SELECT user_id, count(*) AS n FROM e GROUP BY user_id) SELECT min(n) AS least FROM c")
+def least_count(spark, sf_dir):
+    return stats.least_count(events(spark, sf_dir), U)
+
+
+@query(f"""WITH {E}, c AS (SELECT *, count(*) OVER (PARTITION BY user_id) AS n, count(*) FILTER (event_type = 'purchase') OVER (PARTITION BY user_id) AS p FROM e)
+SELECT user_id, event_id FROM c WHERE n > 60 AND n < 75 AND 5.0 * p / n > 0.8 AND 5.0 * p / n < 1.2""")
+def count_gates(spark, sf_dir):
+    e = stats.count_gate(events(spark, sf_dir), U, more_than=60, fewer_than=75)
+    n = e.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), (F.count_if(F.col("event_type") == "purchase") * 5).alias("p"))
+    return e.join(stats.ratio_gate(n, "p", "n").select("user_id"), U, "left_semi").select("user_id", "event_id")
+
+
+@query(f"""WITH {S}, {_SEG}, n AS (SELECT *, row_number() OVER (PARTITION BY user_id, segment ORDER BY event_id) AS j FROM x)
+SELECT user_id, segment, round(avg((value < 40)::INT), 6) AS key_share, round(avg((code = 1)::INT), 6) AS fixation_share, CASE WHEN avg(value) FILTER (j <= 3) < 40 THEN 'up' ELSE 'down' END AS place FROM n GROUP BY user_id, segment""")
+def roi_share(spark, sf_dir):
+    parts = align.segments_between(events(spark, sf_dir), F.col("event_type") == "purchase", U, "event_id")
+    return stats.roi_shares(parts, "value", "code", U, "segment", "event_id", 40.0, 3).select("user_id", "segment", r("key_share"), r("fixation_share"), "place")
+
+
+@query(f"""WITH {S}, {_SEG}, u AS (SELECT user_id, segment, avg((value < 40)::INT) AS a, avg((code = 1)::INT) AS b FROM x GROUP BY user_id, segment)
+SELECT user_id, round(avg(a), 6) AS key_share, round(avg(b), 6) AS fixation_share, round(arg_max(a, segment), 6) AS last_share FROM u GROUP BY user_id""")
+def roi_means(spark, sf_dir):
+    parts = align.segments_between(events(spark, sf_dir), F.col("event_type") == "purchase", U, "event_id")
+    shares = stats.roi_shares(parts, "value", "code", U, "segment", "event_id", 40.0, 3)
+    last = stats.mean_roi_shares(shares, U, "segment", parity=True).select("user_id", F.col("key_share").alias("last_share"))
+    return stats.mean_roi_shares(shares, U, "segment").join(last, U).select("user_id", r("key_share"), r("fixation_share"), r("last_share"))
+
+
+@query(f"WITH {E}, c AS (SELECT user_id, CASE WHEN value > 50 THEN 2 ELSE 1 END AS a, CASE WHEN k > 50 THEN 2 ELSE 1 END AS b FROM e) SELECT user_id, round(avg((a = b)::INT) * 100, 6) AS agreement, round(avg(a & b) * 100, 6) AS bitwise FROM c GROUP BY user_id")
+def agreement(spark, sf_dir):
+    e = events(spark, sf_dir).withColumns({"a": F.when(F.col("value") > 50, 2).otherwise(1), "b": F.when(F.col("k") > 50, 2).otherwise(1)})
+    bits = stats.agreement(e, "a", "b", U, parity=True).withColumnRenamed("agreement", "bitwise")
+    return stats.agreement(e, "a", "b", U).join(bits, U).select("user_id", r("agreement"), r("bitwise"))
+
+
+@query(f"WITH {E} SELECT user_id, round(avg(pow(value - k, 2)), 4) AS mse FROM e GROUP BY user_id")
+def mse(spark, sf_dir):
+    return stats.mse(events(spark, sf_dir), "value", "k", U).select("user_id", r("mse", 4))
+
+
+@query(f"WITH {S}, m AS (SELECT user_id, avg(value) FILTER (idx % 2 = 0) AS a, avg(value) FILTER (idx % 2 = 1) AS b FROM s GROUP BY user_id) SELECT round(corr(a, b), 6) AS r FROM m")
+def half_corr(spark, sf_dir):
+    return stats.half_correlation(events(spark, sf_dir), "value", "user_id", "event_id").select(r("r"))
+
+
+_HALVES = """k AS (SELECT rep, pos, row_number() OVER (PARTITION BY rep ORDER BY ((rep * 7919 + pos * 104729 + 220617) * 2654435761) % 4294967291, pos) AS rk FROM range(20) a(rep), range(40) b(pos)),
+h AS (SELECT l, rep, pos, rk <= l AS one FROM k, (SELECT unnest([5, 8, 10, 15])::INT AS l) WHERE rk <= 2 * l),
+m AS (SELECT l, rep, user_id, avg(value) FILTER (one) AS a, avg(value) FILTER (NOT one) AS b FROM h JOIN s ON s.idx = h.pos GROUP BY ALL),
+c AS (SELECT l, rep, corr(a, b) AS r FROM m GROUP BY ALL)"""
+
+
+def _values(spark, sf_dir):
+    return series(spark, sf_dir).select("user_id", F.col("idx").alias("pos"), "value")
+
+
+@query(f"WITH {S}, {_HALVES} SELECT l, rep, round(r, 6) AS r FROM c")
+def split_half(spark, sf_dir):
+    return stats.split_half(_values(spark, sf_dir), (5, 8, 10, 15), 20, 40, "user_id", "pos", "value").select("l", "rep", r("r"))
+
+
+@query(f"WITH {S}, {_HALVES.replace('[5, 8, 10, 15]', '[5, 6, 7, 8]')} SELECT l, round(avg(r), 6) AS reliability FROM c GROUP BY l")
+def split_half_curve(spark, sf_dir):
+    return stats.reliability_curve(_values(spark, sf_dir), 3, 9, 20, 40, subject="user_id", value="value").select("l", r("reliability"))
+
+
+@query(f"WITH {E}, m AS (SELECT min(value) AS lo, max(value) AS hi FROM e) SELECT least(floor((value - lo) * 100 / (hi - lo)), 99)::INT AS bin, count(*) AS n FROM e, m GROUP BY ALL")
+def histogram(spark, sf_dir):
+    return stats.histogram(events(spark, sf_dir), "value", 100)
+
+
+@query(f"WITH {E} SELECT least(floor(value * 12 / 120), 11)::INT AS bx, least(floor(k * 10 / 100), 9)::INT AS by, count(*) AS n FROM e WHERE value BETWEEN 0 AND 120 AND k BETWEEN 0 AND 100 GROUP BY ALL")
+def histogram_2d(spark, sf_dir):
+    return grid.histogram_2d(events(spark, sf_dir), "value", "k", 12, 10, x_range=(0.0, 120.0), y_range=(0.0, 100.0))
+
+
+@query(f"WITH {E} SELECT user_id, max(abs(value)) AS value_max, round(min(t), 6) AS t_min, round(max(t), 6) AS t_max FROM e GROUP BY user_id")
+def extents(spark, sf_dir):
+    return stats.extents(events(spark, sf_dir), ["value"], "t", U).select("user_id", "value_max", r("t_min"), r("t_max"))
+
+
+# Sequences.
+
+
+@query(f"""WITH {S}, g AS (SELECT *, t - lag(t) OVER w AS gap FROM s {W}), c AS (SELECT *, coalesce((gap > 2 * median(gap) OVER (PARTITION BY user_id) + 2)::INT, 0) AS cut FROM g),
+n AS (SELECT *, sum(cut) OVER (PARTITION BY user_id ORDER BY event_id)::BIGINT AS session FROM c) SELECT user_id, session, count(*) AS n, min(event_id) AS first_id FROM n GROUP BY user_id, session""")
+def gap_sessions(spark, sf_dir):
+    s = sequence.gap_sessions(events(spark, sf_dir), "t", U, "event_id", factor=2.0)
+    return s.groupBy("user_id", "session").agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first_id"))
+
+
+_WIN = """c AS (SELECT user_id, count(*) AS n FROM s GROUP BY user_id HAVING count(*) >= 21),
+p AS (SELECT user_id, n, w::INT AS win, w * 5 AS p FROM c, range(0, 200) r(w) WHERE w * 5 < n),
+l AS (SELECT user_id, win, CASE WHEN p + 21 < n THEN p ELSE n - 21 END AS lo FROM p)"""
+
+
+@query(f'WITH {S}, {_WIN} SELECT user_id, win AS "window", lo, lo + 21 AS hi FROM l')
+def strided_windows(spark, sf_dir):
+    return sequence.strided_windows(events(spark, sf_dir), U, "event_id", 21, 5, parity=True)
+
+
+@query(f"""WITH {S}, {_WIN}, d AS (SELECT user_id, lo, min(win) AS win FROM l GROUP BY ALL)
+SELECT d.user_id, win AS "window", count(*)::INT AS n, round(sum(value * (idx - lo + 1)), 4) AS checksum FROM d JOIN s ON s.user_id = d.user_id AND idx >= lo AND idx < lo + 21 GROUP BY ALL""")
+def sequences(spark, sf_dir):
+    e = events(spark, sf_dir)
+    got = sequence.sequences(e, sequence.strided_windows(e, U, "event_id", 21, 5), U, "event_id", "value")
+    total = F.aggregate(F.transform("samples", lambda x, i: x["value"] * (i + 1)), F.lit(0.0), lambda a, x: a + x)
+    return got.select("user_id", "window", F.size("samples").alias("n"), F.round(total, 4).alias("checksum"))
+
+
+@query("""WITH m AS (SELECT conv_id, list(length(text)::DOUBLE ORDER BY turn) AS a, conv_id % 8 AS b FROM conversations GROUP BY conv_id), x AS (SELECT *, max(len(a)) OVER (PARTITION BY b) AS l FROM m)
+SELECT conv_id, l::INT AS size, round(len(a) / l, 6) AS share, list_sum(a) AS total FROM x""")
+def padded_batches(spark, sf_dir):
+    m = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", F.length("text").cast("double").alias("n")))), lambda x: x["n"]).alias("a"))
+    out = sequence.collate(m.withColumn("b", F.col("conv_id") % 8), "a", "b")
+    return out.select("conv_id", F.size("a").alias("size"), r("share"), F.aggregate("a", F.lit(0.0), lambda s, x: s + x).alias("total"))
+
+
+@query(f"WITH {S}, l AS (SELECT user_id, list(code ORDER BY event_id) AS c FROM s GROUP BY user_id) SELECT user_id, (len(c) - 1)::INT AS n, (list_sum(c[2:]) - (len(c) - 1))::BIGINT AS total, list_sum(c[:20])::BIGINT AS first_20 FROM l")
+def shifted_sequence_labels(spark, sf_dir):
+    c = series(spark, sf_dir).groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "code"))), lambda x: x["code"]).alias("c"))
+    add = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + x)
+    return c.select("user_id", F.size(shifted_labels(F.col("c"))).alias("n"), add(shifted_labels(F.col("c"))).alias("total"), add(sequence.stripped(F.col("c"), 20)).alias("first_20"))
+
+
+# Grids.
+
+
+_CELL = 'least(floor(value / 10), 11)::INT AS bx, least(floor(k / 10), 9)::INT AS "by"'
+
+
+@query(f"WITH {S}, c AS (SELECT *, {_CELL}, max(idx) OVER (PARTITION BY user_id) AS last FROM s) SELECT user_id, \"by\", round(sum(pow(0.99, last - idx)), 6) AS heat FROM c GROUP BY user_id, \"by\"")
+def decay_sum(spark, sf_dir):
+    s = series(spark, sf_dir).withColumns({"bx": F.lit(0), "by": F.least(F.floor(F.col("k") / 10), F.lit(9)).cast("int")})
+    return grid.decayed_heat(s, "bx", "by", "idx", U).select("user_id", "by", r("heat"))
+
+
+_BLUR = f"kern AS (SELECT d - 4 AS d, w FROM (SELECT unnest(range(9)) AS d, unnest({grid.gaussian_kernel(1.0)}::DOUBLE[]) AS w))"
+
+
+@query(f"""WITH {E}, {_BLUR}, h AS (SELECT least(floor(value * 12 / 120), 11)::INT AS bx, least(floor(k * 10 / 100), 9)::INT AS "by", count(*) AS n FROM e WHERE value BETWEEN 0 AND 120 AND k BETWEEN 0 AND 100 GROUP BY ALL),
+a AS (SELECT bx + d AS bx, "by", sum(n * w) AS n FROM h, kern WHERE bx + d BETWEEN 0 AND 11 GROUP BY ALL) SELECT bx::INT AS bx, ("by" + d)::INT AS "by", round(sum(n * w), 6) AS n FROM a, kern WHERE "by" + d BETWEEN 0 AND 9 GROUP BY ALL""")
+def gaussian_blur(spark, sf_dir):
+    cells = grid.histogram_2d(events(spark, sf_dir), "value", "k", 12, 10, x_range=(0.0, 120.0), y_range=(0.0, 100.0))
+    return grid.gaussian_blur(cells, 12, 10, sigma=1.0).select(F.col("bx").cast("int").alias("bx"), F.col("by").cast("int").alias("by"), r("n"))
+
+
+@query(f"WITH {E}, {_GRID} SELECT event_id, arg_min(ord, (round(sqrt(pow(tx - value * 10, 2) + pow(ty - k * 10, 2)), 9), ord)) AS target FROM e, t GROUP BY event_id")
+def nearest_target(spark, sf_dir):
+    e = events(spark, sf_dir).select("event_id", (F.col("value") * 10).alias("x"), (F.col("k") * 10).alias("y"))
+    return grid.nearest_target(e, grid.target_grid(spark), "x", "y", ["event_id"]).select("event_id", "target")
+
+
+# Expressions.
+
+
+@query("""SELECT event_id, value / 500 AS share, round((value / 500 * 1920 - 960) * 0.02332229080245354, 6) AS linear_x, round((value / 500 * 1080 - 540) * 0.02332229080245354, 6) AS linear_y,
+ round(degrees(atan2((value / 500 * 1920 - 960) * 0.000264583, 0.65)), 6) AS arctan FROM events""")
+def degrees_of_gaze(spark, sf_dir):
+    e = table(spark, sf_dir, "events").withColumn("share", F.col("value") / 500)
+    x, y = linear_degrees(F.col("share"), F.col("share"))
+    return e.select("event_id", "share", F.round(x, 6).alias("linear_x"), F.round(y, 6).alias("linear_y"), F.round(arctangent_degrees(F.col("share") * 1920, 960), 6).alias("arctan"))
+
+
+@query("SELECT p_partkey, round((1 / (degrees(2 * atan(p_size / (2 * 60.0))) / 1920) + 1 / (degrees(2 * atan((p_size + 1) / (2 * 60.0))) / 1080)) / 2, 6) AS px FROM part")
+def px_per_degree(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    return p.select("p_partkey", F.round(pixels_per_degree(F.col("p_size"), F.col("p_size") + 1, F.lit(1920), F.lit(1080), F.lit(60.0)), 6).alias("px"))
+
+
+@query("""SELECT event_id, greatest(ceil(value)::BIGINT // 2 * 2 + 1, 3) AS odd, printf('%.1f', round(value * 1000 / pow(1000, p) + 1e-9, 1)) || ['', 'K', 'M'][p + 1] AS short, round(sqrt(-2 * ln(value / 1000)) * cos(2 * pi() * value / 700), 6) AS normal
+FROM (SELECT *, floor(log10(greatest(value * 1000, 1)) / 3 + 1e-12)::INT AS p FROM events)""")
+def scalar_helpers(spark, sf_dir):
+    e, v = table(spark, sf_dir, "events"), F.col("value")
+    return e.select("event_id", round_up_to_odd(v).alias("odd"), human_format(v * 1000).alias("short"), F.round(box_muller(v / 1000, v / 700), 6).alias("normal"))
+
+
+@query(f"WITH {E} SELECT event_id, unnest(range(6))::INT AS class, unnest(list_transform(range(6), lambda c: (c = code)::INT)) AS hot FROM e")
+def one_hot_events(spark, sf_dir):
+    return events(spark, sf_dir).select("event_id", F.posexplode(one_hot(F.col("code"), 6)).alias("class", "hot"))
+
+
+@query(f"WITH {E} SELECT event_id, CASE code WHEN 1 THEN 10 WHEN 2 THEN 20 ELSE code END AS some, CASE code WHEN 1 THEN 1 ELSE 2 END AS every FROM e")
+def recoded(spark, sf_dir):
+    e = events(spark, sf_dir)
+    return e.select("event_id", recode(F.col("code"), {1: 10, 2: 20}).alias("some"), recode(F.col("code"), {1: 1}, 2).alias("every"))
+
+
+@query("SELECT o_orderkey, CASE WHEN lower(substr(o_orderstatus, 1, 1)) = 'o' THEN o_totalprice ELSE o_custkey END AS x FROM orders")
+def dominant_eye(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    eyes = o.withColumns({"dom_eye": F.when(F.lower(F.substring("o_orderstatus", 1, 1)) == "o", "R").otherwise("l"), "right_x": F.col("o_totalprice"), "left_x": F.col("o_custkey").cast("double"), "right_y": F.lit(0), "left_y": F.lit(0)})
+    return clean.dominant_eye(eyes).select("o_orderkey", "x")
+
+
+@query("SELECT n_nationkey, make_timestamp(2024, 1 + n_nationkey % 12, 1 + n_nationkey, 10, 11, 12) AS at FROM nation")
+def recording_dates(spark, sf_dir):
+    from .sources import recording_date
+
+    n, k = table(spark, sf_dir, "nation"), F.col("n_nationkey")
+    day = F.make_timestamp(F.lit(2024), 1 + k % 12, 1 + k, F.lit(10), F.lit(11), F.lit(12))
+    header = F.concat(F.lit("MATLAB 5.0 MAT-file, Platform: PCWIN64, Created on: "), F.date_format(day, "EEE MMM d HH:mm:ss yyyy"))
+    return n.select("n_nationkey", recording_date(header).cast("timestamp_ntz").alias("at"))
+
+
+@query("SELECT s_name AS name, s_nationkey AS grp FROM supplier UNION ALL SELECT c_name, c_nationkey FROM customer ORDER BY grp, name")
+def cohorts_in_order(spark, sf_dir):
+    s = table(spark, sf_dir, "supplier").select(F.col("s_name").alias("name"), F.col("s_nationkey").alias("grp"))
+    return s.unionByName(table(spark, sf_dir, "customer").select(F.col("c_name").alias("name"), F.col("c_nationkey").alias("grp"))).orderBy("grp", "name")
+
+
+# Vectors.
+
+
+@query("""WITH c AS (SELECT label AS cluster, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id IN (SELECT min(vec_id) FROM embeddings GROUP BY label)),
+d AS (SELECT vec_id, cluster, list_distance(embedding::DOUBLE[], v) AS d FROM embeddings, c) SELECT vec_id, arg_min(cluster, (round(d, 9), cluster)) AS cluster, round(min(d), 6) AS distance FROM d GROUP BY vec_id""")
+def nearest_centroid(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    first = e.groupBy(F.col("label").alias("cluster")).agg(F.min_by("embedding", "vec_id").alias("centroid"))
+    return vector.nearest_centroid(e.select("vec_id", "embedding"), first, "embedding").select("vec_id", "cluster", r("distance"))
+
+
+@query("""WITH c AS (SELECT label, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id IN (SELECT min(vec_id) FROM embeddings GROUP BY label))
+SELECT vec_id AS left_id, c.label AS right_id, round(list_distance(embedding::DOUBLE[], v), 6) AS distance FROM embeddings, c""")
+def centroid_distances(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    first = e.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("embedding"))
+    return vector.pairwise_distances(e, first, "vec_id", "label", "embedding").select("left_id", "right_id", r("distance"))
+
+
+@query()
+def kmeans_clusters(spark, sf_dir):
+    return vector.kmeans(table(spark, sf_dir, "embeddings"), "embedding")[1].select("vec_id", "cluster")
+
+
+@query()
+def clustering_loss(spark, sf_dir):
+    model, out = vector.kmeans(table(spark, sf_dir, "embeddings"), "embedding")
+    return vector.clustering_loss(out, model, "embedding")
+
+
+@query()
+def pca_components(spark, sf_dir):
+    return vector.pca(table(spark, sf_dir, "embeddings"), "embedding")[1].select("vec_id", "components")
+
+
+def _mean_model():
+    import pandas as pd
+
+    return lambda batch: pd.DataFrame({"vec_id": batch["vec_id"], "score": [float(sum(map(float, v)) / len(v)) for v in batch["embedding"]]})
+
+
+@query("SELECT vec_id, round(list_avg(embedding::DOUBLE[]), 6) AS score FROM embeddings")
+def model_scores(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return vector.score_sequences(e, _mean_model, "vec_id long, score double").select("vec_id", r("score"))
+
+
+@query()
+def noisy_copies(spark, sf_dir):
+    e = events(spark, sf_dir).select("event_id", "value", "k")
+    return sequence.augmented(e, ["value", "k"], (0.0, 0.25, 0.5))
+
+
+@query()
+def seeded_shuffle(spark, sf_dir):
+    return sequence.shuffled(events(spark, sf_dir).select("event_id", "value"), "event_id")
