@@ -144,3 +144,23 @@ def recordings(files: DataFrame) -> DataFrame:
             yield pd.DataFrame({"recording_id": batch["path"], "dom_eye": [str(x.get("Dom_Eye", "")) for x in found], "header": [x["__header__"] for x in found]})
 
     return files.select("path", "content").mapInPandas(run, "recording_id string, dom_eye string, header string")
+
+
+def panel_scores(files: DataFrame, task: str) -> DataFrame:
+    """``recording_id``, ``ord`` (from 1), ``panel`` and ``strike_score``. Of an
+    SDMT recording's ``task_data`` every other field, from the first, names a
+    panel by its last two characters; the score has the panel's name in its
+    own. KD has three panels without scores: 0."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path, content in zip(batch["path"], batch["content"], strict=True):
+                if task == "KD":
+                    codes, scores = ["1", "2", "3"], [0.0] * 3
+                else:
+                    data = load(content).get("task_data") or {}
+                    codes = [k[-2:].replace("_", "") for k in list(data)[::2]]
+                    scores = [float(data[f"strikes_img_test_{k}"]) for k in codes]
+                yield pd.DataFrame({"recording_id": path, "ord": np.arange(1, len(codes) + 1, dtype=np.int32), "panel": [k.lower() for k in codes], "strike_score": scores})
+
+    return files.select("path", "content").mapInPandas(run, "recording_id string, ord int, panel string, strike_score double")

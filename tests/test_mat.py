@@ -65,10 +65,12 @@ def test_recordings(spark, tmp_path):
     left[0, 1] = np.nan
     eye = lambda a: {"gazePoint": {"onDisplayArea": a}}
     data = {"gaze": {"left": eye(left), "right": eye(1 - left), "systemTimeStamp": np.arange(n) * 1000.0}}
-    (tmp_path / "run_1.mat").write_bytes(mat_file({"data": data, "messages": [[np.array([1.0]), "slide 1"], [np.array([2.5]), "slide 2"]], "Dom_Eye": "r"}, packed=True))
+    (tmp_path / "run_1.mat").write_bytes(mat_file({"data": data, "messages": [[np.array([1.0]), "slide 1"], [np.array([2.5]), "slide 2"]], "Dom_Eye": "r", "task_data": {"img_test_A1": np.array([1.0]), "strikes_img_test_A1": np.array([41.0]), "img_test__b": np.array([1.0]), "strikes_img_test_b": np.array([7.0])}}, packed=True))
     files = listed(spark, str(tmp_path), "*.mat", "run", contents=True)
     rows = mat.gaze(files).orderBy("idx").collect()
     assert [r.t_us for r in rows] == [0, 1000, 2000, 3000, 4000] and rows[1].left_x is None and rows[2].right_y == 1 - left[1, 2]
     assert [(m.seq, m.t_us, m.text) for m in mat.messages(files).orderBy("seq").collect()] == [(0, 1, "slide 1"), (1, 2.5, "slide 2")]
     about = mat.recordings(files).first()
     assert about.dom_eye == "r" and "Jul 15" in about.header
+    assert [tuple(r)[1:] for r in mat.panel_scores(files, "SDMT").orderBy("ord").collect()] == [(1, "a1", 41.0), (2, "b", 7.0)]
+    assert [tuple(r)[1:] for r in mat.panel_scores(files, "KD").orderBy("ord").collect()] == [(1, "1", 0.0), (2, "2", 0.0), (3, "3", 0.0)]
