@@ -700,3 +700,21 @@ def noisy_copies(spark, sf_dir):
 @query()
 def seeded_shuffle(spark, sf_dir):
     return sequence.shuffled(events(spark, sf_dir).select("event_id", "value"), "event_id")
+
+
+# Streams.
+
+
+@query()
+def streamed_sessions(spark, sf_dir):
+    """Sessions of a stream of the events, as far as its watermark closes them."""
+    import uuid
+
+    from . import streaming
+
+    name = f"sessions_{uuid.uuid4().hex}"
+    kind = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    stream = spark.readStream.schema(kind).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    sessions = streaming.gap_sessions(stream, "ts", U, "6 hours")
+    sessions.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.table(name)
