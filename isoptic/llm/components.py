@@ -2,40 +2,77 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .skew import salted_join
+from .skew import tasks
 from .store import drop, shared_path
 
+#: Links that a task contracts, about.
+EDGES = 200_000
+
+
+def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's links as stars: each node with the smallest that they reach."""
+    parts = [(b.column("u").to_numpy(), b.column("v").to_numpy()) for b in batches]
+    if not parts:
+        return
+    u, v = (np.concatenate([x[k] for x in parts]) for k in (0, 1))
+    nodes, place = np.unique(np.concatenate([u, v]), return_inverse=True)
+    u, v, least = place[: len(u)], place[len(u) :], np.arange(len(nodes))
+    while len(u):
+        a, b = least[u], least[v]
+        low = np.minimum(a, b)
+        np.minimum.at(least, a, low)
+        np.minimum.at(least, b, low)
+        while not np.array_equal(least, least[least]):
+            least = least[least]
+        open_ = least[u] != least[v]
+        u, v = u[open_], v[open_]
+    moved = np.flatnonzero(least != np.arange(len(nodes)))
+    for k in range(0, len(moved), 100_000):
+        at = moved[k : k + 100_000]
+        yield pa.record_batch([pa.array(nodes[at]), pa.array(nodes[least[at]])], names=["u", "v"])
+
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """``links`` (``a``, ``b``) to (``node``, ``root``): each node that has a
     link, and the smallest node it can reach.
 
-    Large-star and small-star steps take turns until nothing changes, after a
-    number of rounds that grows with the logarithm of a component's size. Each
-    round is a table in the shared folder; a node with very many links is
+    A large-star step points the larger neighbours of each node to the smallest;
+    links of one node then meet in a task, which contracts them, and all that it
+    holds, to stars. This ends when nothing changes, after a number of rounds that grows with the logarithm of a component's size. Each round is a table in the shared folder; a node with very many links is
     salted, and only minima meet in one place.
     """
     spark = links.sparkSession
-    edges, path, before = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), None, None
+    path = before = None
+    edges = _stars(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")), "v", links.count())
     for _ in range(rounds):
-        turned = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = turned.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = salted_join(turned, least, ["u"], ["v"], how="inner").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = salted_join(large, least, ["u"], ["v"], how="inner").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+        if before is not None:
+            turned = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            least = turned.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+            large = turned.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+            edges = _stars(large, "u", before[0])
         here = shared_path(spark, "stars")
-        small.write.parquet(here)
+        edges.write.parquet(here)
         if path:
             drop(spark, path)
         path, edges = here, spark.read.schema("u long, v long").parquet(here)
-        # Stable once the edges, taken as a set, are those of the round before.
+        # Stable once the edges, taken as a set, are those of the round before;
+        # without a node that points to two or points on there is nothing to do.
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
+        if now == before or not now[0]:
             break
         before = now
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+
+
+def _stars(edges: DataFrame, by: str, count: int) -> DataFrame:
+    """Dealt by a node, to as many tasks as the links are worth."""
+    return edges.repartition(by).coalesce(tasks(count, EDGES)).mapInArrow(_contracted, "u long, v long")

@@ -2,16 +2,18 @@
 
 Equal sets are one class. Classes are joined by prefix filtering: the rarest
 part of each set is indexed, and index lists are cut by size and position. Set
-relations skip most of the rest. First, each class is held against at most two
-others of its lists, the smallest and the next one; where that is a link, the
-two share their answers. Then only pairs that are not yet connected are made,
-and those whose shared prefix is too small for the threshold are dropped
-unread. What remains is compared in full.
+relations skip most of the rest. In a few rounds each set is held against one
+other of its lists, a pivot or a neighbour in size; where that is a link, the
+two share their answers from then on, and lists or pairs within what is
+connected are skipped. At last all pairs that are not connected are made, but
+those whose shared prefix, counted over all lists, is too small for the
+threshold are dropped unread. What remains is compared in full.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -20,16 +22,24 @@ from pyspark.sql import functions as F
 
 from . import tokens
 from .components import components
-from .skew import salted_join
-from .store import keep
+from .skew import hinted, salted_join, tasks
+from .store import arrow_rows, keep
 
 #: The threshold is NUM / DEN.
 NUM, DEN, WORDS = 3, 4, 5
-#: Most frequent n-grams that are put last in every set, and the documents that
-#: a task must have seen one in to report it.
-FREQUENT, SEEN = 1 << 18, 4
-#: Index entries that one bucket holds, about, and pairs that are made at a time.
-BUCKET, PAIRS = 400_000, 4_000_000
+#: Most frequent n-grams that are put last in every set, at most.
+FREQUENT = 1 << 20
+#: n-grams are counted by half their hash, and only those whose hash is in the
+#: lower part of its range: no other gets into a prefix, but of small sets.
+COUNTED = np.uint64(int(0.4 * 2**64))
+#: Index entries that one bucket holds, about, pairs that are made at a time, and
+#: sets up to which all pairs of a list are made at once.
+BUCKET, PAIRS, SHORT = 400_000, 500_000, 8
+#: Rounds in which sets are connected one by one before all pairs are made, and
+#: sets of a block of a family.
+ROUNDS, BLOCK = 2, 256
+#: Rows of an Arrow batch, where rows hold whole sets.
+ROWS = 500
 #: Rows up to which one side of a semi-join is broadcast.
 BROADCAST = 1_000_000
 ENTRY = np.dtype([("v", "<u8"), ("s", "<i8"), ("n", "<u4"), ("p", "<u4")])
@@ -72,33 +82,61 @@ def _batch(names: list[str], *columns) -> pa.RecordBatch:
 # First scan: names, sizes and frequent n-grams.
 
 
-def _names(words: int):
+def _names(words: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, count, pending = np.zeros(0, np.uint64), np.zeros(0, np.int64), []
+        pending, size = [], 0
+        names = ["bucket", "blob", "id", "s", "n"]
 
-        def fold() -> None:
-            nonlocal seen, count
+        def flush() -> Iterator[pa.RecordBatch]:
+            """Each n-gram with its count, in the tasks that count it in all."""
             if pending:
                 h, n = np.unique(np.concatenate(pending), return_counts=True)
-                h, back = np.unique(np.concatenate([seen, h]), return_inverse=True)
-                count = np.bincount(back, np.concatenate([count, n])).astype(np.int64)
-                seen = h
-                if len(seen) > 4_000_000:  # what was met once so far is let go
-                    seen, count = seen[count > 1], count[count > 1]
+                b = (h % np.uint32(buckets)).astype(np.int64)
+                order = np.argsort(b, kind="stable")
+                cut = np.searchsorted(b[order], np.arange(buckets + 1)).tolist()
+                e = np.empty(len(h), COUNT)
+                e["h"], e["n"] = h[order], n[order]
+                got = [(i, e[x:y].tobytes()) for i, (x, y) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if y > x]
+                for k in range(0, len(got), 64):
+                    part = got[k : k + 64]
+                    none = pa.nulls(len(part), pa.int64())
+                    yield pa.record_batch([pa.array([x for x, _ in part], pa.int64()), pa.array([y for _, y in part], pa.binary()), none, none, none], names=names)
                 pending.clear()
 
         for batch in tokens.pieces(batches, "text"):
             sets = _sets(batch.column("text"), words)
             n = np.array([len(x) for x in sets], np.int64)
-            yield pa.record_batch([pa.array(np.zeros(len(n), np.int32)), batch.column("id"), pa.array([_name(x) if len(x) else None for x in sets], pa.int64()), pa.array(n)], names=["kind", "id", "s", "n"])
-            pending += sets
-            if sum(map(len, pending)) > 2_000_000:
-                fold()
-        fold()
-        often = count >= SEEN
-        k = int(often.sum())
-        if k:
-            yield _batch(["kind", "id", "s", "n"], np.ones(k, np.int32), np.zeros(k, np.int64), seen[often].view(np.int64), count[often])
+            none = len(n)
+            yield pa.record_batch([pa.nulls(none, pa.int64()), pa.nulls(none, pa.binary()), batch.column("id"), pa.array([_name(x) if len(x) else None for x in sets], pa.int64()), pa.array(n)], names=names)
+            low = [(x[: int(np.searchsorted(x, COUNTED))] >> np.uint64(32)).astype(np.uint32) for x in sets]
+            pending += low
+            size += sum(map(len, low))
+            if size > 1_000_000:
+                yield from flush()
+                size = 0
+        yield from flush()
+
+    return run
+
+
+NAMES = "bucket long, blob binary, id long, s long, n long"
+COUNT = np.dtype([("h", "<u4"), ("n", "<u2")])
+
+
+def _frequent(most: int):
+    """A task's n-grams that more sets have than a short list holds; of these
+    the ``most`` most frequent."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [np.frombuffer(x, COUNT) for batch in batches for x in batch.column("blob").to_pylist()]
+        if not parts:
+            return
+        e = np.concatenate(parts)
+        h, back = np.unique(e["h"], return_inverse=True)
+        n = np.bincount(back, e["n"]).astype(np.int64)
+        often = np.flatnonzero(n > SHORT)
+        often = often[np.argsort(-n[often], kind="stable")][:most]
+        yield _batch(["h", "n"], h[often].astype(np.int64), n[often])
 
     return run
 
@@ -107,11 +145,14 @@ def _names(words: int):
 
 
 def _order(x: np.ndarray, frequent: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """The set in the order that all sets share: by hash, the frequent last."""
+    """The set in the order that all sets share: by hash, the frequent last, by
+    their rank."""
     if not len(frequent):
         return x >> np.uint64(1)
-    at = np.minimum(np.searchsorted(frequent, x), len(frequent) - 1)
-    return np.sort(np.where(frequent[at] == x, np.uint64(1 << 63) | rank[at], x >> np.uint64(1)))
+    half = (x >> np.uint64(32)).astype(np.uint32)
+    at = np.minimum(np.searchsorted(frequent, half), len(frequent) - 1)
+    last = np.uint64(1 << 63) | rank[at] << np.uint64(42) | x & np.uint64((1 << 42) - 1)
+    return np.sort(np.where(frequent[at] == half, last, x >> np.uint64(1)))
 
 
 def _prefixes(words: int, buckets: int, frequent):
@@ -143,7 +184,7 @@ def _prefixes(words: int, buckets: int, frequent):
                 e["v"], e["s"], e["n"], e["p"] = _order(x, common, rank)[:p], s, n, np.arange(p)
                 held.append(e)
                 size += p
-            if size > 1_500_000:
+            if size > 400_000:
                 yield from flush()
                 size = 0
         yield from flush()
@@ -198,83 +239,216 @@ def _counted(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, ...]:
     return x["s"].copy(), y["s"].copy(), x["n"].astype(np.int64), y["n"].astype(np.int64), c.astype(np.int64)
 
 
-def _first_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each entry: the smallest set of its list that can be linked, and the
-    one before it. The lists themselves go on in one piece."""
-    names = ["bucket", "blob", "a", "b", "na", "nb", "c"]
-    none = pa.nulls(1, pa.int64())
-    e, first = _lists(x for batch in batches for x in batch.column("blob").to_pylist())
-    if not len(e):
-        return
-    list_of = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    begin = first[list_of]
-    # In a list sizes ascend: one search over (list, size) finds the smallest.
-    key = list_of.astype(np.int64) * (int(e["n"].max()) + 1) + e["n"]
-    low = np.searchsorted(key, list_of.astype(np.int64) * (int(e["n"].max()) + 1) + -(-NUM * e["n"].astype(np.int64) // DEN))
-    j = np.arange(len(e))
-    i, k = np.concatenate([np.maximum(low, begin), np.maximum(j - 1, begin)]), np.concatenate([j, j])
-    i, k = i[i < k], k[i < k]
-    ok = _may(e[i], e[k])
-    cols = _counted(e[i[ok]], e[k[ok]])
-    at = 0
-    while at < len(first) - 1:  # whole lists, about BUCKET entries at a time
-        to = max(at + 1, int(np.searchsorted(first, first[at] + BUCKET, "right")) - 1)
-        yield pa.record_batch([pa.array([1]), pa.array([e[first[at] : first[to]].tobytes()]), none, none, none, none, none], names=names)
-        at = to
+FIRST = "bucket long, blob binary, a long, b long, na long, nb long, c long, whole boolean"
+TOTAL = np.dtype([("s", "<i8"), ("t", "<u4")])
+
+
+def _rows(cols: tuple[np.ndarray, ...], whole: bool) -> Iterator[pa.RecordBatch]:
     for at in range(0, len(cols[0]), 100_000):
         part = [pa.array(c[at : at + 100_000]) for c in cols]
-        yield pa.record_batch([pa.nulls(len(part[0]), pa.int64()), pa.nulls(len(part[0]), pa.binary()), *part], names=names)
+        n = len(part[0])
+        yield pa.record_batch([pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), *part, pa.array([whole] * n)], names=["bucket", "blob", "a", "b", "na", "nb", "c", "whole"])
+
+
+def _blobs_of(rows: list[tuple[int | None, bytes]]) -> Iterator[pa.RecordBatch]:
+    for k in range(0, len(rows), 64):
+        part = rows[k : k + 64]
+        none = pa.nulls(len(part), pa.int64())
+        yield pa.record_batch([pa.array([b for b, _ in part], pa.int64()), pa.array([x for _, x in part], pa.binary()), none, none, none, none, none, pa.nulls(len(part), pa.bool_())], names=["bucket", "blob", "a", "b", "na", "nb", "c", "whole"])
+
+
+def _some(e: np.ndarray, first: np.ndarray, own: np.ndarray, number: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each entry with the pivot of its list among sets of about its size, with
+    that of the next smaller ones, and with the entry before it, if they are
+    not connected. A pivot has the smallest hash, another one each round, so
+    that a set meets the same few in all its lists."""
+    size = np.diff(first)
+    list_of = np.repeat(np.arange(len(size)), size)
+    j, begin = np.arange(len(e)), first[list_of]
+    kind = (np.log2(e["n"]) * 8).astype(np.int64)
+    new = np.ones(len(e), bool)
+    new[1:] = (list_of[1:] != list_of[:-1]) | (kind[1:] != kind[:-1])
+    starts, group = np.flatnonzero(new), np.cumsum(new) - 1
+    h = tokens.mix64(e["s"].astype(np.uint64) + np.uint64(number * 0x9E3779B97F4A7C15 % (1 << 64))) if len(e) else np.zeros(0, np.uint64)
+    pivot = np.flatnonzero(h == np.minimum.reduceat(h, starts)[group])
+    pivot = pivot[np.unique(group[pivot], return_index=True)[1]]
+    i, k = np.concatenate([pivot[group], pivot[np.maximum(group - 1, 0)], j - 1]), np.tile(j, 3)
+    ok = (i >= begin[k]) & (i != k)
+    i, k = i[ok], k[ok]
+    ok = own[i] != own[k]
+    return i[ok], k[ok]
+
+
+def _first_pairs(buckets: int):
+    """All pairs of short lists (``whole``), some of long ones, which go on as
+    they are, and by bucket how many entries of a set are in lists at all."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        e, first = _lists(x for batch in batches for x in batch.column("blob").to_pylist())
+        if not len(e):
+            return
+        size = np.diff(first)
+        list_of = np.repeat(np.arange(len(size)), size)
+        every = np.flatnonzero((size <= SHORT)[list_of])
+        i, k = np.concatenate([every - d for d in range(1, SHORT)]), np.tile(every, SHORT - 1)
+        ok = i >= first[list_of][k]
+        i, k = i[ok], k[ok]
+        ok = _may(e[i], e[k])
+        yield from _rows(_counted(e[i[ok]], e[k[ok]]), True)
+        long = np.flatnonzero(size > SHORT)
+        if len(long):
+            held = e[(size > SHORT)[list_of]]
+            i, k = _some(held, np.append(0, np.cumsum(size[long])), held["s"], 0)
+            ok = _may(held[i], held[k])
+            yield from _rows(_counted(held[i[ok]], held[k[ok]]), False)
+            # Whole lists, about BUCKET entries at a time.
+            cut = np.append(0, np.cumsum(size[long]))
+            at = 0
+            while at < len(long):
+                to = max(at + 1, int(np.searchsorted(cut, cut[at] + BUCKET, "right")) - 1)
+                yield from _blobs_of([(None, held[cut[at] : cut[to]].tobytes())])
+                at = to
+        s, t = np.unique(e["s"], return_counts=True)
+        total = np.empty(len(s), TOTAL)
+        total["s"], total["t"] = s, t
+        b = (tokens.mix64(s.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+        yield from _blobs_of([(int(x), total[b == x].tobytes()) for x in np.unique(b)])
 
-FIRST = "bucket long, blob binary, a long, b long, na long, nb long, c long"
+    return run
 
 
-def _cross_pairs(lists: pa.Table, roots: pa.Table) -> pa.Table:
-    """Pairs of a bucket's lists whose sets are not connected yet."""
-    e, first = _lists(lists.column("blob").to_pylist())
-    s, root = roots.column("s").to_numpy(), roots.column("root").to_numpy()
-    order = np.argsort(s)
-    s, root = s[order], root[order]
-    own = e["s"].copy()
-    if len(s):
-        at = np.minimum(np.searchsorted(s, own), len(s) - 1)
-        own = np.where(s[at] == own, root[at], own)
-    out = []
-    if len(e):
-        # Blocks of lists that are one component by now are skipped whole.
-        mixed = np.minimum.reduceat(own, first[:-1]) != np.maximum.reduceat(own, first[:-1])
-        begin = np.repeat(first[:-1], np.diff(first))
-        rows = np.flatnonzero(np.repeat(mixed, np.diff(first)))
-        count = rows - begin[rows]
-        ends = np.cumsum(count)
-        at = 0
-        while at < len(rows):
-            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS, "right")))
-            c = count[at:to]
-            k = np.repeat(rows[at:to], c)
-            i = np.repeat(begin[rows[at:to]] - (np.cumsum(c) - c), c) + np.arange(c.sum())
+def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many prefix entries of each set another set has."""
+    parts = [np.frombuffer(x, TOTAL) for batch in batches for x in batch.column("blob").to_pylist()]
+    if parts:
+        e = np.concatenate(parts)
+        s, back = np.unique(e["s"], return_inverse=True)
+        yield _batch(["s", "t"], s, np.bincount(back, e["t"]).astype(np.int64))
+
+
+def _least(n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Prefix entries that linked sets of these sizes share at least: what they
+    have in common beyond them fits into the larger rest."""
+    n, m = n.astype(np.int64), m.astype(np.int64)
+    return _need(n, m) - (-(-NUM * np.maximum(n, m) // DEN) - 1)
+
+
+PAIR = np.dtype([("a", "<i8"), ("b", "<i8"), ("na", "<u4"), ("nb", "<u4"), ("c", "<u4"), ("whole", "<u4")])
+PACKED = "bucket long, blob binary"
+
+
+def _pack(cols: tuple[np.ndarray, ...], whole: bool, buckets: int) -> list[tuple[int, bytes]]:
+    """Pairs by the bucket that sums them up."""
+    e = np.empty(len(cols[0]), PAIR)
+    for name, c in zip(("a", "b", "na", "nb", "c"), cols, strict=True):
+        e[name] = c
+    e["whole"] = whole
+    a, b = e["a"].copy(), e["b"].copy()
+    m = tokens.multipliers(2)
+    h = (tokens.mix64(a.view(np.uint64) * m[0] + b.view(np.uint64) * m[1]) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(h, kind="stable")
+    cut = np.searchsorted(h[order], np.arange(buckets + 1)).tolist()
+    return [(i, e[order[x:y]].tobytes()) for i, (x, y) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if y > x]
+
+
+def _packed(buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            whole = batch.column("whole").to_numpy(zero_copy_only=False)
+            for w in (True, False):
+                rows = _pack(tuple(batch.column(c).to_numpy()[whole == w] for c in ("a", "b", "na", "nb", "c")), w, buckets)
+                yield _batch(["bucket", "blob"], pa.array([x for x, _ in rows], pa.int64()), pa.array([y for _, y in rows], pa.binary()))
+
+    return run
+
+
+def _summed(last: bool):
+    """Pairs with how many prefix entries they share: enough of them, or, before
+    the last round, a quarter of that in long lists, which count a pair only where
+    it stands so."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [np.frombuffer(x, PAIR) for batch in batches for x in batch.column("blob").to_pylist()]
+        if not parts:
+            return
+        e = np.concatenate(parts)
+        m = tokens.multipliers(2)
+        key = tokens.mix64(e["a"].copy().view(np.uint64) * m[0] + e["b"].copy().view(np.uint64) * m[1])
+        _, at, back = np.unique(key, return_index=True, return_inverse=True)
+        c = np.bincount(back, e["c"]).astype(np.int64)
+        whole = np.ones(len(at), bool)
+        whole[back[e["whole"] == 0]] = False
+        e = e[at]
+        good = c >= _least(e["na"], e["nb"])
+        near = (4 * c >= _least(e["na"], e["nb"])) & (c > 1)
+        if not last:
+            good |= ~whole & near
+        for k in range(0, int(good.sum()), 100_000):
+            p = np.flatnonzero(good)[k : k + 100_000]
+            yield _batch(["a", "b", "c", "near"], e["a"][p], e["b"][p], c[p], near[p])
+
+    return run
+
+
+SUMMED = "a long, b long, c long, near boolean"
+
+
+def _cross_pairs(number: int | None, buckets: int):
+    """Pairs of a part's lists whose sets are not connected yet: all, or those of a round."""
+
+    def run(lists: pa.Table, sets: pa.Table) -> pa.Table:
+        e, first = _lists(lists.column("blob").to_pylist())
+        s, root, t = (sets.column(c).to_numpy() for c in ("s", "root", "t"))
+        order = np.argsort(s)
+        at = order[np.searchsorted(s[order], e["s"])] if len(e) else np.zeros(0, np.int64)
+        own, shared = root[at], t[at]
+        out = []
+
+        def add(i: np.ndarray, k: np.ndarray) -> None:
             ok = own[i] != own[k]
             i, k = i[ok], k[ok]
-            ok = _may(e[i], e[k])
+            ok = _may(e[i], e[k]) & (np.minimum(shared[i], shared[k]) >= _least(e["n"][i], e["n"][k]))
             out.append(_counted(e[i[ok]], e[k[ok]]))
-            at = to
-    cols = [np.concatenate([x[k] for x in out]) if out else np.zeros(0, np.int64) for k in range(5)]
-    return pa.table([pa.array(c) for c in cols], names=["a", "b", "na", "nb", "c"])
+
+        if len(e) and number is not None:
+            add(*_some(e, first, own, number))
+        elif len(e):
+            # Lists, blocks of them, that are one component by now are skipped whole.
+            size = np.diff(first)
+            mixed = np.minimum.reduceat(own, first[:-1]) != np.maximum.reduceat(own, first[:-1])
+            begin, rows = np.repeat(first[:-1], size), np.flatnonzero(np.repeat(mixed, size))
+            count = rows - begin[rows]
+            ends, at = np.cumsum(count), 0
+            while at < len(rows):
+                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS, "right")))
+                c = count[at:to]
+                add(np.repeat(begin[rows[at:to]] - (np.cumsum(c) - c), c) + np.arange(c.sum()), np.repeat(rows[at:to], c))
+                at = to
+        cols = tuple(np.concatenate([x[k] for x in out]) if out else np.zeros(0, np.int64) for k in range(5))
+        rows = _pack(cols, False, buckets)
+        return pa.table([pa.array([x for x, _ in rows], pa.int64()), pa.array([y for _, y in rows], pa.binary())], names=["bucket", "blob"])
+
+    return run
 
 
 # Comparison.
 
 
+def _views(column: pa.Array) -> list[np.ndarray]:
+    """Each value's hashes, without a copy."""
+    data, off = tokens.buffers(column)
+    off = off.tolist()
+    return [data[a:b].view(np.uint64) for a, b in zip(off[:-1], off[1:], strict=True)]
+
+
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        a, b = batch.column("a"), batch.column("b")
         good = []
-        for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            both = len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
+        for x, y in zip(_views(batch.column("x")), _views(batch.column("y")), strict=True):
+            both = len(np.intersect1d(x, y, assume_unique=True))
             good.append((NUM + DEN) * both >= NUM * (len(x) + len(y)))
         good = pa.array(good, pa.bool_())
-        yield pa.record_batch([a.filter(good), b.filter(good)], names=["a", "b"])
+        yield pa.record_batch([batch.column("a").filter(good), batch.column("b").filter(good)], names=["a", "b"])
 
 
 def _blobs(words: int):
@@ -287,16 +461,75 @@ def _blobs(words: int):
     return run
 
 
+def _texts(asked: DataFrame, docs: DataFrame, classes: DataFrame, words: int, name: str) -> DataFrame:
+    """The sets of the classes asked for (``s``): their texts are read again. A
+    set whose first document's row is repeated comes as often, which is harmless."""
+    ids = hinted(asked.distinct(), BROADCAST).join(classes, "s").select("s", F.col("first").alias("id"))
+    return keep(docs.join(hinted(ids, BROADCAST), "id").mapInArrow(tokens.tidy(_blobs(words)), "s long, x binary"), f"{name}-sets")
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int, name: str) -> DataFrame:
-    """The pairs (``a``, ``b``) that are links. Texts of the classes in question
-    are read again; only their sets move."""
-    pairs = keep(pairs, f"{name}-pairs")
-    asked = keep(pairs.select(F.col("a").alias("s")).unionByName(pairs.select(F.col("b").alias("s"))).distinct().join(classes, "s").select("s", F.col("first").alias("id")), f"{name}-asked")
-    small = asked.count() <= BROADCAST
-    sets = keep(docs.join(F.broadcast(asked) if small else asked, "id").mapInArrow(_blobs(words), "s long, x binary").dropDuplicates(["s"]), f"{name}-sets")
-    both = salted_join(pairs, sets.withColumnRenamed("s", "a"), ["a"], ["b"], how="inner", salts=4)
-    both = salted_join(both, sets.select(F.col("s").alias("b"), F.col("x").alias("y")), ["b"], ["a"], how="inner", salts=4)
-    return keep(both.mapInArrow(_compare, "a long, b long"), f"{name}-links")
+    """The pairs (``a``, ``b``) that are links. ``a`` is in few pairs; where very
+    many sets are held against one ``b``, Spark splits the second join."""
+    n = tasks(pairs.count(), 2_000)
+    sets = _texts(pairs.select(F.col("a").alias("s")).unionByName(pairs.select(F.col("b").alias("s"))), docs, classes, words, name)
+    held = pairs.select("a", "b").join(sets.withColumnRenamed("s", "a"), "a")
+    both = held.join(sets.withColumnsRenamed({"s": "b", "x": "y"}), "b")
+    with arrow_rows(docs.sparkSession, ROWS):
+        return keep(both.coalesce(n).mapInArrow(tokens.tidy(_compare), "a long, b long"), f"{name}-links")
+
+
+def _within(families: DataFrame, docs: DataFrame, classes: DataFrame, words: int) -> DataFrame:
+    """Links within families (``family``, ``s``, ``root``) between roots, one for
+    a pair of roots and of blocks.
+
+    A root's sets are cut into blocks by hash, roots of one set share blocks,
+    and each pair of blocks that holds two roots is one task's.
+    """
+    size = families.groupBy("family", "root").agg(F.count(F.lit(1)).alias("n"))
+    mixed = size.groupBy("family").agg(F.count(F.lit(1)).alias("roots"), F.sum((F.col("n") == 1).cast("long")).alias("alone")).where("roots > 1")
+    sizes = keep(size.join(mixed, "family"), "roots-of")
+    if sizes.isEmpty():
+        return docs.sparkSession.createDataFrame([], "a long, b long")
+    single = F.col("n") == 1
+    parts = F.ceil(F.when(single, F.col("alone")).otherwise(F.col("n")) / BLOCK)
+    plan = sizes.select("family", "root", F.when(~single, F.col("root")).alias("of"), parts.cast("int").alias("parts"))
+    part = F.pmod(F.xxhash64("s"), F.col("parts")).cast("int")
+    held = keep(salted_join(families, plan, ["family", "root"], ["s"], how="inner").withColumn("block", F.struct("of", part.alias("part"))).select("family", "s", "root", "block"), "blocks")
+    blocks = held.select("family", "block").distinct()
+    both = blocks.select("family", F.col("block").alias("u")).join(blocks.select("family", F.col("block").alias("v")), "family")
+    both = keep(both.where((F.col("u") <= F.col("v")) & ~F.coalesce(F.col("u.of") == F.col("v.of"), F.lit(False))).withColumn("task", F.xxhash64("family", "u", "v")), "block-pairs")
+    sets = _texts(held.select("s"), docs, classes, words, "within")
+    rows = held.join(sets, "s")
+    with arrow_rows(docs.sparkSession, ROWS):
+        sides = [rows.join(both.select("family", "task", F.col(c).alias("block")), ["family", "block"]).select(*[F.col(k).alias(k) for k in ("task", "s", "root", "x")]) for c in ("u", "v")]
+        return keep(sides[0].groupBy("task").cogroup(sides[1].groupBy("task")).applyInArrow(_blocks, "a long, b long"), "within-links")
+
+
+def _blocks(left: pa.Table, right: pa.Table) -> pa.Table:
+    """Links between the sets of two blocks, one for each pair of roots."""
+    def read(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        x = [v for c in t.column("x").chunks for v in _views(c)]
+        size = np.array([len(v) for v in x], np.int64)
+        return t.column("s").to_numpy(), t.column("root").to_numpy(), size, np.concatenate(x) if x else np.zeros(0, np.uint64)
+
+    (s, root, n, x), (t, other, m, y) = read(left), read(right)
+    out: list[tuple[int, int]] = []
+    if len(s) and len(t):
+        order = np.argsort(x)
+        x, own, begin, done = x[order], np.repeat(np.arange(len(s)), n)[order], np.cumsum(m) - m, set()
+        for j in range(len(t)):
+            z = y[begin[j] : begin[j] + m[j]]
+            lo, hi = np.searchsorted(x, z, "left"), np.searchsorted(x, z, "right")
+            c = hi - lo
+            at = np.repeat(lo - (np.cumsum(c) - c), c) + np.arange(int(c.sum()))
+            both = np.bincount(own[at], minlength=len(s))
+            for i in np.flatnonzero(((NUM + DEN) * both >= NUM * (n + m[j])) & (root != other[j])).tolist():
+                key = (int(root[i]), int(other[j])) if root[i] < other[j] else (int(other[j]), int(root[i]))
+                if key not in done:
+                    done.add(key)
+                    out.append((int(s[i]), int(t[j])))
+    return pa.table([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], names=["a", "b"])
 
 
 def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
@@ -313,38 +546,72 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    scan = keep(rows.mapInArrow(_names(words), "kind int, id long, s long, n long"), "names")
-    members = scan.where("kind = 0").select("id", "s", "n")
-    top = scan.where("kind = 1").groupBy("s").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "s").limit(FREQUENT).toPandas()
-    common = top["s"].to_numpy(np.int64).view(np.uint64)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    scan = keep(rows.mapInArrow(tokens.tidy(_names(words, parts)), NAMES), "names")
+    members = scan.where("blob is null").select("id", "s", "n")
+    total = members.agg(F.sum("n")).first()[0] or 0
+    counted = scan.where("blob is not null").select("bucket", "blob").repartition(parts, "bucket").select("blob").coalesce(tasks(total, 3_000_000))
+    top = counted.mapInArrow(tokens.tidy(_frequent(FREQUENT)), "h long, n long").orderBy(F.desc("n"), "h").limit(FREQUENT).toPandas()
+    common = top["h"].to_numpy(np.int64).astype(np.uint32)
     order = np.argsort(common)
     frequent = spark.sparkContext.broadcast((common[order], (len(common) - order).astype(np.uint64)))
-    classes = keep(members.where("s is not null").groupBy("s").agg(F.min("id").alias("first")), "classes")
-
-    total = members.agg(F.sum("n")).first()[0] or 0
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // DEN // BUCKET)
-    index = rows.mapInArrow(_prefixes(words, buckets, frequent), "bucket long, blob binary").repartition(buckets, "bucket").select("blob")
-    found = keep(index.mapInArrow(_first_pairs, FIRST), "lists")
-    pairs = found.where("a is not null").groupBy("a", "b").agg(F.max("na").alias("na"), F.max("nb").alias("nb"), F.sum("c").alias("c"))
-    # The larger set of a pair chooses: at most two partners for each.
-    by = Window.partitionBy("x").orderBy(F.desc("c"), "a", "b")
-    chosen = pairs.withColumn("x", F.when((F.col("na") > F.col("nb")) | (F.col("na") == F.col("nb")) & (F.col("a") > F.col("b")), F.col("a")).otherwise(F.col("b"))).withColumn("r", F.row_number().over(by)).where("r <= 2").select("a", "b")
-    links = _verified(chosen, rows, classes, words, "first")
-    roots = keep(components(links), "roots")
-
-    lists = found.where("blob is not null").withColumn("part", F.monotonically_increasing_id()).select("part", "blob")
-    lists = keep(lists, "parts")
-    named = lists.mapInArrow(_set_names, "part long, s long").join(roots.select(F.col("node").alias("s"), "root"), "s")
-    cross = lists.groupBy("part").cogroup(named.groupBy("part")).applyInArrow(_cross_pairs, "a long, b long, na long, nb long, c long")
-    size = lambda c: F.ceil(F.col(c) * NUM / DEN) - 1  # noqa: E731  what is beyond the prefix
-    enough = F.col("c") + F.greatest(size("na"), size("nb")) >= F.ceil((F.col("na") + F.col("nb")) * NUM / (NUM + DEN))
-    rest = cross.groupBy("a", "b").agg(F.max("na").alias("na"), F.max("nb").alias("nb"), F.sum("c").alias("c")).where(enough).select("a", "b")
-    links = links.unionByName(_verified(rest.join(chosen, ["a", "b"], "left_anti"), rows, classes, words, "rest"))
-    roots = keep(components(links), "roots")
-
-    named = classes.join(roots.select(F.col("node").alias("s"), "root"), "s", "left").withColumn("root", F.coalesce("root", "s"))
+    classes = keep(members.where("s is not null").groupBy("s").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")), "classes")
+
+    buckets = max(parts, total // DEN // BUCKET)
+    index = rows.mapInArrow(tokens.tidy(_prefixes(words, buckets, frequent)), "bucket long, blob binary").repartition(buckets, "bucket").select("blob").coalesce(tasks(total // DEN, BUCKET))
+    found = keep(index.mapInArrow(tokens.tidy(_first_pairs(parts)), FIRST), "lists")
+    pairs = found.where("a is not null").drop("bucket", "blob")
+    shared = keep(found.where("bucket is not null").select("bucket", "blob").repartition(parts, "bucket").select("blob").coalesce(tasks(total, 50_000_000)).mapInArrow(tokens.tidy(_totals), "s long, t long"), "shared")
+    lists = keep(found.where("a is null and bucket is null").withColumn("part", F.monotonically_increasing_id()).select("part", "blob"), "parts")
+    named = keep(lists.mapInArrow(tokens.tidy(_set_names), "part long, s long").join(shared, "s"), "named")
+
+    best = Window.partitionBy("x").orderBy(F.desc("c"), "a", "b")
+    def joined(more: DataFrame, roots: DataFrame | None) -> DataFrame:
+        """What is connected needs one link a node; those of a round join these."""
+        return keep(components(more if roots is None else more.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))), "roots")
+
+    made = found.count()
+
+    def summed(packed: DataFrame, last: bool) -> DataFrame:
+        return packed.repartition(parts, "bucket").select("blob").coalesce(tasks(made, 500_000)).mapInArrow(tokens.tidy(_summed(last)), SUMMED)
+
+    def open_pairs(number: int | None, roots: DataFrame) -> DataFrame:
+        """Pairs of different ``roots``, of a round or all, with how many prefix
+        entries they share; in a round, long lists count only some of these."""
+        owned = named.join(roots.withColumnRenamed("node", "s"), "s", "left").withColumn("root", F.coalesce("root", "s"))
+        cross = lists.groupBy("part").cogroup(owned.groupBy("part")).applyInArrow(_cross_pairs(number, parts), PACKED)
+        packed = pairs.where("whole").mapInArrow(tokens.tidy(_packed(parts)), PACKED).unionByName(cross)
+        out = summed(packed, number is None).join(tested, ["a", "b"], "left_anti")
+        for c in ("a", "b"):
+            out = out.join(roots.withColumnsRenamed({"node": c, "root": f"root_{c}"}), c, "left")
+        return out.where("root_a is null or root_b is null or root_a <> root_b")
+
+    # Pairs of long lists come as rows of their own; both sorts are summed alike.
+    first = summed(pairs.mapInArrow(tokens.tidy(_packed(parts)), PACKED), False)
+    roots = tested = None
+    met: list[DataFrame] = []
+    for number in range(ROUNDS):
+        met.append(keep(open_pairs(number, roots) if number else first, "met"))
+        # Each set chooses one partner, that of most shared entries.
+        sides = met[-1].select("a", "b", "c", F.explode(F.array("a", "b")).alias("x"))
+        asked = keep(sides.withColumn("r", F.row_number().over(best)).where("r = 1").groupBy("a", "b").agg(F.min("x").alias("x")), "asked")
+        more = _verified(asked.select(F.col("x").alias("a"), F.when(F.col("x") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("b")), rows, classes, words, "checked")
+        asked = asked.select("a", "b")
+        tested = asked if tested is None else tested.unionByName(asked)
+        if number and more.isEmpty():
+            break
+        roots = joined(more, roots)
+    close = reduce(DataFrame.unionByName, [x.where("near").select("a", "b") for x in met])
+    family = keep(components(close.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))), "families")
+    families = family.withColumnsRenamed({"node": "s", "root": "family"}).join(roots.withColumnRenamed("node", "s"), "s", "left").withColumn("root", F.coalesce("root", "s"))
+    more = _within(keep(families, "members"), rows, classes, words)
+    across = keep(open_pairs(None, family).select("a", "b"), "across-pairs")
+    roots = joined(more.unionByName(_verified(across, rows, classes, words, "across")), roots)
+
+    # Only classes of several documents or with links need a join.
+    named = classes.join(roots.withColumnRenamed("node", "s"), "s", "left").where("root is not null or n > 1").withColumn("root", F.coalesce("root", "s"))
     whole = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    per_class = salted_join(named, whole, ["root"], ["s"], how="inner").select("s", F.col("first").alias("class_id"), "component_id")
+    per_class = salted_join(named, whole, ["root"], ["s"], how="inner", salts=4).select("s", F.col("first").alias("class_id"), "component_id")
     out = salted_join(members.withColumn("_row", F.monotonically_increasing_id()), per_class, ["s"], ["_row"])
     return out.select("id", F.col("n").alias("n_shingles"), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("component_id", "id").alias("component_id"))
 
@@ -359,5 +626,5 @@ def _set_names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """``docs`` with one document of each component, that of the smallest id;
     of rows that repeat its id, all."""
-    found = similar(docs, id_col=id_col, **options).where("id = component_id").select(F.col("id").alias("_id")).distinct()
-    return docs.join(found, docs[id_col] == found["_id"], "left_semi")
+    found = keep(similar(docs, id_col=id_col, **options).where("id = component_id").select(F.col("id").alias("_id")).distinct(), "ones")
+    return docs.join(hinted(found), docs[id_col] == found["_id"], "left_semi")

@@ -32,3 +32,8 @@ def hinted(ids: DataFrame, most: int = BROADCAST) -> DataFrame:
     """``ids`` to be broadcast if counted to be few; else they are shuffled.
     For tables that are cheap to count, with rows of a few bytes."""
     return F.broadcast(ids) if ids.count() <= most else ids
+
+
+def tasks(rows: int, each: int, least: int = 8) -> int:
+    """How many tasks take ``rows``, about ``each`` a task."""
+    return max(least, -(-rows // each))
