@@ -35,6 +35,9 @@ COUNTED = np.uint64(int(0.4 * 2**64))
 #: Index entries that one bucket holds, about, pairs that are made at a time, and
 #: sets up to which all pairs of a list are made at once.
 BUCKET, PAIRS, SHORT = 400_000, 500_000, 8
+#: Buckets at least: more than a few, so that what is sent is packed alike
+#: whatever the input's size.
+PARTS = 64
 #: Rounds in which sets are connected one by one before all pairs are made, and
 #: sets of a block of a family.
 ROUNDS, BLOCK = 2, 256
@@ -546,7 +549,7 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(PARTS, int(spark.conf.get("spark.sql.shuffle.partitions")))
     scan = keep(rows.mapInArrow(tokens.tidy(_names(words, parts)), NAMES), "names")
     members = scan.where("blob is null").select("id", "s", "n")
     total = members.agg(F.sum("n")).first()[0] or 0
