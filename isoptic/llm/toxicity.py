@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import tokens
-from .store import keep
+from .store import arrow_rows, keep
 
 #: Labelled documents of a class that are learnt from, at most (about: dealt by hash).
 PER_CLASS = 20_000
@@ -35,7 +35,9 @@ D1, D2 = 2, 4
 #: Expressions that count as a text's most toxic.
 TOP = 3
 #: Distinct n-grams that a task gathers before it hands them on.
-FLUSH = 3_000_000
+FLUSH = 800_000
+#: Rows of an Arrow batch of texts.
+ROWS = 2000
 FOLDS = 5
 HELD_OUT, CALIBRATE = 0, 4
 _PUNCT = np.zeros(256, bool)
@@ -209,7 +211,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         model.weights[-1] = np.log(p / (1 - p))
         return model
     rows = docs.select(F.xxhash64(id_col).alias("k"), F.col(text_col).alias("text"))
-    counts = keep(rows.mapInArrow(_counter(key[counted], label[counted]), COUNTS).groupBy("gram", "v", "w").agg(*[F.sum(c).alias(c) for c in ("n", "ordinary", "toxic")]), "counts")
+    with arrow_rows(docs.sparkSession, ROWS):
+        partial = rows.mapInArrow(tokens.tidy(_counter(key[counted], label[counted])), COUNTS)
+        counts = keep(partial.groupBy("gram", "v", "w").agg(*[F.sum(c).alias(c) for c in ("n", "ordinary", "toxic")]), "counts")
     both = counts.where("gram = 2")
     follows = both.groupBy("w").agg(*[F.count(F.when(F.col(c) > 0, 1)).alias(c) for c in ("ordinary", "toxic")])
     follows = keep(follows, "follows")
@@ -255,7 +259,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 x, _ = features(batch.column("text").take(pa.array(mine)), tables.value)
                 yield pa.record_batch([pa.array(k[mine]), pa.array(classes[at[mine]].astype(np.float64)), *[pa.array(c) for c in x.T]], names=["k", "y", "a", "b", "c", "d"])
 
-    got = rows.mapInArrow(measure, "k long, y double, a double, b double, c double, d double").toPandas().sort_values(["k", "d"])
+    got = rows.mapInArrow(tokens.tidy(measure), "k long, y double, a double, b double, c double, d double").toPandas().sort_values(["k", "d"])
     _curve(model, got[["a", "b", "c", "d"]].to_numpy(), got["y"].to_numpy())
     return model
 
@@ -288,4 +292,4 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "to
             out = pa.record_batch([*batch.columns, pa.array(s)], names=[*batch.schema.names, name])
             yield out if most is None else out.filter(pa.array(s < most))
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tokens.tidy(run), schema)
