@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from . import tokens
 from .components import components
 from .skew import hinted, salted_join, tasks
-from .store import arrow_rows, keep
+from .store import arrow_rows, discard, keep
 
 #: The threshold is NUM / DEN.
 NUM, DEN, WORDS = 3, 4, 5
@@ -479,7 +479,9 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int,
     held = pairs.select("a", "b").join(sets.withColumnRenamed("s", "a"), "a")
     both = held.join(sets.withColumnsRenamed({"s": "b", "x": "y"}), "b")
     with arrow_rows(docs.sparkSession, ROWS):
-        return keep(both.coalesce(n).mapInArrow(tokens.tidy(_compare), "a long, b long"), f"{name}-links")
+        links = keep(both.coalesce(n).mapInArrow(tokens.tidy(_compare), "a long, b long"), f"{name}-links")
+    discard(sets)
+    return links
 
 
 def _within(families: DataFrame, docs: DataFrame, classes: DataFrame, words: int) -> DataFrame:
@@ -506,7 +508,9 @@ def _within(families: DataFrame, docs: DataFrame, classes: DataFrame, words: int
     rows = held.join(sets, "s")
     with arrow_rows(docs.sparkSession, ROWS):
         sides = [rows.join(both.select("family", "task", F.col(c).alias("block")), ["family", "block"]).select(*[F.col(k).alias(k) for k in ("task", "s", "root", "x")]) for c in ("u", "v")]
-        return keep(sides[0].groupBy("task").cogroup(sides[1].groupBy("task")).applyInArrow(_blocks, "a long, b long"), "within-links")
+        links = keep(sides[0].groupBy("task").cogroup(sides[1].groupBy("task")).applyInArrow(_blocks, "a long, b long"), "within-links")
+    discard(sets)
+    return links
 
 
 def _blocks(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -551,10 +555,11 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     parts = max(PARTS, int(spark.conf.get("spark.sql.shuffle.partitions")))
     scan = keep(rows.mapInArrow(tokens.tidy(_names(words, parts)), NAMES), "names")
-    members = scan.where("blob is null").select("id", "s", "n")
+    members = keep(scan.where("blob is null").select("id", "s", "n"), "members")
     total = members.agg(F.sum("n")).first()[0] or 0
     counted = scan.where("blob is not null").select("bucket", "blob").repartition(parts, "bucket").select("blob").coalesce(tasks(total, 3_000_000))
     top = counted.mapInArrow(tokens.tidy(_frequent(FREQUENT)), "h long, n long").orderBy(F.desc("n"), "h").limit(FREQUENT).toPandas()
+    discard(scan)
     common = top["h"].to_numpy(np.int64).astype(np.uint32)
     order = np.argsort(common)
     frequent = spark.sparkContext.broadcast((common[order], (len(common) - order).astype(np.uint64)))

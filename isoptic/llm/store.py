@@ -65,3 +65,9 @@ def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
         yield
     finally:
         spark.conf.set(key, before)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete what ``keep`` wrote, once nothing reads it any more."""
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        drop(df.sparkSession, folder)
