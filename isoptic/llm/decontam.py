@@ -1,9 +1,10 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
 Items are a stated query set that every document is held against, in blocks of
-bounded size. One pass counts in how many documents each n-gram of an item
-occurs; those that are rare among the item's own become seeds. A second pass
-aligns each item with the passages where its seeds occur. Neither shuffles text.
+bounded size. Every n-gram of an item is a seed, however many documents hold it.
+Where seeds occur, passages with too few of the item's words to reach the
+threshold are passed over, and the item is aligned with the others. No text is
+shuffled.
 """
 
 from __future__ import annotations
@@ -21,8 +22,8 @@ from . import tokens
 from .skew import hinted
 from .store import keep
 
-#: Words of a seed, and of the items that are broadcast at a time.
-N, BLOCK_WORDS = 3, 1_000_000
+#: Words of a seed, of the items that are broadcast at a time, and seeds looked at together.
+N, BLOCK_WORDS, SEEDS = 3, 1_000_000, 1_000_000
 MATCH, MISMATCH, GAP = 2, -1, -1
 THRESHOLD = 0.5
 HITS = "doc_id long, item_id long, score double, start int, stop int"
@@ -38,9 +39,6 @@ class Items:
     item: np.ndarray
     place: np.ndarray
 
-    def only(self, kept: np.ndarray) -> Items:
-        return Items(self.ids, self.words, self.hash[kept], self.item[kept], self.place[kept])
-
 
 def _items(rows: list[tuple[int, str]]) -> Items:
     w = tokens.words(pa.array([t for _, t in rows], pa.string()), lower=True)
@@ -58,18 +56,18 @@ def _grams(x: np.ndarray, n: int) -> np.ndarray:
     return tokens.mix64(out)
 
 
-def _places(items: Items, w: tokens.Words, sizes: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+def _places(items: Items, w: tokens.Words, sizes: tuple[int, ...]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(seed's row, word) of each n-gram of the texts that is a seed; all seeds
-    of one hash are returned."""
-    rows, at = [], []
+    of one hash are returned, about ``SEEDS`` at a time."""
     for n in sizes:
         h, word = tokens.grams(w, n)
         lo, hi = np.searchsorted(items.hash, h, "left"), np.searchsorted(items.hash, h, "right")
         hit = np.flatnonzero(hi > lo)
-        count = hi[hit] - lo[hit]
-        rows.append(np.repeat(lo[hit] - (np.cumsum(count) - count), count) + np.arange(count.sum()))
-        at.append(np.repeat(word[hit], count))
-    return np.concatenate(rows), np.concatenate(at)
+        part = np.cumsum(hi[hit] - lo[hit]) // SEEDS
+        for own in np.split(hit, np.flatnonzero(np.diff(part)) + 1):
+            count = hi[own] - lo[own]
+            if len(own):
+                yield np.repeat(lo[own] - (np.cumsum(count) - count), count) + np.arange(count.sum()), np.repeat(word[own], count)
 
 
 def align(item: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -93,23 +91,19 @@ def _search(items: Items, sizes: tuple[int, ...], threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tokens.pieces(batches, "text"):
             w = tokens.words(batch.column("text"), lower=True)
-            seed, word = _places(items, w, sizes)
-            if not len(seed):
-                continue
-            rows, item = w.rows[word], items.item[seed]
-            long = np.array([len(x) for x in items.words])[item]
-            # Where the item would begin; windows of three lengths at steps of one.
-            cell = np.floor_divide(word - w.first[rows] - items.place[seed], long)
-            jobs = np.unique(np.column_stack([item, rows, cell]), axis=0)
-            ids, out = batch.column("id"), []
-            for i in np.unique(jobs[:, 0]):
-                own, x = jobs[jobs[:, 0] == i], items.words[i]
-                for k in range(0, len(own), 2000):
-                    out += _aligned(items.ids[i], x, own[k : k + 2000, 1], own[k : k + 2000, 2], w, threshold)
+            long, ids, of = np.array([len(x) for x in items.words]), batch.column("id"), w.rows
             best: dict[tuple, tuple] = {}
-            for row, one, score, a, b in out:
-                if (row, one) not in best or (score, -a) > (best[row, one][0], -best[row, one][1]):
-                    best[row, one] = (score, a, b)
+            for seed, word in _places(items, w, sizes):
+                rows, item = of[word], items.item[seed]
+                # Where the item would begin; windows of three lengths at steps of one.
+                cell = np.floor_divide(word - w.first[rows] - items.place[seed], long[item])
+                jobs = np.unique(np.column_stack([item, rows, cell]), axis=0)
+                for own in np.split(jobs, np.flatnonzero(np.diff(jobs[:, 0])) + 1):
+                    i = own[0, 0]
+                    for k in range(0, len(own), 2000):
+                        for row, one, score, a, b in _aligned(items.ids[i], items.words[i], own[k : k + 2000, 1], own[k : k + 2000, 2], w, threshold):
+                            if (row, one) not in best or (score, -a) > (best[row, one][0], -best[row, one][1]):
+                                best[row, one] = (score, a, b)
             if best:
                 cols = list(zip(*[(one, *v) for (_, one), v in best.items()], strict=True))
                 yield pa.record_batch([ids.take(pa.array([r for r, _ in best])), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.float64()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int32())], names=["doc_id", "item_id", "score", "start", "stop"])
@@ -117,6 +111,12 @@ def _search(items: Items, sizes: tuple[int, ...], threshold: float):
     return run
 
 
+def _known(item: np.ndarray, windows: np.ndarray) -> np.ndarray:
+    """How many words of each window the item has too."""
+    own = np.unique(item)
+    return (own[np.minimum(np.searchsorted(own, windows), len(own) - 1)] == windows).sum(axis=1)
+
+
 def _aligned(item_id: int, x: np.ndarray, rows: np.ndarray, cell: np.ndarray, w: tokens.Words, threshold: float) -> list[tuple]:
     m = len(x)
     left = cell * m - m // 2 - 1
@@ -124,6 +124,11 @@ def _aligned(item_id: int, x: np.ndarray, rows: np.ndarray, cell: np.ndarray, w:
     first, size = w.first[rows], np.diff(w.first)[rows]
     inside = (at >= 0) & (at < size[:, None])
     windows = np.where(inside, w.hash[np.where(inside, at + first[:, None], 0)], np.uint64(0))
+    # A score is at most MATCH for each word of the window that the item has.
+    may = np.flatnonzero(_known(x, windows) >= threshold * m)
+    if not len(may):
+        return []
+    windows, rows, left = windows[may], rows[may], left[may]
     score, stop = align(x, windows)
     good = np.flatnonzero(score >= threshold * MATCH * m)
     if not len(good):
@@ -141,12 +146,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     ``item_id``, ``score`` (share of the item's own alignment score, at least
     ``threshold``) and ``start``, ``stop``, the words of the best passage.
 
-    Case doesn't count. A seed is an n-gram in no more documents than four
-    times the item's median n-gram and 8; so an item that very many documents
-    hold keeps its seeds, and common phrases are none. Items of under three
-    words are one seed. Null or empty texts and items match nothing; rows that
-    repeat an id are searched each by itself and give one row a hit. Other
-    columns are ignored; empty tables give an empty result.
+    Case doesn't count. A seed is an n-gram of the item, in however few or many
+    documents; a passage that shares none, three words in a row, isn't found.
+    Items of under three words are one seed. Null or empty texts and items match
+    nothing; rows that repeat an id are searched each by itself and give one row
+    a hit. Other columns are ignored; empty tables give an empty result.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
@@ -160,26 +164,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         if not len(items.hash):
             continue
         sizes = tuple(sorted({min(N, len(x)) for x in items.words if len(x)}))
-        kinds = np.unique(items.hash)
-        one = Items(items.ids, items.words, kinds, np.zeros(len(kinds), np.int64), np.zeros(len(kinds), np.int64))
-
-        def count(batches: Iterator[pa.RecordBatch], one: Items = one, sizes: tuple[int, ...] = sizes) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(len(one.hash), np.int64)
-            for batch in tokens.pieces(batches, "text"):
-                w = tokens.words(batch.column("text"), lower=True)
-                seed, word = _places(one, w, sizes)
-                pair = np.unique(w.rows[word] * len(total) + seed)
-                total += np.bincount(pair % len(total), minlength=len(total))
-            k = np.flatnonzero(total)
-            yield pa.record_batch([pa.array(k), pa.array(total[k])], names=["k", "n"])
-
-        # At most one row for each n-gram of the block comes to the driver.
-        counted = rows.mapInArrow(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toPandas()
-        df = np.zeros(len(kinds), np.int64)
-        df[counted["k"].to_numpy(np.int64)] = counted["n"].to_numpy(np.int64)
-        per_seed = df[np.searchsorted(kinds, items.hash)]
-        most = np.array([4 * np.median(per_seed[items.item == i]) + 8 if len(x) else 0 for i, x in enumerate(items.words)])
-        out.append(rows.mapInArrow(_search(items.only(per_seed <= most[items.item]), sizes, threshold), HITS))
+        out.append(rows.mapInArrow(_search(items, sizes, threshold), HITS))
     if not out:
         return spark.createDataFrame([], HITS)
     return reduce(DataFrame.unionByName, out)

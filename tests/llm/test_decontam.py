@@ -80,3 +80,24 @@ def test_hot_nulls_short_and_empty(spark):
     assert len([r for r in got if r.item_id in (1, 5) and r.score == 1.0]) == 400
     assert sorted((str(r.doc_id)) for r in got if r.item_id == 4) == ["502", "7", "None"]
     assert decontam.contaminated(d.limit(0), b).count() == 0 and decontam.contaminated(d, b.limit(0)).count() == 0
+
+
+def test_many_documents_with_one_edited_passage(spark):
+    item = [f"w{k}" for k in range(40)]
+    edited = " ".join("new" if k % 4 == 3 else x for k, x in enumerate(item))
+    docs = [(k, f"a{k} b{k} {edited} c{k}") for k in range(3000)] + [(5000 + k, f"w0 w1 w2 and d{k} other words") for k in range(3000)]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    score = sw(item, edited.split()) / 80
+    assert score >= 0.5
+    got = decontam.contaminated(d, b).collect()
+    assert {(r.doc_id, r.score) for r in got} == {(k, score) for k in range(3000)}
+
+
+def test_seeds_a_few_at_a_time(spark, monkeypatch):
+    w = decontam.tokens.words(decontam.pa.array(["a b c a b c d", "x a b c"]))
+    items = decontam._items([(1, "a b c"), (2, "z a b c d")])
+    whole = [np.concatenate(x) for x in zip(*decontam._places(items, w, (3,)))]
+    monkeypatch.setattr(decontam, "SEEDS", 2)
+    parts = list(decontam._places(items, w, (3,)))
+    assert len(parts) > 1
+    assert [np.concatenate(x).tolist() for x in zip(*parts)] == [x.tolist() for x in whole]
