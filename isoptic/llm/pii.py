@@ -1,9 +1,10 @@
 """Personal data, and the terms that give it away, in the JVM alone.
 
-Patterns find addresses and numbers. Each value is a protected entity; terms
-near its mentions are counted with it over all documents, and a term whose
-pointwise mutual information with the entity is a large enough part of the
-entity's own information discloses it, and is generalised too.
+Patterns find addresses and numbers. Each value is a protected entity; terms of
+the documents that mention it are counted with it over all documents, and a term
+whose pointwise mutual information with the entity is a large enough part of the
+entity's own information discloses it, and is generalised wherever it occurs.
+What is found from the words near mentions alone is given beside that.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .skew import SALTS, salted_join
+from .skew import SALTS, hinted, salted_join
 from .store import keep
 
 #: Part of an entity's information that a term may give away, documents that
@@ -19,6 +20,8 @@ from .store import keep
 ALPHA, SUPPORT, NEAR = 0.8, 2, 60
 KINDS = ("email", "ip", "card", "phone", "term")
 TERM = "\\p{L}{4,}"
+#: The same in a text where NUL stands for a letter that isn't the term's.
+FREE = "(?<![\\p{L}\\x00])\\p{L}{4,}+(?![\\p{L}\\x00])"
 # What a pattern's first part can't begin inside of is said by looking back, so
 # that long runs are tried once; \G lets a match follow another directly.
 EMAIL = "(?:\\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+"
@@ -85,14 +88,45 @@ def _near(text: Column, span: Column, near: int) -> Column:
     return F.concat(side(F.greatest(span["s"] - near, F.lit(0)), span["s"]), side(span["e"], F.least(span["e"] + near, F.length(text))))
 
 
-def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha: float = ALPHA, support: int = SUPPORT, near: int = NEAR, salts: int = SALTS) -> DataFrame:
-    """``id``, ``th`` (the text's hash) and ``spans`` ([{k, s, e}], by start and
-    kind) of each of ``docs``; ``k`` counts ``KINDS``, code points from 0.
+def _let(value: Column, f) -> Column:
+    """``f`` of a value that is made once, where ``f`` has it in inner functions."""
+    return F.transform(F.array(value), f)[0]
+
+
+def _placed(text: Column, pattern: str) -> Column:
+    """The matches of a pattern, lower-cased and hashed: [{s, e, t}]. A place is
+    the sum of what comes before it, in parts of about the root of their number."""
+    add = lambda a: F.aggregate(a, F.lit(0), lambda n, x: n + x)
+    cut = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"), F.split(text, pattern).alias("parts"))
+    steps = lambda z: F.transform(z["found"], lambda v, i: F.length(F.get(z["parts"], i)) + F.when(i > 0, F.length(F.get(z["found"], i - 1))).otherwise(0))
+    most = lambda z: F.greatest(F.size(z["found"]), F.lit(1))
+    wide = lambda z: F.struct(z["found"].alias("found"), steps(z).alias("steps"), F.ceil(F.sqrt(most(z))).cast("int").alias("w"))
+    summed = lambda z: F.struct(z["found"].alias("found"), z["steps"].alias("steps"), z["w"].alias("w"), F.transform(F.sequence(F.lit(0), most(z) - 1, z["w"]), lambda a: add(F.slice(z["steps"], a + 1, z["w"]))).alias("sums"))
+    start = lambda z, i: add(F.slice(z["sums"], F.lit(1), F.floor(i / z["w"]).cast("int"))) + add(F.slice(z["steps"], i - i % z["w"] + 1, i % z["w"] + 1))
+    term = lambda s, v: F.struct(s.alias("s"), (s + F.length(v)).alias("e"), F.xxhash64(F.lower(v)).alias("t"))
+    each = lambda z: F.transform(z["found"], lambda v, i: _let(start(z, i), lambda s: term(s, v)))
+    return _let(cut, lambda z: _let(wide(z), lambda y: _let(summed(y), each)))
+
 
-    A term of four letters or more within ``near`` code points of an entity's
-    mention discloses it if both share at least ``support`` documents and
-    PMI(entity; term) >= ``alpha`` * information(entity), with probabilities by
-    document over the whole corpus. A null text is empty and has no spans. Rows
+def _terms(text: Column, base: Column) -> Column:
+    """Every term of a text that overlaps no base span: [{s, e, t}]."""
+    edge = lambda x: F.when(x.rlike("\\p{L}"), F.lit("\0")).otherwise(F.lit(" "))
+    blank = lambda b: F.concat(edge(F.substring(b["v"], 1, 1)), F.repeat(F.lit(" "), b["e"] - b["s"] - 2), edge(F.substring(b["v"], -1, 1)))
+    hidden = F.aggregate(base, F.replace(text, F.lit("\0"), F.lit(" ")), lambda a, b: F.overlay(a, blank(b), b["s"] + 1, b["e"] - b["s"]))
+    return F.when(F.size(base) > 0, _placed(hidden, FREE)).otherwise(_placed(text, TERM))
+
+
+def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha: float = ALPHA, support: int = SUPPORT, near: int = NEAR, salts: int = SALTS) -> DataFrame:
+    """``id``, ``th`` (the text's hash), ``spans`` and ``all_spans`` ([{k, s, e}],
+    by start and kind) of each of ``docs``; ``k`` counts ``KINDS``, code points from 0.
+
+    A term of four letters or more that overlaps no mention discloses an entity
+    if both share at least ``support`` documents and PMI(entity; term) >=
+    ``alpha`` * information(entity), with probabilities by document over the
+    whole corpus. ``all_spans`` has every occurrence of such a term, in whatever
+    document. ``spans`` is what a window shows: shared documents are those with
+    the term within ``near`` code points of a mention, and only terms that stand
+    so near a mention of what they disclose are in it. A null text is empty and has no spans. Rows
     that repeat an id with the same text are one document; with another text,
     two. A null id is an id like others. Other columns are ignored; an empty
     table gives an empty result.
@@ -101,36 +135,49 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha:
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("th"), text.alias("t"))
     based = rows.withColumn("base", base_spans(F.col("t")))
     mentions = F.transform("base", lambda b: F.struct(F.xxhash64(b["k"], F.lower(b["v"])).alias("c"), F.filter(_near(F.col("t"), b, near), lambda x: ~F.exists("base", lambda o: (o["s"] < x["e"]) & (x["s"] < o["e"]))).alias("terms")))
-    base = keep(based.select("id", "th", F.transform("base", lambda b: F.struct(b["k"], b["s"], b["e"])).alias("base"), F.when(F.size("base") > 0, mentions).alias("m")), "base")
+    base = keep(based.select("id", "th", F.transform("base", lambda b: F.struct(b["k"], b["s"], b["e"])).alias("base"), F.when(F.size("base") > 0, mentions).alias("m"), _terms(F.col("t"), F.col("base")).alias("words")), "base")
 
     mention = base.where("m is not null").select("id", "th", F.explode("m").alias("m"))
     term = mention.select("id", "th", F.col("m.c").alias("c"), F.explode("m.terms").alias("x")).select("id", "th", "c", F.xxhash64("x.t").alias("t"), "x.s", "x.e")
     df_c = mention.select("id", "th", F.col("m.c").alias("c")).distinct().groupBy("c").agg(F.count(F.lit(1)).alias("df_c"))
-    joint = term.select("id", "th", "c", "t").distinct().groupBy("c", "t").agg(F.count(F.lit(1)).alias("both")).where(F.col("both") >= support)
+    near_by = term.select("id", "th", "c", "t").distinct().groupBy("c", "t").agg(F.count(F.lit(1)).alias("near_by"))
     df_t = rows.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("t"), F.lit(TERM), F.lit(0)))).alias("x")).select(F.xxhash64("x").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("df_t"))
     n = base.count()
-    given = F.log2(F.lit(float(n)) * F.col("both") / (F.col("df_c") * F.col("df_t")))
-    risky = keep(joint.join(df_c, "c").join(df_t, "t").where(given >= alpha * F.log2(F.lit(float(n)) / F.col("df_c"))).where(F.col("df_c") < n).select("c", "t"), "risky")
-    spans = salted_join(term, risky, ["c", "t"], ["id", "s"], how="inner", salts=salts).groupBy("id", "th").agg(F.collect_set(F.struct(F.lit(KINDS.index("term")).alias("k"), "s", "e")).alias("terms"))
-    both = base.select("id", "th", "base").join(spans.withColumnsRenamed({"id": "_i", "th": "_t"}), F.col("id").eqNullSafe(F.col("_i")) & (F.col("th") == F.col("_t")), "left")
+    # Entities of fewer documents share no term with as many as ``support``.
+    many = df_c.where((F.col("df_c") >= support) & (F.col("df_c") < n))
+    own = base.where("m is not null").select("id", "th", F.explode(F.array_distinct(F.transform("m", lambda x: x["c"]))).alias("c"), F.array_distinct(F.transform("words", lambda x: x["t"])).alias("t"))
+    whole = own.join(hinted(many.select("c")), "c").dropDuplicates(["id", "th", "c"])
+    joint = whole.select("c", F.explode("t").alias("t")).groupBy("c", "t").agg(F.count(F.lit(1)).alias("both")).where(F.col("both") >= support)
+    enough = lambda both: F.log2(F.lit(float(n)) * both / (F.col("df_c") * F.col("df_t"))) >= alpha * F.log2(F.lit(float(n)) / F.col("df_c"))
+    # What is found near mentions is found in whole texts too.
+    counted = joint.join(many, "c").join(df_t, "t").where(enough(F.col("both"))).join(near_by, ["c", "t"], "left")
+    risky = keep(counted.select("c", "t", F.coalesce((F.col("near_by") >= support) & enough(F.col("near_by")), F.lit(False)).alias("near")), "risky")
+
+    marked = lambda found, name: found.groupBy("id", "th").agg(F.collect_set(F.struct(F.lit(KINDS.index("term")).alias("k"), "s", "e")).alias(name)).withColumnsRenamed({"id": "_i", "th": "_t"})
+    near_spans = salted_join(term, risky.where("near").select("c", "t"), ["c", "t"], ["id", "s"], how="inner", salts=salts)
+    word = base.select("id", "th", F.explode("words").alias("x")).select("id", "th", "x.t", "x.s", "x.e")
+    all_spans = word.join(hinted(keep(risky.select("t").distinct(), "risky-terms")), "t")
     order = lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"))
-    every = F.array_sort(F.transform(F.concat("base", F.coalesce("terms", F.array().cast("array<struct<k:int,s:int,e:int>>"))), order))
-    return both.select("id", "th", every.alias("spans"))
+    every = lambda name: F.array_sort(F.transform(F.concat("base", F.coalesce(name, F.array().cast("array<struct<k:int,s:int,e:int>>"))), order))
+    out = base.select("id", "th", "base")
+    for found, name in ((near_spans, "spans"), (all_spans, "all_spans")):
+        out = out.join(marked(found, name), F.col("id").eqNullSafe(F.col("_i")) & (F.col("th") == F.col("_t")), "left").drop("_i", "_t")
+    return out.select("id", "th", every("spans").alias("spans"), every("all_spans").alias("all_spans"))
 
 
 def count(spans: Column, kind: str) -> Column:
     return F.size(F.filter(spans, lambda x: x["k"] == KINDS.index(kind))).cast("long")
 
 
-def written(spans: Column) -> Column:
+def written(spans: Column | str) -> Column:
     """kind:start:end, joined by commas."""
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.get(F.array(*[F.lit(k) for k in KINDS]), x["k"]), x["s"].cast("string"), x["e"].cast("string"))), ",")
 
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with each span of ``text_col`` generalised to its kind, such as
-    [EMAIL]; a span that begins within another is part of it."""
-    found = find(docs, id_col, text_col, **options).dropDuplicates(["id", "th"]).withColumnsRenamed({"id": "_i", "th": "_t", "spans": "_spans"})
+    """``docs`` with each of ``all_spans`` of ``text_col`` generalised to its kind,
+    such as [EMAIL]; a span that begins within another is part of it."""
+    found = find(docs, id_col, text_col, **options).dropDuplicates(["id", "th"]).withColumnsRenamed({"id": "_i", "th": "_t", "all_spans": "_spans"})
     text = F.coalesce(F.col(text_col), F.lit(""))
     tag = lambda x: F.concat(F.lit("["), F.upper(F.get(F.array(*[F.lit(k) for k in KINDS]), x["k"])), F.lit("]"))
     step = lambda a, x: F.when(x["s"] < a["at"], F.struct(a["out"].alias("out"), F.greatest(a["at"], x["e"]).alias("at"))).otherwise(F.struct(F.concat(a["out"], F.substring(text, a["at"] + 1, x["s"] - a["at"]), tag(x)).alias("out"), x["e"].alias("at")))

@@ -71,7 +71,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pii.find(_documents(spark, sf_dir))
     base = F.filter("spans", lambda x: x["k"] < pii.KINDS.index("term"))
     n = [pii.count(F.col("spans"), k).alias(f"n_{k}") for k in pii.KINDS[:4]]
-    return out.select(F.col("id").alias("doc_id"), *n, F.sha2(pii.written(base), 256).alias("base_sha256"), pii.written(F.col("spans")).alias("spans"))
+    return out.select(F.col("id").alias("doc_id"), *n, F.sha2(pii.written(base), 256).alias("base_sha256"), pii.written(F.col("spans")).alias("spans"), pii.written(F.col("all_spans")).alias("all_spans"))
 
 
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_ngram_jaccard, op3_mixing, op4_warc, op5_decontamination, op6_substring, op7_line_dedup, op8_token_orc, op9_exact_dedup, op10_pii)}
