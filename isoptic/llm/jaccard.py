@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from . import tokens
 from .components import components
@@ -454,10 +455,14 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch.column("a").filter(good), batch.column("b").filter(good)], names=["a", "b"])
 
 
-def _blobs(words: int):
+def _blobs(words: int, every: bool = False):
+    """Names and sets of the texts that are those asked for, or of all."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tokens.pieces(batches, "text"):
-            rows = [(s, x.tobytes()) for s, x in zip(batch.column("s").to_pylist(), _sets(batch.column("text"), words), strict=True) if len(x) and _name(x) == s]
+            asked = [None] * batch.num_rows if every else batch.column("s").to_pylist()
+            named = ((s, _name(x), x) for s, x in zip(asked, _sets(batch.column("text"), words), strict=True) if len(x))
+            rows = [(own, x.tobytes()) for s, own, x in named if every or own == s]
             if rows:
                 yield pa.record_batch([pa.array([s for s, _ in rows], pa.int64()), pa.array([x for _, x in rows], pa.binary())], names=["s", "x"])
 
@@ -466,9 +471,14 @@ def _blobs(words: int):
 
 def _texts(asked: DataFrame, docs: DataFrame, classes: DataFrame, words: int, name: str) -> DataFrame:
     """The sets of the classes asked for (``s``): their texts are read again. A
-    set whose first document's row is repeated comes as often, which is harmless."""
+    set whose first document's row is repeated comes as often, which is harmless.
+    Where no document of a class has an id, its name is looked for among those."""
     ids = hinted(asked.distinct(), BROADCAST).join(classes, "s").select("s", F.col("first").alias("id"))
-    return keep(docs.join(hinted(ids, BROADCAST), "id").mapInArrow(tokens.tidy(_blobs(words)), "s long, x binary"), f"{name}-sets")
+    sets = docs.join(hinted(ids, BROADCAST), "id").mapInArrow(tokens.tidy(_blobs(words)), "s long, x binary")
+    if not classes.where("first is null").isEmpty():
+        every = docs.where("id is null").select("text").mapInArrow(tokens.tidy(_blobs(words, True)), "s long, x binary")
+        sets = sets.unionByName(every.join(hinted(ids.where("id is null").select("s"), BROADCAST), "s", "left_semi").dropDuplicates(["s"]))
+    return keep(sets, f"{name}-sets")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int, name: str) -> DataFrame:
@@ -551,6 +561,11 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     compared by 64-bit hashes. Other columns are ignored; an empty table gives
     an empty result.
     """
+    return _classed(docs, id_col, text_col, words).select("id", "n_shingles", "class_id", "component_id")
+
+
+def _classed(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+    """What ``similar`` gives, with the set's name ``s`` and that of its component, ``root``."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     parts = max(PARTS, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -619,9 +634,9 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     # Only classes of several documents or with links need a join.
     named = classes.join(roots.withColumnRenamed("node", "s"), "s", "left").where("root is not null or n > 1").withColumn("root", F.coalesce("root", "s"))
     whole = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    per_class = salted_join(named, whole, ["root"], ["s"], how="inner", salts=4).select("s", F.col("first").alias("class_id"), "component_id")
+    per_class = salted_join(named, whole, ["root"], ["s"], how="inner", salts=4).select("s", "root", F.col("first").alias("class_id"), "component_id")
     out = salted_join(members.withColumn("_row", F.monotonically_increasing_id()), per_class, ["s"], ["_row"])
-    return out.select("id", F.col("n").alias("n_shingles"), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("component_id", "id").alias("component_id"))
+    return out.select("id", "s", F.coalesce("root", "s").alias("root"), F.col("n").alias("n_shingles"), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("component_id", "id").alias("component_id"))
 
 
 def _set_names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -631,8 +646,29 @@ def _set_names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _batch(["part", "s"], np.full(len(s), part), s)
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+def _with_names(text_col: str, words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in tokens.pieces(batches, text_col):
+            names = [_name(x) if len(x) else None for x in _sets(batch.column(text_col), words)]
+            yield pa.record_batch([*batch.columns, pa.array(names, pa.int64())], names=[*batch.schema.names, "_s"])
+
+    return run
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
     """``docs`` with one document of each component, that of the smallest id;
-    of rows that repeat its id, all."""
-    found = keep(similar(docs, id_col=id_col, **options).where("id = component_id").select(F.col("id").alias("_id")).distinct(), "ones")
-    return docs.join(hinted(found), docs[id_col] == found["_id"], "left_semi")
+    of rows that repeat its id, all.
+
+    A document without an id stays if its component has none and it is one of
+    the set that is named first; of equal sets one. Without words, it stays.
+    """
+    classed = _classed(docs, id_col, text_col, words)
+    found = keep(classed.where("id = component_id").select(F.col("id").alias("_id")).distinct(), "ones")
+    out = docs.join(hinted(found), docs[id_col] == found["_id"], "left_semi")
+    lost = docs.where(docs[id_col].isNull())
+    if lost.isEmpty():
+        return out
+    first = keep(classed.where("id is null and component_id is null and s is not null").groupBy("root").agg(F.min("s").alias("_s")).select("_s"), "unnamed-ones")
+    named = lost.mapInArrow(tokens.tidy(_with_names(text_col, words)), StructType([*docs.schema.fields, StructField("_s", LongType())]))
+    ones = named.join(hinted(first), "_s", "left_semi").dropDuplicates(["_s"])
+    return out.unionByName(ones.drop("_s")).unionByName(named.where("_s is null").drop("_s"))

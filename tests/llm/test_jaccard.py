@@ -93,3 +93,22 @@ def test_components(spark):
             least[a] = least[b] = min(least[a], least[b])
     alone = {x for x in least if all(a == b for a, b in pairs if x in (a, b))}
     assert got == {k: v for k, v in least.items() if k not in alone}
+
+
+def test_documents_without_an_id(spark):
+    base = " ".join(f"x{i}" for i in range(60))
+    other = " ".join(f"z{i}" for i in range(60))
+    rows = [(1, base), (None, base + " y"), (None, "alone in the whole of it"), (None, "two equal texts of some words"), (None, "two equal texts of some words")]
+    rows += [(None, f"{other} {'q' * i}") for i in range(1, 4)] + [(None, ""), (None, None), (2, "of its own")]
+    df = spark.createDataFrame([("e", *x) for x in rows], "more string, doc_id long, text string").repartition(3)
+    got = jaccard.one_of_each(df)
+    assert got.columns == df.columns
+    texts = [r.text for r in got.collect()]
+    linked = [t for t in texts if t and t.startswith(other)]
+    assert len(linked) == 1
+    assert sorted(t or "" for t in texts if t not in linked) == sorted(["", "", base, "alone in the whole of it", "two equal texts of some words", "of its own"])
+
+
+def test_documents_without_an_id_alone(spark):
+    df = spark.createDataFrame([(None, "a b c"), (None, "a b c"), (None, "d e f")], "doc_id long, text string")
+    assert sorted(r.text for r in jaccard.one_of_each(df).collect()) == ["a b c", "d e f"]
