@@ -1,8 +1,8 @@
 """Exact de-duplication by skew-safe combining.
 
-Rows are combined three times: in the map task that reads them (the partial
-aggregate or the task it is dealt to), by digest and salt, and, for digests hot
-enough to be salted, by digest alone. Each time the whole normalised text is
+Rows are combined three times: in the map task that reads them, before any text
+is shuffled, by digest and salt, and, for digests hot enough to be salted, by
+digest alone. Each time the whole normalised text is
 part of the grouping key, so a digest that two texts share never merges them.
 After the salted step a hot text has at most ``salts`` rows, so the last step is
 small however large a group of copies is; other texts move once.
@@ -49,7 +49,7 @@ def exact_duplicates(
     # At most ``HOT`` digests have over a HOT-th of all rows, so they may be broadcast.
     hot = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") * HOT > rows.count()).select("digest", F.lit(True).alias("hot"))
     dealt = base.join(F.broadcast(hot), "digest", "left").withColumn("salt", F.when(F.col("hot"), salt_of("id", salts=salts)).otherwise(0))
-    local = dealt.repartition("digest", "salt").groupBy("digest", "salt", "t").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("n"), F.max("hot").alias("hot"))
+    local = dealt.groupBy("digest", "salt", "t").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("n"), F.max("hot").alias("hot"))
     # What wasn't salted is whole by now: it goes on without its text, under a
     # number of its own, and only hot winners are compared again.
     winners = local.select("digest", F.when(F.col("hot"), F.col("t")).alias("t"), F.when(F.col("hot").isNull(), F.monotonically_increasing_id()).alias("single"), "keep_id", "n")

@@ -102,3 +102,16 @@ def test_mixing(spark, seed):
         copies[g.id] = max(copies[g.id], g.copies)
     assert mixing.mix(df).count() == sum(copies[d] for d, _, _ in rows) and mixing.mix(df).columns == df.columns
     assert mixing.mixture(df.limit(0)).count() == 0
+
+
+def test_copies_are_combined_before_texts_move(spark, monkeypatch):
+    plans, kept = {}, exact.keep
+
+    def keep(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString().splitlines()
+        return kept(df, name)
+
+    monkeypatch.setattr(exact, "keep", keep)
+    exact.exact_duplicates(spark.createDataFrame([(1, "a"), (2, "A")], "doc_id long, text string")).collect()
+    dealt = max(i for i, x in enumerate(plans["exact"]) if "Exchange hashpartitioning(digest" in x and "salt" in x)
+    assert any("partial_max(id" in x for x in plans["exact"][dealt:])
