@@ -2,7 +2,7 @@
 
 import corpus_pipeline
 import test_decontam
-import test_files
+import test_formats
 import test_jaccard
 
 SF = "/root/testdata/sf0.001"
@@ -37,7 +37,7 @@ def test_stages(spark):
     taken = [r.doc_id for r in mix.collect()]
     assert max(map(taken.count, set(taken))) <= 2
     assert abs(sum(n[d] for d in taken) - 1.5 * sum(n.values())) < 0.15 * sum(n.values())
-    assert sorted(tuple(r) for r in tokens.collect()) == test_files.brute_tokens([(d, rows[d].text) for d in taken])
+    assert sorted(tuple(r) for r in tokens.collect()) == test_formats.brute_tokens([(d, rows[d].text) for d in taken])
 
 
 def test_run_is_the_stages(spark):
