@@ -67,6 +67,19 @@ def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
+#: Bytes of an Arrow batch that a Python worker is sent, about.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let batches for Python workers end after ``BATCH_BYTES``, so that their
+    memory doesn't follow the rows' length. A smaller setting stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key))
+    if not 0 < now <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def discard(df: DataFrame) -> None:
     """Delete what ``keep`` wrote, once nothing reads it any more."""
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:

@@ -10,6 +10,18 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
 
 
+def unused(columns: list[str], *names: str) -> list[str]:
+    """``names``, with as many underscores in front as it takes to clash with no
+    column, whatever its case."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z and nothing else.
 
