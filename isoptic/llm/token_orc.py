@@ -8,6 +8,7 @@ look-up reads the metadata and the row groups that may hold it.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -19,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import tokens
+from .store import small_batches
 
 FIELDS = "doc_id long, part int, start_in_part long, n_tokens int, ids array<int>"
 STRIPE_BYTES = 16 << 20
@@ -27,6 +29,15 @@ ROW_INDEX_STRIDE = 1000
 REMEMBER = 3_000_000
 
 
+#: The normaliser's and the splitter's steps under which a text's ids are those
+#: of its words, as tokenizer files write them.
+WORDWISE = [
+    [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}],
+    [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+]
 #: A word that stands between others when many are encoded at once.
 BETWEEN = "\x01"
 _TAIL = np.zeros(256, bool)
@@ -35,13 +46,25 @@ _ALNUM = np.zeros(256, bool)
 _ALNUM[[i for i in range(128) if chr(i).isalnum()]] = True
 
 
+def splits_at_words(tokenizer: dict) -> bool:
+    """Whether a tokenizer file says that a text's ids are those of its words in
+    turn, whatever their case: its normaliser and splitter are ``WORDWISE``, no
+    added token has or takes in white space, and pieces are merged one by one."""
+    added = tokenizer.get("added_tokens") or []
+    plain = all(not (x["normalized"] or x["single_word"] or x["lstrip"] or x["rstrip"]) and "<" in x["content"] and not x["content"].split()[1:] for x in added)
+    model = tokenizer["model"]
+    steps = [(tokenizer.get("normalizer") or {}).get("normalizers"), (tokenizer.get("pre_tokenizer") or {}).get("pretokenizers")]
+    return plain and steps == WORDWISE and model["type"] == "BPE" and not model.get("dropout") and not any(tokenizer.get(k) for k in ("truncation", "padding", "post_processor"))
+
+
 class Encoder:
-    """A tokenizer that encodes each distinct word once.
+    """A tokenizer that encodes each distinct word once, if its file allows it
+    (``splits_at_words``), and else whole texts.
 
-    White space separates the tokenizer's pieces and is dropped, case is
-    dropped too, and punctuation after an ASCII letter or digit is a piece of
-    its own; so the ids of a text are those of its lower-cased words and of the
-    punctuation behind them, one after the other.
+    Where it does, white space separates the tokenizer's pieces and is dropped,
+    case is dropped too, and punctuation after an ASCII letter or digit is a
+    piece of its own; so the ids of a text are those of its lower-cased words and
+    of the punctuation behind them, one after the other.
     """
 
     def __init__(self, vocabulary: str, end_id: int) -> None:
@@ -49,7 +72,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.end_id = Tokenizer.from_file(vocabulary), end_id
-        self.between = self._ids([BETWEEN])[0]
+        with open(vocabulary, encoding="utf-8") as f:
+            self.wordwise = splits_at_words(json.load(f))
+        self.between = self._ids([BETWEEN])[0] if self.wordwise else []
         self.forget()
 
     def forget(self) -> None:
@@ -78,6 +103,9 @@ class Encoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, each ended by the end id, and where each begins."""
+        if not self.wordwise:
+            every = [[*x, self.end_id] for x in self._ids(texts.fill_null("").to_pylist())]
+            return np.array([i for x in every for i in x], np.int32), np.concatenate([[0], np.cumsum([len(x) for x in every], dtype=np.int64)])
         w = tokens.words(texts)
         data = tokens.LOWER[w.data]
         marked = np.flatnonzero(w.data == ord("<"))  # special tokens keep their case
@@ -129,7 +157,8 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = 1, i
     Parts ascend with the id, rows within a part too; rows that repeat an id
     are in the order of their texts. A null text is empty, and an empty text
     has the end id alone. A null id comes first. ``vocabulary`` is a file that
-    every executor has. An empty table gives a folder without rows.
+    every executor has; where its rules don't cut texts at words, whole texts go
+    through the tokenizer. An empty table gives a folder without rows.
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,6 +172,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = 1, i
             )
             at += int(off[-1])
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
     dealt = rows.repartitionByRange("id").sortWithinPartitions("id", "text").mapInArrow(encode, FIELDS)
     (

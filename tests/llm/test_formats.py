@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from isoptic.llm import token_orc, warc_zip
 from isoptic.llm.queries import vocabulary
@@ -27,10 +28,10 @@ TEXTS = [
 ]
 
 
-def brute_tokens(rows):
+def brute_tokens(rows, file=None):
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(vocabulary())
+    t = Tokenizer.from_file(file or vocabulary())
     out, at = [], 0
     for d, x in sorted(rows, key=lambda r: (r[0] is not None, r[0], r[1] or "")):
         ids = [*t.encode(x or "", add_special_tokens=False).ids, 1]
@@ -58,6 +59,25 @@ def test_tokens_of_the_small_corpus(spark):
     assert got == brute_tokens([(r.doc_id, r.text) for r in docs.collect()])
 
 
+def test_a_tokenizer_of_other_rules(spark, tmp_path):
+    """A file that doesn't cut texts at words has whole texts encoded."""
+    import json
+
+    with open(vocabulary(), encoding="utf-8") as f:
+        rules = json.load(f)
+    assert token_orc.splits_at_words(rules)
+    rules["normalizer"]["normalizers"] = [{"type": "Lowercase"}]
+    rules["pre_tokenizer"]["pretokenizers"] = rules["pre_tokenizer"]["pretokenizers"][1:]
+    assert not token_orc.splits_at_words(rules)
+    other = tmp_path / "other.json"
+    other.write_text(json.dumps(rules), encoding="utf-8")
+    path = shared_path(spark, "t")
+    token_orc.write_tokens(spark.createDataFrame(TEXTS, "doc_id long, text string").repartition(3), path, str(other))
+    got = [tuple(r) for r in token_orc.digests(spark, path).collect()]
+    key = lambda r: (r[1], r[2])
+    assert sorted(got, key=key) == brute_tokens(TEXTS, str(other))
+
+
 def test_no_tokens(spark):
     path = shared_path(spark, "t")
     token_orc.write_tokens(spark.createDataFrame([], "doc_id long, text string"), path, vocabulary())
@@ -80,6 +100,19 @@ def test_packages_round_trip(spark):
     assert sorted((str(r.page_id), r.payload_bytes, r.payload_digest, r.record_type, str(r.refers_to), None if r.payload is None else bytes(r.payload)) for r in got) == sorted(want, key=lambda x: x[:5])
 
 
+def test_records_are_read_by_many_tasks(spark, monkeypatch):
+    """One package, adaptive execution on: its records aren't packed into one task."""
+    monkeypatch.setattr(warc_zip, "TASK_BYTES", 20_000)
+    monkeypatch.setattr(warc_zip, "CHUNK_BYTES", 10_000)
+    assert spark.conf.get("spark.sql.adaptive.enabled") == "true"
+    r = np.random.default_rng(0)
+    pages = spark.createDataFrame([(i, "u", r.bytes(1500).hex()) for i in range(300)], "page_id long, url string, html string").coalesce(1)
+    path = shared_path(spark, "p")
+    assert warc_zip.write_packages(pages, path) == 300
+    got = warc_zip.read_packages(spark, path).withColumn("task", F.spark_partition_id())
+    assert got.select("page_id").distinct().count() == 300 and got.select("task").distinct().count() > 4
+
+
 def test_no_packages(spark):
     path = shared_path(spark, "p")
     assert warc_zip.write_packages(spark.createDataFrame([], "page_id long, url string, html string"), path) == 0
