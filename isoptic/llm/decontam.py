@@ -19,11 +19,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
-from .skew import hinted
-from .store import keep
+from .store import small_batches
 
-#: Words of a seed, of the items that are broadcast at a time, and seeds looked at together.
-N, BLOCK_WORDS, SEEDS = 3, 1_000_000, 1_000_000
+#: Words of a seed, of the items that are broadcast at a time, seeds looked at
+#: together, and words of windows that are aligned together.
+N, BLOCK_WORDS, SEEDS, CELLS = 3, 1_000_000, 1_000_000, 500_000
 MATCH, MISMATCH, GAP = 2, -1, -1
 THRESHOLD = 0.5
 HITS = "doc_id long, item_id long, score double, start int, stop int"
@@ -39,6 +39,11 @@ class Items:
     item: np.ndarray
     place: np.ndarray
 
+    @property
+    def sizes(self) -> tuple[int, ...]:
+        """Words of the seeds."""
+        return tuple(sorted({min(N, len(x)) for x in self.words if len(x)}))
+
 
 def _items(rows: list[tuple[int, str]]) -> Items:
     w = tokens.words(pa.array([t for _, t in rows], pa.string()), lower=True)
@@ -87,23 +92,30 @@ def align(item: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return best, stop
 
 
-def _search(items: Items, sizes: tuple[int, ...], threshold: float):
+def _hits(items: Items, texts: pa.Array, threshold: float) -> dict[tuple, tuple]:
+    """(row, item's id) to the score, start and stop of its best passage."""
+    w = tokens.words(texts, lower=True)
+    long, of = np.array([len(x) for x in items.words]), w.rows
+    best: dict[tuple, tuple] = {}
+    for seed, word in _places(items, w, items.sizes):
+        rows, item = of[word], items.item[seed]
+        # Where the item would begin; windows of three lengths at steps of one.
+        cell = np.floor_divide(word - w.first[rows] - items.place[seed], long[item])
+        jobs = np.unique(np.column_stack([item, rows, cell]), axis=0)
+        for own in np.split(jobs, np.flatnonzero(np.diff(jobs[:, 0])) + 1):
+            i = own[0, 0]
+            some = max(1, CELLS // (3 * int(long[i]) + 2))
+            for k in range(0, len(own), some):
+                for row, one, score, a, b in _aligned(items.ids[i], items.words[i], own[k : k + some, 1], own[k : k + some, 2], w, threshold):
+                    if (row, one) not in best or (score, -a) > (best[row, one][0], -best[row, one][1]):
+                        best[row, one] = (score, a, b)
+    return best
+
+
+def _search(items: Items, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tokens.pieces(batches, "text"):
-            w = tokens.words(batch.column("text"), lower=True)
-            long, ids, of = np.array([len(x) for x in items.words]), batch.column("id"), w.rows
-            best: dict[tuple, tuple] = {}
-            for seed, word in _places(items, w, sizes):
-                rows, item = of[word], items.item[seed]
-                # Where the item would begin; windows of three lengths at steps of one.
-                cell = np.floor_divide(word - w.first[rows] - items.place[seed], long[item])
-                jobs = np.unique(np.column_stack([item, rows, cell]), axis=0)
-                for own in np.split(jobs, np.flatnonzero(np.diff(jobs[:, 0])) + 1):
-                    i = own[0, 0]
-                    for k in range(0, len(own), 2000):
-                        for row, one, score, a, b in _aligned(items.ids[i], items.words[i], own[k : k + 2000, 1], own[k : k + 2000, 2], w, threshold):
-                            if (row, one) not in best or (score, -a) > (best[row, one][0], -best[row, one][1]):
-                                best[row, one] = (score, a, b)
+            best, ids = _hits(items, batch.column("text"), threshold), batch.column("id")
             if best:
                 cols = list(zip(*[(one, *v) for (_, one), v in best.items()], strict=True))
                 yield pa.record_batch([ids.take(pa.array([r for r, _ in best])), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.float64()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int32())], names=["doc_id", "item_id", "score", "start", "stop"])
@@ -111,6 +123,16 @@ def _search(items: Items, sizes: tuple[int, ...], threshold: float):
     return run
 
 
+def _without(items: Items, text_col: str, threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in tokens.pieces(batches, text_col):
+            stay = np.ones(batch.num_rows, bool)
+            stay[[row for row, _ in _hits(items, batch.column(text_col), threshold)]] = False
+            yield batch.filter(pa.array(stay))
+
+    return run
+
+
 def _known(item: np.ndarray, windows: np.ndarray) -> np.ndarray:
     """How many words of each window the item has too."""
     own = np.unique(item)
@@ -152,25 +174,30 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     nothing; rows that repeat an id are searched each by itself and give one row
     a hit. Other columns are ignored; empty tables give an empty result.
     """
-    spark = docs.sparkSession
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    out = [rows.mapInArrow(tokens.tidy(_search(items, threshold)), HITS) for items in _blocks(benchmark, item_col, item_text, block_words)]
+    return reduce(DataFrame.unionByName, out) if out else docs.sparkSession.createDataFrame([], HITS)
+
+
+def _blocks(benchmark: DataFrame, item_col: str, item_text: str, block_words: int) -> Iterator[Items]:
+    """The items, about ``block_words`` words at a time."""
     asked = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(item_text).alias("t")).where(F.trim("t") != "").dropDuplicates()
     size = F.sum(F.size(F.split("t", "\\s+")))
     blocks = max(1, -(-(asked.agg(size).first()[0] or 0) // block_words))
-    out = []
     for b in range(blocks):
         part = asked.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b)
         items = _items(sorted(((r.i, r.t) for r in part.collect()), key=lambda x: (x[0] is not None, x)))
-        if not len(items.hash):
-            continue
-        sizes = tuple(sorted({min(N, len(x)) for x in items.words if len(x)}))
-        out.append(rows.mapInArrow(_search(items, sizes, threshold), HITS))
-    if not out:
-        return spark.createDataFrame([], HITS)
-    return reduce(DataFrame.unionByName, out)
-
-
-def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """``docs`` without the documents that hold a copy of an item."""
-    hit = keep(contaminated(docs, benchmark, id_col=id_col, **options).select(F.col("doc_id").alias("_id")).distinct(), "leaks")
-    return docs.join(hinted(hit), docs[id_col] == hit["_id"], "left_anti")
+        if len(items.hash):
+            yield items
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """``docs`` without the rows that hold a copy of an item, as ``contaminated``
+    finds them. Each row is judged by itself, so its id may be null, repeated or
+    missing, and columns may have any name; empty tables drop nothing."""
+    small_batches(docs.sparkSession)
+    out = docs
+    for items in _blocks(benchmark, item_col, item_text, block_words):
+        out = out.mapInArrow(tokens.tidy(_without(items, text_col, threshold)), docs.schema)
+    return out

@@ -93,11 +93,32 @@ def test_many_documents_with_one_edited_passage(spark):
     assert {(r.doc_id, r.score) for r in got} == {(k, score) for k in range(3000)}
 
 
+def test_rows_are_judged_by_themselves(spark):
+    item = "one two three four five six seven"
+    docs = [(None, f"x {item} y", 1), (None, "clean text without it", 2), (3, f"{item}", 3), (3, "another text of that id", 4), (4, None, 5)]
+    d = spark.createDataFrame(docs, "doc_id long, text string, item_id int").repartition(2)
+    b = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = decontam.clean(d, b)
+    assert got.columns == d.columns and sorted(r.item_id for r in got.collect()) == [2, 4, 5]
+    assert decontam.clean(d, b.limit(0)).count() == 5 and decontam.clean(d.limit(0), b).count() == 0
+
+
+def test_a_long_item(spark, monkeypatch):
+    sizes = []
+    align = decontam.align
+    monkeypatch.setattr(decontam, "align", lambda item, windows: sizes.append(windows.size) or align(item, windows))
+    long = [f"w{k}" for k in range(4000)]
+    items = decontam._items([(1, " ".join(long))])
+    texts = decontam.pa.array([" ".join(long[: 2500 + k]) for k in range(60)])
+    got = decontam._hits(items, texts, 0.5)
+    assert {r for r, _ in got} == set(range(60)) and max(sizes) <= decontam.CELLS
+
+
 def test_seeds_a_few_at_a_time(spark, monkeypatch):
     w = decontam.tokens.words(decontam.pa.array(["a b c a b c d", "x a b c"]))
     items = decontam._items([(1, "a b c"), (2, "z a b c d")])
-    whole = [np.concatenate(x) for x in zip(*decontam._places(items, w, (3,)))]
+    whole = [np.concatenate(x) for x in zip(*decontam._places(items, w, items.sizes))]
     monkeypatch.setattr(decontam, "SEEDS", 2)
-    parts = list(decontam._places(items, w, (3,)))
+    parts = list(decontam._places(items, w, items.sizes))
     assert len(parts) > 1
     assert [np.concatenate(x).tolist() for x in zip(*parts)] == [x.tolist() for x in whole]
