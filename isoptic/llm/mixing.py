@@ -13,9 +13,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .skew import hinted, salted_join
+from .skew import hinted, salted_join, tasks
 from .store import keep
-from .text import word_count
+from .text import unused, word_count
 
 #: Hexadecimal digits of the random order: 13 fit in a long and in a double.
 DIGITS = 13
@@ -68,7 +68,7 @@ def mixture(
     share: float = 1.5,
     max_epochs: float = 2.0,
     seed: int = 42,
-    slices: int = 256,
+    slice_rows: int = 50_000,
     size: Callable[[Column], Column] = word_count,
 ) -> DataFrame:
     """One row for each of ``docs``: id, ``source``, ``size``, ``source_size``,
@@ -84,11 +84,10 @@ def mixture(
     """
     weigh = weigh or cyclic_weights()
     order = F.conv(F.substring(F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(f":{seed}"))), 1, DIGITS), 16, 10).cast("long")
-    width = 16**DIGITS // slices + 1
-    sizes = keep(
-        docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size(F.col(text_col)).alias("size"), order.alias("_order")).withColumn("_slice", F.floor(F.col("_order") / F.lit(width)).cast("int")),
-        "mixture",
-    )
+    sizes = keep(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size(F.col(text_col)).alias("size"), order.alias("_order")), "mixture")
+    # As many slices as the rows are worth, so that the one that is sorted is small.
+    width = 16**DIGITS // tasks(sizes.count(), slice_rows, 256) + 1
+    sizes = sizes.withColumn("_slice", F.floor(F.col("_order") / F.lit(width)).cast("int"))
     per_slice = keep(sizes.groupBy("source", "_slice").agg(F.sum("size").alias("_sum")), "slices")
     totals = water_fill(weigh(per_slice.groupBy("source").agg(F.sum("_sum").alias("source_size"))), share, max_epochs)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
@@ -123,6 +122,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     Rows that repeat an id repeat as the one with most copies. Empty texts
     have nothing to give to the mix; they follow their place in the order.
     """
-    taken = keep(mixture(docs, id_col=id_col, **options).groupBy("id").agg(F.max("copies").alias("_copies")), "copies")
-    found = docs.join(hinted(taken), docs[id_col].eqNullSafe(taken["id"]))
-    return found.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[docs[c] for c in docs.columns])
+    i, copies, copy = unused(docs.columns, "id", "copies", "copy")
+    taken = mixture(docs, id_col=id_col, **options).groupBy(F.col("id").alias(i)).agg(F.max("copies").alias(copies))
+    taken = keep(taken.where(F.col(copies) > 0), "copies")
+    found = docs.join(hinted(taken), F.col(id_col).eqNullSafe(F.col(i)))
+    return found.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*docs.columns)

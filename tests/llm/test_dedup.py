@@ -59,7 +59,8 @@ def test_lines(spark):
     pool = ["A repeated line that is long", "  a REPEATED line that is long\t", "short", "", "ÉÉÉÉÉÉÉÉÉÉÉÉÉÉÉÉÉÉÉÉ", "É" * 19, "unique enough but in two only"] + [f"filler line number {i:05d} xx" for i in range(30)]
     rows = [(i, "\n".join(r.choice(pool) for _ in range(r.randint(0, 12)))) for i in range(60)]
     rows += [(5, "A repeated line that is long\nother"), (6, rows[6][1]), (None, rows[1][1]), (70, None), (71, "\n\n"), (72, "\n".join(["A repeated line that is long"] * 3000))]
-    df = spark.createDataFrame([(*x, 1) for x in rows], "doc_id long, text string, n_lines int").repartition(4)
+    df = spark.createDataFrame([(*x, 1, 2, 3, 4, 5) for x in rows], "doc_id long, text string, n_lines int, _gone int, id int, _th int, own_th int").repartition(4)
+    assert lines.repeated_lines(df).columns == [c for c in df.columns if c != "n_lines"] + ["line_text", "n_lines", "n_dropped"]
     got = lines.repeated_lines(df).collect()
     assert sorted((str(g.doc_id), g.n_lines, g.n_dropped, g.line_text) for g in got) == brute_lines(rows)
     assert lines.repeated_lines(df.limit(0)).count() == 0
@@ -83,8 +84,9 @@ def test_mixing(spark, seed):
     names = ["b", "a", "é", "Z", None, "empty"][: 4 + seed]
     rows = [(i, r.choice(names[:2]) if r.random() < 0.5 else r.choice(names), " ".join("w" * r.randint(0, 80))) for i in range(400)]
     rows = [(d, s, None if s == "empty" else t) for d, s, t in rows] + [(7, "a", "x y"), (None, "b", "x y z")]
-    df = spark.createDataFrame([(*x, 1) for x in rows], "doc_id long, source string, text string, size int").repartition(4)
+    df = spark.createDataFrame([(*x, 1, 2, 3, 4) for x in rows], "doc_id long, source string, text string, size int, copies int, copy int, id int").repartition(4)
     got = mixing.mixture(df).collect()
+    assert sorted(map(str, mixing.mixture(df, slice_rows=1).collect())) == sorted(map(str, got))
     n = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
     sizes = defaultdict(int)
     for _, s, t in rows:
