@@ -55,7 +55,8 @@ def panel_intervals(messages: DataFrame, starts: Sequence[str], ends: Sequence[s
 
 
 def first_match(left: DataFrame, right: DataFrame, on: Column, left_key: Sequence[str], order: str | Column) -> DataFrame:
-    """Left join that keeps the first match of each left row in ``order``."""
+    """Left join that keeps the first match of each left row in ``order``. ``on``
+    should hold an equality: without one every row meets every other."""
     joined = left.join(right, on, "left")
     n = F.row_number().over(Window.partitionBy(*[left[k] for k in left_key]).orderBy(order))
     return joined.withColumn("_n", n).where("_n = 1").drop("_n")
@@ -69,9 +70,14 @@ def image_of_panel(panels: DataFrame, images: DataFrame, code: str = "panel", pa
 
 
 def audio_of_panel(panels: DataFrame, audio: DataFrame, code: str = "panel", path: str = "path", token: int = 2) -> DataFrame:
-    """The first recording, by path, of which a part of the name contains the code."""
-    part = audio.withColumn("_token", F.lower(F.get(F.split(F.element_at(F.split(path, "/"), -1), "_"), F.lit(token))))
-    return first_match(panels, part, F.col("_token").contains(panels[code]), panels.columns, F.col(path)).drop("_token")
+    """The first recording, by path, of which a part of the name contains the
+    code. Each part of a name is taken, so that codes are found by equality: a
+    name has few, and a code in no name none."""
+    name = F.lower(F.get(F.split(F.element_at(F.split(path, "/"), -1), "_"), F.lit(token)))
+    starts = F.sequence(F.lit(1), F.length("_token"))
+    parts = F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(1), F.length("_token") - i + 1), lambda n: F.substring("_token", i, n))))
+    within = audio.withColumn("_token", name).where(F.length("_token") > 0).select(path, F.explode(F.array_distinct(parts)).alias(code))
+    return panels.join(within.groupBy(code).agg(F.min(path).alias(path)), code, "left")
 
 
 def latest(df: DataFrame, keys: Keys, order: str) -> DataFrame:

@@ -30,7 +30,7 @@ def histogram_2d(df: DataFrame, x: str, y: str, width: int, height: int, keys: K
 
 
 def gaze_heatmap(df: DataFrame, x: str = "x", y: str = "y", keys: Keys = (), parity: bool = False) -> DataFrame:
-    """Counts of the screen's pixels from shares of it. With ``parity`` x is
+    """Counts of the screen's pixels (``bx``, ``by``, ``n``) from shares of it. With ``parity`` x is
     scaled by the height, y by the width and turned upside down."""
     w, h = (C.SCREEN_HEIGHT, C.SCREEN_WIDTH) if parity else (C.SCREEN_WIDTH, C.SCREEN_HEIGHT)
     px, py = F.col(x) * w, (h - F.col(y) * h) if parity else F.col(y) * h

@@ -164,6 +164,10 @@ def recode_unknown(df: DataFrame, event: str = "evt") -> DataFrame:
     return df.withColumn(event, F.when(F.col(event) == C.UNDEFINED, C.FIXATION).otherwise(F.col(event)))
 
 
+def only_fixations(df: DataFrame, event: str = "evt") -> DataFrame:
+    return df.where(F.col(event) == C.FIXATION)
+
+
 def clear_status(df: DataFrame, events: Sequence[int] = (1, 2, 3), event: str = "evt", status: str = "status") -> DataFrame:
     """Status 0 where the event is none of ``events``."""
     return df.withColumn(status, F.when(F.col(event).isin(*events), F.col(status)).otherwise(0))

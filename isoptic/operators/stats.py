@@ -105,8 +105,9 @@ def split_half(values: DataFrame, lengths: Sequence[int], repetitions: int, leas
     length ``l`` and ``rep``. A repetition permutes the first ``least`` places
     alike for all subjects and takes ``l`` and the next ``l`` of them.
 
-    Halves are the small side: lengths x repetitions x 2 l places, not
-    multiplied by subjects until the join, whose result is summed at once.
+    A subject's places are one array, and a repetition's halves one array for
+    each length; both are short, so subjects are dealt out and halves broadcast,
+    and no row of a place is ever made.
     """
     spark = values.sparkSession
     wanted = spark.createDataFrame([(int(x),) for x in lengths], "l int")
@@ -114,8 +115,14 @@ def split_half(values: DataFrame, lengths: Sequence[int], repetitions: int, leas
     rank = F.row_number().over(Window.partitionBy("rep").orderBy(permutation_key(F.col("rep"), F.col(pos).cast("long"), seed), pos))
     ranked = places.withColumn("_rank", rank)
     halves = ranked.join(F.broadcast(wanted), F.col("_rank") <= 2 * F.col("l")).select("l", "rep", pos, (F.col("_rank") <= F.col("l")).alias("_first"))
-    joined = halves.join(values.where(F.col(pos) < least).select(subject, pos, value), pos)
-    means = joined.groupBy("l", "rep", subject).agg(F.avg(F.when(F.col("_first"), F.col(value))).alias("_a"), F.avg(F.when(~F.col("_first"), F.col(value))).alias("_b"))
+    chosen = halves.groupBy("l", "rep").agg(*[F.sort_array(F.collect_list(F.when(side, F.col(pos)))).alias(name) for name, side in (("_p", F.col("_first")), ("_q", ~F.col("_first")))])
+    rows = values.where(F.col(pos) < least).groupBy(subject).agg(F.map_from_entries(F.collect_list(F.struct(F.col(pos).cast("long"), F.col(value).cast("double")))).alias("_v"))
+
+    def mean(places: str) -> Column:
+        held = F.filter(F.transform(places, lambda p: F.element_at("_v", p)), lambda x: x.isNotNull())
+        return F.try_divide(F.aggregate(held, F.lit(0.0), lambda a, x: a + x), F.size(held))
+
+    means = rows.join(hinted(chosen)).select("l", "rep", mean("_p").alias("_a"), mean("_q").alias("_b"))
     return means.groupBy("l", "rep").agg(F.corr("_a", "_b").alias("r"))
 
 

@@ -86,6 +86,17 @@ def speech_timing(events: DataFrame, participant: Keys, panel: Keys, scores: Dat
     return stats.two_level_median(gaps, "interval", participant, panel, panels, least)
 
 
+def declaration_shares(samples: DataFrame, events: DataFrame, participant: Keys, panel: Keys, order: str = "idx", more_than: int = 10, fewer_than: int = 250, parity: bool = False) -> DataFrame:
+    """For each panel, means over its utterances of the share of samples in the
+    key area and of fixations, where the panel's events are over ``more_than`` and
+    under ``fewer_than``. ``samples`` are labelled (``evt``), with ``y`` in shares
+    of the screen; of ``events``, begins open an utterance."""
+    by = [*participant, *panel]
+    joined = align.correlate(samples, stats.count_gate(events, by, more_than, fewer_than), by, "t", "sentence_breaks", "ord", order)
+    parts = align.segments_between(joined, F.col("audio_event") == 1, by, order)
+    return stats.mean_roi_shares(stats.roi_shares(parts, "y", "evt", by, "segment", order), by, "segment", parity)
+
+
 def distance_from_targets(samples: DataFrame, events: DataFrame, targets: DataFrame, participant: Keys, panel: Keys, order: str = "idx", nearest_cm: float = 3.0, more_than: int = 30, parity: bool = False) -> DataFrame:
     """Mean and deviation for each participant of the distance, in centimetres,
     between the n-th target and the closest fixation before the n-th utterance.

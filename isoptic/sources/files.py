@@ -10,7 +10,7 @@ import io
 import json
 import struct
 import wave
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -34,6 +34,11 @@ def listed(spark: SparkSession, path: str, glob: str = "*", contains: str | None
     return found.select("path", "name", "length", *(["content"] if contents else []))
 
 
+def allowed(files: DataFrame, names: Sequence[str], name: str = "name") -> DataFrame:
+    """Files whose name up to the first underscore is one of ``names``."""
+    return files.where(F.split(name, "_")[0].isin(*names))
+
+
 def directories(files: DataFrame, root: str, task: str) -> DataFrame:
     """Distinct ``grp`` and ``participant`` of files below root/grp/participant/task."""
     rest = F.regexp_extract("path", rf"{root.rstrip('/')}/([^/]+)/([^/]+)/{task}/", 1), F.regexp_extract("path", rf"{root.rstrip('/')}/([^/]+)/([^/]+)/{task}/", 2)
