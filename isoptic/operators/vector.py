@@ -38,7 +38,9 @@ def pairwise_distances(left: DataFrame, right: DataFrame, left_id: str, right_id
 
 
 def kmeans(df: DataFrame, vector: str, k: int = 7, iterations: int = 10, seed: int = 0) -> tuple[KMeansModel, DataFrame]:
-    """The model and ``df`` with its ``cluster``."""
+    """The model and ``df`` with its ``cluster``. The start is k-means|| and a
+    cluster that loses its rows keeps its centre; where the start is random and
+    an empty cluster takes a random row, clusters can differ."""
     rows = df.withColumn("_v", array_to_vector(F.transform(vector, lambda x: x.cast("double"))))
     model = KMeans(k=k, maxIter=iterations, seed=seed, featuresCol="_v", predictionCol="cluster").fit(rows)
     return model, model.transform(rows).drop("_v")
