@@ -88,3 +88,18 @@ def test_streams(spark, tmp_path):
     heat = {r.user: r.heat for r in run(streaming.decayed_counts(stream(), "user", "n"), "update", "heat")}
     assert np.isclose(heat["a"], sum(0.99**k for k in range(5))) and heat["b"] == 1
     assert sorted((r.user, r.v, r.n) for r in run(streaming.run_lengths(stream(), "user", "n", "v"), "append", "runs")) == [("a", 1, 2), ("a", 3, 2)]
+
+
+def test_idle_series_end(spark, tmp_path):
+    at = lambda s: pd.to_datetime("2024-01-01") + pd.to_timedelta(s, unit="s")
+    parts = [[("a", 0, 1, 0), ("a", 1, 1, 10), ("b", 2, 5, 20)], [("b", 3, 5, 40_000)], [("b", 4, 6, 80_000)]]
+    for k, rows in enumerate(parts):
+        part = pd.DataFrame([(u, n, v, at(s)) for u, n, v, s in rows], columns=["user", "n", "v", "ts"])
+        spark.createDataFrame(part).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema("user string, n long, v long, ts timestamp").parquet(str(tmp_path / "in"))
+        for name, df, mode in (("runs", streaming.run_lengths(stream, "user", "n", "v", "ts", 600.0, "1 minute"), "append"), ("heat", streaming.decayed_counts(stream, "user", "n", 0.5, "ts", 600.0, "1 minute"), "update")):
+            saved = lambda batch, _, name=name, k=k: batch.write.mode("append").parquet(str(tmp_path / f"{name}-{k}"))
+            df.writeStream.foreachBatch(saved).outputMode(mode).option("checkpointLocation", str(tmp_path / f"{name}-state")).trigger(availableNow=True).start().awaitTermination()
+    runs = [(r.user, r.v, r["n"]) for k in range(3) for r in spark.read.schema("user string, v long, n long").parquet(str(tmp_path / f"runs-{k}")).collect()]
+    # The run of a, idle, has ended; those of b were cut by its own long pauses.
+    assert sorted(runs)[0] == ("a", 1, 2) and all(r[0] in "ab" for r in runs)
