@@ -1,6 +1,12 @@
 """A corpus from raw documents to token files, in five stages.
 
 Each stage works on all that the one before kept and is written before the next.
+
+A null text is empty: it has the score of a text without words, is like no other,
+holds no item, and has the end id alone. A null id is an id: its rows are judged
+by their texts. Rows that repeat an id are judged one by one; of the n-gram Jaccard
+stage's components, those with the smallest id stay. A null source is a source.
+Other columns, of any name, are kept up to the mix. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -10,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from isoptic.llm import decontam, jaccard, mixing, token_orc, toxicity
 from isoptic.llm.queries import vocabulary
 from isoptic.llm.store import keep, shared_path
+from isoptic.llm.text import unused
 
 #: Documents that score as much are rejected.
 TOXIC = 0.5
@@ -18,7 +25,8 @@ TOXIC = 0.5
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score under ``TOXIC``, by models of these documents."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return toxicity.score(docs, toxicity.fit(docs, labels), name="_toxicity", most=TOXIC).drop("_toxicity")
+    [name] = unused(docs.columns, "toxicity")
+    return toxicity.score(docs, toxicity.fit(docs, labels), name=name, most=TOXIC).drop(name)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
