@@ -24,15 +24,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .skew import SALTS, salted_join
+from .skew import SALTS, salted_join, tasks
 from .store import keep, make_dir
 
 MIN_PAYLOAD = 1000
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 URN = "urn:isoptic:page:"
-#: Bytes of WARC in one member, and of records that one task reads at a time.
-MEMBER_BYTES, CHUNK_BYTES = 64 << 20, 8 << 20
+#: Bytes of WARC in one member, and of records that are read at a time.
+MEMBER_BYTES, CHUNK_BYTES = 64 << 20, 1 << 20
+#: Packages of which one task reads the indexes, and bytes of packages to a task
+#: that reads records.
+PACKAGES, TASK_BYTES = 4, 16 << 20
 _EOCD, _EOCD64, _LOCATOR, _CENTRAL, _LOCAL = b"PK\x05\x06", b"PK\x06\x06", b"PK\x06\x07", b"PK\x01\x02", b"PK\x03\x04"
 
 
@@ -103,7 +106,7 @@ def members(read: Callable[[int, int], bytes], size: int) -> dict[str, tuple[int
     return out
 
 
-def _ranges(path: str, size: int) -> Iterator[tuple[int, int]]:
+def _ranges(path: str, size: int, chunk: int) -> Iterator[tuple[int, int]]:
     """Offset and length of chunks of records, from the package's indexes."""
     system, name = _open(path)
     with system.open_input_file(name) as f:
@@ -115,7 +118,7 @@ def _ranges(path: str, size: int) -> Iterator[tuple[int, int]]:
             for line in f.read_at(n, at).splitlines():
                 x = json.loads(line)
                 base = found[f"archive/{x['filename']}"][0] + x["offset"]
-                if begin is not None and (base != end or end + x["length"] - begin > CHUNK_BYTES):
+                if begin is not None and (base != end or end + x["length"] - begin > chunk):
                     yield begin, end - begin
                     begin = None
                 begin, end = base if begin is None else begin, base + x["length"]
@@ -149,15 +152,18 @@ def read_packages(spark: SparkSession, path: str, with_payload: bool = True) ->
 
     ``payload_bytes`` and ``payload_digest`` are taken from the payload; a
     revisit has none of its own and says them in its headers. Packages and
-    then chunks of records are dealt out, so one large package is read by many
-    tasks. An empty folder gives an empty result.
+    then chunks of records are dealt out, to as many tasks as there are bytes
+    for, so one large package is read by many tasks. An empty folder gives an
+    empty result.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path).select("path", "length")
+    chunk = CHUNK_BYTES
+    packages, size = files.agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0))).first()
 
     def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for x in batch.to_pylist():
-                got = list(_ranges(x["path"], x["length"]))
+                got = list(_ranges(x["path"], x["length"], chunk))
                 yield pa.record_batch([pa.array([x["path"]] * len(got), pa.string()), pa.array([a for a, _ in got], pa.int64()), pa.array([n for _, n in got], pa.int64())], names=["path", "at", "n"])
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,8 +174,10 @@ def read_packages(spark: SparkSession, path: str, with_payload: bool = True) ->
                     rows = [_row(*r, with_payload) for r in _records(f.read_at(x["n"], x["at"]))]
                 yield pa.RecordBatch.from_pylist(rows, SCHEMA)
 
-    spread = files.repartition("path").mapInArrow(ranges, "path string, at long, n long")
-    return spread.repartition("path", "at").mapInArrow(records, RECORD)
+    # A number given outright isn't packed into fewer tasks by the rows' bytes,
+    # which say nothing of what is read for them.
+    spread = files.repartition(tasks(packages, PACKAGES, 1), "path").mapInArrow(ranges, "path string, at long, n long")
+    return spread.repartition(tasks(size, TASK_BYTES), "path", "at").mapInArrow(records, RECORD)
 
 
 SCHEMA = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())])
