@@ -1,8 +1,8 @@
 """Line de-duplication across documents.
 
-Normalised lines are exploded and hashed (128 bits), distinct documents are
-counted for each hash, and the lines over the threshold are taken out by their
-position in the text.
+Normalised lines are exploded and hashed (128 bits) once, distinct documents
+are counted for each hash, and the lines over the threshold are taken out by
+their position in the text.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .skew import SALTS, salted_join
 from .store import keep
-from .text import SPACES, ascii_lower
+from .text import SPACES, ascii_lower, unused
 
 
 def line_key(line: Column) -> Column:
@@ -40,12 +40,13 @@ def repeated_lines(
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     # The text's hash tells rows apart that repeat an id with another text.
-    lines = (
+    lines = keep(
         docs.where(F.col(id_col).isNotNull())
         .select(F.col(id_col).alias("id"), F.xxhash64(text).alias("th"), F.posexplode(F.split(text, "\n")).alias("pos", "line"))
         .select("id", "th", "pos", line_key(F.col("line")).alias("key"))
         .where(F.length("key") >= min_chars)
-        .select("id", "th", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"))
+        .select("id", "th", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2")),
+        "hashed-lines",
     )
     # Pairs are made distinct first: hot keys are spread by their documents, and
     # each task then hands on one row for a key.
@@ -55,17 +56,19 @@ def repeated_lines(
         salted_join(lines, drops, ["h1", "h2"], ["id", "pos"], how="inner", salts=salts)
         .where("id <> last")
         .groupBy("id", "th")
-        .agg(F.collect_set("pos").alias("_gone"))
-        .select(F.col("id").alias("_id"), F.col("th").alias("_th"), "_gone")
+        .agg(F.collect_set("pos").alias("gone"))
     )
-    rows = docs.withColumn("_th", F.xxhash64(text))
-    joined = rows.join(gone, (rows[id_col] == gone["_id"]) & (rows["_th"] == gone["_th"]), "left")
+    taken = [*docs.columns, "line_text", "n_lines", "n_dropped"]
+    own_th, i, th, lost = unused(taken, "own_th", "id", "th", "gone")
+    gone = gone.select(F.col("id").alias(i), F.col("th").alias(th), F.col("gone").alias(lost))
+    rows = docs.withColumn(own_th, F.xxhash64(text))
+    joined = rows.join(gone, (F.col(id_col) == F.col(i)) & (F.col(own_th) == F.col(th)), "left")
     parts = F.split(text, "\n")
     # array_except hashes its second side, so long texts stay linear.
-    left = F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_gone")), lambda p: F.get(parts, p))
-    return (
-        joined.withColumn("line_text", F.when(F.col("_gone").isNull(), text).otherwise(F.array_join(left, "\n")))
-        .withColumn("n_lines", F.size(parts).cast("long"))
-        .withColumn("n_dropped", F.coalesce(F.size("_gone"), F.lit(0)).cast("long"))
-        .select(*[c for c in docs.columns if c not in ("line_text", "n_lines", "n_dropped")], "line_text", "n_lines", "n_dropped")
+    left = F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(lost)), lambda p: F.get(parts, p))
+    return joined.select(
+        *[c for c in docs.columns if c not in ("line_text", "n_lines", "n_dropped")],
+        F.when(F.col(lost).isNull(), text).otherwise(F.array_join(left, "\n")).alias("line_text"),
+        F.size(parts).cast("long").alias("n_lines"),
+        F.coalesce(F.size(lost), F.lit(0)).cast("long").alias("n_dropped"),
     )
