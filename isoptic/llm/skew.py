@@ -34,6 +34,14 @@ def hinted(ids: DataFrame, most: int = BROADCAST) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= most else ids
 
 
+def parts_of(texts: DataFrame, least: int = 0, each: int = 32 << 20) -> int:
+    """Buckets for what is made of ``text``, of about ``each`` bytes of it, so that
+    one bucket's size doesn't follow the input's; as many as the session asks for
+    at least."""
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(least, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // each))
+
+
 def tasks(rows: int, each: int, least: int = 8) -> int:
     """How many tasks take ``rows``, about ``each`` a task."""
     return max(least, -(-rows // each))

@@ -25,8 +25,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import tokens
-from .skew import salted_join
-from .store import arrow_rows, keep
+from .skew import parts_of, salted_join
+from .store import keep, small_batches
+from .text import unused
 
 WINDOW, GRAM = 50, 20
 #: Windows of a run, at most; words of an index and of a shard, about; runs of
@@ -34,8 +35,6 @@ WINDOW, GRAM = 50, 20
 RUN, INDEX_WORDS, SHARD_WORDS, HOT = 64, 500_000, 1_500_000, 2_000
 _BASE = int(tokens.multipliers(7)[-1])
 _BACK = pow(_BASE, -1, 1 << 64)
-#: Rows of an Arrow batch, where rows hold a text and its minimisers.
-ROWS = 2000
 KEYED = np.dtype([("key", "<u8"), ("c", "<u8"), ("doc", "<i8")])
 PIECE = np.dtype([("key", "<u8"), ("c", "<u8"), ("doc", "<i8"), ("n", "<u4"), ("words", "<u4")])
 
@@ -237,21 +236,33 @@ def _cut(window: int, gram: int, buckets: int):
 
 
 class BitVector:
-    """Bits with a count for every 64 of them."""
+    """Bits with counts in two steps: of all before every eighth word, and of
+    those from there on before each word. That is 1.3 bits a bit."""
 
     def __init__(self, bits: np.ndarray) -> None:
-        n = len(bits)
-        words = np.zeros(n // 64 + 1, np.uint64)
+        n = len(bits) // 64 + 1
+        words = np.zeros(n, np.uint64)
         packed = np.packbits(bits, bitorder="little")
         words.view(np.uint8)[: len(packed)] = packed
-        self.words = words
-        self.before = np.concatenate([[0], np.cumsum(np.bitwise_count(words), dtype=np.int64)])[:-1]
+        before = np.concatenate([[0], np.cumsum(np.bitwise_count(words), dtype=np.int64)])[:-1]
+        self.words, self.far = words, before[::8].astype(np.uint32)
+        self.near = (before - self.far[np.arange(n) >> 3]).astype(np.uint16)
 
     def rank(self, i: np.ndarray) -> np.ndarray:
         """Ones before each place."""
         word = i >> 6
         low = (np.uint64(1) << (i & 63).astype(np.uint64)) - np.uint64(1)
-        return self.before[word] + np.bitwise_count(self.words[word] & low)
+        return self.far[word >> 3].astype(np.int64) + self.near[word] + np.bitwise_count(self.words[word] & low)
+
+
+class Groups:
+    """Runs of places, by a bit where each begins and one number a run."""
+
+    def __init__(self, begins: np.ndarray) -> None:
+        self.bits, self.start = BitVector(begins), np.append(np.flatnonzero(begins), len(begins)).astype(np.uint32)
+
+    def of(self, i: np.ndarray) -> np.ndarray:
+        return self.bits.rank(i + 1) - 1
 
 
 class WaveletMatrix:
@@ -304,7 +315,11 @@ class FMIndex:
         half = rank
         rank = joined(rank, window - span) if span < window else rank
         order = np.argsort(rank * (int(doc.max()) + 1) + doc)
-        self.first_doc = doc[order]
+        new = np.ones(n, bool)  # suffixes whose first window words are the same are one group
+        new[1:] = rank[order[1:]] != rank[order[:-1]]
+        self.whole = Groups(new)
+        # Documents are sampled: only that of a group's first suffix, the smallest, is kept.
+        self.least = doc[order[new]].astype(np.uint32)
         # Suffixes whose first window - 1 words are the same.
         same = np.zeros(n, bool)
         same[1:] = half[order[1:]] == half[order[:-1]]
@@ -313,13 +328,10 @@ class FMIndex:
             later = np.full(n, -1)
             later[: n - shift] = half[shift:]
             same[1:] &= later[order[1:]] == later[order[:-1]]
-        begin = np.where(same, 0, np.arange(n))
-        self.low = np.maximum.accumulate(begin)
-        size = np.diff(np.append(np.flatnonzero(~same), n))
-        self.high = self.low + np.repeat(size, size)
+        self.cut = Groups(~same)
         self.bwt = WaveletMatrix(text[order - 1], kinds)
         self.before = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=kinds))])
-        self.text, self.window, self.n = text, window, n
+        self.text, self.window, self.n = text.astype(np.uint32), window, n
 
     def windows(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
         """For each word at which a whole window of the runs [begin, end) starts,
@@ -333,12 +345,13 @@ class FMIndex:
             k = int(np.searchsorted(-size, -step, "right"))
             a, b, here = lo[:k], hi[:k], at[:k] - (step - 1)
             if step > self.window:  # the match is cut by a word at its end
-                a, b = self.low[a], self.high[a]
+                group = self.cut.of(a)
+                a, b = (self.cut.start[group + k].astype(np.int64) for k in (0, 1))
             symbol = self.text[here]
             both = self.bwt.rank(np.concatenate([symbol, symbol]), np.concatenate([a, b])) + np.tile(self.before[symbol], 2)
             lo[:k], hi[:k] = both[:k], both[k:]
             if step >= self.window:
-                out[here] = self.first_doc[lo[:k]]
+                out[here] = self.least[self.whole.of(lo[:k])]
         if not (lo < hi).all():
             raise AssertionError("an indexed run was not found")
         return out
@@ -410,15 +423,15 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     """``id``, ``th`` (the text's hash) and ``lost``: the word intervals [{s, e}]
     that repeat a smaller document, of every document that has any."""
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = parts_of(rows)
     keyed = rows.mapInArrow(tokens.tidy(_keys(window, gram, parts)), BLOBS).repartition(parts, "bucket").select("blob").mapInArrow(tokens.tidy(_shared(hot)), "id long, keys binary, hot binary, runs long")
     shared = keep(keyed, "minimisers")
     runs = shared.agg(F.sum("runs")).first()[0] or 0
     shards = max(parts, runs * (window + 15) // SHARD_WORDS)
     listed = shared.groupBy("id").agg(F.collect_list("keys").alias("keys"), F.collect_list("hot").alias("hot"))
-    with arrow_rows(spark, ROWS):
-        cut = keep(rows.withColumn("th", F.xxhash64("text")).join(listed, "id").mapInArrow(tokens.tidy(_cut(window, gram, shards)), CUT), "runs")
+    cut = keep(rows.withColumn("th", F.xxhash64("text")).join(listed, "id").mapInArrow(tokens.tidy(_cut(window, gram, shards)), CUT), "runs")
     found = keep(cut.where("blob is not null").select("bucket", "blob").repartition(shards, "bucket").select("blob").mapInArrow(tokens.tidy(_index(window)), FOUND), "found")
     places = cut.where("c is not null").select("c", "id", "th", "at", "n")
     met = salted_join(places, found, ["c"], ["id", "at"], how="inner").where("id > m or size(spans) > 0")
@@ -439,16 +452,17 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     has in common with smaller ones. Columns named as those above are
     replaced; an empty table gives an empty result.
     """
-    lost = repeated(docs, id_col, text_col, window, gram, hot).select(F.col("id").alias("_id"), F.col("th").alias("_th"), F.col("lost").alias("_lost"))
     rest = [c for c in docs.columns if c not in ("kept_text", "n_words", "n_removed")]
+    i, th, spans = unused(docs.columns, "id", "th", "lost")
+    lost = repeated(docs, id_col, text_col, window, gram, hot).select(F.col("id").alias(i), F.col("th").alias(th), F.col("lost").alias(spans))
     rows = docs.select(*rest)
-    joined = rows.join(lost, (rows[id_col].cast("long") == lost["_id"]) & (F.xxhash64(text_col) == lost["_th"]), "left").drop("_id", "_th")
+    joined = rows.join(lost, (F.col(id_col).cast("long") == F.col(i)) & (F.xxhash64(text_col) == F.col(th)), "left").select(*rest, spans)
     schema = T.StructType([*rows.schema.fields, T.StructField("kept_text", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tokens.pieces(batches, text_col):
             data, off = tokens.buffers(batch.column(text_col))
-            raw, gone = data.tobytes(), batch.column("_lost")
+            raw, gone = data.tobytes(), batch.column(spans)
             kept, n, removed = [], [], []
             has = gone.is_valid().to_numpy(zero_copy_only=False)
             for i, (a, b) in enumerate(zip(off[:-1].tolist(), off[1:].tolist(), strict=True)):

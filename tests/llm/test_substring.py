@@ -49,8 +49,9 @@ def corpus(seed, window):
 def test_against_all_windows(spark, seed, window, gram, hot, monkeypatch):
     monkeypatch.setattr(substring, "INDEX_WORDS", 2000 if seed % 2 else 1_000_000)
     rows = corpus(seed, window)
-    df = spark.createDataFrame([(*x, 1) for x in rows], "doc_id long, text string, n_words int").repartition(3)
+    df = spark.createDataFrame([(*x, 1, 2, 3) for x in rows], "doc_id long, text string, n_words int, id int, _lost int").repartition(3)
     got = substring.without_repeats(df, window=window, gram=gram, hot=hot).collect()
+    assert [c for c in got[0].__fields__ if c in ("id", "_lost")] == ["id", "_lost"]
     assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in got), key=str) == brute(rows, window)
 
 
