@@ -1,17 +1,24 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Two bigram models, of toxic and of ordinary labelled documents, give each word
-of a text a log-likelihood ratio. Discounted bigrams back off to how many
-different words a word follows in its class, and those to counts of the whole
-corpus that both classes share, so an expression that is rare in the labelled
-documents says the same under either. A text's ratios are normalised by length
-twice, over all its words and over its few most toxic expressions, and a
-logistic curve fitted on other labelled documents turns them into a score.
-
-Counts at or below the discount leave no trace of their own, so the tables that
-scoring needs hold only what occurs more often in the labelled sample. They are
-bounded by that sample (``per_class`` documents a class) and are broadcast; the
-counting behind them, shared counts over every document included, is distributed.
+Two interpolated bigram models, of toxic and of ordinary labelled documents, give
+a text its log-likelihoods. A bigram's count is discounted by what the counts of
+counts say, and backs off to how many different words a word follows in its
+class; that is discounted alike and backs off to counts of the whole corpus that
+both classes share, so an expression that is rare in the labelled documents says
+about the same under either.
+
+What the difference of the two is worth is measured and not assumed: words of
+other labelled documents are put in cells by how large it is and by how often the
+sample has the expression, and a cell's evidence is how much more often toxic
+documents come to it than ordinary ones. So a difference that rests on one
+occurrence counts for what such differences have been worth. A text's evidence,
+normalised by length, and that of its most toxic word make its score by a logistic
+curve.
+
+The counting, shared counts over every document included, is distributed, and so
+is what follows from it. Only differences of bigrams, words and contexts of the
+labelled sample, which ``per_class`` bounds, are broadcast; every other word has
+one difference that stands for all.
 """
 
 from __future__ import annotations
@@ -26,18 +33,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import tokens
-from .store import arrow_rows, keep
-
-#: Labelled documents of a class that are learnt from, at most (about: dealt by hash).
-PER_CLASS = 20_000
-#: What is taken from the count of a word and of a bigram.
-D1, D2 = 2, 4
-#: Expressions that count as a text's most toxic.
-TOP = 3
+from .store import discard, keep, small_batches
+
+#: Labelled documents of a class that are learnt from, at most (about: dealt by
+#: hash). The broadcast tables follow this and not the corpus: 13 bytes for each
+#: distinct bigram of the sample.
+PER_CLASS = 4_000
+CLASSES = ("ordinary", "toxic")
+#: Cells are of differences a unit apart, from -UNITS to UNITS, and of expressions
+#: seen 1, 2 to 3, 4 to 7 times and so on, in so many levels; 0 are those not seen.
+UNITS, LEVELS = 6, 8
+CELLS = 2 * UNITS * LEVELS
 #: Distinct n-grams that a task gathers before it hands them on.
-FLUSH = 800_000
-#: Rows of an Arrow batch of texts.
-ROWS = 2000
+FLUSH = 400_000
 FOLDS = 5
 HELD_OUT, CALIBRATE = 0, 4
 _PUNCT = np.zeros(256, bool)
@@ -49,20 +57,84 @@ def fold(id_col: str) -> Column:
     return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(FOLDS)).cast("int")
 
 
+@dataclass
+class Table:
+    """Values by 64-bit hashes. Hashes are spread evenly, so their first bits say
+    about where one stands."""
+
+    key: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
+    columns: list[np.ndarray] = field(default_factory=list)
+    start: np.ndarray = field(default_factory=lambda: np.zeros(3, np.uint32))
+
+    @staticmethod
+    def of(key: np.ndarray, *columns: np.ndarray) -> Table:
+        key = key.view(np.uint64)
+        order = np.argsort(key)
+        key, bits = key[order], max(1, len(key).bit_length())
+        first = np.searchsorted(key, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
+        return Table(key, [c[order] for c in columns], np.append(first, len(key)).astype(np.uint32))
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of ``keys`` are there, by place, and where."""
+        keys = keys.view(np.uint64)
+        b = (keys >> np.uint64(64 - (len(self.start) - 1).bit_length() + 1)).astype(np.int64)
+        at, end = self.start[b].astype(np.int64), self.start[b + 1]
+        live, found = np.flatnonzero(at < end), [np.zeros(0, np.int64)]
+        while len(live):
+            same = self.key[at[live]] == keys[live]
+            found.append(live[same])
+            live = live[~same]
+            at[live] += 1
+            live = live[at[live] < end[live]]
+        hit = np.sort(np.concatenate(found))
+        return hit, at[hit]
+
+
 @dataclass
 class Model:
-    words: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
-    word_ratio: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    other_ratio: float = 0.0
-    contexts: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
-    context_ratio: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    bigrams: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
-    bigram_ratio: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    mean: np.ndarray = field(default_factory=lambda: np.zeros(4))
-    scale: np.ndarray = field(default_factory=lambda: np.ones(4))
-    weights: np.ndarray = field(default_factory=lambda: np.zeros(5))
+    """Differences of log-likelihoods, toxic less ordinary, and the levels that
+    they rest on. ``words``: of a word by itself, its level, and what is added for
+    a word after it if the two aren't in the sample together; ``bigrams``: of a
+    word after another; ``other``: of a word that isn't in the sample."""
+
+    words: Table = field(default_factory=lambda: Table(columns=[np.zeros(0, np.float32), np.zeros(0, np.uint8), np.zeros(0, np.float32)]))
+    bigrams: Table = field(default_factory=lambda: Table(columns=[np.zeros(0, np.float32), np.zeros(0, np.uint8)]))
+    other: float = 0.0
+    evidence: np.ndarray = field(default_factory=lambda: np.zeros(CELLS))
+    mean: np.ndarray = field(default_factory=lambda: np.zeros(3))
+    scale: np.ndarray = field(default_factory=lambda: np.ones(3))
+    weights: np.ndarray = field(default_factory=lambda: np.zeros(4))
     prior: float = 0.0
 
+    def differences(self, w: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each word, given the one before it in its row, and the level."""
+        x, level = np.full(len(w), self.other), np.zeros(len(w), np.int64)
+        if not len(w):
+            return x, level
+        known, at = self.words.find(w)
+        x[known], level[known] = self.words.columns[0][at], self.words.columns[1][at]
+        context, inside = np.zeros(len(w)), np.zeros(len(w), bool)
+        context[known], inside[known] = self.words.columns[2][at], True
+        after = inside.copy()  # a bigram is of known words
+        after[1:] &= inside[:-1]
+        begins = first[:-1][np.diff(first) > 0]
+        after[begins] = False
+        context = np.roll(context, 1)
+        context[begins] = 0.0
+        x += context
+        both = np.flatnonzero(after)
+        pair, place = self.bigrams.find(_pair(w[both - 1], w[both]))
+        x[both[pair]], level[both[pair]] = self.bigrams.columns[0][place], self.bigrams.columns[1][place]
+        return x, level
+
+    def features(self, cells: np.ndarray) -> np.ndarray:
+        """Three numbers for each row of counts by cell: the mean evidence, the
+        largest, and the logarithm of the length, which makes up for more words
+        having a more toxic one."""
+        n = cells.sum(axis=1)
+        best = np.where(cells > 0, self.evidence, -np.inf).max(axis=1, initial=-np.inf)
+        return np.column_stack([(cells * self.evidence).sum(axis=1) / np.maximum(n, 1), np.where(n > 0, best, 0.0), np.log1p(n)])
+
 
 def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the lower-cased words without ASCII punctuation at either end,
@@ -83,53 +155,19 @@ def _pair(v: np.ndarray, w: np.ndarray) -> np.ndarray:
     return tokens.mix64(v.view(np.uint64) * m[0] + w.view(np.uint64) * m[1])
 
 
-def _find(table: np.ndarray, values: np.ndarray, keys: np.ndarray, other: float) -> np.ndarray:
-    if not len(table):
-        return np.full(len(keys), other)
-    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
-    return np.where(table[at] == keys, values[at], other)
-
-
-def _top(ratio: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """The mean of each row's ``TOP`` largest."""
-    n = np.diff(first)
-    out, full = np.zeros(len(n)), np.flatnonzero(n)
-    rows, left = np.repeat(np.arange(len(n)), n), ratio.copy()
-    for k in range(TOP):
-        if not len(full):
-            break
-        best = np.full(len(n), -np.inf)
-        best[full] = np.maximum.reduceat(left, first[full])
-        out[full] += best[full]
-        at = np.flatnonzero(left == best[rows])
-        at = at[np.unique(rows[at], return_index=True)[1]]
-        left[at] = -np.inf
-        full = full[n[full] > k + 1]
-    return out / np.clip(n, 1, TOP)
-
-
-def features(texts: pa.Array, model: Model) -> tuple[np.ndarray, np.ndarray]:
-    """Four numbers for each text, and its words."""
+def histogram(texts: pa.Array, model: Model) -> np.ndarray:
+    """How many words of each text are in each cell."""
     w, first = _words(texts)
-    n = np.diff(first)
-    single = _find(model.words, model.word_ratio, w, model.other_ratio)
-    ratio = single.copy()
-    if len(w):
-        v = np.roll(w, 1)
-        seen = _find(model.bigrams, model.bigram_ratio, _pair(v, w), np.nan)
-        after = np.where(np.isnan(seen), single + _find(model.contexts, model.context_ratio, v, 0.0), seen)
-        begins = np.zeros(len(w), bool)
-        begins[first[:-1][n > 0]] = True
-        ratio = np.where(begins, single, after)
-    total = np.concatenate([[0.0], np.cumsum(ratio)])
-    mean = (total[first[1:]] - total[first[:-1]]) / np.maximum(n, 1)
-    return np.column_stack([mean, _top(ratio, first), _top(single, first), np.log1p(n)]), n
+    x, level = model.differences(w, first)
+    n = len(first) - 1
+    cell = level * 2 * UNITS + np.clip(np.floor(x).astype(np.int64) + UNITS, 0, 2 * UNITS - 1)
+    return np.bincount(np.repeat(np.arange(n), np.diff(first)) * CELLS + cell, minlength=n * CELLS).reshape(n, CELLS)
 
 
 def scores(texts: pa.Array, model: Model) -> np.ndarray:
-    x, n = features(texts, model)
-    z = ((x - model.mean) / model.scale) @ model.weights[:-1] + model.weights[-1]
-    return np.where(n > 0, 1 / (1 + np.exp(-np.clip(z, -30, 30))), model.prior)
+    cells = histogram(texts, model)
+    z = ((model.features(cells) - model.mean) / model.scale * model.weights[:-1]).sum(axis=1) + model.weights[-1]
+    return np.where(cells.any(axis=1), 1 / (1 + np.exp(-np.clip(z, -30, 30))), model.prior)
 
 
 def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, per_class: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -201,8 +239,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     curve and the others the counts. Ids labelled twice are toxic if either
     label is; null labels and ids are passed over; of equal texts one counts.
     Without documents of both classes every score is the share of toxic ones.
+    Case and punctuation around a word don't count, words by 64-bit hashes.
     """
-    sc = docs.sparkSession.sparkContext
+    spark = docs.sparkSession
     key, label, part = _sample(docs, labels, id_col, text_col, per_class)
     model = Model(prior=float(label[part == CALIBRATE].mean()) if (part == CALIBRATE).any() else float(label.mean()) if len(label) else 0.0)
     counted = part != CALIBRATE
@@ -211,44 +250,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         model.weights[-1] = np.log(p / (1 - p))
         return model
     rows = docs.select(F.xxhash64(id_col).alias("k"), F.col(text_col).alias("text"))
-    with arrow_rows(docs.sparkSession, ROWS):
-        partial = rows.mapInArrow(tokens.tidy(_counter(key[counted], label[counted])), COUNTS)
-        counts = keep(partial.groupBy("gram", "v", "w").agg(*[F.sum(c).alias(c) for c in ("n", "ordinary", "toxic")]), "counts")
-    both = counts.where("gram = 2")
-    follows = both.groupBy("w").agg(*[F.count(F.when(F.col(c) > 0, 1)).alias(c) for c in ("ordinary", "toxic")])
-    follows = keep(follows, "follows")
-    sums = follows.agg(*[f(c).alias(f"{c}_{k}") for c in ("ordinary", "toxic") for k, f in (("all", F.sum), ("kept", lambda c: F.sum(F.least(F.col(c), F.lit(D1)))))]).first()
-    n_all, n_kinds = counts.where("gram = 1").agg(F.sum("n"), F.count(F.lit(1))).first()
-    frequent = both.where((F.col("ordinary") > D2) | (F.col("toxic") > D2)).select("v", "w", "ordinary", "toxic").toPandas()
-    needed = docs.sparkSession.createDataFrame([(int(x),) for x in frequent["w"].unique()], "w long")
-    seen = follows.where((F.col("ordinary") > D1) | (F.col("toxic") > D1)).unionByName(follows.join(needed, "w", "left_semi")).distinct()
-    single = seen.join(counts.where("gram = 1").select("w", "n"), "w").toPandas().sort_values("w")
-    before = (
-        both.groupBy("v")
-        .agg(*[f(c).alias(f"{c}_{k}") for c in ("ordinary", "toxic") for k, f in (("all", F.sum), ("kept", lambda c: F.sum(F.least(F.col(c), F.lit(D2)))))], F.max(F.greatest("ordinary", "toxic")).alias("most"))
-        .where(F.col("most") > D2)
-        .toPandas()
-        .sort_values("v")
-    )
-    shared = (single["n"].to_numpy() + 0.5) / (n_all + 0.5 * (n_kinds + 1))
-    p_word, p_next = {}, {}
-    at_w = np.searchsorted(single["w"].to_numpy(np.int64), frequent["w"].to_numpy(np.int64))
-    at_v = np.searchsorted(before["v"].to_numpy(np.int64), frequent["v"].to_numpy(np.int64))
-    lam = {}
-    for c in ("ordinary", "toxic"):
-        p_word[c] = (np.maximum(single[c].to_numpy() - D1, 0) + sums[f"{c}_kept"] * shared) / sums[f"{c}_all"]
-        every = before[f"{c}_all"].to_numpy()
-        lam[c] = np.where(every > 0, before[f"{c}_kept"].to_numpy() / np.maximum(every, 1), 1.0)
-        over = np.where(every > 0, 1 / np.maximum(every, 1), 0.0)
-        p_next[c] = np.maximum(frequent[c].to_numpy() - D2, 0) * over[at_v] + lam[c][at_v] * p_word[c][at_w]
-    model.words, model.word_ratio = single["w"].to_numpy(np.int64), np.log(p_word["toxic"] / p_word["ordinary"])
-    model.other_ratio = float(np.log(sums["toxic_kept"] / sums["toxic_all"]) - np.log(sums["ordinary_kept"] / sums["ordinary_all"]))
-    model.contexts, model.context_ratio = before["v"].to_numpy(np.int64), np.log(lam["toxic"] / lam["ordinary"])
-    pair = _pair(frequent["v"].to_numpy(np.int64), frequent["w"].to_numpy(np.int64))
-    order = np.argsort(pair)
-    model.bigrams, model.bigram_ratio = pair[order], np.log(p_next["toxic"] / p_next["ordinary"])[order]
-
-    tables, own, classes = sc.broadcast(model), key[~counted], label[~counted]
+    small_batches(spark)
+    partial = rows.mapInArrow(tokens.tidy(_counter(key[counted], label[counted])), COUNTS)
+    counts = keep(partial.groupBy("gram", "v", "w").agg(*[F.sum(c).alias(c) for c in ("n", *CLASSES)]), "counts")
+    _differences(counts, model)
+    discard(counts)
+
+    tables, own, classes = spark.sparkContext.broadcast(model), key[~counted], label[~counted]
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tokens.pieces(batches, "text"):
@@ -256,16 +264,79 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             at = np.minimum(np.searchsorted(own, k), len(own) - 1)
             mine = np.flatnonzero(own[at] == k)
             if len(mine):
-                x, _ = features(batch.column("text").take(pa.array(mine)), tables.value)
-                yield pa.record_batch([pa.array(k[mine]), pa.array(classes[at[mine]].astype(np.float64)), *[pa.array(c) for c in x.T]], names=["k", "y", "a", "b", "c", "d"])
-
-    got = rows.mapInArrow(tokens.tidy(measure), "k long, y double, a double, b double, c double, d double").toPandas().sort_values(["k", "d"])
-    _curve(model, got[["a", "b", "c", "d"]].to_numpy(), got["y"].to_numpy())
+                cells = histogram(batch.column("text").take(pa.array(mine)), tables.value)
+                off = pa.array(np.arange(0, cells.size + 1, CELLS, dtype=np.int32))
+                yield pa.record_batch([pa.array(k[mine]), pa.array(classes[at[mine]].astype(np.int32)), pa.ListArray.from_arrays(off, pa.array(cells.ravel()))], names=["k", "y", "cells"])
+
+    got = rows.mapInArrow(tokens.tidy(measure), "k long, y int, cells array<long>").toPandas()
+    tables.destroy()
+    cells, y = np.array(got["cells"].tolist(), np.int64).reshape(-1, CELLS), got["y"].to_numpy()
+    order = np.lexsort([*cells.T, got["k"].to_numpy()])
+    _calibrate(model, cells[order], y[order])
     return model
 
 
-def _curve(model: Model, x: np.ndarray, y: np.ndarray) -> None:
-    """Ridge logistic regression by Newton's method."""
+def _discount(counts: DataFrame, columns: tuple[str, ...]) -> dict[str, float]:
+    """What is taken from each count of a column: n1 / (n1 + 2 n2), where n1 and
+    n2 say how many counts are 1 and 2; a half where no count is."""
+    got = counts.agg(*[F.count(F.when(F.col(c) == k, 1)).alias(f"{c}_{k}") for c in columns for k in (1, 2)]).first()
+    return {c: got[f"{c}_1"] / (got[f"{c}_1"] + 2 * got[f"{c}_2"]) if got[f"{c}_1"] else 0.5 for c in columns}
+
+
+def _differences(counts: DataFrame, model: Model) -> None:
+    """The tables of ``model`` from the counts of words and of labelled bigrams."""
+    both = counts.where("gram = 2").select("v", "w", *CLASSES)
+    d2 = _discount(both, CLASSES)
+    kinds = [F.count(F.when(F.col(c) > 0, 1)).alias(c) for c in CLASSES]
+    follows = keep(both.groupBy("w").agg(*kinds), "follows")
+    d1 = _discount(follows, CLASSES)
+    every = follows.agg(*[f(c).alias(f"{c}_{k}") for c in CLASSES for k, f in (("sum", F.sum), ("kinds", lambda c: F.count(F.when(F.col(c) > 0, 1))))]).first()
+    n_all, n_kinds = counts.where("gram = 1").agg(F.sum("n"), F.count(F.lit(1))).first()
+    shared = (F.col("n") + 0.5) / F.lit(n_all + 0.5 * (n_kinds + 1))
+    left = lambda c, d: F.greatest(F.col(c) - F.lit(d), F.lit(0.0))
+
+    # Of a class: what all words together have lost, by shared counts.
+    rest = {c: d1[c] * every[f"{c}_kinds"] / every[f"{c}_sum"] for c in CLASSES}
+    single = follows.join(counts.where("gram = 1").select("w", "n"), "w")
+    single = keep(single.select("w", (F.col("ordinary") + F.col("toxic")).alias("seen"), *[(left(c, d1[c]) / every[f"{c}_sum"] + rest[c] * shared).alias(c) for c in CLASSES]), "single")
+    model.other = float(np.log(rest["toxic"] / rest["ordinary"]))
+
+    # After a word that the class doesn't have, nothing is known but the word by itself.
+    known = [x for c in CLASSES for x in (F.sum(c).alias(f"{c}_sum"), F.count(F.when(F.col(c) > 0, 1)).alias(f"{c}_kinds"))]
+    passed = [F.when(F.col(f"{c}_sum") > 0, F.lit(d2[c]) * F.col(f"{c}_kinds") / F.col(f"{c}_sum")).otherwise(1.0).alias(f"{c}_rest") for c in CLASSES]
+    before = keep(both.groupBy("v").agg(*known).select("v", *[f"{c}_sum" for c in CLASSES], *passed), "before")
+    held = both.join(before, "v").join(single.withColumnsRenamed({c: f"{c}_word" for c in CLASSES}), "w")
+    after = {c: F.when(F.col(f"{c}_sum") > 0, left(c, d2[c]) / F.col(f"{c}_sum")).otherwise(0.0) + F.col(f"{c}_rest") * F.col(f"{c}_word") for c in CLASSES}
+    less = lambda a, b: (F.log(a) - F.log(b)).cast("float").alias("x")
+
+    level = lambda n: F.least(F.floor(F.log2(n)) + 1, F.lit(LEVELS - 1)).cast("byte").alias("level")
+
+    def table(df: DataFrame) -> list[np.ndarray]:
+        got = df.toArrow()
+        return [got.column(i).to_numpy() for i in range(got.num_columns)]
+
+    w, x, n = table(single.select("w", less(F.col("toxic"), F.col("ordinary")), level(F.col("seen"))))
+    v, passed_on = table(before.select("v", less(F.col("toxic_rest"), F.col("ordinary_rest"))))
+    every = np.union1d(w, v)
+    columns = [np.full(len(every), model.other, np.float32), np.zeros(len(every), np.uint8), np.zeros(len(every), np.float32)]
+    columns[0][np.searchsorted(every, w)], columns[1][np.searchsorted(every, w)], columns[2][np.searchsorted(every, v)] = x, n, passed_on
+    model.words = Table.of(every, *columns)
+    seen = F.least(F.col("seen"), F.col("ordinary") + F.col("toxic"))
+    v, w, x, n = table(held.select("v", "w", less(after["toxic"], after["ordinary"]), level(seen)))
+    model.bigrams = Table.of(_pair(v, w), x, n.astype(np.uint8))
+    for df in (follows, single, before):
+        discard(df)
+
+
+def _calibrate(model: Model, cells: np.ndarray, y: np.ndarray) -> None:
+    """The evidence of each cell, from documents that the tables don't know, and a
+    ridge logistic regression on it by Newton's method."""
+    n = [cells[y == c].sum(axis=0).astype(np.float64) for c in (0, 1)]
+    both = n[0].sum() + n[1].sum()
+    # A word more in each cell, dealt to the classes as all words are.
+    share = [(x + x.sum() / both) / max(x.sum(), 1.0) for x in n]
+    model.evidence = np.log(share[1] / share[0]) if n[0].sum() and n[1].sum() else np.zeros(CELLS)
+    x = model.features(cells)
     model.mean, model.scale = x.mean(0), x.std(0) + 1e-9
     a, w = np.column_stack([(x - model.mean) / model.scale, np.ones(len(x))]), np.zeros(x.shape[1] + 1)
     for _ in range(50):
@@ -281,6 +352,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "to
     """``docs`` with the column ``name``, each text's score from 0 to 1; with
     ``most``, only rows that score less. A text without words has the share of
     toxic documents as its score. A column of that name is replaced."""
+    small_batches(docs.sparkSession)
     tables = docs.sparkSession.sparkContext.broadcast(model)
     rest = [c for c in docs.columns if c != name]
     rows = docs.select(*rest)

@@ -1,6 +1,9 @@
-"""Toxicity: held-out accuracy, and probabilities that are some."""
+"""Toxicity: held-out accuracy, and Kneser-Ney worked out by hand."""
 
+import math
 import random
+import zlib
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -46,7 +49,7 @@ def test_held_out(spark):
     # Labels of the held-out fold change nothing.
     other = lab.withColumn("toxic", F.when(toxicity.fold("doc_id") == 0, 1 - F.col("toxic")).otherwise(F.col("toxic")))
     again = toxicity.fit(d, other)
-    assert np.array_equal(again.weights, model.weights) and np.array_equal(again.word_ratio, model.word_ratio)
+    assert np.array_equal(again.weights, model.weights) and np.array_equal(again.bigrams.columns[0], model.bigrams.columns[0])
 
 
 def test_small_corpus(spark):
@@ -64,9 +67,99 @@ def test_without_classes(spark, labels):
     assert toxicity.score(d.limit(0), toxicity.fit(d.limit(0), lab)).count() == 0
 
 
-def test_top_and_words():
-    first = np.array([0, 3, 3, 4, 9])
-    x = np.array([1.0, 5, 5, 2, 7, 7, 1, 0, 7])
-    assert toxicity._top(x, first).tolist() == [11 / 3, 0, 2, 7]
+def plain(text):
+    words = [w.lower() if len(w) < 2 else w.lower().strip("".join(c for c in map(chr, range(33, 127)) if not c.isalnum())) for w in (text or "").split()]
+    return words
+
+
+def kneser_ney(corpus, texts):
+    """P(word | before) of a class, from its ``texts`` and the whole corpus."""
+    pairs, n = Counter(), Counter()
+    for t in corpus:
+        n.update(plain(t))
+    for t in texts:
+        w = plain(t)
+        pairs.update(zip(w, w[1:]))
+
+    def discount(counts):
+        n1, n2 = (sum(c == k for c in counts) for k in (1, 2))
+        return n1 / (n1 + 2 * n2) if n1 else 0.5
+
+    d2 = discount(pairs.values())
+    follows = Counter(w for _, w in pairs)
+    d1 = discount(follows.values())
+    after = defaultdict(dict)
+    for (v, w), c in pairs.items():
+        after[v][w] = c
+
+    def word(w):
+        shared = (n[w] + 0.5) / (sum(n.values()) + 0.5 * (len(n) + 1))
+        kinds = sum(follows.values())
+        return max(follows[w] - d1, 0) / kinds + d1 * len(follows) / kinds * shared
+
+    def given(w, v):
+        if v not in after:
+            return word(w)
+        total = sum(after[v].values())
+        return max(after[v].get(w, 0) - d2, 0) / total + d2 * len(after[v]) / total * word(w)
+
+    return word, given
+
+
+def test_differences_are_kneser_ney(spark):
+    r = random.Random(2)
+    words = [f"w{i}" for i in range(25)]
+    rude = ["vile", "rotten", "Wretch!"]
+    docs, labels = [], []
+    for d in range(200):
+        toxic = d % 3 == 0
+        t = [r.choice(words + rude * (4 if toxic else 0)) for _ in range(r.randint(1, 14))]
+        docs.append((d, " ".join(t) + f" only{d}"))
+        if d < 150:
+            labels.append((d, int(toxic)))
+    docs += [(500, "never labelled words here"), (501, None)]
+    model = toxicity.fit(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    fold = lambda d: zlib.crc32(str(d).encode()) % toxicity.FOLDS
+    text = dict(docs)
+    used = {c: [text[d] for d, y in labels if y == c and fold(d) not in (toxicity.HELD_OUT, toxicity.CALIBRATE)] for c in (0, 1)}
+    ordinary, toxic = (kneser_ney(text.values(), used[c]) for c in (0, 1))
+    asked = [*text.values(), "vile vile unseen w1 w2", "unseen"]
+    w, first = toxicity._words(pa.array(asked))
+    got, level = model.differences(w, first)
+    want, levels = [], []
+    follows, pairs = Counter(), Counter()
+    for c in (0, 1):
+        own = Counter(p for t in used[c] for p in zip(plain(t), plain(t)[1:]))
+        pairs += own
+        follows += Counter(w for _, w in own)
+    for t in asked:
+        own = plain(t)
+        for v, x in zip([None, *own], own):
+            want.append(math.log(toxic[0](x) / ordinary[0](x)) if v is None else math.log(toxic[1](x, v) / ordinary[1](x, v)))
+            levels.append(min(7, min(follows[x], pairs[v, x] or follows[x]).bit_length()))
+    assert np.abs(got - np.array(want)).max() < 1e-5 and level.tolist() == levels
+    # A score doesn't depend on the batch that a text is in.
+    whole = toxicity.scores(pa.array(asked), model)
+    assert [toxicity.scores(pa.array([t], pa.string()), model)[0] for t in asked] == whole.tolist()
+    # Length-normalised evidence, of the whole text and at its highest.
+    x = model.features(toxicity.histogram(pa.array(asked), model))
+    worth = model.evidence[level * 12 + np.clip(np.floor(got).astype(int) + 6, 0, 11)]
+    for k, (a, b) in enumerate(zip(first[:-1], first[1:])):
+        assert x[k].tolist() == pytest.approx([worth[a:b].mean(), worth[a:b].max(), math.log1p(b - a)] if b > a else [0, 0, 0])
+
+
+def test_table():
+    r = np.random.default_rng(0)
+    for n in (0, 1, 2, 3, 1000):
+        key = r.integers(0, 1 << 64, n, dtype=np.uint64) >> np.uint64(r.choice([0, 3]))
+        key = np.unique(key)
+        t = toxicity.Table.of(key[::-1].copy(), np.arange(len(key))[::-1].copy())
+        asked = np.concatenate([key, r.integers(0, 1 << 64, 50, dtype=np.uint64)])
+        hit, at = t.find(asked)
+        assert t.columns[0][at].tolist() == [i for i in np.searchsorted(key, asked[hit]).tolist()] and set(asked[hit].tolist()) == set(key.tolist())
+        assert not len(toxicity.Table().find(asked)[0])
+
+
+def test_words():
     h, first = toxicity._words(pa.array(["Vile! (vile) v.", None, "!!"]))
     assert h[0] == h[1] and first.tolist() == [0, 3, 3, 4]
