@@ -4,7 +4,6 @@ Patterns find addresses and numbers. Each value is a protected entity; terms of
 the documents that mention it are counted with it over all documents, and a term
 whose pointwise mutual information with the entity is a large enough part of the
 entity's own information discloses it, and is generalised wherever it occurs.
-What is found from the words near mentions alone is given beside that.
 """
 
 from __future__ import annotations
@@ -14,10 +13,11 @@ from pyspark.sql import functions as F
 
 from .skew import SALTS, hinted, salted_join
 from .store import keep
+from .text import unused
 
-#: Part of an entity's information that a term may give away, documents that
-#: must agree on it, and code points on either side of a mention that count as near.
-ALPHA, SUPPORT, NEAR = 0.8, 2, 60
+#: Part of an entity's information that a term may give away, and documents that
+#: must agree on it.
+ALPHA, SUPPORT = 0.8, 2
 KINDS = ("email", "ip", "card", "phone", "term")
 TERM = "\\p{L}{4,}"
 #: The same in a text where NUL stands for a letter that isn't the term's.
@@ -73,21 +73,6 @@ def base_spans(text: Column) -> Column:
     return F.concat(*[F.when(may, _spans(k, text, F.regexp_extract_all(text, F.lit(p), F.lit(0)), F.split(text, p), ok)).otherwise(none) for k, p, may, ok in asked])
 
 
-def _near(text: Column, span: Column, near: int) -> Column:
-    """Terms wholly within ``near`` code points of a span: [{s, e, t}]."""
-
-    def side(begin: Column, end: Column) -> Column:
-        # One code point more on each side shows whether a term goes on.
-        a, b = F.greatest(begin - 1, F.lit(0)), F.least(end + 1, F.length(text))
-        piece = F.substring(text, a + 1, b - a)
-        found, parts = F.regexp_extract_all(piece, F.lit(TERM), F.lit(0)), F.split(piece, TERM)
-        size = lambda x: F.aggregate(x, F.lit(0), lambda n, y: n + F.length(y))
-        all_ = F.transform(found, lambda v, i: (lambda s: F.struct(s.alias("s"), (s + F.length(v)).alias("e"), F.lower(v).alias("t")))(a + size(F.slice(parts, F.lit(1), i + 1)) + size(F.slice(found, F.lit(1), i))))
-        return F.filter(all_, lambda x: (x["s"] >= begin) & (x["e"] <= end))
-
-    return F.concat(side(F.greatest(span["s"] - near, F.lit(0)), span["s"]), side(span["e"], F.least(span["e"] + near, F.length(text))))
-
-
 def _let(value: Column, f) -> Column:
     """``f`` of a value that is made once, where ``f`` has it in inner functions."""
     return F.transform(F.array(value), f)[0]
@@ -108,61 +93,72 @@ def _placed(text: Column, pattern: str) -> Column:
     return _let(cut, lambda z: _let(wide(z), lambda y: _let(summed(y), each)))
 
 
-def _terms(text: Column, base: Column) -> Column:
-    """Every term of a text that overlaps no base span: [{s, e, t}]."""
+def _hidden(text: Column, base: Column) -> Column:
+    """The text with base spans blanked; NUL where a letter was at their edge."""
     edge = lambda x: F.when(x.rlike("\\p{L}"), F.lit("\0")).otherwise(F.lit(" "))
     blank = lambda b: F.concat(edge(F.substring(b["v"], 1, 1)), F.repeat(F.lit(" "), b["e"] - b["s"] - 2), edge(F.substring(b["v"], -1, 1)))
-    hidden = F.aggregate(base, F.replace(text, F.lit("\0"), F.lit(" ")), lambda a, b: F.overlay(a, blank(b), b["s"] + 1, b["e"] - b["s"]))
-    return F.when(F.size(base) > 0, _placed(hidden, FREE)).otherwise(_placed(text, TERM))
+    return F.aggregate(base, F.replace(text, F.lit("\0"), F.lit(" ")), lambda a, b: F.overlay(a, blank(b), b["s"] + 1, b["e"] - b["s"]))
 
 
-def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha: float = ALPHA, support: int = SUPPORT, near: int = NEAR, salts: int = SALTS) -> DataFrame:
-    """``id``, ``th`` (the text's hash), ``spans`` and ``all_spans`` ([{k, s, e}],
-    by start and kind) of each of ``docs``; ``k`` counts ``KINDS``, code points from 0.
+def _terms(text: Column, base: Column) -> Column:
+    """Every term of a text that overlaps no base span: [{s, e, t}]."""
+    return F.when(F.size(base) > 0, _placed(_hidden(text, base), FREE)).otherwise(_placed(text, TERM))
+
+
+def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha: float = ALPHA, support: int = SUPPORT, salts: int = SALTS) -> DataFrame:
+    """``id``, ``th`` (the text's hash) and ``spans`` ([{k, s, e}], by start and
+    kind) of each of ``docs``; ``k`` counts ``KINDS``, code points from 0.
 
     A term of four letters or more that overlaps no mention discloses an entity
     if both share at least ``support`` documents and PMI(entity; term) >=
     ``alpha`` * information(entity), with probabilities by document over the
-    whole corpus. ``all_spans`` has every occurrence of such a term, in whatever
-    document. ``spans`` is what a window shows: shared documents are those with
-    the term within ``near`` code points of a mention, and only terms that stand
-    so near a mention of what they disclose are in it. A null text is empty and has no spans. Rows
-    that repeat an id with the same text are one document; with another text,
-    two. A null id is an id like others. Other columns are ignored; an empty
-    table gives an empty result.
+    whole corpus. ``spans`` has every occurrence of such a term, in whatever
+    document. A null text is empty and has no spans. Rows that repeat an id with
+    the same text are one document; with another text, two. A null id is an id
+    like others. Other columns are ignored; an empty table gives an empty result.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("th"), text.alias("t"))
-    based = rows.withColumn("base", base_spans(F.col("t")))
-    mentions = F.transform("base", lambda b: F.struct(F.xxhash64(b["k"], F.lower(b["v"])).alias("c"), F.filter(_near(F.col("t"), b, near), lambda x: ~F.exists("base", lambda o: (o["s"] < x["e"]) & (x["s"] < o["e"]))).alias("terms")))
-    base = keep(based.select("id", "th", F.transform("base", lambda b: F.struct(b["k"], b["s"], b["e"])).alias("base"), F.when(F.size("base") > 0, mentions).alias("m"), _terms(F.col("t"), F.col("base")).alias("words")), "base")
-
-    mention = base.where("m is not null").select("id", "th", F.explode("m").alias("m"))
-    term = mention.select("id", "th", F.col("m.c").alias("c"), F.explode("m.terms").alias("x")).select("id", "th", "c", F.xxhash64("x.t").alias("t"), "x.s", "x.e")
-    df_c = mention.select("id", "th", F.col("m.c").alias("c")).distinct().groupBy("c").agg(F.count(F.lit(1)).alias("df_c"))
-    near_by = term.select("id", "th", "c", "t").distinct().groupBy("c", "t").agg(F.count(F.lit(1)).alias("near_by"))
-    df_t = rows.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("t"), F.lit(TERM), F.lit(0)))).alias("x")).select(F.xxhash64("x").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("df_t"))
+    hashed = lambda x: F.transform(x, lambda v: F.xxhash64(F.lower(v)))
+    mentions = F.array_distinct(F.transform("base", lambda b: F.xxhash64(b["k"], F.lower(b["v"]))))
+    base = keep(
+        rows.withColumn("base", base_spans(F.col("t"))).select(
+            "id",
+            "th",
+            F.transform("base", lambda b: F.struct(b["k"], b["s"], b["e"])).alias("base"),
+            F.when(F.size("base") > 0, mentions).alias("m"),
+            # Terms of the text, and those that overlap no base span.
+            F.array_distinct(hashed(F.regexp_extract_all("t", F.lit(TERM), F.lit(0)))).alias("terms"),
+            F.when(F.size("base") > 0, F.array_distinct(hashed(F.regexp_extract_all(_hidden(F.col("t"), F.col("base")), F.lit(FREE), F.lit(0))))).alias("free"),
+        ),
+        "base",
+    )
     n = base.count()
+    mention = base.where("m is not null").select("id", "th", F.explode("m").alias("c")).distinct()
+    df_c = mention.groupBy("c").agg(F.count(F.lit(1)).alias("df_c"))
     # Entities of fewer documents share no term with as many as ``support``.
-    many = df_c.where((F.col("df_c") >= support) & (F.col("df_c") < n))
-    own = base.where("m is not null").select("id", "th", F.explode(F.array_distinct(F.transform("m", lambda x: x["c"]))).alias("c"), F.array_distinct(F.transform("words", lambda x: x["t"])).alias("t"))
+    many = keep(df_c.where((F.col("df_c") >= support) & (F.col("df_c") < n)), "entities")
+    own = base.where("m is not null").select("id", "th", F.explode("m").alias("c"), F.col("free").alias("t"))
     whole = own.join(hinted(many.select("c")), "c").dropDuplicates(["id", "th", "c"])
-    joint = whole.select("c", F.explode("t").alias("t")).groupBy("c", "t").agg(F.count(F.lit(1)).alias("both")).where(F.col("both") >= support)
-    enough = lambda both: F.log2(F.lit(float(n)) * both / (F.col("df_c") * F.col("df_t"))) >= alpha * F.log2(F.lit(float(n)) / F.col("df_c"))
-    # What is found near mentions is found in whole texts too.
-    counted = joint.join(many, "c").join(df_t, "t").where(enough(F.col("both"))).join(near_by, ["c", "t"], "left")
-    risky = keep(counted.select("c", "t", F.coalesce((F.col("near_by") >= support) & enough(F.col("near_by")), F.lit(False)).alias("near")), "risky")
-
-    marked = lambda found, name: found.groupBy("id", "th").agg(F.collect_set(F.struct(F.lit(KINDS.index("term")).alias("k"), "s", "e")).alias(name)).withColumnsRenamed({"id": "_i", "th": "_t"})
-    near_spans = salted_join(term, risky.where("near").select("c", "t"), ["c", "t"], ["id", "s"], how="inner", salts=salts)
-    word = base.select("id", "th", F.explode("words").alias("x")).select("id", "th", "x.t", "x.s", "x.e")
-    all_spans = word.join(hinted(keep(risky.select("t").distinct(), "risky-terms")), "t")
+    joint = keep(whole.select("c", F.explode("t").alias("t")).groupBy("c", "t").agg(F.count(F.lit(1)).alias("both")).where(F.col("both") >= support), "joint")
+    df_t = base.select(F.explode("terms").alias("t")).join(hinted(joint.select("t").distinct()), "t", "left_semi").groupBy("t").agg(F.count(F.lit(1)).alias("df_t"))
+    enough = F.log2(F.lit(float(n)) * F.col("both") / (F.col("df_c") * F.col("df_t"))) >= alpha * F.log2(F.lit(float(n)) / F.col("df_c"))
+    # A term that many entities have, and an entity of many terms, meet in parts.
+    counted = salted_join(salted_join(joint, many, ["c"], ["t"], how="inner", salts=salts), df_t, ["t"], ["c"], how="inner", salts=salts)
+    risky = hinted(keep(counted.where(enough).select("t").distinct(), "risky-terms"))
+
+    # Documents that have any, with those they have; only their texts are searched.
+    has = base.select("id", "th", F.explode("terms").alias("t")).join(risky, "t").groupBy("id", "th").agg(F.collect_set("t").alias("risky"))
+    has = keep(has.withColumnsRenamed({"id": "_i", "th": "_t"}), "with-terms")
+    kept = base.select("id", "th", "base")
+    here = F.col("id").eqNullSafe(F.col("_i")) & (F.col("th") == F.col("_t"))
+    asked = rows.join(hinted(has.select("_i", "_t")), here, "left_semi").join(has, here).select("id", "th", "t", "risky")
+    asked = asked.withColumn("base", base_spans(F.col("t"))).select("id", "th", F.filter(_terms(F.col("t"), F.col("base")), lambda x: F.array_contains("risky", x["t"])).alias("found"))
+    found = asked.select(F.col("id").alias("_i"), F.col("th").alias("_t"), F.transform("found", lambda x: F.struct(F.lit(KINDS.index("term")).alias("k"), x["s"].alias("s"), x["e"].alias("e"))).alias("found"))
+    found = found.dropDuplicates(["_i", "_t"])
     order = lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"))
-    every = lambda name: F.array_sort(F.transform(F.concat("base", F.coalesce(name, F.array().cast("array<struct<k:int,s:int,e:int>>"))), order))
-    out = base.select("id", "th", "base")
-    for found, name in ((near_spans, "spans"), (all_spans, "all_spans")):
-        out = out.join(marked(found, name), F.col("id").eqNullSafe(F.col("_i")) & (F.col("th") == F.col("_t")), "left").drop("_i", "_t")
-    return out.select("id", "th", every("spans").alias("spans"), every("all_spans").alias("all_spans"))
+    every = F.array_sort(F.transform(F.concat("base", F.coalesce("found", F.array().cast("array<struct<k:int,s:int,e:int>>"))), order))
+    return kept.join(found, here, "left").select("id", "th", every.alias("spans"))
 
 
 def count(spans: Column, kind: str) -> Column:
@@ -175,12 +171,14 @@ def written(spans: Column | str) -> Column:
 
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with each of ``all_spans`` of ``text_col`` generalised to its kind,
-    such as [EMAIL]; a span that begins within another is part of it."""
-    found = find(docs, id_col, text_col, **options).dropDuplicates(["id", "th"]).withColumnsRenamed({"id": "_i", "th": "_t", "all_spans": "_spans"})
+    """``docs`` with each of ``spans`` of ``text_col`` generalised to its kind,
+    such as [EMAIL]; a span that begins within another is part of it. A null text
+    stays null; columns may have any name."""
+    i, t, spans = unused(docs.columns, "i", "t", "spans")
+    found = find(docs, id_col, text_col, **options).dropDuplicates(["id", "th"]).select(F.col("id").alias(i), F.col("th").alias(t), F.col("spans").alias(spans))
     text = F.coalesce(F.col(text_col), F.lit(""))
     tag = lambda x: F.concat(F.lit("["), F.upper(F.get(F.array(*[F.lit(k) for k in KINDS]), x["k"])), F.lit("]"))
     step = lambda a, x: F.when(x["s"] < a["at"], F.struct(a["out"].alias("out"), F.greatest(a["at"], x["e"]).alias("at"))).otherwise(F.struct(F.concat(a["out"], F.substring(text, a["at"] + 1, x["s"] - a["at"]), tag(x)).alias("out"), x["e"].alias("at")))
-    clean = F.aggregate("_spans", F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
-    joined = docs.join(found, docs[id_col].eqNullSafe(found["_i"]) & (F.xxhash64(text) == found["_t"]), "left")
-    return joined.select(*[F.when(F.col(text_col).isNotNull(), clean).alias(text_col) if c == text_col else docs[c] for c in docs.columns])
+    clean = F.aggregate(spans, F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
+    joined = docs.join(found, F.col(id_col).eqNullSafe(F.col(i)) & (F.xxhash64(text) == F.col(t)), "left")
+    return joined.select(*[F.when(F.col(c).isNotNull(), clean).alias(c) if c == text_col else F.col(c) for c in docs.columns])

@@ -22,7 +22,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = jaccard.similar(_documents(spark, sf_dir))
-    return out.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
+    return out.select(F.col("id").alias("doc_id"), "n_shingles", "class_id", "component_id")
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,7 +71,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pii.find(_documents(spark, sf_dir))
     base = F.filter("spans", lambda x: x["k"] < pii.KINDS.index("term"))
     n = [pii.count(F.col("spans"), k).alias(f"n_{k}") for k in pii.KINDS[:4]]
-    return out.select(F.col("id").alias("doc_id"), *n, F.sha2(pii.written(base), 256).alias("base_sha256"), pii.written(F.col("spans")).alias("spans"), pii.written(F.col("all_spans")).alias("all_spans"))
+    return out.select(F.col("id").alias("doc_id"), *n, F.sha2(pii.written(base), 256).alias("base_sha256"), pii.written(F.col("spans")).alias("spans"))
 
 
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_ngram_jaccard, op3_mixing, op4_warc, op5_decontamination, op6_substring, op7_line_dedup, op8_token_orc, op9_exact_dedup, op10_pii)}
@@ -88,9 +88,11 @@ n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 i AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
 l AS (SELECT x, y FROM i JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 75 * (a.n + b.n - c)),
 e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
-r(x, y) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x)
-SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, min(r.y) AS component_id
-FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN r ON r.x = d.doc_id GROUP BY d.doc_id, n.n""",
+r(x, y) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x),
+c AS (SELECT doc_id, md5(string_agg(g, chr(10) ORDER BY g)) AS set FROM s GROUP BY doc_id),
+k AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY set) AS class_id FROM c)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(k.class_id, d.doc_id) AS class_id, min(r.y) AS component_id
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN k ON k.doc_id = d.doc_id JOIN r ON r.x = d.doc_id GROUP BY ALL""",
     "op3_mixing": """
 WITH s AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,

@@ -29,32 +29,27 @@ def holds(kind, v):
     return {"email": True, "card": 14 <= len(d) <= 19 and luhn(d), "phone": 10 <= len(d) <= 15}[kind]
 
 
-def brute(rows, alpha=pii.ALPHA, support=pii.SUPPORT, near=pii.NEAR):
-    base, near_terms, docs_of, df, both = {}, {}, defaultdict(set), defaultdict(set), defaultdict(set)
+def brute(rows, alpha=pii.ALPHA, support=pii.SUPPORT):
+    """Base spans, and terms that disclose, counted by document over whole texts, wherever they occur."""
+    base, free, docs_of, df, both = {}, {}, defaultdict(set), defaultdict(set), defaultdict(set)
     for i, (_, text) in enumerate(rows):
         t = text or ""
         base[i] = [(k, m.start(), m.end(), m.group()) for k, p in PLAIN.items() for m in re.finditer(p, t) if holds(k, m.group())]
         words = [(m.start(), m.end(), m.group().lower()) for m in regex.finditer(r"\p{L}{4,}", t)]
+        free[i] = [w for w in words if not any(x < w[1] and w[0] < y for _, x, y, _ in base[i])]
         for w in words:
             df[w[2]].add(i)
-        near_terms[i] = []
-        for k, s, e, v in base[i]:
-            docs_of[k, v.lower()].add(i)
-            for a, b, w in words:
-                if (s - near <= a and b <= s or e <= a and b <= e + near) and not any(x < b and a < y for _, x, y, _ in base[i]):
-                    near_terms[i].append((a, b, w, (k, v.lower())))
-                    both[(k, v.lower()), w].add(i)
+        for c in {(k, v.lower()) for k, _, _, v in base[i]}:
+            docs_of[c].add(i)
+            for w in {w[2] for w in free[i]}:
+                both[c, w].add(i)
     n, out = len(rows), []
+    risky = {w for (c, w), x in both.items() if len(x) >= support and len(docs_of[c]) < n and math.log2(n * len(x) / (len(docs_of[c]) * len(df[w]))) >= alpha * math.log2(n / len(docs_of[c]))}
+    order = lambda x: (x[1], pii.KINDS.index(x[0]), x[2])
+    line = lambda xs: ",".join(f"{k}:{s}:{e}" for k, s, e in sorted(xs, key=order))
     for i, (d, _) in enumerate(rows):
-        terms = set()
-        for a, b, w, c in near_terms[i]:
-            dc, j = len(docs_of[c]), len(both[c, w])
-            if j >= support and dc < n and math.log2(n * j / (dc * len(df[w]))) >= alpha * math.log2(n / dc):
-                terms.add(("term", a, b))
-        order = lambda x: (x[1], pii.KINDS.index(x[0]), x[2])
-        own = sorted((x[:3] for x in base[i]), key=order)
-        line = lambda xs: ",".join(f"{k}:{s}:{e}" for k, s, e in xs)
-        out.append((d, *[sum(x[0] == k for x in own) for k in PLAIN], hashlib.sha256(line(own).encode()).hexdigest(), line(sorted([*own, *terms], key=order))))
+        own = [x[:3] for x in base[i]]
+        out.append((d, *[sum(x[0] == k for x in own) for k in PLAIN], hashlib.sha256(line(own).encode()).hexdigest(), line([*own, *[("term", a, b) for a, b, w in free[i] if w in risky]])))
     return out
 
 
@@ -103,40 +98,16 @@ def test_sanitise(spark):
     assert got[1].text == "to [EMAIL] now" and got[2].text is None and got[1].base == 5
 
 
-def brute_all(rows, alpha=pii.ALPHA, support=pii.SUPPORT):
-    """Terms that disclose, counted by document over whole texts, wherever they occur."""
-    base, free, docs_of, df, both = {}, {}, defaultdict(set), defaultdict(set), defaultdict(set)
-    for i, (_, text) in enumerate(rows):
-        t = text or ""
-        base[i] = [(k, m.start(), m.end(), m.group()) for k, p in PLAIN.items() for m in re.finditer(p, t) if holds(k, m.group())]
-        words = [(m.start(), m.end(), m.group().lower()) for m in regex.finditer(r"\p{L}{4,}", t)]
-        free[i] = [w for w in words if not any(x < w[1] and w[0] < y for _, x, y, _ in base[i])]
-        for w in words:
-            df[w[2]].add(i)
-        for c in {(k, v.lower()) for k, _, _, v in base[i]}:
-            docs_of[c].add(i)
-            for w in {w[2] for w in free[i]}:
-                both[c, w].add(i)
-    n = len(rows)
-    risky = {w for (c, w), x in both.items() if len(x) >= support and len(docs_of[c]) < n and math.log2(n * len(x) / (len(docs_of[c]) * len(df[w]))) >= alpha * math.log2(n / len(docs_of[c]))}
-    order = lambda x: (x[1], pii.KINDS.index(x[0]), x[2])
-    return [(d, ",".join(f"{k}:{s}:{e}" for k, s, e in sorted([x[:3] for x in base[i]] + [("term", a, b) for a, b, w in free[i] if w in risky], key=order))) for i, (d, _) in enumerate(rows)]
-
-
 FAR = ["Falkenrath schrieb " + "und so " * 30 + "an falke@web.example", "an falke@web.example " + "wie es " * 40 + "FALKENRATH 😀 Falkenrath", "ohne Adresse nur Falkenrath"]
 EDGES = ["é1.2.3.4Zaunkönig x\0Zaunkönig\0 1.2.3.4é", "coétage@web.example a@b.coétage Zaunkönig 1.2.3.4", "étage +1 (017) 555-7713étage", "\0étage\0", ""]
 
 
 def test_far_terms_and_other_documents(spark):
     rows = list(enumerate([*FAR, *EDGES, *CASES]))
-    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    got = {r.id: r.all for r in pii.find(df).select("id", pii.written("all_spans").alias("all")).collect()}
-    assert got == dict(brute_all(rows))
-    assert got[0].startswith("term:0:10,") and got[2] == "term:17:27"
-    assert [r.text for r in pii.sanitise(df).where("doc_id = 2").collect()] == ["ohne Adresse nur [TERM]"]
-
-
-def test_small_corpus_whole_texts(spark):
-    folder = "/root/testdata/sf0.001"
-    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{folder}/documents.parquet").collect()]
-    assert sorted((r.doc_id, r.all_spans) for r in op10_pii(spark, folder).collect()) == sorted(brute_all(rows))
+    got = {r[0]: r for r in run(spark, rows)}
+    assert sorted(got.values()) == sorted(brute(rows))
+    assert got[0][-1].startswith("term:0:10,") and got[2][-1] == "term:17:27"
+    df = spark.createDataFrame([(*r, 1, 2, 3) for r in rows], "doc_id long, text string, spans int, _i int, t int").repartition(3)
+    clean = pii.sanitise(df)
+    assert clean.columns == df.columns
+    assert [r.text for r in clean.where("doc_id = 2").collect()] == ["ohne Adresse nur [TERM]"]
