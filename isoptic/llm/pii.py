@@ -147,18 +147,15 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha:
     counted = salted_join(salted_join(joint, many, ["c"], ["t"], how="inner", salts=salts), df_t, ["t"], ["c"], how="inner", salts=salts)
     risky = hinted(keep(counted.where(enough).select("t").distinct(), "risky-terms"))
 
-    # Documents that have any, with those they have; only their texts are searched.
-    has = base.select("id", "th", F.explode("terms").alias("t")).join(risky, "t").groupBy("id", "th").agg(F.collect_set("t").alias("risky"))
-    has = keep(has.withColumnsRenamed({"id": "_i", "th": "_t"}), "with-terms")
-    kept = base.select("id", "th", "base")
+    # Only the texts that have any are searched for where they are.
+    has = base.select("id", "th", F.explode("terms").alias("t")).join(risky, "t", "left_semi").select(F.col("id").alias("_i"), F.col("th").alias("_t")).distinct()
     here = F.col("id").eqNullSafe(F.col("_i")) & (F.col("th") == F.col("_t"))
-    asked = rows.join(hinted(has.select("_i", "_t")), here, "left_semi").join(has, here).select("id", "th", "t", "risky")
-    asked = asked.withColumn("base", base_spans(F.col("t"))).select("id", "th", F.filter(_terms(F.col("t"), F.col("base")), lambda x: F.array_contains("risky", x["t"])).alias("found"))
-    found = asked.select(F.col("id").alias("_i"), F.col("th").alias("_t"), F.transform("found", lambda x: F.struct(F.lit(KINDS.index("term")).alias("k"), x["s"].alias("s"), x["e"].alias("e"))).alias("found"))
-    found = found.dropDuplicates(["_i", "_t"])
+    asked = rows.join(hinted(keep(has, "with-terms")), here, "left_semi").withColumn("base", base_spans(F.col("t")))
+    word = asked.select("id", "th", F.explode(_terms(F.col("t"), F.col("base"))).alias("x")).select("id", "th", "x.t", "x.s", "x.e").join(risky, "t", "left_semi")
+    found = word.groupBy("id", "th").agg(F.collect_set(F.struct(F.lit(KINDS.index("term")).alias("k"), "s", "e")).alias("found")).withColumnsRenamed({"id": "_i", "th": "_t"})
     order = lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"))
     every = F.array_sort(F.transform(F.concat("base", F.coalesce("found", F.array().cast("array<struct<k:int,s:int,e:int>>"))), order))
-    return kept.join(found, here, "left").select("id", "th", every.alias("spans"))
+    return base.select("id", "th", "base").join(found, here, "left").select("id", "th", every.alias("spans"))
 
 
 def count(spans: Column, kind: str) -> Column:
