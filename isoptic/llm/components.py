@@ -14,6 +14,8 @@ from .store import drop, shared_path
 
 #: Links that a task contracts, about.
 EDGES = 200_000
+#: A node with over one HUB-th of all links is a hub.
+HUB = 1000
 
 
 def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -45,23 +47,37 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
 
     A large-star step points the larger neighbours of each node to the smallest;
     links of one node then meet in a task, which contracts them, and all that it
-    holds, to stars. This ends when nothing changes, after a number of rounds that grows with the logarithm of a component's size. Each round is a table in the shared folder; a node with very many links is
-    salted, and only minima meet in one place.
+    holds, to stars. This ends when nothing changes, after a number of rounds that
+    grows with the logarithm of a component's size; links that one task takes need
+    no rounds. Each round is a table in the shared folder. Of a node with very many
+    neighbours only minima meet in one place: there are few such nodes, and their
+    neighbours get the minimum by broadcast.
     """
     spark = links.sparkSession
     path = before = None
-    edges = _stars(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")), "v", links.count())
+    count = links.count()
+    edges = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    edges = edges.coalesce(1).mapInArrow(_contracted, "u long, v long") if count <= EDGES else _stars(edges, ["u", "v"], count)
     for _ in range(rounds):
         if before is not None:
             turned = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-            least = turned.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-            large = turned.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-            edges = _stars(large, "u", before[0])
+            lead = shared_path(spark, "least")
+            turned.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n")).write.parquet(lead)
+            least = spark.read.schema("u long, m long, n long").parquet(lead)
+            # At most 2 * HUB nodes have over a HUB-th of all links, so they may be broadcast.
+            hub = F.col("n") * HUB > F.lit(before[0])
+            held = turned.join(F.broadcast(least.where(hub).select("u", "m")), "u", "left")
+            rest = held.where("m is null").drop("m").join(least.where(~hub).select("u", "m"), "u")
+            large = held.where("m is not null").unionByName(rest).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+            edges = _stars(large, ["u"], before[0])
         here = shared_path(spark, "stars")
         edges.write.parquet(here)
         if path:
             drop(spark, path)
+            drop(spark, lead)
         path, edges = here, spark.read.schema("u long, v long").parquet(here)
+        if count <= EDGES:
+            break
         # Stable once the edges, taken as a set, are those of the round before;
         # without a node that points to two or points on there is nothing to do.
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -73,6 +89,6 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def _stars(edges: DataFrame, by: str, count: int) -> DataFrame:
-    """Dealt by a node, to as many tasks as the links are worth."""
-    return edges.repartition(by).coalesce(tasks(count, EDGES)).mapInArrow(_contracted, "u long, v long")
+def _stars(edges: DataFrame, by: list[str], count: int) -> DataFrame:
+    """Dealt by a node or by links, to as many tasks as the links are worth."""
+    return edges.repartition(*by).coalesce(tasks(count, EDGES)).mapInArrow(_contracted, "u long, v long")

@@ -1,19 +1,31 @@
 """Self-join of documents by the Jaccard similarity of their word n-grams.
 
 Equal sets are one class. Classes are joined by prefix filtering: the rarest
-part of each set is indexed, and index lists are cut by size and position. Set
-relations skip most of the rest. In a few rounds each set is held against one
-other of its lists, a pivot or a neighbour in size; where that is a link, the
-two share their answers from then on, and lists or pairs within what is
-connected are skipped. At last all pairs that are not connected are made, but
-those whose shared prefix, counted over all lists, is too small for the
-threshold are dropped unread. What remains is compared in full.
+part of each set is indexed, and set relations skip most of the rest, in two ways.
+
+An index list stands in blocks of about one size, each ordered by position. Two
+entries can only be of linked sets if their positions are about as far from the
+front, so an entry is held against one range of a block, found by bisection, and
+what lies before and behind it is skipped without being looked at.
+
+Sets that are linked already need no more links with each other, and a set that is
+much like another gets its answers from it. In a few rounds each set is held
+against one other of its lists, a pivot or a neighbour, and links make components.
+Where a component has many entries in a list, its first set alone is compared with
+every set there, members and others. A member's answer follows from the first
+set's by the n-grams in which the two differ: at most so many more, or fewer, are
+shared. Members are ordered by that difference, and only those for which it
+leaves the answer open are paired with the other set.
+
+Pairs are then counted over all lists, and those whose shared prefix is too small
+for the threshold are dropped unread. What remains is compared in full, by blocks of
+sets, as long as the two are not connected.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +35,8 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from . import tokens
 from .components import components
-from .skew import hinted, salted_join, tasks
-from .store import arrow_rows, discard, keep
+from .skew import hinted, parts_of, salted_join, tasks
+from .store import discard, keep, small_batches
 
 #: The threshold is NUM / DEN.
 NUM, DEN, WORDS = 3, 4, 5
@@ -35,17 +47,20 @@ FREQUENT = 1 << 20
 COUNTED = np.uint64(int(0.4 * 2**64))
 #: Index entries that one bucket holds, about, pairs that are made at a time, and
 #: sets up to which all pairs of a list are made at once.
-BUCKET, PAIRS, SHORT = 400_000, 500_000, 8
+BUCKET, PAIRS, SHORT = 400_000, 100_000, 8
+#: Entries of a component in a list from which its first set answers for it.
+HEAVY = 32
 #: Buckets at least: more than a few, so that what is sent is packed alike
 #: whatever the input's size.
 PARTS = 64
-#: Rounds in which sets are connected one by one before all pairs are made, and
-#: sets of a block of a family.
-ROUNDS, BLOCK = 2, 256
-#: Rows of an Arrow batch, where rows hold whole sets.
-ROWS = 500
+#: Rounds in which sets are connected one by one before all pairs are made.
+ROUNDS = 3
+#: Sets of a block of a family.
+BLOCK = 256
 #: Rows up to which one side of a semi-join is broadcast.
 BROADCAST = 1_000_000
+#: Bands of size that a set's partners lie in, below and above its own.
+BANDS = 4
 ENTRY = np.dtype([("v", "<u8"), ("s", "<i8"), ("n", "<u4"), ("p", "<u4")])
 
 
@@ -99,7 +114,7 @@ def _names(words: int, buckets: int):
                 order = np.argsort(b, kind="stable")
                 cut = np.searchsorted(b[order], np.arange(buckets + 1)).tolist()
                 e = np.empty(len(h), COUNT)
-                e["h"], e["n"] = h[order], n[order]
+                e["h"], e["n"] = h[order], np.minimum(n[order], np.iinfo(np.uint16).max)
                 got = [(i, e[x:y].tobytes()) for i, (x, y) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if y > x]
                 for k in range(0, len(got), 64):
                     part = got[k : k + 64]
@@ -115,7 +130,7 @@ def _names(words: int, buckets: int):
             low = [(x[: int(np.searchsorted(x, COUNTED))] >> np.uint64(32)).astype(np.uint32) for x in sets]
             pending += low
             size += sum(map(len, low))
-            if size > 1_000_000:
+            if size > 500_000:
                 yield from flush()
                 size = 0
         yield from flush()
@@ -188,7 +203,7 @@ def _prefixes(words: int, buckets: int, frequent):
                 e["v"], e["s"], e["n"], e["p"] = _order(x, common, rank)[:p], s, n, np.arange(p)
                 held.append(e)
                 size += p
-            if size > 400_000:
+            if size > 200_000:
                 yield from flush()
                 size = 0
         yield from flush()
@@ -199,9 +214,14 @@ def _prefixes(words: int, buckets: int, frequent):
 # Index lists.
 
 
+def _band(n: np.ndarray) -> np.ndarray:
+    """Sizes that differ by a ninth or so are one band."""
+    return (np.log2(n) * 8).astype(np.int64)
+
+
 def _lists(blobs: Iterator[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Entries of lists with two sets at least, by list and size, and where each
-    list begins (and the last ends)."""
+    """Entries of lists with two sets at least, by list, band and position, and
+    where each list begins (and the last ends)."""
     parts = [np.frombuffer(b, ENTRY) for b in blobs]
     e = np.concatenate(parts) if parts else np.zeros(0, ENTRY)
     order = np.argsort(e["v"])
@@ -210,19 +230,61 @@ def _lists(blobs: Iterator[bytes]) -> tuple[np.ndarray, np.ndarray]:
     twin[1:] = v[1:] == v[:-1]
     twin[:-1] |= twin[1:].copy()
     e = e[order[twin]]
-    e = e[np.lexsort((e["s"], e["n"], e["v"]))]
+    e = e[np.lexsort((e["s"], e["p"], _band(e["n"]), e["v"]))]
     if len(e):
         again = np.zeros(len(e), bool)
         again[1:] = (e["v"][1:] == e["v"][:-1]) & (e["s"][1:] == e["s"][:-1])
         e = e[~again]
-        new = np.ones(len(e), bool)
-        new[1:] = e["v"][1:] != e["v"][:-1]
-        first = np.append(np.flatnonzero(new), len(e))
-        size = np.repeat(np.diff(first), np.diff(first))
-        e = e[size > 1]
-    new = np.ones(len(e), bool)
-    new[1:] = e["v"][1:] != e["v"][:-1]
-    return e, np.append(np.flatnonzero(new), len(e))
+        e = e[np.repeat(np.diff(_firsts(e["v"])), np.diff(_firsts(e["v"]))) > 1]
+    return e, _firsts(e["v"])
+
+
+def _firsts(*keys: np.ndarray) -> np.ndarray:
+    """Where each run of equal keys begins (and the last ends)."""
+    new = np.ones(len(keys[0]), bool)
+    if len(new):
+        new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+    return np.append(np.flatnonzero(new), len(new))
+
+
+def _ranges(lo: np.ndarray, hi: np.ndarray, of: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Each place of the ranges [lo, hi) with what the range is ``of``, about
+    ``PAIRS`` at a time."""
+    some = np.flatnonzero(hi > lo)
+    lo, hi, of = lo[some], hi[some], of[some]
+    ends, at = np.cumsum(hi - lo), 0
+    while at < len(some):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS, "right")))
+        c = hi[at:to] - lo[at:to]
+        yield np.repeat(lo[at:to] - (np.cumsum(c) - c), c) + np.arange(c.sum()), np.repeat(of[at:to], c)
+        at = to
+
+
+def _block_pairs(e: np.ndarray, first: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of entries of one list, each once, that positions and sizes allow:
+    of a block only the range of positions that can reach the threshold."""
+    if not len(e):
+        return
+    list_of, band = np.repeat(np.arange(len(first) - 1), np.diff(first)), _band(e["n"])
+    start = _firsts(list_of, band)
+    begin = start[:-1]
+    key = list_of[begin] * 1024 + band[begin]
+    least, most = (f.reduceat(e["n"].astype(np.int64), begin) for f in (np.minimum, np.maximum))
+    block = np.repeat(np.arange(len(begin)), np.diff(start))
+    place = block << 32 | e["p"].astype(np.int64)
+    n, p, j = e["n"].astype(np.int64), e["p"].astype(np.int64), np.arange(len(e))
+    for down in range(BANDS + 1):
+        asked = list_of * 1024 + band - down
+        b = np.minimum(np.searchsorted(key, asked), len(key) - 1)
+        ok = np.flatnonzero(key[b] == asked)
+        b, m, q = b[ok], n[ok], p[ok]
+        before, behind = m - _need(m, least[b]), most[b] - _need(m, most[b])
+        ok, b, q, before, behind = (x[(before >= 0) & (behind >= 0)] for x in (ok, b, q, before, behind))
+        lo = np.searchsorted(place, b << 32 | np.maximum(q - before, 0), "left")
+        hi = np.searchsorted(place, b << 32 | q + behind, "right")
+        if not down:
+            hi = np.minimum(hi, j[ok])
+        yield from _ranges(lo, hi, ok)
 
 
 def _may(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -261,23 +323,24 @@ def _blobs_of(rows: list[tuple[int | None, bytes]]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array([b for b, _ in part], pa.int64()), pa.array([x for _, x in part], pa.binary()), none, none, none, none, none, pa.nulls(len(part), pa.bool_())], names=["bucket", "blob", "a", "b", "na", "nb", "c", "whole"])
 
 
-def _some(e: np.ndarray, first: np.ndarray, own: np.ndarray, number: int) -> tuple[np.ndarray, np.ndarray]:
-    """Each entry with the pivot of its list among sets of about its size, with
-    that of the next smaller ones, and with the entry before it, if they are
-    not connected. A pivot has the smallest hash, another one each round, so
-    that a set meets the same few in all its lists."""
+def _some(e: np.ndarray, first: np.ndarray, own: np.ndarray, number: int, shared: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Each entry with the pivots of its block and of those next to it, and with
+    the entry before it, if they are not connected. A pivot is the set most of
+    whose prefix others have, as far as that is known: what the others of its
+    block are copies of has all of it; of several, and at first, that of the
+    smallest hash, another one each round. So a set meets the same few in all its
+    lists."""
     size = np.diff(first)
     list_of = np.repeat(np.arange(len(size)), size)
-    j, begin = np.arange(len(e)), first[list_of]
-    kind = (np.log2(e["n"]) * 8).astype(np.int64)
-    new = np.ones(len(e), bool)
-    new[1:] = (list_of[1:] != list_of[:-1]) | (kind[1:] != kind[:-1])
-    starts, group = np.flatnonzero(new), np.cumsum(new) - 1
+    j, begin, end = np.arange(len(e)), first[list_of], first[list_of + 1] if len(e) else first[:0]
+    starts = _firsts(list_of, _band(e["n"]))
+    group = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
     h = tokens.mix64(e["s"].astype(np.uint64) + np.uint64(number * 0x9E3779B97F4A7C15 % (1 << 64))) if len(e) else np.zeros(0, np.uint64)
-    pivot = np.flatnonzero(h == np.minimum.reduceat(h, starts)[group])
-    pivot = pivot[np.unique(group[pivot], return_index=True)[1]]
-    i, k = np.concatenate([pivot[group], pivot[np.maximum(group - 1, 0)], j - 1]), np.tile(j, 3)
-    ok = (i >= begin[k]) & (i != k)
+    known = np.zeros(len(e)) if shared is None else -shared / _prefix(e["n"].astype(np.int64))
+    pivot = np.lexsort((h, known, group))[starts[:-1]]
+    last = len(pivot) - 1
+    i, k = np.concatenate([pivot[group], pivot[np.maximum(group - 1, 0)], pivot[np.minimum(group + 1, last)], j - 1]), np.tile(j, 4)
+    ok = (i >= begin[k]) & (i < end[k]) & (i != k)
     i, k = i[ok], k[ok]
     ok = own[i] != own[k]
     return i[ok], k[ok]
@@ -293,12 +356,10 @@ def _first_pairs(buckets: int):
             return
         size = np.diff(first)
         list_of = np.repeat(np.arange(len(size)), size)
-        every = np.flatnonzero((size <= SHORT)[list_of])
-        i, k = np.concatenate([every - d for d in range(1, SHORT)]), np.tile(every, SHORT - 1)
-        ok = i >= first[list_of][k]
-        i, k = i[ok], k[ok]
-        ok = _may(e[i], e[k])
-        yield from _rows(_counted(e[i[ok]], e[k[ok]]), True)
+        few = e[(size <= SHORT)[list_of]]
+        for i, k in _block_pairs(few, _firsts(few["v"])):
+            ok = _may(few[i], few[k])
+            yield from _rows(_counted(few[i[ok]], few[k[ok]]), True)
         long = np.flatnonzero(size > SHORT)
         if len(long):
             held = e[(size > SHORT)[list_of]]
@@ -384,57 +445,211 @@ def _summed(last: bool):
         whole[back[e["whole"] == 0]] = False
         e = e[at]
         good = c >= _least(e["na"], e["nb"])
-        near = (4 * c >= _least(e["na"], e["nb"])) & (c > 1)
         if not last:
-            good |= ~whole & near
+            good |= ~whole & (4 * c >= _least(e["na"], e["nb"])) & (c > 1)
         for k in range(0, int(good.sum()), 100_000):
             p = np.flatnonzero(good)[k : k + 100_000]
-            yield _batch(["a", "b", "c", "near"], e["a"][p], e["b"][p], c[p], near[p])
+            yield _batch(["a", "b", "c"], e["a"][p], e["b"][p], c[p])
+
+    return run
+
+
+SUMMED = "a long, b long, c long"
+
+
+def _owned(lists: pa.Table, sets: pa.Table) -> tuple[np.ndarray, ...]:
+    """A part's entries, where its lists begin, and each entry's component and
+    how many prefix entries of its set another has."""
+    e, first = _lists(lists.column("blob").to_pylist())
+    s, root, t = (sets.column(c).to_numpy() for c in ("s", "root", "t"))
+    order = np.argsort(s)
+    at = order[np.searchsorted(s[order], e["s"])] if len(e) else np.zeros(0, np.int64)
+    return e, first, root[at], t[at]
+
+
+class Tally:
+    """Pairs with their counts. Lists give the same pairs again, so rows are summed
+    whenever they have doubled: memory follows the pairs that differ."""
+
+    def __init__(self) -> None:
+        self.parts: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64),) * 5]
+        self.rows, self.most = 0, 4 * PAIRS
+
+    def add(self, cols: tuple[np.ndarray, ...]) -> None:
+        self.parts.append(cols)
+        self.rows += len(cols[0])
+        if self.rows > self.most:
+            self.parts = [self.sums()]
+            self.rows = len(self.parts[0][0])
+            self.most = max(4 * PAIRS, 2 * self.rows)
+
+    def sums(self) -> tuple[np.ndarray, ...]:
+        a, b, na, nb, c = (np.concatenate([x[k] for x in self.parts]) for k in range(5))
+        order = np.lexsort((b, a))
+        a, b, na, nb, c = a[order], b[order], na[order], nb[order], c[order]
+        first = _firsts(a, b)[:-1]
+        return a[first], b[first], na[first], nb[first], np.minimum(np.add.reduceat(c, first) if len(first) else c, CERTAIN)
+
+
+def _packed_pairs(out: Tally, buckets: int) -> pa.Table:
+    rows = _pack(out.sums(), False, buckets)
+    return pa.table([pa.array([x for x, _ in rows], pa.int64()), pa.array([y for _, y in rows], pa.binary())], names=["bucket", "blob"])
+
+
+def _round_pairs(number: int, buckets: int):
+    """Some pairs of a part's lists whose sets are not connected yet."""
+
+    def run(lists: pa.Table, sets: pa.Table) -> pa.Table:
+        e, first, own, shared = _owned(lists, sets)
+        out = Tally()
+        if len(e):
+            i, k = _some(e, first, own, number, shared)
+            ok = _may(e[i], e[k]) & (np.minimum(shared[i], shared[k]) >= _least(e["n"][i], e["n"][k]))
+            out.add(_counted(e[i[ok]], e[k[ok]]))
+        return _packed_pairs(out, buckets)
 
     return run
 
 
-SUMMED = "a long, b long, c long, near boolean"
+# Answers of a component's first set, and what follows from them.
 
 
-def _cross_pairs(number: int | None, buckets: int):
-    """Pairs of a part's lists whose sets are not connected yet: all, or those of a round."""
+@dataclass
+class Mixed:
+    """Entries of lists that hold several components, by list and component;
+    ``heavy`` are the runs [start, end) of those with ``HEAVY`` entries or more."""
+
+    e: np.ndarray
+    own: np.ndarray
+    shared: np.ndarray
+    first: np.ndarray  # of lists
+    start: np.ndarray
+    end: np.ndarray
+    light: np.ndarray  # entries of no heavy run
+
+    @staticmethod
+    def of(e: np.ndarray, first: np.ndarray, own: np.ndarray, shared: np.ndarray) -> Mixed:
+        size = np.diff(first)
+        mixed = np.repeat(np.minimum.reduceat(own, first[:-1]) != np.maximum.reduceat(own, first[:-1]), size) if len(e) else np.zeros(0, bool)
+        list_of = np.repeat(np.arange(len(size)), size)[mixed]
+        e, own, shared = e[mixed], own[mixed], shared[mixed]
+        order = np.lexsort((own, list_of))  # stable: by band and position within
+        e, own, shared, list_of = e[order], own[order], shared[order], list_of[order]
+        runs = _firsts(list_of, own)
+        many = np.diff(runs) >= HEAVY
+        return Mixed(e, own, shared, _firsts(list_of), runs[:-1][many], runs[1:][many], ~np.repeat(many, np.diff(runs)))
+
+    def probes(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(entry, heavy run) of one list and of other components; of two heavy
+        ones the entry is of the larger name."""
+        at = np.searchsorted(self.first, self.start, "right") - 1
+        for i, g in _ranges(self.first[at], self.first[at + 1], np.arange(len(at))):
+            other = self.own[self.start[g]]
+            ok = (self.own[i] != other) & (self.light[i] | (self.own[i] > other))
+            yield i[ok], g[ok]
+
+
+ASKED = "part long, a long, b long"
+
+
+def _asked(lists: pa.Table, sets: pa.Table) -> pa.Table:
+    """(a, b): the first sets of heavy components, and the sets that each is to be
+    compared with, members and others."""
+    m = Mixed.of(*_owned(lists, sets))
+    found = [np.zeros((0, 2), np.int64)]
+    member = np.concatenate([np.arange(a, b) for a, b in zip(m.start.tolist(), m.end.tolist(), strict=True)]) if len(m.start) else np.zeros(0, np.int64)
+    found.append(np.unique(np.column_stack([m.own[member], m.e["s"][member]]), axis=0))
+    for i, g in m.probes():
+        found.append(np.unique(np.column_stack([m.own[m.start[g]], m.e["s"][i]]), axis=0))
+    a, b = np.unique(np.concatenate(found), axis=0).T
+    return pa.table([pa.array(np.full(len(a), lists.column("part")[0].as_py() if len(lists) else 0)), pa.array(a), pa.array(b)], names=["part", "a", "b"])
+
+
+#: A count that no pair comes to: of links that follow without a comparison.
+CERTAIN = 1 << 30
+
+
+def _last_pairs(buckets: int):
+    """All pairs of a part's lists that are not connected: those of light
+    components by blocks, and of heavy ones what the first set's answers leave
+    open; one pair where these make a link certain."""
 
     def run(lists: pa.Table, sets: pa.Table) -> pa.Table:
-        e, first = _lists(lists.column("blob").to_pylist())
-        s, root, t = (sets.column(c).to_numpy() for c in ("s", "root", "t"))
-        order = np.argsort(s)
-        at = order[np.searchsorted(s[order], e["s"])] if len(e) else np.zeros(0, np.int64)
-        own, shared = root[at], t[at]
-        out = []
-
-        def add(i: np.ndarray, k: np.ndarray) -> None:
+        answers = sets.filter(sets.column("o").is_valid())
+        m = Mixed.of(*_owned(lists, sets.filter(sets.column("o").is_null())))
+        out = Tally()
+
+        def add(x: np.ndarray, y: np.ndarray, at: np.ndarray, to: np.ndarray) -> None:
+            ok = _may(x, y) & (np.minimum(at, to) >= _least(x["n"], y["n"]))
+            out.add(_counted(x[ok], y[ok]))
+
+        e, own, shared = m.e[m.light], m.own[m.light], m.shared[m.light]
+        order = np.lexsort((e["p"], _band(e["n"]), e["v"]))
+        e, own, shared = e[order], own[order], shared[order]
+        for i, k in _block_pairs(e, _firsts(e["v"])):
             ok = own[i] != own[k]
             i, k = i[ok], k[ok]
-            ok = _may(e[i], e[k]) & (np.minimum(shared[i], shared[k]) >= _least(e["n"][i], e["n"][k]))
-            out.append(_counted(e[i[ok]], e[k[ok]]))
-
-        if len(e) and number is not None:
-            add(*_some(e, first, own, number))
-        elif len(e):
-            # Lists, blocks of them, that are one component by now are skipped whole.
-            size = np.diff(first)
-            mixed = np.minimum.reduceat(own, first[:-1]) != np.maximum.reduceat(own, first[:-1])
-            begin, rows = np.repeat(first[:-1], size), np.flatnonzero(np.repeat(mixed, size))
-            count = rows - begin[rows]
-            ends, at = np.cumsum(count), 0
-            while at < len(rows):
-                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS, "right")))
-                c = count[at:to]
-                add(np.repeat(begin[rows[at:to]] - (np.cumsum(c) - c), c) + np.arange(c.sum()), np.repeat(rows[at:to], c))
-                at = to
-        cols = tuple(np.concatenate([x[k] for x in out]) if out else np.zeros(0, np.int64) for k in range(5))
-        rows = _pack(cols, False, buckets)
-        return pa.table([pa.array([x for x, _ in rows], pa.int64()), pa.array([y for _, y in rows], pa.binary())], names=["bucket", "blob"])
+            add(e[i], e[k], shared[i], shared[k])
+        if len(m.start):
+            _derived(m, answers, add, out.add)
+        return _packed_pairs(out, buckets)
 
     return run
 
 
+def _derived(m: Mixed, answers: pa.Table, add, sure) -> None:
+    """Pairs of heavy components' members with other sets: ``add`` gets those that
+    the first set's answers leave open, and ``sure`` links that follow."""
+    a, b, o, na = (answers.column(c).to_numpy().astype(np.int64) for c in ("root", "s", "o", "t"))
+    mult = tokens.multipliers(2)
+    name = lambda x, y: tokens.mix64(x.view(np.uint64) * mult[0] + y.view(np.uint64) * mult[1])
+    key = name(a, b)
+    order = np.argsort(key)
+    key, o, na = key[order], o[order], na[order]
+
+    def both(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.searchsorted(key, name(np.ascontiguousarray(x), np.ascontiguousarray(y)))
+        return o[at], na[at]
+
+    # A heavy run by band and then by how many n-grams the first set lacks, most first.
+    run = np.repeat(np.arange(len(m.start)), m.end - m.start)
+    member = np.concatenate([np.arange(x, y) for x, y in zip(m.start.tolist(), m.end.tolist(), strict=True)])
+    e = m.e[member]
+    shares, size = both(m.own[member], e["s"])
+    more, less = e["n"] - shares, size - shares  # what the member has and what it lacks
+    band = _band(e["n"])
+    order = np.lexsort((-more, band, run))
+    e, run, band, more, less, member = e[order], run[order], band[order], more[order], less[order], member[order]
+    start = _firsts(run, band)
+    begin = start[:-1]
+    block = run[begin] * 1024 + band[begin]
+    least = np.minimum.reduceat(e["n"].astype(np.int64), begin)
+    place = np.repeat(np.arange(len(begin)), np.diff(start)) << 32 | (1 << 31) - more
+    for i, g in m.probes():
+        y = m.e[i]
+        known, _ = both(m.own[m.start[g]], y["s"])
+        for step in range(-BANDS, BANDS + 1):
+            asked = g * 1024 + _band(y["n"]) + step
+            at = np.minimum(np.searchsorted(block, asked), len(block) - 1)
+            ok = np.flatnonzero(block[at] == asked)
+            # The difference must make up for what the first set's answer lacks.
+            lacks = np.maximum(_need(y["n"][ok], least[at[ok]]) - known[ok], 0)
+            hi = np.searchsorted(place, at[ok] << 32 | (1 << 31) - np.minimum(lacks, (1 << 31) - 1), "right")
+            for x, k in _ranges(begin[at[ok]], hi, ok):
+                need = _need(e["n"][x], y["n"][k])
+                open_ = known[k] + more[x] >= need
+                x, k, need = x[open_], k[open_], need[open_]
+                certain = known[k] - less[x] >= need
+                done = np.unique(g[k[certain]] * len(m.e) + i[k[certain]], return_index=True)[1]
+                c, d = e[x[certain][done]], y[k[certain][done]]
+                turn = c["s"] > d["s"]
+                c, d = np.where(turn, d, c), np.where(turn, c, d)
+                sure((c["s"].copy(), d["s"].copy(), c["n"].astype(np.int64), d["n"].astype(np.int64), np.full(len(c), CERTAIN)))
+                linked = np.isin(k, k[certain])
+                x, k = x[~linked], k[~linked]
+                add(e[x], y[k], m.shared[member[x]], m.shared[i[k]])
+
+
 # Comparison.
 
 
@@ -445,14 +660,15 @@ def _views(column: pa.Array) -> list[np.ndarray]:
     return [data[a:b].view(np.uint64) for a, b in zip(off[:-1], off[1:], strict=True)]
 
 
+COMPARED = "a long, b long, o long, na long, nb long"
+
+
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many n-grams two sets share, and how many each has."""
     for batch in batches:
-        good = []
-        for x, y in zip(_views(batch.column("x")), _views(batch.column("y")), strict=True):
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            good.append((NUM + DEN) * both >= NUM * (len(x) + len(y)))
-        good = pa.array(good, pa.bool_())
-        yield pa.record_batch([batch.column("a").filter(good), batch.column("b").filter(good)], names=["a", "b"])
+        x, y = _views(batch.column("x")), _views(batch.column("y"))
+        both = [len(np.intersect1d(u, v, assume_unique=True)) for u, v in zip(x, y, strict=True)]
+        yield pa.record_batch([batch.column("a"), batch.column("b"), *[pa.array(c, pa.int64()) for c in (both, map(len, x), map(len, y))]], names=["a", "b", "o", "na", "nb"])
 
 
 def _blobs(words: int, every: bool = False):
@@ -481,72 +697,66 @@ def _texts(asked: DataFrame, docs: DataFrame, classes: DataFrame, words: int, na
     return keep(sets, f"{name}-sets")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int, name: str) -> DataFrame:
-    """The pairs (``a``, ``b``) that are links. ``a`` is in few pairs; where very
-    many sets are held against one ``b``, Spark splits the second join."""
-    n = tasks(pairs.count(), 2_000)
+def _compared(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int, name: str) -> DataFrame:
+    """The pairs (``a``, ``b``) with what they share. Where very many sets are
+    held against one, Spark splits the join."""
     sets = _texts(pairs.select(F.col("a").alias("s")).unionByName(pairs.select(F.col("b").alias("s"))), docs, classes, words, name)
     held = pairs.select("a", "b").join(sets.withColumnRenamed("s", "a"), "a")
     both = held.join(sets.withColumnsRenamed({"s": "b", "x": "y"}), "b")
-    with arrow_rows(docs.sparkSession, ROWS):
-        links = keep(both.coalesce(n).mapInArrow(tokens.tidy(_compare), "a long, b long"), f"{name}-links")
+    out = keep(both.mapInArrow(tokens.tidy(_compare), COMPARED), f"{name}-compared")
     discard(sets)
-    return links
+    return out
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int, name: str) -> DataFrame:
+    """The pairs (``a``, ``b``) that are links."""
+    return _compared(pairs, docs, classes, words, name).where(F.col("o") * (NUM + DEN) >= (F.col("na") + F.col("nb")) * NUM).select("a", "b")
 
 
-def _within(families: DataFrame, docs: DataFrame, classes: DataFrame, words: int) -> DataFrame:
-    """Links within families (``family``, ``s``, ``root``) between roots, one for
-    a pair of roots and of blocks.
+def _between(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int) -> DataFrame:
+    """Links among ``pairs`` (``a``, ``b``, ``c``, and their components ``root_a``
+    and ``root_b``), enough to connect what links connect.
 
-    A root's sets are cut into blocks by hash, roots of one set share blocks,
-    and each pair of blocks that holds two roots is one task's.
+    Sets that pairs connect are a family. A large one is cut into blocks by hash,
+    and the pairs of two blocks are one task's, which gets each set once; pairs of
+    small families are dealt together.
     """
-    size = families.groupBy("family", "root").agg(F.count(F.lit(1)).alias("n"))
-    mixed = size.groupBy("family").agg(F.count(F.lit(1)).alias("roots"), F.sum((F.col("n") == 1).cast("long")).alias("alone")).where("roots > 1")
-    sizes = keep(size.join(mixed, "family"), "roots-of")
-    if sizes.isEmpty():
-        return docs.sparkSession.createDataFrame([], "a long, b long")
-    single = F.col("n") == 1
-    parts = F.ceil(F.when(single, F.col("alone")).otherwise(F.col("n")) / BLOCK)
-    plan = sizes.select("family", "root", F.when(~single, F.col("root")).alias("of"), parts.cast("int").alias("parts"))
-    part = F.pmod(F.xxhash64("s"), F.col("parts")).cast("int")
-    held = keep(salted_join(families, plan, ["family", "root"], ["s"], how="inner").withColumn("block", F.struct("of", part.alias("part"))).select("family", "s", "root", "block"), "blocks")
-    blocks = held.select("family", "block").distinct()
-    both = blocks.select("family", F.col("block").alias("u")).join(blocks.select("family", F.col("block").alias("v")), "family")
-    both = keep(both.where((F.col("u") <= F.col("v")) & ~F.coalesce(F.col("u.of") == F.col("v.of"), F.lit(False))).withColumn("task", F.xxhash64("family", "u", "v")), "block-pairs")
-    sets = _texts(held.select("s"), docs, classes, words, "within")
-    rows = held.join(sets, "s")
-    with arrow_rows(docs.sparkSession, ROWS):
-        sides = [rows.join(both.select("family", "task", F.col(c).alias("block")), ["family", "block"]).select(*[F.col(k).alias(k) for k in ("task", "s", "root", "x")]) for c in ("u", "v")]
-        links = keep(sides[0].groupBy("task").cogroup(sides[1].groupBy("task")).applyInArrow(_blocks, "a long, b long"), "within-links")
+    family = components(pairs.select("a", "b")).withColumnsRenamed({"node": "a", "root": "family"})
+    size = family.groupBy("family").agg(F.count(F.lit(1)).alias("n"))
+    size = keep(size.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")), "family-sizes")
+    placed = salted_join(family, size, ["family"], ["a"], how="inner")
+    block = lambda c: F.pmod(F.xxhash64(c), F.col("blocks")).cast("int")
+    large = F.xxhash64("family", F.least(block("a"), block("b")), F.greatest(block("a"), block("b")))
+    task = F.when(F.col("blocks") > 1, large).otherwise(F.pmod(F.xxhash64("family"), F.lit(tasks(pairs.count(), 500))))
+    held = keep(pairs.join(placed, "a").select(task.alias("task"), "a", "b", "c", "root_a", "root_b"), "tasks")
+    asked = keep(held.select("task", F.explode(F.array("a", "b")).alias("s")).distinct(), "task-sets")
+    sets = _texts(asked.select("s"), docs, classes, words, "between")
+    links = keep(held.groupBy("task").cogroup(asked.join(sets, "s").groupBy("task")).applyInArrow(_links, "a long, b long"), "between-links")
     discard(sets)
     return links
 
 
-def _blocks(left: pa.Table, right: pa.Table) -> pa.Table:
-    """Links between the sets of two blocks, one for each pair of roots."""
-    def read(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        x = [v for c in t.column("x").chunks for v in _views(c)]
-        size = np.array([len(v) for v in x], np.int64)
-        return t.column("s").to_numpy(), t.column("root").to_numpy(), size, np.concatenate(x) if x else np.zeros(0, np.uint64)
+def _links(pairs: pa.Table, sets: pa.Table) -> pa.Table:
+    """Links of a task's pairs, the likeliest first; none between what is connected by then."""
+    x = dict(zip(sets.column("s").to_pylist(), (v for c in sets.column("x").chunks for v in _views(c)), strict=True))
+    top: dict[int, int] = {}
+
+    def up(r: int) -> int:
+        while r in top:
+            r = top[r]
+        return r
 
-    (s, root, n, x), (t, other, m, y) = read(left), read(right)
     out: list[tuple[int, int]] = []
-    if len(s) and len(t):
-        order = np.argsort(x)
-        x, own, begin, done = x[order], np.repeat(np.arange(len(s)), n)[order], np.cumsum(m) - m, set()
-        for j in range(len(t)):
-            z = y[begin[j] : begin[j] + m[j]]
-            lo, hi = np.searchsorted(x, z, "left"), np.searchsorted(x, z, "right")
-            c = hi - lo
-            at = np.repeat(lo - (np.cumsum(c) - c), c) + np.arange(int(c.sum()))
-            both = np.bincount(own[at], minlength=len(s))
-            for i in np.flatnonzero(((NUM + DEN) * both >= NUM * (n + m[j])) & (root != other[j])).tolist():
-                key = (int(root[i]), int(other[j])) if root[i] < other[j] else (int(other[j]), int(root[i]))
-                if key not in done:
-                    done.add(key)
-                    out.append((int(s[i]), int(t[j])))
-    return pa.table([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], names=["a", "b"])
+    a, b, c, u, w = (pairs.column(k).to_numpy() for k in ("a", "b", "c", "root_a", "root_b"))
+    order = np.lexsort((b, a, -c))
+    for i, j, p, q in zip(a[order].tolist(), b[order].tolist(), u[order].tolist(), w[order].tolist(), strict=True):
+        p, q = up(p), up(q)
+        if p != q:
+            both = len(np.intersect1d(x[i], x[j], assume_unique=True))
+            if (NUM + DEN) * both >= NUM * (len(x[i]) + len(x[j])):
+                top[max(p, q)] = min(p, q)
+                out.append((i, j))
+    return pa.table([pa.array([i for i, _ in out], pa.int64()), pa.array([j for _, j in out], pa.int64())], names=["a", "b"])
 
 
 def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
@@ -567,8 +777,9 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
 def _classed(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
     """What ``similar`` gives, with the set's name ``s`` and that of its component, ``root``."""
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    parts = max(PARTS, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = parts_of(rows, PARTS)
     scan = keep(rows.mapInArrow(tokens.tidy(_names(words, parts)), NAMES), "names")
     members = keep(scan.where("blob is null").select("id", "s", "n"), "members")
     total = members.agg(F.sum("n")).first()[0] or 0
@@ -589,47 +800,64 @@ def _classed(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFra
     named = keep(lists.mapInArrow(tokens.tidy(_set_names), "part long, s long").join(shared, "s"), "named")
 
     best = Window.partitionBy("x").orderBy(F.desc("c"), "a", "b")
+
     def joined(more: DataFrame, roots: DataFrame | None) -> DataFrame:
         """What is connected needs one link a node; those of a round join these."""
         return keep(components(more if roots is None else more.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))), "roots")
 
     made = found.count()
 
+    def owned(roots: DataFrame) -> DataFrame:
+        return named.join(roots.withColumnRenamed("node", "s"), "s", "left").withColumn("root", F.coalesce("root", "s"))
+
     def summed(packed: DataFrame, last: bool) -> DataFrame:
         return packed.repartition(parts, "bucket").select("blob").coalesce(tasks(made, 500_000)).mapInArrow(tokens.tidy(_summed(last)), SUMMED)
 
-    def open_pairs(number: int | None, roots: DataFrame) -> DataFrame:
-        """Pairs of different ``roots``, of a round or all, with how many prefix
-        entries they share; in a round, long lists count only some of these."""
-        owned = named.join(roots.withColumnRenamed("node", "s"), "s", "left").withColumn("root", F.coalesce("root", "s"))
-        cross = lists.groupBy("part").cogroup(owned.groupBy("part")).applyInArrow(_cross_pairs(number, parts), PACKED)
-        packed = pairs.where("whole").mapInArrow(tokens.tidy(_packed(parts)), PACKED).unionByName(cross)
-        out = summed(packed, number is None).join(tested, ["a", "b"], "left_anti")
+    def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+        """Pairs of different roots."""
         for c in ("a", "b"):
-            out = out.join(roots.withColumnsRenamed({"node": c, "root": f"root_{c}"}), c, "left")
-        return out.where("root_a is null or root_b is null or root_a <> root_b")
+            pairs = pairs.join(roots.withColumnsRenamed({"node": c, "root": f"root_{c}"}), c, "left").withColumn(f"root_{c}", F.coalesce(f"root_{c}", c))
+        return pairs.where("root_a <> root_b")
+
+    def counted(cross: DataFrame | None, roots: DataFrame, last: bool) -> DataFrame:
+        """Pairs that are not tested yet, with how many prefix entries they share;
+        before the last round, long lists count only some of these."""
+        packed = pairs.where("whole").mapInArrow(tokens.tidy(_packed(parts)), PACKED)
+        packed = packed if cross is None else packed.unionByName(cross)
+        return apart(summed(packed, last).join(tested, ["a", "b"], "left_anti"), roots)
 
     # Pairs of long lists come as rows of their own; both sorts are summed alike.
     first = summed(pairs.mapInArrow(tokens.tidy(_packed(parts)), PACKED), False)
-    roots = tested = None
-    met: list[DataFrame] = []
-    for number in range(ROUNDS):
-        met.append(keep(open_pairs(number, roots) if number else first, "met"))
+    roots = tested = cross = None
+    short = lists.isEmpty()
+    for number in range(1 if short else ROUNDS):
+        if number:
+            some = lists.groupBy("part").cogroup(owned(roots).groupBy("part")).applyInArrow(_round_pairs(number, parts), PACKED)
+        met = keep(counted(some, roots, False) if number else first, "met")
         # Each set chooses one partner, that of most shared entries.
-        sides = met[-1].select("a", "b", "c", F.explode(F.array("a", "b")).alias("x"))
+        sides = met.select("a", "b", "c", F.explode(F.array("a", "b")).alias("x"))
         asked = keep(sides.withColumn("r", F.row_number().over(best)).where("r = 1").groupBy("a", "b").agg(F.min("x").alias("x")), "asked")
+        discard(met)
         more = _verified(asked.select(F.col("x").alias("a"), F.when(F.col("x") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("b")), rows, classes, words, "checked")
         asked = asked.select("a", "b")
         tested = asked if tested is None else tested.unionByName(asked)
         if number and more.isEmpty():
             break
         roots = joined(more, roots)
-    close = reduce(DataFrame.unionByName, [x.where("near").select("a", "b") for x in met])
-    family = keep(components(close.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))), "families")
-    families = family.withColumnsRenamed({"node": "s", "root": "family"}).join(roots.withColumnRenamed("node", "s"), "s", "left").withColumn("root", F.coalesce("root", "s"))
-    more = _within(keep(families, "members"), rows, classes, words)
-    across = keep(open_pairs(None, family).select("a", "b"), "across-pairs")
-    roots = joined(more.unionByName(_verified(across, rows, classes, words, "across")), roots)
+
+    # Of components with many entries in a list of others too, the first set answers.
+    if not short:
+        sets = keep(owned(roots), "owned")
+        answered = keep(lists.groupBy("part").cogroup(sets.groupBy("part")).applyInArrow(_asked, ASKED), "to-answer")
+        known = sets.withColumn("o", F.lit(None).cast("long"))
+        if not answered.isEmpty():
+            answers = _compared(answered.select("a", "b").distinct(), rows, classes, words, "answers")
+            held = answered.join(answers, ["a", "b"]).select("part", F.col("b").alias("s"), F.col("na").alias("t"), F.col("a").alias("root"), "o")
+            known = known.unionByName(held)
+        cross = lists.groupBy("part").cogroup(known.groupBy("part")).applyInArrow(_last_pairs(parts), PACKED)
+    across = keep(counted(cross, roots, True), "across-pairs")
+    if not across.isEmpty():
+        roots = joined(_between(across, rows, classes, words), roots)
 
     # Only classes of several documents or with links need a join.
     named = classes.join(roots.withColumnRenamed("node", "s"), "s", "left").where("root is not null or n > 1").withColumn("root", F.coalesce("root", "s"))

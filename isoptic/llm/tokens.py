@@ -118,7 +118,7 @@ def grams(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     return mix64(out), at
 
 
-def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The batches in slices of about ``most`` bytes of text, one row at least,
     so that memory follows the longest text and not the batch."""
     for batch in batches:
