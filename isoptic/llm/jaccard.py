@@ -57,6 +57,8 @@ PARTS = 64
 ROUNDS = 3
 #: Sets of a block of a family.
 BLOCK = 256
+#: Bytes of the bits that tell how sets differ from a first one.
+BITS = 64 << 20
 #: Rows up to which one side of a semi-join is broadcast.
 BROADCAST = 1_000_000
 #: Bands of size that a set's partners lie in, below and above its own.
@@ -491,8 +493,8 @@ class Tally:
         return a[first], b[first], na[first], nb[first], np.minimum(np.add.reduceat(c, first) if len(first) else c, CERTAIN)
 
 
-def _packed_pairs(out: Tally, buckets: int) -> pa.Table:
-    rows = _pack(out.sums(), False, buckets)
+def _packed_pairs(cols: tuple[np.ndarray, ...], buckets: int) -> pa.Table:
+    rows = _pack(cols, False, buckets)
     return pa.table([pa.array([x for x, _ in rows], pa.int64()), pa.array([y for _, y in rows], pa.binary())], names=["bucket", "blob"])
 
 
@@ -506,7 +508,7 @@ def _round_pairs(number: int, buckets: int):
             i, k = _some(e, first, own, number, shared)
             ok = _may(e[i], e[k]) & (np.minimum(shared[i], shared[k]) >= _least(e["n"][i], e["n"][k]))
             out.add(_counted(e[i[ok]], e[k[ok]]))
-        return _packed_pairs(out, buckets)
+        return _packed_pairs(out.sums(), buckets)
 
     return run
 
@@ -592,11 +594,65 @@ def _last_pairs(buckets: int):
             add(e[i], e[k], shared[i], shared[k])
         if len(m.start):
             _derived(m, answers, add, out.add)
-        return _packed_pairs(out, buckets)
+        return _packed_pairs(_resolved(out.sums(), answers), buckets)
 
     return run
 
 
+def _marked(parts: list[np.ndarray], twice: bool) -> np.ndarray | None:
+    """Sets of hashes as rows of bits, 64 to a word; ``twice`` leaves out what one
+    set alone has. None if that takes over ``BITS`` bytes."""
+    size = np.array([len(x) for x in parts], np.int64)
+    kinds, back, n = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
+    held = n[back] > 1 if twice else np.ones(len(back), bool)
+    place = np.cumsum(n > 1) - 1 if twice else np.arange(len(kinds))
+    words = int(held.any() and place[back[held]].max() // 64 + 1)
+    if len(parts) * words * 8 > BITS:
+        return None
+    out = np.zeros((len(parts), words), np.uint64)
+    row, bit = np.repeat(np.arange(len(parts)), size)[held], place[back[held]]
+    np.bitwise_or.at(out, (row, bit // 64), np.uint64(1) << (bit % 64).astype(np.uint64))
+    return out
+
+
+def _resolved(cols: tuple[np.ndarray, ...], answers: pa.Table) -> tuple[np.ndarray, ...]:
+    """Pairs without those that a first set's answers show to be no links; links
+    that they show are ``CERTAIN``. Of two sets that one first set was compared
+    with, what they share follows from how each differs from it."""
+    a, b, na, nb, c = cols
+    root, s, size = (answers.column(k).to_numpy() for k in ("root", "s", "t"))
+    lost, more = ([np.frombuffer(x, np.uint64) for x in answers.column(k).to_pylist()] for k in ("lost", "more"))
+    open_, drop = c < CERTAIN, np.zeros(len(a), bool)
+    c = c.copy()
+    for leader in np.unique(root):
+        own = np.flatnonzero(root == leader)
+        own = own[np.unique(s[own], return_index=True)[1]]
+        names, n = s[own], int(size[own[0]])
+        left = np.flatnonzero(open_)
+        i, k = (np.minimum(np.searchsorted(names, x[left]), len(names) - 1) for x in (a, b))
+        both = (names[i] == a[left]) & (names[k] == b[left])
+        left, i, k = left[both], i[both], k[both]
+        if not len(left):
+            continue
+        gone, extra = ([x[j] for j in own] for x in (lost, more))
+        marks, others = _marked(gone, False), _marked(extra, True)
+        if marks is None:
+            continue
+        fewer, beyond = (np.array([len(x) for x in y], np.int64) for y in (gone, extra))
+        for at in range(0, len(left), PAIRS // 4):
+            part, p, q = left[at : at + PAIRS // 4], i[at : at + PAIRS // 4], k[at : at + PAIRS // 4]
+            shared = n - fewer[p] - fewer[q] + np.bitwise_count(marks[p] & marks[q]).sum(axis=1, dtype=np.int64)
+            # At most all of the smaller rest, where it isn't counted.
+            shared += np.minimum(beyond[p], beyond[q]) if others is None else np.bitwise_count(others[p] & others[q]).sum(axis=1, dtype=np.int64)
+            link = shared >= _need(na[part], nb[part])
+            drop[part[~link]] = True
+            if others is not None:
+                c[part[link]] = CERTAIN
+                open_[part[link]] = False
+            open_[part[~link]] = False
+    return tuple(x[~drop] for x in (a, b, na, nb, c))
+
+
 def _derived(m: Mixed, answers: pa.Table, add, sure) -> None:
     """Pairs of heavy components' members with other sets: ``add`` gets those that
     the first set's answers leave open, and ``sure`` links that follow."""
@@ -663,6 +719,19 @@ def _views(column: pa.Array) -> list[np.ndarray]:
 COMPARED = "a long, b long, o long, na long, nb long"
 
 
+DIFFERENT = f"{COMPARED}, lost binary, more binary"
+
+
+def _differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same, with what of the first set the second lacks and what it has more."""
+    for batch in batches:
+        x, y = _views(batch.column("x")), _views(batch.column("y"))
+        lost, more = ([np.setdiff1d(u, v, assume_unique=True) for u, v in zip(*z, strict=True)] for z in ((x, y), (y, x)))
+        both = [len(u) - len(v) for u, v in zip(x, lost, strict=True)]
+        numbers = [pa.array(c, pa.int64()) for c in (both, map(len, x), map(len, y))]
+        yield pa.record_batch([batch.column("a"), batch.column("b"), *numbers, *[pa.array([v.tobytes() for v in c], pa.binary()) for c in (lost, more)]], names=["a", "b", "o", "na", "nb", "lost", "more"])
+
+
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """How many n-grams two sets share, and how many each has."""
     for batch in batches:
@@ -697,13 +766,14 @@ def _texts(asked: DataFrame, docs: DataFrame, classes: DataFrame, words: int, na
     return keep(sets, f"{name}-sets")
 
 
-def _compared(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int, name: str) -> DataFrame:
-    """The pairs (``a``, ``b``) with what they share. Where very many sets are
+def _compared(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int, name: str, differ: bool = False) -> DataFrame:
+    """The pairs (``a``, ``b``) with what they share, and how they ``differ``. Where very many sets are
     held against one, Spark splits the join."""
     sets = _texts(pairs.select(F.col("a").alias("s")).unionByName(pairs.select(F.col("b").alias("s"))), docs, classes, words, name)
     held = pairs.select("a", "b").join(sets.withColumnRenamed("s", "a"), "a")
     both = held.join(sets.withColumnsRenamed({"s": "b", "x": "y"}), "b")
-    out = keep(both.mapInArrow(tokens.tidy(_compare), COMPARED), f"{name}-compared")
+    compare, schema = (_differ, DIFFERENT) if differ else (_compare, COMPARED)
+    out = keep(both.mapInArrow(tokens.tidy(compare), schema), f"{name}-compared")
     discard(sets)
     return out
 
@@ -849,10 +919,10 @@ def _classed(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFra
     if not short:
         sets = keep(owned(roots), "owned")
         answered = keep(lists.groupBy("part").cogroup(sets.groupBy("part")).applyInArrow(_asked, ASKED), "to-answer")
-        known = sets.withColumn("o", F.lit(None).cast("long"))
+        known = sets.withColumns({"o": F.lit(None).cast("long"), "lost": F.lit(None).cast("binary"), "more": F.lit(None).cast("binary")})
         if not answered.isEmpty():
-            answers = _compared(answered.select("a", "b").distinct(), rows, classes, words, "answers")
-            held = answered.join(answers, ["a", "b"]).select("part", F.col("b").alias("s"), F.col("na").alias("t"), F.col("a").alias("root"), "o")
+            answers = _compared(answered.select("a", "b").distinct(), rows, classes, words, "answers", differ=True)
+            held = answered.join(answers, ["a", "b"]).select("part", F.col("b").alias("s"), F.col("na").alias("t"), F.col("a").alias("root"), "o", "lost", "more")
             known = known.unionByName(held)
         cross = lists.groupBy("part").cogroup(known.groupBy("part")).applyInArrow(_last_pairs(parts), PACKED)
     across = keep(counted(cross, roots, True), "across-pairs")
