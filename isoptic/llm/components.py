@@ -57,7 +57,7 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     path = before = None
     count = links.count()
     edges = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    edges = edges.coalesce(1).mapInArrow(_contracted, "u long, v long") if count <= EDGES else _stars(edges, ["u", "v"], count)
+    edges = edges.repartition(1).mapInArrow(_contracted, "u long, v long") if count <= EDGES else _stars(edges, ["u", "v"], count)
     for _ in range(rounds):
         if before is not None:
             turned = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, exact, jaccard, lines, mixing, pii, substring, token_orc, toxicity, warc_zip
+from . import centroids, chosen_path, decontam, exact, jaccard, lines, mixing, pii, runs, substring, token_orc, toxicity, warc_zip
 from .store import shared_path
 
 
@@ -74,11 +74,63 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), *n, F.sha2(pii.written(base), 256).alias("base_sha256"), pii.written(F.col("spans")).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_ngram_jaccard, op3_mixing, op4_warc, op5_decontamination, op6_substring, op7_line_dedup, op8_token_orc, op9_exact_dedup, op10_pii)}
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = centroids.clusters(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    digest = F.sha2(F.array_join(F.transform("centroid", lambda x: x.cast("string")), ",").cast("binary"), 256)
+    return out.select(F.col("id").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia", digest.alias("centroid_sha256"))
+
+
+def op12_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = chosen_path.similar(_documents(spark, sf_dir))
+    return out.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = runs.periodic_runs(runs.planted(_documents(spark, sf_dir)), "id")
+    order = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("length"), r["start"].alias("start"), r["period"].alias("period"))))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    longest = out.withColumns({"n_runs": F.size("runs").cast("long"), "best": order, "listed": listed})
+    length = -F.col("best.length")
+    return longest.select(
+        F.col("id").alias("doc_id"),
+        "n_runs",
+        F.col("best.start").alias("start"),
+        length.alias("length"),
+        F.col("best.period").alias("period"),
+        F.floor(1000 * length / F.col("best.period")).cast("long").alias("exponent_milli"),
+        F.sha2(F.col("listed").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_ngram_jaccard, op3_mixing, op4_warc, op5_decontamination, op6_substring, op7_line_dedup, op8_token_orc, op9_exact_dedup, op10_pii, op11_centroid_clustering, op12_chosen_path, op13_periodic_runs)}
 
 ASCII = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
+
+def _lloyd_sql(k: int = centroids.K, rounds: int = centroids.ROUNDS) -> str:
+    """Full comparison of all vectors with all centroids, a round after the other."""
+    near = "SELECT row, arg_min(c, (d, c)) AS c, min(d) AS d FROM (SELECT v.row, z.c, list_sum(list_transform(list_zip(v.x, z.x), lambda p: ((p[1] - p[2]) * (p[1] - p[2]))::HUGEINT)) AS d FROM v, c{r} z) GROUP BY row"
+    steps = [f"a{r} AS MATERIALIZED ({near.format(r=r)})" for r in range(rounds + 1)]
+    moved = """s{n} AS (SELECT c, i, sum(x)::HUGEINT AS s, count(*) AS n FROM (SELECT a.c, unnest(v.x) AS x, generate_subscripts(v.x, 1) AS i FROM a{r} a JOIN v ON v.row = a.row) GROUP BY c, i),
+c{n} AS MATERIALIZED (SELECT z.c, coalesce(m.x, z.x) AS x FROM c{r} z LEFT JOIN (SELECT c, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS x FROM s{n} GROUP BY c) m ON m.c = z.c)"""
+    chain = [part for r in range(rounds) for part in (steps[r], moved.format(r=r, n=r + 1))]
+    return f"""
+WITH u AS (SELECT vec_id, embedding AS e FROM embeddings WHERE len(embedding) = {centroids.SIZE} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {centroids.SIZE}),
+v AS MATERIALIZED (SELECT row_number() OVER () AS row, vec_id, list_transform(e, lambda x: floor({centroids.SCALE} * x::DOUBLE)::BIGINT) AS x FROM u),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id) NULLS LAST, x) - 1 AS c, x FROM v QUALIFY c < {k}),
+{", ".join(chain)}, {steps[rounds]}
+SELECT v.vec_id, a.c::INTEGER AS cluster, a.d::BIGINT AS distance, (sum(a.d) OVER (PARTITION BY a.c))::BIGINT AS cluster_inertia, (sum(a.d) OVER ())::BIGINT AS inertia,
+       sha256(array_to_string(z.x, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN v ON v.row = a.row JOIN c{rounds} z ON z.c = a.c"""
+
+
+#: The CRC of a decimal number, bit by bit.
+CRC32 = """list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+         lambda c, b: list_reduce(list_concat([xor(c, b)], [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda y, z: xor(y >> 1, CASE WHEN y % 2 = 1 THEN 3988292384::BIGINT ELSE 0 END)))"""
+
+
 SQL = {
     "op2_ngram_jaccard": f"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {ASCII}), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
@@ -144,4 +196,34 @@ FROM m GROUP BY doc_id""",
 WITH t AS (SELECT doc_id, translate(coalesce(text, ''), {ASCII}) AS t FROM documents),
 g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY t)
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t.t) AS text_sha256 FROM t JOIN g ON t.t = g.t""",
+    "op11_centroid_clustering": _lloyd_sql(),
+    "op12_chosen_path": f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {ASCII}), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+        ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+i AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM i JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 80 * (a.n + b.n - c)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r(x, y) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, min(r.y) AS component_id, d.doc_id = min(r.y) AS kept
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN r ON r.x = d.doc_id GROUP BY d.doc_id, n.n""",
+    "op13_periodic_runs": f"""
+WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w, xor(4294967295::BIGINT, {CRC32}) AS h FROM documents),
+z AS (SELECT *, len(w)::BIGINT AS n, h // 10 AS g, CASE WHEN len(w) > 0 THEN (h // 10) % len(w) END AS a FROM t),
+p AS (SELECT doc_id, n, a, w, CASE WHEN h % 10 = 0 AND n > 0 THEN 1 + (n - a) // (3 + g % 8) END AS p FROM z),
+w AS MATERIALIZED (SELECT doc_id, n, CASE WHEN p IS NULL THEN w ELSE list_transform(range(0, n), lambda i: CASE WHEN i < a THEN w[i + 1] ELSE w[a + (i - a) % p + 1] END) END AS w FROM p),
+k AS MATERIALIZED (SELECT doc_id, unnest(range(0, n - 5)) AS i, unnest(list_transform(range(0, n - 5), lambda i: md5(array_to_string(w[i + 1:i + 6], ' ')))) AS k FROM w),
+m AS (SELECT x.doc_id, x.i, y.i - x.i AS q FROM k x JOIN k y ON x.doc_id = y.doc_id AND x.k = y.k AND x.i < y.i),
+b AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS b FROM m),
+o AS (SELECT doc_id, q, min(i) AS start, count(*) + 5 AS same FROM b GROUP BY doc_id, q, b),
+r AS MATERIALIZED (SELECT doc_id, start, same + q AS length, min(q) AS period FROM o WHERE same + q >= greatest(12, 2 * q) GROUP BY doc_id, start, same + q),
+s AS (SELECT doc_id, count(*) AS n_runs, arg_min((start, length, period), (-length, start, period)) AS best, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS listed FROM r GROUP BY doc_id),
+f AS (SELECT doc_id, list_distinct(flatten(list(range(start + period, start + length)))) AS f FROM r GROUP BY doc_id),
+c AS (SELECT w.doc_id, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS i FROM w),
+d AS (SELECT doc_id, unnest(f) AS i FROM f),
+t2 AS (SELECT c.doc_id, string_agg(word, ' ' ORDER BY c.i) AS kept FROM c ANTI JOIN d ON c.doc_id = d.doc_id AND c.i = d.i GROUP BY c.doc_id)
+SELECT w.doc_id, coalesce(n_runs, 0) AS n_runs, best[1] AS start, best[2] AS length, best[3] AS period, 1000 * best[2] // best[3] AS exponent_milli,
+       sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM w LEFT JOIN s ON s.doc_id = w.doc_id LEFT JOIN t2 ON t2.doc_id = w.doc_id""",
 }
