@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..frames import Keys, ordered, running, whole
+from .align import hinted
 
 
 def gap_sessions(df: DataFrame, t: str, keys: Keys, order: str, factor: float = 1.0, add: float = 2.0, name: str = "session", parity: bool = False, least: int = 0) -> DataFrame:
@@ -88,3 +89,27 @@ def augmented(df: DataFrame, cols: list[str], levels: tuple[float, ...], seed: i
 def shuffled(df: DataFrame, *ids: str, seed: int = C.SHUFFLE_SEED) -> DataFrame:
     """A random order that depends on ids and seed alone."""
     return df.orderBy(F.xxhash64(*ids, F.lit(seed)), *ids)
+
+
+def seeded_batches(df: DataFrame, ids: Keys, size: int, seed: int = C.SHUFFLE_SEED, name: str = "batch") -> DataFrame:
+    """``df`` with the number of each row's batch, of ``size`` rows but the last, in a
+    random order that depends on ids and seed alone.
+
+    No row is sorted against all others: rows are dealt to buckets by their place in that
+    order, buckets are counted, and a row's number is that of the buckets before its own
+    and its place within. There are so many buckets that one has some thousand rows,
+    and only their counts are added up in one task. Rows that repeat all ids are told apart by nothing and get
+    numbers as they come.
+    """
+    fine = F.xxhash64(*ids, F.lit(seed))
+    rows = max(1, df.count())
+    buckets = max(1, rows // 4096)
+    # The bucket follows the order: the upper bits of the hash, from the smallest.
+    placed = df.withColumns({"_h": fine, "_b": F.floor((fine.cast("double") / 2.0**64 + 0.5) * buckets).cast("long")})
+    placed = placed.withColumn("_b", F.least("_b", F.lit(buckets - 1)))
+    counts = placed.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select("_b", before.alias("_before"))
+    within = F.row_number().over(Window.partitionBy("_b").orderBy("_h", *ids))
+    numbered = placed.withColumn("_at", within).join(hinted(starts), "_b")
+    return numbered.withColumn(name, F.floor((F.col("_before") + F.col("_at") - 1) / size).cast("long")).select(*df.columns, name)
