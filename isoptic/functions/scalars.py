@@ -14,9 +14,10 @@ def round_up_to_odd(x: Column, least: int = 3) -> Column:
 
 
 def human_format(x: Column, suffixes: tuple[str, ...] = ("", "K", "M", "G", "T", "P")) -> Column:
-    """1234567 as 1.2M: one digit after the point, a suffix for every 1000."""
-    power = F.least(F.floor(F.log(10.0, F.greatest(F.abs(x), F.lit(1))) / 3 + 1e-12), F.lit(len(suffixes) - 1)).cast("int")
-    return F.concat(F.format_string("%.1f", F.round((x / F.pow(F.lit(1000.0), power)).cast("double") + 1e-9, 1)), F.get(F.array(*[F.lit(s) for s in suffixes]), power))
+    """1234567 as 1.235M: three digits after the point, a suffix for every 1000 that
+    the number reaches."""
+    power = sum((F.abs(x) >= F.lit(1000.0**k)).cast("int") for k in range(1, len(suffixes)))
+    return F.concat(F.format_string("%.3f", (x / F.pow(F.lit(1000.0), power)).cast("double")), F.get(F.array(*[F.lit(s) for s in suffixes]), power))
 
 
 def one_hot(x: Column, classes: int) -> Column:

@@ -235,7 +235,11 @@ def gradient(x: np.ndarray, w: Weights) -> tuple[float, int, Gradients]:
 
 def flat_window(samples: Column, *cols: str) -> Column:
     """The columns of an array of samples, one after the other, as one array."""
-    return F.concat(*[F.transform(samples, lambda s, c=c: s[c].cast("double")) for c in cols])
+
+    def of(name: str) -> Column:
+        return F.transform(samples, lambda s: s[name].cast("double"))
+
+    return F.concat(*map(of, cols))
 
 
 def reconstructed(windows: DataFrame, keys: list[str], load: Callable[[], Weights], vector: str = "x", coordinates: int = 2) -> DataFrame:

@@ -32,6 +32,32 @@ def load_weights(path: str) -> dict[str, np.ndarray]:
         return {k.removeprefix("module."): found[k] for k in found.files}
 
 
+def seeded_weights(channels: int = 8, hidden: int = 64, classes: int = 3, rows: int = 2, width: int = 11, seed: int = 220617) -> dict[str, np.ndarray]:
+    """Untrained weights, uniform within one over the root of a layer's inputs; all
+    normalisations pass numbers on as they are."""
+    r = np.random.default_rng(seed)
+    inside, w = 1, {}
+
+    def drawn(*shape: int) -> np.ndarray:
+        return r.uniform(-1, 1, shape) / np.prod(shape[1:]) ** 0.5
+
+    def norm(name: str, n: int) -> dict[str, np.ndarray]:
+        return {f"{name}.weight": np.ones(n), f"{name}.bias": np.zeros(n), f"{name}.running_mean": np.zeros(n), f"{name}.running_var": np.ones(n)}
+
+    for name in CONVOLUTIONS:
+        w[f"conv_stack.{name}.0.weight"] = drawn(channels, inside, rows, width)
+        w |= norm(f"conv_stack.{name}.1", channels)
+        inside = channels
+    inside = channels * (2 + len(CONVOLUTIONS))  # each convolution adds a row
+    for name in RECURRENT:
+        for end in ("", "_reverse"):
+            w[f"rnn_stack.{name}.rnn.weight_ih_l0{end}"] = drawn(3 * hidden, inside)
+            w[f"rnn_stack.{name}.rnn.weight_hh_l0{end}"] = drawn(3 * hidden, hidden)
+        w |= norm(f"rnn_stack.{name}.batch_norm_op.module", hidden)
+        inside = hidden
+    return w | {"fc.0.module.weight": drawn(classes, hidden)}
+
+
 def _normalised(x: np.ndarray, w: Weights, name: str, axis: int) -> np.ndarray:
     """Batch normalisation with the statistics of training."""
     shape = [-1 if k == axis else 1 for k in range(x.ndim)]

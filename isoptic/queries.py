@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from . import constants as C
 from .frames import with_ordinal
 from .functions import box_muller, human_format, linear_degrees, arctangent_degrees, one_hot, pixels_per_degree, recode, round_up_to_odd, shifted_labels
-from .operators import align, clean, grid, label, segment, sequence, stats, vector
+from .operators import align, autoencoder, classifier, clean, grid, label, segment, sequence, stats, training, vector
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -640,8 +640,8 @@ def px_per_degree(spark, sf_dir):
     return p.select("p_partkey", F.round(pixels_per_degree(F.col("p_size"), F.col("p_size") + 1, F.lit(1920), F.lit(1080), F.lit(60.0)), 6).alias("px"))
 
 
-@query("""SELECT event_id, greatest(ceil(value)::BIGINT // 2 * 2 + 1, 3) AS odd, printf('%.1f', round(value * 1000 / pow(1000, p) + 1e-9, 1)) || ['', 'K', 'M'][p + 1] AS short, round(sqrt(-2 * ln(value / 1000)) * cos(2 * pi() * value / 700), 6) AS normal
-FROM (SELECT *, floor(log10(greatest(value * 1000, 1)) / 3 + 1e-12)::INT AS p FROM events)""")
+@query("""SELECT event_id, greatest(ceil(value)::BIGINT // 2 * 2 + 1, 3) AS odd, printf('%.3f', value * 1000 / pow(1000, p)) || ['', 'K', 'M', 'G', 'T', 'P'][p + 1] AS short, round(sqrt(-2 * ln(value / 1000)) * cos(2 * pi() * value / 700), 6) AS normal
+FROM (SELECT *, list_sum(list_transform([1, 2, 3, 4, 5], lambda i: (abs(value * 1000) >= pow(1000, i))::INT))::INT AS p FROM events)""")
 def scalar_helpers(spark, sf_dir):
     e, v = table(spark, sf_dir, "events"), F.col("value")
     return e.select("event_id", round_up_to_odd(v).alias("odd"), human_format(v * 1000).alias("short"), F.round(box_muller(v / 1000, v / 700), 6).alias("normal"))
@@ -829,15 +829,29 @@ def centroid_distances(spark, sf_dir):
     return vector.pairwise_distances(e, first, "vec_id", "label", "embedding").select("left_id", "right_id", r("distance"))
 
 
-@query()
+def _lloyd_sql(select: str, k: int = 7, rounds: int = 10, seed: int = 0) -> str:
+    """Lloyd's rounds one after the other, each with a row drawn for an empty cluster."""
+    pick = lambda draw, j: f"arg_min(v, md5(vec_id || ':{seed}:{draw}:' || {j}))"
+    out = ["v AS MATERIALIZED (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings)", f"j AS (SELECT range::INT AS j FROM range({k}))", f"c0 AS MATERIALIZED (SELECT j, {pick(0, 'j')} AS c FROM j, v GROUP BY j)"]
+    for n in range(1, rounds + 1):
+        out.append(f"a{n} AS MATERIALIZED (SELECT vec_id, arg_min(j, (d, j)) AS j FROM (SELECT vec_id, j, list_sum(list_transform(list_zip(v, c), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d FROM v, c{n - 1}) GROUP BY vec_id)")
+        out.append(f"m{n} AS (SELECT j, list(m ORDER BY i) AS m FROM (SELECT j, i, avg(x) AS m FROM (SELECT j, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM a{n} JOIN v USING (vec_id)) GROUP BY j, i) GROUP BY j)")
+        out.append(f"c{n} AS MATERIALIZED (SELECT j.j, coalesce(any_value(m.m), {pick(n, 'j.j')}) AS c FROM j LEFT JOIN m{n} m ON m.j = j.j, v GROUP BY j.j)")
+    return f"WITH {', '.join(out)} {select.format(n=rounds)}"
+
+
+@query(_lloyd_sql("SELECT vec_id, j AS cluster FROM a{n}"))
 def kmeans_clusters(spark, sf_dir):
-    return vector.kmeans(table(spark, sf_dir, "embeddings"), "embedding")[1].select("vec_id", "cluster")
+    return vector.lloyd(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")[1].select("vec_id", "cluster")
 
 
-@query()
+@query(
+    _lloyd_sql("""SELECT round(10000 * f + 0.001 * p, 4) AS loss FROM (SELECT avg(list_sum(list_transform(list_zip(v, c), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) / len(v)) AS f FROM a{n} JOIN v USING (vec_id) JOIN c{n} USING (j)),
+(SELECT sum(1 / (list_distance(x.c, y.c) + 1e-6)) AS p FROM c{n} x JOIN c{n} y ON x.j < y.j)""")
+)
 def clustering_loss(spark, sf_dir):
-    model, out = vector.kmeans(table(spark, sf_dir, "embeddings"), "embedding")
-    return vector.clustering_loss(out, model, "embedding")
+    centres, out = vector.lloyd(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return vector.centroid_loss(out, centres, "embedding").select(r("loss", 4))
 
 
 @query()
@@ -857,6 +871,50 @@ def model_scores(spark, sf_dir):
     return vector.score_sequences(e, _mean_model, "vec_id long, score double").select("vec_id", r("score"))
 
 
+def _user_windows(spark, sf_dir, length: int, stride: int) -> DataFrame:
+    """Windows of every user's ``value`` and ``k``, in shares of their ranges."""
+    e = events(spark, sf_dir).withColumns({"x": F.col("value") / 200, "y": F.col("k") / 100})
+    return sequence.sequences(e, sequence.strided_windows(e, U, "event_id", length, stride), U, "event_id", "t", "x", "y")
+
+
+#: Windows of the auto-encoder's queries, and sizes of its layers.
+_AUTO = {"length": 24, "latent": 8, "channels": (8, 16), "hidden": (16, 8), "outward": (8, 16, 32)}
+
+
+def _auto_weights():
+    return autoencoder.initial(**_AUTO)
+
+
+@query()
+def autoencoder_errors(spark, sf_dir):
+    """Latent vectors and errors of all users' windows, by an untrained model."""
+    w = _user_windows(spark, sf_dir, 24, 12).withColumn("x", autoencoder.flat_window(F.col("samples"), "x", "y"))
+    return autoencoder.reconstructed(w, ["user_id", "window"], _auto_weights).select("user_id", "window", F.transform("latent", lambda x: F.round(x, 6)).alias("latent"), r("error"))
+
+
+@query()
+def autoencoder_training(spark, sf_dir):
+    """The mean loss of two epochs over all users' windows, and the score of the second."""
+    w = _user_windows(spark, sf_dir, 24, 12).withColumn("x", autoencoder.flat_window(F.col("samples"), "x", "y"))
+    got = training.train(w, ["user_id", "window"], "x", (2, 24), _auto_weights(), autoencoder.gradient, autoencoder.squared_error, scratch(spark, "batches"), epochs=2, batch=1024, rate=0.01)
+    rows = [(n, loss, got.scores.get(n)) for n, loss in enumerate(got.losses)]
+    return spark.createDataFrame(rows, "epoch int, loss double, score double").select("epoch", r("loss", 4), r("score", 4))
+
+
+@query()
+def classified_windows(spark, sf_dir):
+    """Event codes of all users' samples by a classifier with seeded weights: windows,
+    classification, and the last window's code for each sample."""
+    guess = classifier.classified(_user_windows(spark, sf_dir, 24, 12), "user_id long, window int", lambda: classifier.seeded_weights(channels=4, hidden=8))
+    e = events(spark, sf_dir).select("user_id", "event_id", "t", "code")
+    return align.with_predictions(e, guess, U, "t", "evt", "window").select("user_id", "event_id", "code", "evt_pred")
+
+
+@query("SELECT range AS batch, least(64, n - 64 * range) AS size FROM (SELECT count(*) AS n FROM events), range(0, (SELECT count(*) FROM events) // 64 + 1) WHERE n > 64 * range")
+def seeded_batches(spark, sf_dir):
+    return sequence.seeded_batches(table(spark, sf_dir, "events").select("event_id"), ["event_id"], 64).groupBy("batch").agg(F.count(F.lit(1)).alias("size"))
+
+
 @query()
 def noisy_copies(spark, sf_dir):
     e = events(spark, sf_dir).select("event_id", "value", "k")
