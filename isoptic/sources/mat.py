@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Any
 
 import numpy as np
@@ -106,44 +106,52 @@ def _eye(data: dict, side: str, n: int) -> np.ndarray:
     return x
 
 
-def gaze(files: DataFrame) -> DataFrame:
-    """``gaze_raw`` of a listing with contents; the recording's id is its path.
-    Missing samples are NULL."""
-    from ..frames import nan_to_null
+def gaze_rows(path: str, content: bytes) -> pd.DataFrame:
+    data = load(content)["data"]
+    t = np.atleast_1d(np.asarray(_at(data, "gaze.systemTimeStamp"), float))
+    left, right = (_eye(data, side, len(t)) for side in ("left", "right"))
+    return pd.DataFrame({"recording_id": path, "idx": np.arange(len(t)), "t_us": t, "left_x": left[0], "left_y": left[1], "right_x": right[0], "right_y": right[1]})
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for path, content in zip(batch["path"], batch["content"], strict=True):
-                data = load(content)["data"]
-                t = np.atleast_1d(np.asarray(_at(data, "gaze.systemTimeStamp"), float))
-                left, right = (_eye(data, side, len(t)) for side in ("left", "right"))
-                yield pd.DataFrame({"recording_id": path, "idx": np.arange(len(t)), "t_us": t, "left_x": left[0], "left_y": left[1], "right_x": right[0], "right_y": right[1]})
 
-    return nan_to_null(files.select("path", "content").mapInPandas(run, GAZE_RAW))
+def message_rows(path: str, content: bytes) -> pd.DataFrame:
+    rows = load(content).get("messages")
+    rows = np.atleast_2d(rows) if rows is not None else np.empty((0, 2), object)
+    return pd.DataFrame({"recording_id": path, "seq": np.arange(len(rows), dtype=np.int32), "t_us": [float(x) for x in rows[:, 0]], "text": [str(x) for x in rows[:, 1]]})
 
 
-def messages(files: DataFrame) -> DataFrame:
-    """Time and text of each message, in order."""
+def recording_rows(path: str, content: bytes) -> pd.DataFrame:
+    found = load(content)
+    return pd.DataFrame({"recording_id": [path], "dom_eye": [str(found.get("Dom_Eye", ""))], "header": [found["__header__"]]})
+
+
+RECORDING = "recording_id string, dom_eye string, header string"
 
+
+def _each(files: DataFrame, rows: Callable[[str, bytes], pd.DataFrame], schema: str) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"], strict=True):
-                rows = load(content).get("messages")
-                rows = np.atleast_2d(rows) if rows is not None else np.empty((0, 2), object)
-                yield pd.DataFrame({"recording_id": path, "seq": np.arange(len(rows), dtype=np.int32), "t_us": [float(x) for x in rows[:, 0]], "text": [str(x) for x in rows[:, 1]]})
+                yield rows(path, content)
 
-    return files.select("path", "content").mapInPandas(run, MESSAGES)
+    return files.select("path", "content").mapInPandas(run, schema)
 
 
-def recordings(files: DataFrame) -> DataFrame:
-    """``recording_id``, ``dom_eye`` and ``header``."""
+def gaze(files: DataFrame) -> DataFrame:
+    """``gaze_raw`` of a listing with contents; the recording's id is its path.
+    Missing samples are NULL."""
+    from ..frames import nan_to_null
+
+    return nan_to_null(_each(files, gaze_rows, GAZE_RAW))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = [load(c) for c in batch["content"]]
-            yield pd.DataFrame({"recording_id": batch["path"], "dom_eye": [str(x.get("Dom_Eye", "")) for x in found], "header": [x["__header__"] for x in found]})
 
-    return files.select("path", "content").mapInPandas(run, "recording_id string, dom_eye string, header string")
+def messages(files: DataFrame) -> DataFrame:
+    """Time and text of each message, in order."""
+    return _each(files, message_rows, MESSAGES)
+
+
+def recordings(files: DataFrame) -> DataFrame:
+    """``recording_id``, ``dom_eye`` and ``header``."""
+    return _each(files, recording_rows, RECORDING)
 
 
 def panel_scores(files: DataFrame, task: str) -> DataFrame:
