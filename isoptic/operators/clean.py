@@ -118,3 +118,26 @@ def dominant_eye(df: DataFrame, eye: str = "dom_eye", parity: bool = False) -> D
     left. Case doesn't matter, but with ``parity`` only a lower-case r counts."""
     right = (F.col(eye) if parity else F.lower(eye)) == "r"
     return df.withColumns({k: F.when(right, F.col(f"right_{k}")).otherwise(F.col(f"left_{k}")) for k in ("x", "y")})
+
+
+def on_clock(df: DataFrame, keys: Keys, t: str, order: str, rate: float, stale: float | None = None, name: str = "frame") -> DataFrame:
+    """Each series on a clock of ``rate`` frames a second from its first sample: a row for
+    each ``frame`` and its ``clock`` time, with the sample last seen by then; of samples at
+    one time the last by ``order``.
+
+    One sort by series: each sample knows the next, and so the frames that are its own.
+    With ``stale``, a frame more than so many seconds after its sample is left out. Rows
+    without a time are ignored.
+    """
+    rows = df.where(F.col(t).isNotNull())
+    w = ordered(keys, t, order)
+    begun = F.col(t).cast("double") - F.min(F.col(t).cast("double")).over(whole(keys))
+    timed = rows.withColumn("_t", begun)
+    timed = timed.withColumn("_next", F.lead("_t").over(w))
+    first = F.ceil(F.col("_t") * rate)
+    last = F.coalesce(F.ceil(F.col("_next") * rate) - 1, F.floor(F.col("_t") * rate))
+    if stale is not None:
+        last = F.least(last, F.floor((F.col("_t") + stale) * rate))
+    own = timed.withColumns({"_a": first.cast("long"), "_z": last.cast("long")}).where("_a <= _z")
+    out = own.withColumn(name, F.explode(F.sequence("_a", "_z")))
+    return out.withColumn("clock", F.col(t).cast("double") - F.col("_t") + F.col(name) / rate).drop("_t", "_next", "_a", "_z")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -95,40 +97,106 @@ def mse(df: DataFrame, a: str, b: str, keys: Keys = ()) -> DataFrame:
 _REP, _POS, _HASH, _PRIME = 7919, 104729, 2654435761, 4294967291
 
 
-def permutation_key(rep: Column, pos: Column, seed: int = C.SHUFFLE_SEED) -> Column:
-    """A number that orders places at random, the same wherever it is computed."""
-    return ((rep * _REP + pos * _POS + seed) * _HASH) % _PRIME
+#: Subjects and repetitions of a block, which is one group of a task.
+SUBJECTS, REPETITIONS = 512, 250
+_SUMS = ("n", "sa", "sb", "saa", "sbb", "sab")
+
+
+def _permutations(first: int, last: int, least: int, seed: int) -> np.ndarray:
+    """Places in random orders, the same wherever they are computed: (repetition, rank)."""
+    rep, pos = np.arange(first, last)[:, None], np.arange(least)[None]
+    return np.argsort(((rep * _REP + pos * _POS + seed) * _HASH) % _PRIME, axis=1, kind="stable")
+
+
+def _half_sums(v: np.ndarray, order: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Sums over subjects (repetition, length, sum) of the means of both halves: what
+    Pearson's r is made of. NaN is a missing value, and a subject without a half counts
+    nowhere."""
+    out = np.zeros((len(order), len(lengths), len(_SUMS)))
+    held, v = (~np.isnan(v)).astype(np.float64), np.nan_to_num(v)
+    ends = np.concatenate([lengths, 2 * lengths]) - 1
+    for k, places in enumerate(order):
+        # Running sums in the permuted order hold every length at once.
+        total, count = (np.cumsum(x[:, places[: ends.max() + 1]], axis=1)[:, ends] for x in (v, held))
+        l = len(lengths)  # noqa: E741
+        na, nb = count[:, :l], count[:, l:] - count[:, :l]
+        ok = (na > 0) & (nb > 0)
+        a = np.where(ok, total[:, :l] / np.maximum(na, 1), 0)
+        b = np.where(ok, (total[:, l:] - total[:, :l]) / np.maximum(nb, 1), 0)
+        out[k] = np.stack([ok.sum(axis=0), a.sum(axis=0), b.sum(axis=0), (a * a).sum(axis=0), (b * b).sum(axis=0), (a * b).sum(axis=0)], axis=1)
+    return out
 
 
 def split_half(values: DataFrame, lengths: Sequence[int], repetitions: int, least: int, subject: str = "subject", pos: str = "pos", value: str = "v", seed: int = C.SHUFFLE_SEED) -> DataFrame:
     """Pearson's r over subjects of the means of two random halves, for each
     length ``l`` and ``rep``. A repetition permutes the first ``least`` places
-    alike for all subjects and takes ``l`` and the next ``l`` of them.
-
-    A subject's places are one array, and a repetition's halves one array for
-    each length; both are short, so subjects are dealt out and halves broadcast,
-    and no row of a place is ever made.
+    alike for all subjects and takes ``l`` and the next ``l`` of them; missing and null
+    values are left out of a mean. r is null where it isn't defined.
+
+    Subjects are cut in blocks of ``SUBJECTS`` and repetitions in blocks of
+    ``REPETITIONS``; a task takes one block of each, a matrix of values and the
+    repetitions' orders, which it makes itself. For each repetition running sums in its
+    order give both means for every length, so work is linear in ``least`` and almost free
+    of the number of lengths. Tasks give sums that add up to r; nothing is broadcast, and
+    rows are as many as blocks of subjects times lengths times repetitions.
+    """
+    wanted = np.array(sorted({int(x) for x in lengths}), np.int64)
+    if len(wanted) and (wanted[0] < 1 or 2 * wanted[-1] > least):
+        raise ValueError(f"halves of 1 to {least // 2} places")
+    schema = "l int, rep long, " + ", ".join(f"{c} double" for c in _SUMS)
+    if not len(wanted) or repetitions < 1:
+        return values.sparkSession.createDataFrame([], "l int, rep long, r double")
+    usable = values.where((F.col(pos) >= 0) & (F.col(pos) < least) & F.col(value).isNotNull() & F.col(subject).isNotNull())
+    # Sums of squares lose digits far from zero: values are taken from about their mean.
+    centre = usable.agg(F.avg(value)).first()[0] or 0.0
+    rows = usable.groupBy(subject).agg(F.collect_list(F.struct(F.col(pos).cast("int").alias("p"), (F.col(value).cast("double") - centre).alias("v"))).alias("_all"))
+    blocks = max(1, -(-rows.count() // SUBJECTS))
+    parts = F.explode(F.sequence(F.lit(0), F.lit(-(-repetitions // REPETITIONS) - 1)))
+    dealt = rows.select("_all", F.pmod(F.xxhash64(subject), F.lit(blocks)).alias("_s"), parts.alias("_r"))
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        first = key[1].as_py() * REPETITIONS
+        last = min(first + REPETITIONS, repetitions)
+        lists = table.column("_all").combine_chunks()
+        row = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+        held = lists.flatten()
+        v = np.full((len(lists), least), np.nan)
+        v[row, held.field("p").to_numpy()] = held.field("v").to_numpy()
+        sums = _half_sums(v, _permutations(first, last, least, seed), wanted).reshape(-1, len(_SUMS))
+        n = last - first
+        cols = {"l": np.tile(wanted, n).astype(np.int32), "rep": np.repeat(np.arange(first, last), len(wanted))} | dict(zip(_SUMS, sums.T, strict=True))
+        return pa.table({k: pa.array(np.ascontiguousarray(x)) for k, x in cols.items()})
+
+    sums = dealt.groupBy("_s", "_r").applyInArrow(run, schema).groupBy("l", "rep").agg(*[F.sum(c).alias(c) for c in _SUMS])
+    n = F.col("n")
+    across, up, down = n * F.col("sab") - F.col("sa") * F.col("sb"), n * F.col("saa") - F.col("sa") * F.col("sa"), n * F.col("sbb") - F.col("sb") * F.col("sb")
+    return sums.select("l", "rep", F.when((n > 1) & (up > 0) & (down > 0), across / F.sqrt(F.when(up > 0, up)) / F.sqrt(F.when(down > 0, down))).alias("r"))
+
+
+def reliability_curve(values: DataFrame, low: int, high: int, repetitions: int, least: int, folder: str | None = None, step: int = 16, **options) -> DataFrame:
+    """Mean r for each length from max(5, low) to high - 1.
+
+    With ``folder``, one that driver and executors share, lengths are written ``step``
+    at a time, and those that it holds already, of an earlier run with the same
+    arguments, are not computed again.
     """
-    spark = values.sparkSession
-    wanted = spark.createDataFrame([(int(x),) for x in lengths], "l int")
-    places = spark.range(repetitions).select(F.col("id").alias("rep")).withColumn(pos, F.explode(F.sequence(F.lit(0), F.lit(least - 1))))
-    rank = F.row_number().over(Window.partitionBy("rep").orderBy(permutation_key(F.col("rep"), F.col(pos).cast("long"), seed), pos))
-    ranked = places.withColumn("_rank", rank)
-    halves = ranked.join(F.broadcast(wanted), F.col("_rank") <= 2 * F.col("l")).select("l", "rep", pos, (F.col("_rank") <= F.col("l")).alias("_first"))
-    chosen = halves.groupBy("l", "rep").agg(*[F.sort_array(F.collect_list(F.when(side, F.col(pos)))).alias(name) for name, side in (("_p", F.col("_first")), ("_q", ~F.col("_first")))])
-    rows = values.where(F.col(pos) < least).groupBy(subject).agg(F.map_from_entries(F.collect_list(F.struct(F.col(pos).cast("long"), F.col(value).cast("double")))).alias("_v"))
-
-    def mean(places: str) -> Column:
-        held = F.filter(F.transform(places, lambda p: F.element_at("_v", p)), lambda x: x.isNotNull())
-        return F.try_divide(F.aggregate(held, F.lit(0.0), lambda a, x: a + x), F.size(held))
-
-    means = rows.join(hinted(chosen)).select("l", "rep", mean("_p").alias("_a"), mean("_q").alias("_b"))
-    return means.groupBy("l", "rep").agg(F.corr("_a", "_b").alias("r"))
-
-
-def reliability_curve(values: DataFrame, low: int, high: int, repetitions: int, least: int, **options) -> DataFrame:
-    """Mean r for each length from max(5, low) to high - 1."""
-    return split_half(values, range(max(5, low), high), repetitions, least, **options).groupBy("l").agg(F.avg("r").alias("reliability"))
+    spark, lengths = values.sparkSession, list(range(max(5, low), high))
+
+    def curve(of: Sequence[int]) -> DataFrame:
+        return split_half(values, of, repetitions, least, **options).groupBy("l").agg(F.avg("r").alias("reliability"))
+
+    if folder is None:
+        return curve(lengths)
+    there = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    exists = there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there)
+    schema = "l int, reliability double"
+    done = {r.l for r in spark.read.schema(schema).parquet(folder).select("l").collect()} if exists else set()
+    left = [n for n in lengths if n not in done]
+    for k in range(0, len(left), step):
+        curve(left[k : k + step]).coalesce(1).write.mode("append").parquet(folder)
+    if not exists and not left:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(folder).where(F.col("l").between(max(5, low), high - 1))
 
 
 def half_correlation(df: DataFrame, value: str, subject: str, order: str) -> DataFrame:

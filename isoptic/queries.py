@@ -15,6 +15,7 @@ from . import constants as C
 from .frames import with_ordinal
 from .functions import box_muller, human_format, linear_degrees, arctangent_degrees, one_hot, pixels_per_degree, recode, round_up_to_odd, shifted_labels
 from .operators import align, autoencoder, classifier, clean, grid, label, segment, sequence, stats, training, vector
+from .sources import datasource
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -601,12 +602,46 @@ def shifted_sequence_labels(spark, sf_dir):
 _CELL = 'least(floor(value / 10), 11)::INT AS bx, least(floor(k / 10), 9)::INT AS "by"'
 
 
+def _cells(spark, sf_dir):
+    cell = lambda c, n: F.least(F.floor(F.col(c) / 10), F.lit(n)).cast("int")
+    return series(spark, sf_dir).withColumns({"bx": cell("value", 11), "by": cell("k", 9)})
+
+
 @query(f"WITH {S}, c AS (SELECT *, {_CELL}, max(idx) OVER (PARTITION BY user_id) AS last FROM s) SELECT user_id, \"by\", round(sum(pow(0.99, last - idx)), 6) AS heat FROM c GROUP BY user_id, \"by\"")
 def decay_sum(spark, sf_dir):
     s = series(spark, sf_dir).withColumns({"bx": F.lit(0), "by": F.least(F.floor(F.col("k") / 10), F.lit(9)).cast("int")})
     return grid.decayed_heat(s, "bx", "by", "idx", U).select("user_id", "by", r("heat"))
 
 
+@query(f"""WITH {S}, c AS (SELECT user_id, idx, {_CELL} FROM s)
+SELECT a.user_id, a.idx AS frame, a.bx, a."by", round(sum(pow(0.99, a.idx - b.idx)), 6) AS heat FROM c a JOIN c b ON a.user_id = b.user_id AND a.bx = b.bx AND a."by" = b."by" AND b.idx <= a.idx GROUP BY ALL""")
+def decayed_frames(spark, sf_dir):
+    """In blocks of 16 frames, so that most series have several."""
+    s = _cells(spark, sf_dir)
+    return grid.decayed_frames(s, "bx", "by", "idx", U, block=16).select("user_id", "frame", "bx", "by", r("heat"))
+
+
+@query(f"""WITH {S}, c AS (SELECT user_id, idx, {_CELL} FROM s)
+SELECT user_id, n AS frame, bx, "by", round(sum(pow(0.99, n - idx)), 6) AS heat FROM c, (SELECT unnest([9, 50, 90])::BIGINT AS n) WHERE idx <= n GROUP BY ALL""")
+def heat_frames(spark, sf_dir):
+    touched = grid.decayed_frames(_cells(spark, sf_dir), "bx", "by", "idx", U, block=16)
+    return grid.heat_at(touched, (9, 50, 90), "bx", "by", U).select("user_id", "frame", "bx", "by", r("heat"))
+
+
+@query(f"""WITH {S}, n AS (SELECT *, count(*) OVER (PARTITION BY user_id) AS n FROM s), f AS (SELECT *, greatest(1000 // n, 1) AS each FROM n)
+SELECT user_id, event_id, idx * each AS first, least((idx + 1) * each, 1000) - 1 AS last FROM f WHERE idx * each < 1000""")
+def movie_frames(spark, sf_dir):
+    return grid.movie_frames(series(spark, sf_dir), "idx", U, 1000).select("user_id", "event_id", "first", "last")
+
+
+@query(f"""WITH {E}, b AS (SELECT user_id, min(t) AS t0, max(t) - min(t) AS d FROM e GROUP BY user_id),
+f AS (SELECT user_id, t0, unnest(range(0, floor(d * 0.001)::BIGINT + 1)) AS frame FROM b)
+SELECT f.user_id, frame, arg_max(event_id, (t - t0, event_id)) AS event_id FROM f JOIN e ON e.user_id = f.user_id AND ceil((t - t0) * 0.001) <= frame GROUP BY f.user_id, frame""")
+def frame_clock(spark, sf_dir):
+    """A frame every 1000 seconds."""
+    return clean.on_clock(events(spark, sf_dir), U, "t", "event_id", 0.001).select("user_id", "frame", "event_id")
+
+
 _BLUR = f"kern AS (SELECT d - 4 AS d, w FROM (SELECT unnest(range(9)) AS d, unnest({grid.gaussian_kernel(1.0)}::DOUBLE[]) AS w))"
 
 
@@ -777,6 +812,17 @@ def written_npy(spark, sf_dir):
 # Whole analyses: a user's events are a panel, purchases its utterances.
 
 
+@query(f"WITH {S} SELECT user_id, event_id, idx, round(value, 6) AS value FROM s WHERE idx < 40")
+def npy_source(spark, sf_dir):
+    """Series written as NPY files in two phases and read as a data source, a file's
+    first 40 rows alone."""
+    path = scratch(spark, "npy-source")
+    datasource.write_npy(events(spark, sf_dir), path, U, "event_id", ["event_id", "value"])
+    datasource.register(spark)
+    rows = spark.read.format("npy").option("rows", "64").load(path).where("idx < 40")
+    return rows.select(F.regexp_extract("path", r"([0-9]+)\.npy$", 1).cast("long").alias("user_id"), "event_id", "idx", r("value"))
+
+
 def _utterances(spark, sf_dir):
     e = events(spark, sf_dir).where("event_type in ('purchase', 'signup')")
     return with_ordinal(e, U, "event_id", name="ord").select("user_id", "ord", "t", F.when(F.col("event_type") == "purchase", 1).otherwise(-1).alias("sentence_breaks"))
