@@ -36,14 +36,16 @@ from .store import discard, keep, small_batches
 #: The threshold is NUM / DEN.
 NUM, DEN, WORDS = 4, 5, 4
 #: Orders of the n-grams, and trees: each of these has a root of its own.
-FUNCTIONS, TREES = 40, 20
+FUNCTIONS, TREES = 32, 20
 #: Bins of a sketch, each with a byte of its least n-gram, and by how many deviations
 #: fewer bins than expected have to agree for a pair to be dropped.
-BINS, SIGMA = 256, 5.5
+BINS, SIGMA = 512, 5.5
 #: Times that a node branches at most, and open pairs per set up to which it doesn't.
 DEPTH, WIDE = 10, 256
 #: Sets of a block.
 BLOCK = 256
+#: Parts that a node's rows are dealt to; Spark splits what is still large.
+SALTS = 4
 #: Rounds in which sets are held against one other each.
 ROUNDS = 3
 #: Of all trees, those in which two sets have to meet to be held against each other then.
@@ -77,7 +79,7 @@ def minwise(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
 def sketches(values: np.ndarray, rows: np.ndarray, count: int) -> np.ndarray:
     """Of each row's ascending hashes, a byte of the least in each bin; 0 where a bin
     has none."""
-    bin_ = (values >> np.uint64(56)).astype(np.int64)
+    bin_ = (values >> np.uint64(64 - BINS.bit_length() + 1)).astype(np.int64)
     first = np.ones(len(values), bool)
     first[1:] = (bin_[1:] != bin_[:-1]) | (rows[1:] != rows[:-1])
     out = np.zeros((count, BINS), np.uint8)
@@ -152,12 +154,19 @@ def _branched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield from _entries(child, s[some])
 
 
-def alike(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """How many bins of two sketches agree, and whether they may be of linked sets."""
+def alike(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many bins of two sketches agree, and whether they may be of linked sets of
+    these sizes.
+
+    The bins' least n-grams are a random part of the union, drawn without returning any,
+    so those that both sets have are distributed hypergeometrically. A linked pair's union
+    has a largest size; the more of it the bins hold, the less chance is left.
+    """
     same = ((x == y) & (x > 0)).sum(axis=1)
-    all_ = ((x > 0) | (y > 0)).sum(axis=1)
-    p = NUM / DEN
-    return same, same >= all_ * p - SIGMA * np.sqrt(all_ * p * (1 - p))
+    drawn = ((x > 0) | (y > 0)).sum(axis=1)
+    p, union = NUM / DEN, (n + m) * DEN / (NUM + DEN)
+    spread = drawn * p * (1 - p) * np.maximum(union - drawn, 0) / np.maximum(union - 1, 1)
+    return same, (same >= drawn * p - SIGMA * np.sqrt(spread) - 1e-9) & (drawn <= union + 1e-9)
 
 
 FOUND = "a long, b long, c long"
@@ -191,7 +200,7 @@ def _pairs_of(t: pa.Table) -> Iterator[pa.RecordBatch]:
         i, j = i[ok], j[ok]
         for at in range(0, len(i), 8192):
             x, y = i[at : at + 8192], j[at : at + 8192]
-            same, good = alike(sketch[x], sketch[y])
+            same, good = alike(sketch[x], sketch[y], n[x], n[y])
             x, y, same = x[good], y[good], same[good]
             seen.append(np.stack([np.minimum(s[x], s[y]), np.maximum(s[x], s[y]), same.astype(np.int64)]))
     if seen:
@@ -225,7 +234,7 @@ def _held_against(shared: DataFrame, roots: DataFrame | None, number: int) -> Da
     turn = F.lit(int(_constants(number + 1, 600)[number].view(np.int64)))
     owned = _owned(shared, roots)
     ends = owned.groupBy("key").agg(F.min(F.col("s").bitwiseXOR(turn)).alias("lo"), F.max(F.col("s").bitwiseXOR(turn)).alias("hi"), F.min("root").alias("u"), F.max("root").alias("v")).where("u <> v").drop("u", "v")
-    met = salted_join(owned, ends, ["key"], ["s"], how="inner")
+    met = salted_join(owned, ends, ["key"], ["s"], how="inner", salts=SALTS)
     both = met.select(F.col("s").alias("a"), F.explode(F.array("lo", "hi")).alias("b")).select("a", F.col("b").bitwiseXOR(turn).alias("b")).where("a <> b")
     often = both.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= MET)
     best = _apart(often, roots).groupBy("a").agg(F.max(F.struct("c", "b")).alias("best"))
@@ -256,8 +265,8 @@ def _units(mixed: DataFrame, nodes: DataFrame, comps: DataFrame) -> DataFrame:
     sides = unit.select("key", "unit", F.explode(side).alias("x")).select("key", "unit", "x.label", "x.side")
     # A set is in the blocks of its component if that is large, else in one of the rest.
     named = own.withColumnRenamed("m", "m_own")
-    placed = salted_join(mixed, large.select("key", (F.col("n") - F.col("own")).alias("left")), ["key"], ["s"], how="inner")
-    placed = salted_join(placed.withColumnRenamed("root", "owner"), named, ["key", "owner"], ["s"], how="left")
+    placed = salted_join(mixed, large.select("key", (F.col("n") - F.col("own")).alias("left")), ["key"], ["s"], how="inner", salts=SALTS)
+    placed = salted_join(placed.withColumnRenamed("root", "owner"), named, ["key", "owner"], ["s"], how="left", salts=SALTS)
     of = F.greatest(F.ceil(F.coalesce("m_own", "left") / BLOCK), F.lit(1)).cast("int")
     owner = F.when(F.col("m_own").isNotNull(), F.col("owner"))
     blocked = placed.select("key", "s", F.col("owner").alias("root"), label(owner, F.pmod(F.xxhash64("s"), of).cast("int")).alias("label"))
@@ -271,7 +280,7 @@ def _candidates(shared: DataFrame, signed: DataFrame, roots: DataFrame | None, d
     for level in range(depth + 1):
         owned = _owned(entries, roots)
         several = owned.groupBy("key").agg(F.min("root").alias("u"), F.max("root").alias("v")).where("u <> v").select("key")
-        mixed = keep(salted_join(owned, several.withColumn("_in", F.lit(True)), ["key"], ["s"], how="inner").select("key", "s", "root"), f"mixed-{level}")
+        mixed = keep(salted_join(owned, several.withColumn("_in", F.lit(True)), ["key"], ["s"], how="inner", salts=SALTS).select("key", "s", "root"), f"mixed-{level}")
         if level:
             discard(entries)
         comps = keep(mixed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("m")), f"parts-{level}")
@@ -285,7 +294,7 @@ def _candidates(shared: DataFrame, signed: DataFrame, roots: DataFrame | None, d
         large = nodes.where("not small").select("key")
         if large.isEmpty():
             break
-        going = salted_join(mixed, large.withColumn("_in", F.lit(True)), ["key"], ["s"], how="inner").select("key", "s")
+        going = salted_join(mixed, large.withColumn("_in", F.lit(True)), ["key"], ["s"], how="inner", salts=SALTS).select("key", "s")
         entries = keep(going.join(signed.select("s", "mins"), "s").select("key", "s", "mins").mapInArrow(tokens.tidy(_branched), "key long, s long"), f"entries-{level}")
     every = out[0]
     for more in out[1:]:
@@ -319,7 +328,7 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
 
     entries = keep(signed.select("s", "mins").mapInArrow(tokens.tidy(_rooted), "key long, s long"), "entries")
     several = entries.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("key", F.lit(True).alias("_in"))
-    shared = keep(salted_join(entries, several, ["key"], ["s"], how="inner").select("key", "s"), "shared")
+    shared = keep(salted_join(entries, several, ["key"], ["s"], how="inner", salts=SALTS).select("key", "s"), "shared")
     discard(entries)
     roots = None
     for number in range(ROUNDS):

@@ -137,10 +137,11 @@ def test_sketches_keep_linked_pairs():
         y = np.sort(y, axis=1)
         rows = np.repeat(np.arange(400), size)
         a, b = (chosen_path.sketches(v.ravel(), rows, 400) for v in (x, y))
-        assert chosen_path.alike(a, b)[1].all()
+        n = np.full(400, size)
+        assert chosen_path.alike(a, b, n, n)[1].all()
         if size >= 200:
             other = chosen_path.sketches(np.sort(r.integers(0, 2**64 - 1, (400, size), dtype=np.uint64), axis=1).ravel(), rows, 400)
-            assert not chosen_path.alike(a, other)[1].any()
+            assert not chosen_path.alike(a, other, n, n)[1].any()
 
 
 def test_nulls_repeats_and_clashing_columns(spark):
