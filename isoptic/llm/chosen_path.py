@@ -37,9 +37,9 @@ from .store import discard, keep, small_batches
 NUM, DEN, WORDS = 4, 5, 4
 #: Orders of the n-grams, and trees: each of these has a root of its own.
 FUNCTIONS, TREES = 32, 20
-#: Bins of a sketch, each with a byte of its least n-gram, and by how many deviations
+#: Bins of a sketch, each with half a byte of its least n-gram, and by how many deviations
 #: fewer bins than expected have to agree for a pair to be dropped.
-BINS, SIGMA = 512, 5.5
+BINS, SIGMA = 1024, 5.5
 #: Times that a node branches at most, and open pairs per set up to which it doesn't.
 DEPTH, WIDE = 10, 256
 #: Sets of a block.
@@ -77,13 +77,23 @@ def minwise(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def sketches(values: np.ndarray, rows: np.ndarray, count: int) -> np.ndarray:
-    """Of each row's ascending hashes, a byte of the least in each bin; 0 where a bin
-    has none."""
+    """Of each row's ascending hashes, a number from 1 to 15 of the least in each bin; 0
+    where a bin has none."""
     bin_ = (values >> np.uint64(64 - BINS.bit_length() + 1)).astype(np.int64)
     first = np.ones(len(values), bool)
     first[1:] = (bin_[1:] != bin_[:-1]) | (rows[1:] != rows[:-1])
     out = np.zeros((count, BINS), np.uint8)
-    out[rows[first], bin_[first]] = 1 + (values[first] & np.uint64(0xFFFFFF)) % np.uint64(255)
+    out[rows[first], bin_[first]] = 1 + (values[first] & np.uint64(0xFFFFFF)) % np.uint64(15)
+    return out
+
+
+def _halved(sketch: np.ndarray) -> np.ndarray:
+    return sketch[:, ::2] | sketch[:, 1::2] << 4
+
+
+def _whole(halved: np.ndarray) -> np.ndarray:
+    out = np.empty((len(halved), BINS), np.uint8)
+    out[:, ::2], out[:, 1::2] = halved & 15, halved >> 4
     return out
 
 
@@ -105,7 +115,7 @@ def _signed(words: int):
                 size = np.array([len(sets[r]) for r in new])
                 values = np.concatenate([sets[r] for r in new])
                 least = minwise(values, np.append(0, np.cumsum(size)[:-1]))
-                drawn = sketches(values, np.repeat(np.arange(len(new)), size), len(new))
+                drawn = _halved(sketches(values, np.repeat(np.arange(len(new)), size), len(new)))
                 for k, r in enumerate(new):
                     mins[r], sketch[r] = least[k].tobytes(), drawn[k].tobytes()
             columns = [batch.column("id"), pa.array(names, pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.array(mins, pa.binary()), pa.array(sketch, pa.binary())]
@@ -169,49 +179,79 @@ def alike(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray) -> tuple[n
     return same, (same >= drawn * p - SIGMA * np.sqrt(spread) - 1e-9) & (drawn <= union + 1e-9)
 
 
-FOUND = "a long, b long, c long"
+PAIR = np.dtype([("a", "<i8"), ("b", "<i8"), ("c", "<i4")])
+#: Pairs that a task holds before it sends them on, and buckets that sum them up, at least.
+HELD, BUCKETS = 200_000, 64
+
+
+def _once(found: np.ndarray) -> np.ndarray:
+    """Each pair once."""
+    found = found[np.lexsort((found["b"], found["a"]))]
+    new = np.ones(len(found), bool)
+    new[1:] = (found["a"][1:] != found["a"][:-1]) | (found["b"][1:] != found["b"][:-1])
+    return found[new]
 
 
 def _searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of a unit's sets that may be links between components. Rows come by unit,
-    which has at most two blocks; ``side`` tells them apart, 2 being a block by itself."""
+    """Pairs of a unit's sets that may be links between components, packed by the bucket
+    that finds those of several nodes. Rows come by unit, which has at most two blocks;
+    ``side`` tells them apart, 2 being a block by itself."""
     held: pa.Table | None = None
+    found, size = [], 0
+
+    def send() -> Iterator[pa.RecordBatch]:
+        e = _once(np.concatenate(found))
+        m = tokens.multipliers(2)
+        b = (tokens.mix64(e["a"].astype(np.uint64) * m[0] + e["b"].astype(np.uint64) * m[1]) % np.uint64(BUCKETS)).astype(np.int64)
+        e, b = e[np.argsort(b, kind="stable")], np.sort(b)
+        cut = np.searchsorted(b, np.arange(BUCKETS + 1)).tolist()
+        rows = [(k, e[x:y].tobytes()) for k, (x, y) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if y > x]
+        if rows:
+            yield pa.record_batch([pa.array([k for k, _ in rows], pa.int64()), pa.array([x for _, x in rows], pa.binary())], names=["bucket", "blob"])
+        found.clear()
+
     for batch in batches:
         table = pa.Table.from_batches([batch])
         held = table if held is None else pa.concat_tables([held, table])
         unit = held.column("unit").to_numpy()
         whole = int(np.searchsorted(unit, unit[-1])) if len(unit) else 0  # the last unit may go on
         if whole >= 4096:
-            yield from _pairs_of(held.slice(0, whole).combine_chunks())
+            found.append(_pairs_of(held.slice(0, whole).combine_chunks()))
+            size += len(found[-1])
             held = held.slice(whole).combine_chunks()
+            if size > HELD:
+                yield from send()
+                size = 0
     if held is not None and held.num_rows:
-        yield from _pairs_of(held.combine_chunks())
+        found.append(_pairs_of(held.combine_chunks()))
+    if found:
+        yield from send()
 
 
-def _pairs_of(t: pa.Table) -> Iterator[pa.RecordBatch]:
-    if not t.num_rows:
-        return
+def _pairs_of(t: pa.Table) -> np.ndarray:
     unit, s, root, n, side = (t.column(c).to_numpy() for c in ("unit", "s", "root", "n", "side"))
-    sketch = _matrix(t.column("sketch").combine_chunks() if t.column("sketch").num_chunks != 1 else t.column("sketch").chunk(0), "u1", BINS)
+    sketch = _whole(_matrix(t.column("sketch").combine_chunks(), "u1", BINS // 2))
     begin = np.searchsorted(unit, unit)
-    seen = []
+    seen = [np.zeros(0, PAIR)]
     for i, j in _ranges(begin, np.arange(len(unit)), np.arange(len(unit))):
         ok = (root[i] != root[j]) & ((side[i] == 2) | (side[i] != side[j])) & (np.minimum(n[i], n[j]) * DEN >= np.maximum(n[i], n[j]) * NUM)
         i, j = i[ok], j[ok]
-        for at in range(0, len(i), 8192):
-            x, y = i[at : at + 8192], j[at : at + 8192]
+        for at in range(0, len(i), 4096):
+            x, y = i[at : at + 4096], j[at : at + 4096]
             same, good = alike(sketch[x], sketch[y], n[x], n[y])
-            x, y, same = x[good], y[good], same[good]
-            seen.append(np.stack([np.minimum(s[x], s[y]), np.maximum(s[x], s[y]), same.astype(np.int64)]))
-    if seen:
-        a, b, c = np.concatenate(seen, axis=1)
-        order = np.lexsort((b, a))
-        a, b, c = a[order], b[order], c[order]
-        new = np.ones(len(a), bool)
-        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-        a, b, c = a[new], b[new], c[new]
-        for at in range(0, len(a), 100_000):
-            yield pa.record_batch([pa.array(x[at : at + 100_000]) for x in (a, b, c)], names=["a", "b", "c"])
+            e = np.empty(int(good.sum()), PAIR)
+            e["a"], e["b"], e["c"] = np.minimum(s[x], s[y])[good], np.maximum(s[x], s[y])[good], same[good]
+            seen.append(e)
+    return _once(np.concatenate(seen))
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's pairs, each once."""
+    parts = [np.frombuffer(x, PAIR) for batch in batches for x in batch.column("blob").to_pylist()]
+    if parts:
+        e = _once(np.concatenate(parts))
+        for at in range(0, len(e), 100_000):
+            yield pa.record_batch([pa.array(e[k][at : at + 100_000].astype(np.int64)) for k in ("a", "b", "c")], names=["a", "b", "c"])
 
 
 def _owned(entries: DataFrame, roots: DataFrame | None) -> DataFrame:
@@ -289,7 +329,7 @@ def _candidates(shared: DataFrame, signed: DataFrame, roots: DataFrame | None, d
         nodes = keep(sums.withColumn("small", F.lit(True) if level == depth else small), f"nodes-{level}")
         rows = keep(_units(mixed, nodes.where("small"), comps).join(signed.select("s", F.col("n"), "sketch"), "s"), f"units-{level}")
         dealt = rows.repartition(tasks(rows.count(), 20_000), "unit").sortWithinPartitions("unit")
-        out.append(keep(dealt.mapInArrow(tokens.tidy(_searched), FOUND), f"found-{level}"))
+        out.append(keep(dealt.mapInArrow(tokens.tidy(_searched), "bucket long, blob binary"), f"found-{level}"))
         discard(rows)
         large = nodes.where("not small").select("key")
         if large.isEmpty():
@@ -299,7 +339,7 @@ def _candidates(shared: DataFrame, signed: DataFrame, roots: DataFrame | None, d
     every = out[0]
     for more in out[1:]:
         every = every.unionByName(more)
-    return every.groupBy("a", "b").agg(F.max("c").alias("c"))
+    return every.repartition(BUCKETS, "bucket").select("blob").mapInArrow(tokens.tidy(_unpacked), "a long, b long, c long")
 
 
 def _joined(links: DataFrame, roots: DataFrame | None) -> DataFrame:
