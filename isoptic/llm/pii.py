@@ -44,12 +44,51 @@ def _luhn(v: Column) -> Column:
     return F.aggregate(each, F.lit(0), lambda a, x: a + x) % 10 == 0
 
 
-def _spans(kind: str, text: Column, found: Column, parts: Column, holds) -> Column:
-    """[{k, s, e, v}] of the matches that hold: a match begins after the parts
-    and the matches before it."""
-    size = lambda a: F.aggregate(a, F.lit(0), lambda n, x: n + F.length(x))
-    one = lambda v, i: (lambda s: F.struct(F.lit(KINDS.index(kind)).alias("k"), s.alias("s"), (s + F.length(v)).alias("e"), v.alias("v")))(size(F.slice(parts, F.lit(1), i + 1)) + size(F.slice(found, F.lit(1), i)))
-    return F.filter(F.transform(found, one), lambda x: holds(x["v"]))
+def _let(value: Column, f) -> Column:
+    """``f`` of a value that is made once, where ``f`` has it in inner functions."""
+    return F.transform(F.array(value), f)[0]
+
+
+def _matches(text: Column, pattern: str, made) -> Column:
+    """``made(start, match)`` of every match of a pattern. A place is the sum of what
+    comes before it, in parts of about the root of their number."""
+    add = lambda a: F.aggregate(a, F.lit(0), lambda n, x: n + x)
+    cut = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"), F.split(text, pattern).alias("parts"))
+    steps = lambda z: F.transform(z["found"], lambda v, i: F.length(F.get(z["parts"], i)) + F.when(i > 0, F.length(F.get(z["found"], i - 1))).otherwise(0))
+    most = lambda z: F.greatest(F.size(z["found"]), F.lit(1))
+    wide = lambda z: F.struct(z["found"].alias("found"), steps(z).alias("steps"), F.ceil(F.sqrt(most(z))).cast("int").alias("w"))
+    summed = lambda z: F.struct(z["found"].alias("found"), z["steps"].alias("steps"), z["w"].alias("w"), F.transform(F.sequence(F.lit(0), most(z) - 1, z["w"]), lambda a: add(F.slice(z["steps"], a + 1, z["w"]))).alias("sums"))
+    start = lambda z, i: add(F.slice(z["sums"], F.lit(1), F.floor(i / z["w"]).cast("int"))) + add(F.slice(z["steps"], i - i % z["w"] + 1, i % z["w"] + 1))
+    each = lambda z: F.transform(z["found"], lambda v, i: _let(start(z, i), lambda s: made(s, v)))
+    return _let(cut, lambda z: _let(wide(z), lambda y: _let(summed(y), each)))
+
+
+def _spans(kind: str, text: Column, pattern: str, holds) -> Column:
+    """[{k, s, e, v}] of the matches that hold."""
+    one = lambda s, v: F.struct(F.lit(KINDS.index(kind)).alias("k"), s.alias("s"), (s + F.length(v)).alias("e"), v.alias("v"))
+    return F.filter(_matches(text, pattern, one), lambda x: holds(x["v"]))
+
+
+def _replaced(text: Column, spans: Column, new) -> Column:
+    """The text with ``new(span)`` in place of each of ``spans`` ([{s, e, ...}], by start,
+    none within another). It is cut before every so many spans, about the root of their
+    number, and then within those parts, so that no place is counted from the text's start for
+    each span."""
+
+    def cut(z: Column) -> Column:
+        n = F.size(z["spans"])
+        at = lambda i: F.get(z["spans"], i)
+        end = lambda i: F.when(i < n, at(i)["s"]).otherwise(F.length(z["text"]))
+
+        def part(a: Column) -> Column:
+            begin = at(a)["s"]
+            after = lambda own: F.array_join(F.transform(F.sequence(a, F.least(a + z["w"], n) - 1), lambda i: F.concat(new(at(i)), F.substring(own, at(i)["e"] - begin + 1, end(i + 1) - at(i)["e"]))), "")
+            return _let(F.substring(z["text"], begin + 1, end(F.least(a + z["w"], n)) - begin), after)
+
+        return F.concat(F.substring(z["text"], F.lit(1), at(F.lit(0))["s"]), F.array_join(F.transform(F.sequence(F.lit(0), n - 1, z["w"]), part), ""))
+
+    both = F.struct(text.alias("text"), spans.alias("spans"), F.ceil(F.sqrt(F.greatest(F.size(spans), F.lit(1)))).cast("int").alias("w"))
+    return _let(both, lambda z: F.when(F.size(z["spans"]) > 0, cut(z)).otherwise(z["text"]))
 
 
 NONE = "array<struct<k:int,s:int,e:int,v:string>>"
@@ -70,34 +109,24 @@ def base_spans(text: Column) -> Column:
         ("phone", PHONE, text.contains("+") & digit, lambda v: (n(v) >= 10) & (n(v) <= 15)),
     )
     none = F.array().cast(NONE)
-    return F.concat(*[F.when(may, _spans(k, text, F.regexp_extract_all(text, F.lit(p), F.lit(0)), F.split(text, p), ok)).otherwise(none) for k, p, may, ok in asked])
-
-
-def _let(value: Column, f) -> Column:
-    """``f`` of a value that is made once, where ``f`` has it in inner functions."""
-    return F.transform(F.array(value), f)[0]
+    return F.concat(*[F.when(may, _spans(k, text, p, ok)).otherwise(none) for k, p, may, ok in asked])
 
 
 def _placed(text: Column, pattern: str) -> Column:
-    """The matches of a pattern, lower-cased and hashed: [{s, e, t}]. A place is
-    the sum of what comes before it, in parts of about the root of their number."""
-    add = lambda a: F.aggregate(a, F.lit(0), lambda n, x: n + x)
-    cut = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"), F.split(text, pattern).alias("parts"))
-    steps = lambda z: F.transform(z["found"], lambda v, i: F.length(F.get(z["parts"], i)) + F.when(i > 0, F.length(F.get(z["found"], i - 1))).otherwise(0))
-    most = lambda z: F.greatest(F.size(z["found"]), F.lit(1))
-    wide = lambda z: F.struct(z["found"].alias("found"), steps(z).alias("steps"), F.ceil(F.sqrt(most(z))).cast("int").alias("w"))
-    summed = lambda z: F.struct(z["found"].alias("found"), z["steps"].alias("steps"), z["w"].alias("w"), F.transform(F.sequence(F.lit(0), most(z) - 1, z["w"]), lambda a: add(F.slice(z["steps"], a + 1, z["w"]))).alias("sums"))
-    start = lambda z, i: add(F.slice(z["sums"], F.lit(1), F.floor(i / z["w"]).cast("int"))) + add(F.slice(z["steps"], i - i % z["w"] + 1, i % z["w"] + 1))
-    term = lambda s, v: F.struct(s.alias("s"), (s + F.length(v)).alias("e"), F.xxhash64(F.lower(v)).alias("t"))
-    each = lambda z: F.transform(z["found"], lambda v, i: _let(start(z, i), lambda s: term(s, v)))
-    return _let(cut, lambda z: _let(wide(z), lambda y: _let(summed(y), each)))
+    """The matches of a pattern, lower-cased and hashed: [{s, e, t}]."""
+    return _matches(text, pattern, lambda s, v: F.struct(s.alias("s"), (s + F.length(v)).alias("e"), F.xxhash64(F.lower(v)).alias("t")))
 
 
 def _hidden(text: Column, base: Column) -> Column:
-    """The text with base spans blanked; NUL where a letter was at their edge."""
+    """The text with base spans blanked; NUL where a letter was at their edge. Those of
+    one kind don't overlap, and blanks are as long as the spans."""
     edge = lambda x: F.when(x.rlike("\\p{L}"), F.lit("\0")).otherwise(F.lit(" "))
     blank = lambda b: F.concat(edge(F.substring(b["v"], 1, 1)), F.repeat(F.lit(" "), b["e"] - b["s"] - 2), edge(F.substring(b["v"], -1, 1)))
-    return F.aggregate(base, F.replace(text, F.lit("\0"), F.lit(" ")), lambda a, b: F.overlay(a, blank(b), b["s"] + 1, b["e"] - b["s"]))
+    kind = lambda k: lambda b: b["k"] == k
+    out = F.replace(text, F.lit("\0"), F.lit(" "))
+    for k in range(KINDS.index("term")):
+        out = _replaced(out, F.filter(base, kind(k)), blank)
+    return out
 
 
 def _terms(text: Column, base: Column) -> Column:
@@ -141,14 +170,16 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha:
     own = base.where("m is not null").select("id", "th", F.explode("m").alias("c"), F.col("free").alias("t"))
     whole = own.join(hinted(many.select("c")), "c").dropDuplicates(["id", "th", "c"])
     joint = keep(whole.select("c", F.explode("t").alias("t")).groupBy("c", "t").agg(F.count(F.lit(1)).alias("both")).where(F.col("both") >= support), "joint")
-    df_t = base.select(F.explode("terms").alias("t")).join(hinted(joint.select("t").distinct()), "t", "left_semi").groupBy("t").agg(F.count(F.lit(1)).alias("df_t"))
+    # Where they are at all, of terms that any entity shares documents with.
+    there = keep(base.select("id", "th", F.explode("terms").alias("t")).join(hinted(keep(joint.select("t").distinct(), "joint-terms")), "t", "left_semi"), "there")
+    df_t = there.groupBy("t").agg(F.count(F.lit(1)).alias("df_t"))
     enough = F.log2(F.lit(float(n)) * F.col("both") / (F.col("df_c") * F.col("df_t"))) >= alpha * F.log2(F.lit(float(n)) / F.col("df_c"))
     # A term that many entities have, and an entity of many terms, meet in parts.
     counted = salted_join(salted_join(joint, many, ["c"], ["t"], how="inner", salts=salts), df_t, ["t"], ["c"], how="inner", salts=salts)
     risky = hinted(keep(counted.where(enough).select("t").distinct(), "risky-terms"))
 
     # Only the texts that have any are searched for where they are.
-    has = base.select("id", "th", F.explode("terms").alias("t")).join(risky, "t", "left_semi").select(F.col("id").alias("_i"), F.col("th").alias("_t")).distinct()
+    has = there.join(risky, "t", "left_semi").select(F.col("id").alias("_i"), F.col("th").alias("_t")).distinct()
     here = F.col("id").eqNullSafe(F.col("_i")) & (F.col("th") == F.col("_t"))
     asked = rows.join(hinted(keep(has, "with-terms")), here, "left_semi").withColumn("base", base_spans(F.col("t")))
     word = asked.select("id", "th", F.explode(_terms(F.col("t"), F.col("base"))).alias("x")).select("id", "th", "x.t", "x.s", "x.e").join(risky, "t", "left_semi")
@@ -175,7 +206,10 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     found = find(docs, id_col, text_col, **options).dropDuplicates(["id", "th"]).select(F.col("id").alias(i), F.col("th").alias(t), F.col("spans").alias(spans))
     text = F.coalesce(F.col(text_col), F.lit(""))
     tag = lambda x: F.concat(F.lit("["), F.upper(F.get(F.array(*[F.lit(k) for k in KINDS]), x["k"])), F.lit("]"))
-    step = lambda a, x: F.when(x["s"] < a["at"], F.struct(a["out"].alias("out"), F.greatest(a["at"], x["e"]).alias("at"))).otherwise(F.struct(F.concat(a["out"], F.substring(text, a["at"] + 1, x["s"] - a["at"]), tag(x)).alias("out"), x["e"].alias("at")))
-    clean = F.aggregate(spans, F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
+    # Of spans, those that don't begin within what came before.
+    kept = F.array().cast("array<struct<s:int,k:int,e:int>>")
+    step = lambda a, x: F.struct(F.greatest(a["at"], x["e"]).alias("at"), F.when(x["s"] < a["at"], a["out"]).otherwise(F.concat(a["out"], F.array(x))).alias("out"))
+    apart = F.aggregate(spans, F.struct(F.lit(0).alias("at"), kept.alias("out")), step, lambda a: a["out"])
+    clean = _let(apart, lambda z: _replaced(text, z, tag))
     joined = docs.join(found, F.col(id_col).eqNullSafe(F.col(i)) & (F.xxhash64(text) == F.col(t)), "left")
     return joined.select(*[F.when(F.col(c).isNotNull(), clean).alias(c) if c == text_col else F.col(c) for c in docs.columns])

@@ -3,10 +3,13 @@
 import hashlib
 import math
 import re
+import time
 from collections import defaultdict
 
 import regex
 
+from pyspark.sql import functions as F
+
 from isoptic.llm import pii
 from isoptic.llm.queries import op10_pii
 
@@ -111,3 +114,27 @@ def test_far_terms_and_other_documents(spark):
     clean = pii.sanitise(df)
     assert clean.columns == df.columns
     assert [r.text for r in clean.where("doc_id = 2").collect()] == ["ohne Adresse nur [TERM]"]
+
+
+def test_a_text_of_very_many_matches(spark):
+    """Places, what is hidden and what is replaced of 20,000 addresses and numbers in one text."""
+    many = [f"user{i}@mail{i % 7}.example" if i % 3 else f"10.{i % 256}.0.{i % 300}" for i in range(20_000)]
+    text = " and ".join(many)
+    docs = spark.createDataFrame([(1, text), (2, "nothing here")], "doc_id long, text string")
+    began = time.perf_counter()
+    [spans] = [r.spans for r in pii.find(docs).collect() if r.id == 1]
+    base = [(x.s, x.e) for x in spans if x.k < 4]
+    at, want = 0, []
+    for v in many:
+        if "@" in v or int(v.rsplit(".", 1)[1]) <= 255:
+            want.append((at, at + len(v)))
+        at += len(v) + len(" and ")
+    assert base == want
+    [hidden] = docs.where("doc_id = 1").select(pii._hidden(F.col("text"), pii.base_spans(F.col("text"))).alias("h")).first()
+    held = list(text)
+    for s, e in want:
+        held[s:e] = ["\0" if c.isalpha() and k in (0, e - s - 1) else " " for k, c in enumerate(text[s:e])]
+    assert hidden == "".join(held)
+    clean = [r.text for r in pii.sanitise(docs).collect() if r.doc_id == 1][0]
+    assert clean == " and ".join("[EMAIL]" if "@" in v else "[IP]" if int(v.rsplit(".", 1)[1]) <= 255 else v for v in many)
+    assert time.perf_counter() - began < 90
