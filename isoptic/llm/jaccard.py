@@ -37,6 +37,7 @@ from . import tokens
 from .components import components
 from .skew import hinted, parts_of, salted_join, tasks
 from .store import discard, keep, small_batches
+from .text import unused
 
 #: The threshold is NUM / DEN.
 NUM, DEN, WORDS = 3, 4, 5
@@ -944,11 +945,11 @@ def _set_names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _batch(["part", "s"], np.full(len(s), part), s)
 
 
-def _with_names(text_col: str, words: int):
+def _with_names(text_col: str, words: int, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tokens.pieces(batches, text_col):
             names = [_name(x) if len(x) else None for x in _sets(batch.column(text_col), words)]
-            yield pa.record_batch([*batch.columns, pa.array(names, pa.int64())], names=[*batch.schema.names, "_s"])
+            yield pa.record_batch([*batch.columns, pa.array(names, pa.int64())], names=[*batch.schema.names, name])
 
     return run
 
@@ -961,12 +962,13 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     the set that is named first; of equal sets one. Without words, it stays.
     """
     classed = _classed(docs, id_col, text_col, words)
-    found = keep(classed.where("id = component_id").select(F.col("id").alias("_id")).distinct(), "ones")
-    out = docs.join(hinted(found), docs[id_col] == found["_id"], "left_semi")
+    own_id, own_s = unused(docs.columns, "own_id", "own_s")
+    found = keep(classed.where("id = component_id").select(F.col("id").alias(own_id)).distinct(), "ones")
+    out = docs.join(hinted(found), docs[id_col] == found[own_id], "left_semi")
     lost = docs.where(docs[id_col].isNull())
     if lost.isEmpty():
         return out
-    first = keep(classed.where("id is null and component_id is null and s is not null").groupBy("root").agg(F.min("s").alias("_s")).select("_s"), "unnamed-ones")
-    named = lost.mapInArrow(tokens.tidy(_with_names(text_col, words)), StructType([*docs.schema.fields, StructField("_s", LongType())]))
-    ones = named.join(hinted(first), "_s", "left_semi").dropDuplicates(["_s"])
-    return out.unionByName(ones.drop("_s")).unionByName(named.where("_s is null").drop("_s"))
+    first = keep(classed.where("id is null and component_id is null and s is not null").groupBy("root").agg(F.min("s").alias(own_s)).select(own_s), "unnamed-ones")
+    named = lost.mapInArrow(tokens.tidy(_with_names(text_col, words, own_s)), StructType([*docs.schema.fields, StructField(own_s, LongType())]))
+    ones = named.join(hinted(first), own_s, "left_semi").dropDuplicates([own_s])
+    return out.unionByName(ones.drop(own_s)).unionByName(named.where(F.col(own_s).isNull()).drop(own_s))

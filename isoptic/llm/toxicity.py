@@ -238,7 +238,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     Ids of fold ``HELD_OUT`` are never learnt from; fold ``CALIBRATE`` fits the
     curve and the others the counts. Ids labelled twice are toxic if either
     label is; null labels and ids are passed over; of equal texts one counts.
-    Without documents of both classes every score is the share of toxic ones.
+    Without documents of both classes every score is the share of toxic ones. A class
+    whose texts have one word each has the shared counts alone.
     Case and punctuation around a word don't count, words by 64-bit hashes.
     """
     spark = docs.sparkSession
@@ -296,9 +297,11 @@ def _differences(counts: DataFrame, model: Model) -> None:
     left = lambda c, d: F.greatest(F.col(c) - F.lit(d), F.lit(0.0))
 
     # Of a class: what all words together have lost, by shared counts.
-    rest = {c: d1[c] * every[f"{c}_kinds"] / every[f"{c}_sum"] for c in CLASSES}
+    # A class whose texts have one word each has no pairs of words, and nothing but these.
+    held_all = {c: every[f"{c}_sum"] or 0 for c in CLASSES}
+    rest = {c: d1[c] * every[f"{c}_kinds"] / held_all[c] if held_all[c] else 1.0 for c in CLASSES}
     single = follows.join(counts.where("gram = 1").select("w", "n"), "w")
-    single = keep(single.select("w", (F.col("ordinary") + F.col("toxic")).alias("seen"), *[(left(c, d1[c]) / every[f"{c}_sum"] + rest[c] * shared).alias(c) for c in CLASSES]), "single")
+    single = keep(single.select("w", (F.col("ordinary") + F.col("toxic")).alias("seen"), *[((left(c, d1[c]) / held_all[c] if held_all[c] else F.lit(0.0)) + rest[c] * shared).alias(c) for c in CLASSES]), "single")
     model.other = float(np.log(rest["toxic"] / rest["ordinary"]))
 
     # After a word that the class doesn't have, nothing is known but the word by itself.
@@ -351,10 +354,10 @@ def _calibrate(model: Model, cells: np.ndarray, y: np.ndarray) -> None:
 def score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "toxicity", most: float | None = None) -> DataFrame:
     """``docs`` with the column ``name``, each text's score from 0 to 1; with
     ``most``, only rows that score less. A text without words has the share of
-    toxic documents as its score. A column of that name is replaced."""
+    toxic documents as its score. A column of that name, in whatever case, is replaced."""
     small_batches(docs.sparkSession)
     tables = docs.sparkSession.sparkContext.broadcast(model)
-    rest = [c for c in docs.columns if c != name]
+    rest = [c for c in docs.columns if c.lower() != name.lower()]
     rows = docs.select(*rest)
     schema = T.StructType([*rows.schema.fields, T.StructField(name, T.DoubleType())])
 

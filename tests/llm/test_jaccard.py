@@ -7,6 +7,8 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from pyspark.sql import functions as F
+
 from isoptic.llm import components, jaccard
 
 
@@ -218,3 +220,12 @@ def test_documents_without_an_id(spark):
 def test_documents_without_an_id_alone(spark):
     df = spark.createDataFrame([(None, "a b c"), (None, "a b c"), (None, "d e f")], "doc_id long, text string")
     assert sorted(r.text for r in jaccard.one_of_each(df).collect()) == ["a b c", "d e f"]
+
+
+def test_columns_of_any_name_beside_null_ids(spark):
+    text = "one two three four five six seven"
+    rows = [(None, text, 1, "p"), (None, text, 2, "q"), (4, "a b c d e f", 3, "r"), (None, None, 4, "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _s long, own_s string").withColumn("_id", F.lit(5))
+    got = jaccard.one_of_each(docs)
+    assert got.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.text or "") for r in got.collect()) == [(0, ""), (0, text), (4, "a b c d e f")]

@@ -163,3 +163,26 @@ def test_table():
 def test_words():
     h, first = toxicity._words(pa.array(["Vile! (vile) v.", None, "!!"]))
     assert h[0] == h[1] and first.tolist() == [0, 3, 3, 4]
+
+
+@pytest.mark.parametrize("short", ["both", "toxic", "ordinary"])
+def test_classes_of_texts_with_one_word(spark, short):
+    rows, labels = [], []
+    for i in range(600):
+        toxic = i % 2
+        word = f"bad{i % 5}" if toxic else f"good{i % 7}"
+        one = short == "both" or short == ("toxic" if toxic else "ordinary")
+        rows.append((i, f"{word}{i}" if one and i % 3 else word if one else f"{word} is what this number {i} says"))
+        labels.append((i, toxic))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    got = {r.doc_id: r.toxicity for r in toxicity.score(docs, model).collect()}
+    assert len(got) == 600 and all(0 <= x <= 1 for x in got.values())
+    if short != "both":
+        assert sum((got[i] >= 0.5) == i % 2 for i in got) > 500
+
+
+def test_a_column_of_that_name_in_another_case_is_replaced(spark):
+    docs = spark.createDataFrame([(1, "a b", 9, "x")], "doc_id long, text string, Toxicity int, other string")
+    out = toxicity.score(docs, toxicity.Model(prior=0.5))
+    assert out.columns == ["doc_id", "text", "other", "toxicity"] and out.first().toxicity == 0.5
