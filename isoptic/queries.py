@@ -70,6 +70,10 @@ def r(c: str, n: int = 6):
     return F.round(c, n).alias(c)
 
 
+def r_avg(c: str, n: int = 6):
+    return F.round(F.avg(c), n).alias(c)
+
+
 #: The same tables for SQL.
 E = """e AS (SELECT event_id, user_id, event_type, value, ts, epoch_us(ts) / 1000000.0 AS t, (props::JSON ->> '$.k')::DOUBLE AS k,
   list_position(['view', 'click', 'purchase', 'signup', 'error'], event_type)::INT AS code FROM events)"""
@@ -349,9 +353,11 @@ def paired_slices(spark, sf_dir):
 _GRID = "t AS (SELECT i::INT AS ord, 537 + (i % 15) * (1379 - 537) / 14.0 AS tx, 296 + (i // 15) * (1034 - 296) / 7.0 AS ty FROM range(120) r(i))"
 
 
-@query(f"WITH {_GRID} SELECT ord, round(tx, 6) AS x, round(ty, 6) AS y FROM t")
+@query(f"WITH {S}, {_GRID} SELECT ord, round(tx, 6) AS x, round(ty, 6) AS y, count(idx) AS n, round(avg(value), 6) AS value FROM t LEFT JOIN s ON idx = ord GROUP BY ALL")
 def target_grid(spark, sf_dir):
-    return grid.target_grid(spark).select("ord", r("x"), r("y"))
+    """Every target with the users' samples of its number."""
+    s = series(spark, sf_dir).groupBy(F.col("idx").alias("ord")).agg(F.count(F.lit(1)).alias("n"), r_avg("value"))
+    return grid.target_grid(spark).join(s, "ord", "left").select("ord", r("x"), r("y"), F.coalesce("n", F.lit(0)).alias("n"), "value")
 
 
 @query(f"WITH {S}, {_SEG}, {_GRID} SELECT user_id, event_id, segment, round(tx, 6) AS x, round(ty, 6) AS y FROM x JOIN t ON t.ord = segment")
@@ -733,21 +739,23 @@ def allowed_names(spark, sf_dir):
     return allowed(p.select("p_partkey", F.replace("p_name", F.lit(" "), F.lit("_")).alias("name")), names)
 
 
-@query("""WITH i AS (SELECT 'x/' || replace(s_name, '#', '') || '_' || s_nationkey || '.jpg' AS path, s_nationkey::VARCHAR AS panel FROM supplier WHERE s_suppkey % 3 = 0)
-SELECT n_nationkey::VARCHAR AS panel, min(path) AS path FROM nation LEFT JOIN i ON panel = n_nationkey::VARCHAR GROUP BY 1""")
+@query("""WITH i AS (SELECT 'x/' || replace(s_name, '#', '') || '_' || s_nationkey || '.jpg' AS path, s_nationkey::VARCHAR AS panel FROM supplier)
+SELECT (n_nationkey * 3)::VARCHAR AS panel, min(path) AS path FROM nation LEFT JOIN i ON panel = (n_nationkey * 3)::VARCHAR GROUP BY 1""")
 def panel_images(spark, sf_dir):
-    s = table(spark, sf_dir, "supplier").where("s_suppkey % 3 = 0")
+    """Panels beyond the last nation's number have no image."""
+    s = table(spark, sf_dir, "supplier")
     images = s.select(F.concat(F.lit("x/"), F.replace("s_name", F.lit("#"), F.lit("")), F.lit("_"), F.col("s_nationkey").cast("string"), F.lit(".jpg")).alias("path"))
-    panels = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("panel"))
+    panels = table(spark, sf_dir, "nation").select((F.col("n_nationkey") * 3).cast("string").alias("panel"))
     return align.image_of_panel(panels, images).select("panel", "path")
 
 
-@query("""WITH a AS (SELECT 'x/a_b_RUN' || s_nationkey || 'x_' || s_suppkey || '.wav' AS path, 'run' || s_nationkey || 'x' AS token FROM supplier WHERE s_suppkey % 4 = 0),
-p AS (SELECT n_nationkey, 'n' || n_nationkey AS panel FROM nation) SELECT panel, min(path) AS path FROM p LEFT JOIN a ON contains(token, panel) GROUP BY panel""")
+@query("""WITH a AS (SELECT 'x/a_b_RUN' || s_nationkey || 'x_' || s_suppkey || '.wav' AS path, 'run' || s_nationkey || 'x' AS token FROM supplier),
+p AS (SELECT n_nationkey, 'n' || n_nationkey * 2 AS panel FROM nation) SELECT panel, min(path) AS path FROM p LEFT JOIN a ON contains(token, panel) GROUP BY panel""")
 def panel_audio(spark, sf_dir):
-    s = table(spark, sf_dir, "supplier").where("s_suppkey % 4 = 0")
+    """Panels beyond the last nation's number have no recording."""
+    s = table(spark, sf_dir, "supplier")
     audio = s.select(F.concat(F.lit("x/a_b_RUN"), F.col("s_nationkey").cast("string"), F.lit("x_"), F.col("s_suppkey").cast("string"), F.lit(".wav")).alias("path"))
-    panels = table(spark, sf_dir, "nation").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("panel"))
+    panels = table(spark, sf_dir, "nation").select(F.concat(F.lit("n"), (F.col("n_nationkey") * 2).cast("string")).alias("panel"))
     return align.audio_of_panel(panels, audio).select("panel", "path")
 
 
