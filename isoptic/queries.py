@@ -998,3 +998,30 @@ def streamed_sessions(spark, sf_dir):
     sessions = streaming.gap_sessions(stream, "ts", U, "6 hours")
     sessions.writeStream.format("parquet").option("path", out).option("checkpointLocation", scratch(spark, "stream")).outputMode("append").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(sessions.schema).parquet(out).select("user_id", F.round(F.unix_micros("start") / 1e6, 6).alias("start"), "n")
+
+
+@query("""WITH e AS (SELECT event_id, user_id, event_type, epoch_us(ts) AS t FROM events),
+v AS (SELECT user_id, t, min(event_id) AS i FROM e WHERE event_type = 'view' GROUP BY user_id, t), c AS (SELECT * FROM e WHERE event_type = 'click'),
+k AS (SELECT (least((SELECT max(t) FROM v), (SELECT max(t) FROM c)) // 1000 - 3600000) * 1000 AS mark),
+b AS (SELECT c.event_id, c.user_id, c.t, p.t AS pt, p.i AS pi FROM c ASOF LEFT JOIN v p ON p.user_id = c.user_id AND p.t <= c.t),
+n AS (SELECT b.*, f.t AS ft, f.i AS fi FROM b ASOF LEFT JOIN v f ON f.user_id = b.user_id AND f.t > b.t)
+SELECT user_id, event_id, CASE WHEN ft IS NULL OR t - pt <= ft - t THEN pi ELSE fi END AS nearest FROM n, k
+WHERE coalesce(pt, ft) IS NOT NULL AND mark > greatest(t, least(ft, 2 * t - pt))""")
+def streamed_nearest(spark, sf_dir):
+    """The view nearest to each click, out of two streams, as far as their watermark
+    settles it: an hour before the stream that ends first."""
+    from . import streaming
+    from .streaming.asof import PROVIDER
+
+    out, provider = scratch(spark, "nearest"), "spark.sql.streaming.stateStore.providerClass"
+    kind = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    stream = lambda what: spark.readStream.schema(kind).option("pathGlobFilter", "events.parquet").parquet(sf_dir).where(F.col("event_type") == what)
+    views = stream("view").withColumnRenamed("event_id", "view_id")
+    found = streaming.nearest_asof(stream("click"), views, "user_id", "ts", "event_id", "view_id", idle_s=1e8)
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, PROVIDER)  # read as the stream starts
+    try:
+        found.writeStream.format("parquet").option("path", out).option("checkpointLocation", scratch(spark, "nearest-state")).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(provider, before)
+    return spark.read.schema(found.schema).parquet(out).select("user_id", "event_id", "nearest")
