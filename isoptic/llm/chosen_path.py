@@ -40,15 +40,17 @@ FUNCTIONS, TREES = 32, 20
 #: Bins of a sketch, each with half a byte of its least n-gram, and by how many deviations
 #: fewer bins than expected have to agree for a pair to be dropped.
 BINS, SIGMA = 1024, 5.5
-#: Times that a node branches at most, and open pairs per set up to which it doesn't.
-DEPTH, WIDE = 10, 256
+#: Times that a node branches at most, and open pairs per set up to which it doesn't,
+#: nor any node when all that is left has as many per set of the whole.
+DEPTH, WIDE = 10, 512
 #: Sets of a block.
-BLOCK = 256
+BLOCK = 1024
 #: Parts that a node's rows are dealt to; Spark splits what is still large.
 SALTS = 4
 #: Rounds in which sets are held against one other each.
 ROUNDS = 3
-#: Of all trees, those in which two sets have to meet to be held against each other then.
+#: Of all trees, those whose roots linked sets have in common at least: fewer with a
+#: probability of 2e-7 at the threshold, and less beyond.
 MET = 6
 SIGNED = "id long, s long, n long, mins binary, sketch binary"
 
@@ -87,14 +89,15 @@ def sketches(values: np.ndarray, rows: np.ndarray, count: int) -> np.ndarray:
     return out
 
 
-def _halved(sketch: np.ndarray) -> np.ndarray:
-    return sketch[:, ::2] | sketch[:, 1::2] << 4
+def packed(sketch: np.ndarray) -> np.ndarray:
+    """Sketches with sixteen bins in a word."""
+    return np.ascontiguousarray(sketch[:, ::2] | sketch[:, 1::2] << 4).view("<u8")
 
 
-def _whole(halved: np.ndarray) -> np.ndarray:
-    out = np.empty((len(halved), BINS), np.uint8)
-    out[:, ::2], out[:, 1::2] = halved & 15, halved >> 4
-    return out
+def _filled(words: np.ndarray) -> np.ndarray:
+    """A bit for each bin that isn't 0."""
+    half = words | words >> np.uint64(2)
+    return (half | half >> np.uint64(1)) & np.uint64(0x1111111111111111)
 
 
 def _signed(words: int):
@@ -115,7 +118,7 @@ def _signed(words: int):
                 size = np.array([len(sets[r]) for r in new])
                 values = np.concatenate([sets[r] for r in new])
                 least = minwise(values, np.append(0, np.cumsum(size)[:-1]))
-                drawn = _halved(sketches(values, np.repeat(np.arange(len(new)), size), len(new)))
+                drawn = packed(sketches(values, np.repeat(np.arange(len(new)), size), len(new)))
                 for k, r in enumerate(new):
                     mins[r], sketch[r] = least[k].tobytes(), drawn[k].tobytes()
             columns = [batch.column("id"), pa.array(names, pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.array(mins, pa.binary()), pa.array(sketch, pa.binary())]
@@ -165,15 +168,16 @@ def _branched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def alike(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """How many bins of two sketches agree, and whether they may be of linked sets of
-    these sizes.
+    """How many bins of two (packed) sketches agree, and whether they may be of linked
+    sets of these sizes.
 
     The bins' least n-grams are a random part of the union, drawn without returning any,
     so those that both sets have are distributed hypergeometrically. A linked pair's union
     has a largest size; the more of it the bins hold, the less chance is left.
     """
-    same = ((x == y) & (x > 0)).sum(axis=1)
-    drawn = ((x > 0) | (y > 0)).sum(axis=1)
+    count = lambda bits: np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
+    drawn = count(_filled(x) | _filled(y))
+    same = drawn - count(_filled(x ^ y))
     p, union = NUM / DEN, (n + m) * DEN / (NUM + DEN)
     spread = drawn * p * (1 - p) * np.maximum(union - drawn, 0) / np.maximum(union - 1, 1)
     return same, (same >= drawn * p - SIGMA * np.sqrt(spread) - 1e-9) & (drawn <= union + 1e-9)
@@ -230,7 +234,7 @@ def _searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _pairs_of(t: pa.Table) -> np.ndarray:
     unit, s, root, n, side = (t.column(c).to_numpy() for c in ("unit", "s", "root", "n", "side"))
-    sketch = _whole(_matrix(t.column("sketch").combine_chunks(), "u1", BINS // 2))
+    sketch = _matrix(t.column("sketch").combine_chunks(), "<u8", BINS // 16)
     begin = np.searchsorted(unit, unit)
     seen = [np.zeros(0, PAIR)]
     for i, j in _ranges(begin, np.arange(len(unit)), np.arange(len(unit))):
@@ -313,28 +317,44 @@ def _units(mixed: DataFrame, nodes: DataFrame, comps: DataFrame) -> DataFrame:
     return small.unionByName(blocked.join(sides, ["key", "label"]).select("unit", "side", "s", "root"))
 
 
+def _often(entries: DataFrame) -> DataFrame:
+    """Entries of sets that have as many as linked sets have in common."""
+    sets = entries.groupBy("s").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= MET).select("s")
+    return entries.join(sets, "s", "left_semi")
+
+
+def _shared(entries: DataFrame) -> DataFrame:
+    """Entries of nodes with several sets."""
+    several = entries.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("key")
+    return salted_join(entries, several, ["key"], ["s"], how="inner", salts=SALTS).select("key", "s")
+
+
 def _candidates(shared: DataFrame, signed: DataFrame, roots: DataFrame | None, depth: int = DEPTH) -> DataFrame:
     """Pairs of sets of different components (``a``, ``b``, ``c``: bins that agree)
     that meet in a node and whose sketches allow a link, each once."""
-    out, entries = [], shared
+    out, entries, most = [], shared, WIDE * signed.count()
     for level in range(depth + 1):
         owned = _owned(entries, roots)
         several = owned.groupBy("key").agg(F.min("root").alias("u"), F.max("root").alias("v")).where("u <> v").select("key")
-        mixed = keep(salted_join(owned, several.withColumn("_in", F.lit(True)), ["key"], ["s"], how="inner", salts=SALTS).select("key", "s", "root"), f"mixed-{level}")
+        mixed = salted_join(owned, several, ["key"], ["s"], how="inner", salts=SALTS).select("key", "s", "root")
+        mixed = keep(mixed if level else _often(mixed), f"mixed-{level}")
         if level:
             discard(entries)
         comps = keep(mixed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("m")), f"parts-{level}")
         sums = comps.groupBy("key").agg(F.sum("m").alias("n"), F.sum(F.col("m").cast("double") * F.col("m")).alias("sq"), F.sum(F.when(F.col("m") > BLOCK, F.col("m")).otherwise(0)).alias("own"))
-        small = (F.col("n") <= BLOCK) | (F.col("n").cast("double") * F.col("n") - F.col("sq") <= 2.0 * WIDE * F.col("n"))
-        nodes = keep(sums.withColumn("small", F.lit(True) if level == depth else small), f"nodes-{level}")
+        left = (F.col("n").cast("double") * F.col("n") - F.col("sq")) / 2
+        nodes = keep(sums.withColumn("open", left).withColumn("small", (F.col("n") <= BLOCK) | (left <= float(WIDE) * F.col("n"))), f"nodes-{level}")
+        going = nodes.where("not small").agg(F.sum("open")).first()[0]
+        if level == depth or going is not None and going <= most:
+            nodes, going = nodes.withColumn("small", F.lit(True)), None
         rows = keep(_units(mixed, nodes.where("small"), comps).join(signed.select("s", F.col("n"), "sketch"), "s"), f"units-{level}")
         dealt = rows.repartition(tasks(rows.count(), 20_000), "unit").sortWithinPartitions("unit")
         out.append(keep(dealt.mapInArrow(tokens.tidy(_searched), "bucket long, blob binary"), f"found-{level}"))
         discard(rows)
-        large = nodes.where("not small").select("key")
-        if large.isEmpty():
+        if going is None:
             break
-        going = salted_join(mixed, large.withColumn("_in", F.lit(True)), ["key"], ["s"], how="inner", salts=SALTS).select("key", "s")
+        large = nodes.where("not small").select("key")
+        going = salted_join(mixed, large, ["key"], ["s"], how="inner", salts=SALTS).select("key", "s")
         entries = keep(going.join(signed.select("s", "mins"), "s").select("key", "s", "mins").mapInArrow(tokens.tidy(_branched), "key long, s long"), f"entries-{level}")
     every = out[0]
     for more in out[1:]:
@@ -367,9 +387,11 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     signed = keep(scan.where("mins is not null").select("s", "n", "mins", "sketch").dropDuplicates(["s"]), "tokens")
 
     entries = keep(signed.select("s", "mins").mapInArrow(tokens.tidy(_rooted), "key long, s long"), "entries")
-    several = entries.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("key", F.lit(True).alias("_in"))
-    shared = keep(salted_join(entries, several, ["key"], ["s"], how="inner", salts=SALTS).select("key", "s"), "shared")
+    # Sets that meet others in few trees have no link, and nodes shrink without them.
+    some = keep(_often(_shared(entries)), "some")
+    shared = keep(_often(_shared(some)), "shared")
     discard(entries)
+    discard(some)
     roots = None
     for number in range(ROUNDS):
         asked = keep(_held_against(shared, roots, number), "held-against")

@@ -136,11 +136,14 @@ def test_sketches_keep_linked_pairs():
         y[:, :gone] = r.integers(0, 2**63, (400, gone), dtype=np.uint64)
         y = np.sort(y, axis=1)
         rows = np.repeat(np.arange(400), size)
-        a, b = (chosen_path.sketches(v.ravel(), rows, 400) for v in (x, y))
+        plain = [chosen_path.sketches(v.ravel(), rows, 400) for v in (x, y)]
+        a, b = map(chosen_path.packed, plain)
+        same = chosen_path.alike(a, b, np.full(400, size), np.full(400, size))[0]
+        assert (same == ((plain[0] == plain[1]) & (plain[0] > 0)).sum(axis=1)).all()
         n = np.full(400, size)
         assert chosen_path.alike(a, b, n, n)[1].all()
         if size >= 200:
-            other = chosen_path.sketches(np.sort(r.integers(0, 2**64 - 1, (400, size), dtype=np.uint64), axis=1).ravel(), rows, 400)
+            other = chosen_path.packed(chosen_path.sketches(np.sort(r.integers(0, 2**64 - 1, (400, size), dtype=np.uint64), axis=1).ravel(), rows, 400))
             assert not chosen_path.alike(a, other, n, n)[1].any()
 
 
