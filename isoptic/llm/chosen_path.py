@@ -183,7 +183,7 @@ def alike(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray) -> tuple[n
     return same, (same >= drawn * p - SIGMA * np.sqrt(spread) - 1e-9) & (drawn <= union + 1e-9)
 
 
-PAIR = np.dtype([("a", "<i8"), ("b", "<i8"), ("c", "<i4")])
+PAIR = np.dtype([("a", "<i8"), ("b", "<i8"), ("c", "<i8"), ("root_a", "<i8"), ("root_b", "<i8")])
 #: Pairs that a task holds before it sends them on, and buckets that sum them up, at least.
 HELD, BUCKETS = 200_000, 64
 
@@ -244,7 +244,10 @@ def _pairs_of(t: pa.Table) -> np.ndarray:
             x, y = i[at : at + 4096], j[at : at + 4096]
             same, good = alike(sketch[x], sketch[y], n[x], n[y])
             e = np.empty(int(good.sum()), PAIR)
-            e["a"], e["b"], e["c"] = np.minimum(s[x], s[y])[good], np.maximum(s[x], s[y])[good], same[good]
+            x, y, e["c"] = x[good], y[good], same[good]
+            turn = s[x] > s[y]
+            x, y = np.where(turn, y, x), np.where(turn, x, y)
+            e["a"], e["b"], e["root_a"], e["root_b"] = s[x], s[y], root[x], root[y]
             seen.append(e)
     return _once(np.concatenate(seen))
 
@@ -255,7 +258,7 @@ def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     if parts:
         e = _once(np.concatenate(parts))
         for at in range(0, len(e), 100_000):
-            yield pa.record_batch([pa.array(e[k][at : at + 100_000].astype(np.int64)) for k in ("a", "b", "c")], names=["a", "b", "c"])
+            yield pa.record_batch([pa.array(e[k][at : at + 100_000].copy()) for k in PAIR.names], names=list(PAIR.names))
 
 
 def _owned(entries: DataFrame, roots: DataFrame | None) -> DataFrame:
@@ -330,8 +333,8 @@ def _shared(entries: DataFrame) -> DataFrame:
 
 
 def _candidates(shared: DataFrame, signed: DataFrame, roots: DataFrame | None, depth: int = DEPTH) -> DataFrame:
-    """Pairs of sets of different components (``a``, ``b``, ``c``: bins that agree)
-    that meet in a node and whose sketches allow a link, each once."""
+    """Pairs of sets of different components (``a``, ``b``, ``c``: bins that agree,
+    ``root_a``, ``root_b``) that meet in a node and whose sketches allow a link, each once."""
     out, entries, most = [], shared, WIDE * signed.count()
     for level in range(depth + 1):
         owned = _owned(entries, roots)
@@ -359,7 +362,7 @@ def _candidates(shared: DataFrame, signed: DataFrame, roots: DataFrame | None, d
     every = out[0]
     for more in out[1:]:
         every = every.unionByName(more)
-    return every.repartition(BUCKETS, "bucket").select("blob").mapInArrow(tokens.tidy(_unpacked), "a long, b long, c long")
+    return every.repartition(BUCKETS, "bucket").select("blob").mapInArrow(tokens.tidy(_unpacked), "a long, b long, c long, root_a long, root_b long")
 
 
 def _joined(links: DataFrame, roots: DataFrame | None) -> DataFrame:
@@ -403,13 +406,18 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
         roots = _joined(links, roots)
     left = keep(_candidates(shared, signed, roots), "candidates")
     # Of two components the likeliest pair first: mostly that connects them.
-    pairs = _apart(left, roots)
-    best = keep(pairs.groupBy(F.least("root_a", "root_b"), F.greatest("root_a", "root_b")).agg(F.max(F.struct("c", "a", "b")).alias("x")).select("x.a", "x.b"), "best")
-    for number, asked in enumerate((best, None)):
-        asked = keep(_apart(left, roots).select("a", "b").join(best, ["a", "b"], "left_anti"), "rest") if asked is None else asked
-        if asked.isEmpty():
-            break
-        links = _linked(asked, rows, classes, words, f"last-{number}")
+    both = F.least("root_a", "root_b").alias("u"), F.greatest("root_a", "root_b").alias("v")
+    best = keep(left.groupBy(*both).agg(F.max(F.struct("c", "a", "b")).alias("x")).select("u", "v", "x.a", "x.b"), "best")
+    if best.isEmpty():
+        return _classed(members, classes, roots)
+    links = _linked(best.select("a", "b"), rows, classes, words, "best")
+    if not links.isEmpty():
+        roots = _joined(links, roots)
+    # Then all pairs of components that this has left apart.
+    apart = _apart(best.select(F.col("u").alias("a"), F.col("v").alias("b")), roots).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    rest = keep(left.select("a", "b", *both).join(apart, ["u", "v"], "left_semi").join(best, ["a", "b"], "left_anti").select("a", "b"), "rest")
+    if not rest.isEmpty():
+        links = _linked(rest, rows, classes, words, "rest")
         if not links.isEmpty():
             roots = _joined(links, roots)
     return _classed(members, classes, roots)
