@@ -35,8 +35,9 @@ def recode(x: Column, codes: Mapping[int, int], other: int | None = None) -> Col
 
 
 def box_muller(u: Column, v: Column) -> Column:
-    """A standard normal from two uniforms."""
-    return F.sqrt(-2 * F.ln(u)) * F.cos(2 * F.lit(3.141592653589793) * v)
+    """A standard normal from two uniforms; infinite where the first is 0."""
+    log = F.when(u == 0, F.lit(float("-inf"))).otherwise(F.ln(u))
+    return F.sqrt(-2 * log) * F.cos(2 * F.lit(3.141592653589793) * v)
 
 
 def scaled_noise(level: Column, seed: int) -> Column:

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from isoptic import queries
+from isoptic.functions import box_muller
 from isoptic.operators import align, classifier, clean, grid, sequence, stats, vector
 from isoptic.sources import files
 
@@ -204,3 +205,9 @@ def test_movie_frames_fill_the_whole(spark):
     assert [(r["first"], r["last"]) for r in grid.movie_frames(df, "i", ["u"], 24).orderBy("i").collect()] == [(3 * i, 3 * i + 2) for i in range(7)]
     assert [(r["first"], r["last"]) for r in grid.movie_frames(df, "i", ["u"], 4).orderBy("i").collect()] == [(i, i) for i in range(4)]
     assert align.BROADCAST > 0
+
+
+def test_a_normal_of_zero_is_infinite(spark):
+    rows = spark.createDataFrame([(0.0, 0.0), (1.0, 0.25), (0.5, 0.0), (-1.0, 0.0), (None, 0.0)], "u double, v double")
+    got = [x.n for x in rows.select(F.round(box_muller(F.col("u"), F.col("v")), 6).alias("n")).collect()]
+    assert got == [math.inf, 0.0, round(math.sqrt(2 * math.log(2)), 6), None, None]
