@@ -83,3 +83,19 @@ def test_windows_and_weights(spark, tmp_path):
     assert [g.evt for g in got] == want
     with pytest.raises(FileNotFoundError):
         classifier.load_weights(str(tmp_path / "none.npz"))
+
+
+def test_windows_of_any_length_go_together(spark, monkeypatch):
+    w, r = weights(), np.random.default_rng(5)
+    rows = [(k, [(float(t), float(r.normal()), float(r.normal())) for t in range(n)]) for k, n in enumerate([20, 1, 7, 20, 0, 7, 20])]
+    calls = []
+    one = classifier.class_scores
+    monkeypatch.setattr(classifier, "class_scores", lambda moves, w: calls.append(len(moves)) or one(moves, w))
+    x = r.normal(size=(9, 2, 20))
+    assert classifier.window_codes(x, w).tolist() == [classifier.event_codes(*v, w).tolist() for v in x]
+    assert calls == [9] + [1] * 9
+    monkeypatch.undo()
+    df = spark.createDataFrame(rows, "window long, samples array<struct<t:double,x:double,y:double>>").coalesce(1)
+    got = {(g.window, g.t): g.evt for g in classifier.classified(df, "window long", lambda: w).collect()}
+    want = {(k, t): int(c) for k, s in rows for t, c in enumerate(classifier.event_codes(np.array([p[1] for p in s]), np.array([p[2] for p in s]), w))}
+    assert got == want
