@@ -1,8 +1,8 @@
 """Synchronous training of a model whose gradients add up.
 
 A step takes the rows of one batch. Its tasks hold the weights by broadcast, each sums the
-gradients of its rows, and those sums are added in a tree, so that the driver gets a few
-arrays of the model's size however many tasks there are. It takes one step of Adam and
+gradients of its rows, and those sums are added in a tree, so that the driver gets one
+array of the model's size however many tasks there are. It takes one step of Adam and
 sends the weights out again. A task's rows follow ``each`` and a step's the batch, never
 the table.
 
@@ -103,11 +103,11 @@ def summed_gradient(rows: DataFrame, vector: str, shape: tuple[int, ...], weight
 
     parts = rows.select(vector).mapInArrow(of_rows, SCHEMA)
     tasks = rows.rdd.getNumPartitions()
-    while tasks > fan_in:
+    while tasks > 1:
         tasks = -(-tasks // fan_in)
         parts = parts.repartition(tasks).mapInArrow(lambda batches: _summed(_sums(batches)), SCHEMA)
     loss, numbers, total = 0.0, 0, np.zeros(sum(w.size for w in weights.values()))
-    for r in parts.collect():  # ``fan_in`` arrays at most
+    for r in parts.collect():  # one array, or none
         loss, numbers, total = loss + r.loss, numbers + r.numbers, total + np.frombuffer(r.gradient)
     sent.destroy()
     cut = np.cumsum([w.size for w in weights.values()])[:-1]
@@ -173,10 +173,7 @@ def train(
     for epoch in range(epochs if count else 0):
         total = 0.0
         for number in order.permutation(count).tolist():
-            of_batch = held.where(F.col("batch") == number)
-            if parts > 1:
-                of_batch = of_batch.repartition(parts)
-            one, n, d = summed_gradient(of_batch, vector, shape, out.weights, gradient, each)
+            one, n, d = summed_gradient(held.where(F.col("batch") == number), vector, shape, out.weights, gradient, each)
             value = scale * one / n
             if not math.isfinite(value) or not all(np.isfinite(x).all() for x in d.values()):
                 out.skipped += 1

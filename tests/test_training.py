@@ -194,3 +194,14 @@ def test_windows_are_scored_in_batches(spark, weights):
     for i in range(10):
         latent, back = plain(x[i], weights)
         assert np.allclose(got[i].latent, latent) and got[i].error == pytest.approx(((back - x[i]) ** 2).mean())
+
+
+def test_the_driver_gets_one_gradient(spark, weights, monkeypatch):
+    x, df = table(spark, 40)
+    rows = df.repartition(5)
+    kind, sizes = type(rows), []
+    collect = kind.collect
+    monkeypatch.setattr(kind, "collect", lambda self: sizes.append(got := collect(self)) or got)
+    loss, n, _ = training.summed_gradient(rows, "x", (2, 8), weights, A.gradient, each=3)
+    assert [len(s) for s in sizes] == [1]
+    assert (loss, n) == (pytest.approx(A.gradient(x, weights)[0]), x.size)
