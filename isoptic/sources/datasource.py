@@ -1,7 +1,8 @@
 """``spark.read.format("npy" | "wav" | "mat")`` and ``df.write.format("npy")``.
 
 Headers are read when a scan is planned: one file becomes as many partitions as its rows
-are worth, and a task reads the bytes of its own rows. Conditions on ``path`` (of a MAT
+are worth, and a task reads the bytes of its own rows. Beyond ``PIECES`` pieces neighbours
+share a partition, and beyond as many files the small ones are opened by tasks alone. Conditions on ``path`` (of a MAT
 file ``recording_id``) drop files and those on ``idx`` cut rows before anything is read; for
 that ``register`` turns on the session's filter push-down for Python sources.
 
@@ -16,9 +17,11 @@ from __future__ import annotations
 import io
 import struct
 import uuid
-from collections.abc import Iterable, Iterator
+from collections import Counter
+from collections.abc import Callable, Iterable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from itertools import chain
 from urllib.parse import quote
 
 import numpy as np
@@ -33,8 +36,13 @@ from . import mat
 
 #: Rows of one partition, and of one batch that a task hands over.
 ROWS, BATCH = 1_000_000, 100_000
-#: Files whose headers are read at a time.
+#: Files whose headers are read, or that are renamed, at a time.
 HEADERS = 32
+#: Pieces of files up to which each is a partition; beyond, neighbours share one, of so many
+#: bytes and a piece at most.
+PIECES, PACKED = 256, 64 << 20
+#: Of more than ``PIECES`` files, those up to so many bytes are opened by their tasks alone.
+SMALL = 1 << 20
 KINDS = {"f4": "float", "f8": "double", "i1": "byte", "i2": "short", "i4": "int", "i8": "long", "u1": "short", "u2": "int", "u4": "long", "b1": "boolean"}
 
 
@@ -60,13 +68,37 @@ def _files(path: str, suffix: str) -> list[tuple[str, str, int]]:
 
 
 @dataclass
-class Split(InputPartition):
-    """Rows [lo, hi) of one file."""
+class Piece:
+    """Rows [lo, hi) of one file; without ``hi`` those that the reader wants of it."""
 
     path: str
     uri: str
     lo: int
-    hi: int
+    hi: int | None
+    size: int
+
+
+@dataclass
+class Split(InputPartition):
+    """What one task reads."""
+
+    pieces: list[Piece]
+
+
+def packed(pieces: list[Piece]) -> list[Split]:
+    """Partitions of neighbouring pieces, so that tasks follow bytes and not files; a piece
+    each, if there are few."""
+    if len(pieces) <= PIECES:
+        return [Split([p]) for p in pieces]
+    most = min(PACKED, sum(p.size for p in pieces) / PIECES)
+    out, size = [Split([])], 0.0
+    for p in pieces:
+        if out[-1].pieces and size >= most:
+            out.append(Split([]))
+            size = 0.0
+        out[-1].pieces.append(p)
+        size += p.size
+    return out
 
 
 class _Reader(DataSourceReader):
@@ -99,27 +131,45 @@ class _Reader(DataSourceReader):
 
     def partitions(self) -> list[Split]:
         files = [f for f in _files(self.path, self.suffix) if self.uris is None or f[1] in self.uris]
+        opened = [f for f in files if len(files) <= PIECES or f[2] > SMALL]
         with ThreadPoolExecutor(HEADERS) as pool:
-            counts = list(pool.map(lambda f: self.count(f[0]), files))
+            counts = dict(zip([f[0] for f in opened], pool.map(lambda f: self.count(f[0]), opened), strict=True))
         out = []
-        for (path, uri, _), n in zip(files, counts, strict=True):
-            end = min(n, self.hi)
-            out += [Split(path, uri, a, min(a + self.rows, end)) for a in range(max(0, self.lo), end, self.rows)]
-        return out or [Split("", "", 0, 0)]
+        for path, uri, size in files:
+            if path in counts:
+                end = min(counts[path], self.hi)
+                cuts = range(max(0, self.lo), end, self.rows)
+                out += [Piece(path, uri, a, min(a + self.rows, end), size * self.rows // max(counts[path], 1)) for a in cuts]
+            else:
+                out.append(Piece(path, uri, max(0, self.lo), None, size))
+        return packed(out) or [Split([])]
 
     def open(self, path: str) -> pa.NativeFile:
         return _system(self.path)[0].open_input_file(path)
 
-    def columns(self, split: Split, lo: int, hi: int) -> dict[str, pa.Array | np.ndarray]:
+    def columns(self, piece: Piece, lo: int, hi: int) -> dict[str, pa.Array | np.ndarray]:
         raise NotImplementedError
 
-    def read(self, split: Split) -> Iterator[pa.RecordBatch]:
-        for lo in range(split.lo, split.hi, BATCH):
-            hi = min(lo + BATCH, split.hi)
-            cols = {"path": pa.array([split.uri]).take(pa.array(np.zeros(hi - lo, np.int32))), "idx": pa.array(np.arange(lo, hi))}
-            cols |= {k: pa.array(v) for k, v in self.columns(split, lo, hi).items()}
+    def batches(self, piece: Piece) -> Iterator[pa.RecordBatch]:
+        end = min(self.count(piece.path), self.hi) if piece.hi is None else piece.hi
+        for lo in range(piece.lo, end, BATCH):
+            hi = min(lo + BATCH, end)
+            cols = {"path": pa.array([piece.uri]).take(pa.array(np.zeros(hi - lo, np.int32))), "idx": pa.array(np.arange(lo, hi))}
+            cols |= {k: pa.array(v) for k, v in self.columns(piece, lo, hi).items()}
             yield pa.record_batch(list(cols.values()), names=list(cols))
 
+    def read(self, split: Split) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        rows = 0
+        for batch in (b for p in split.pieces for b in self.batches(p)):
+            if held and rows + batch.num_rows > BATCH:
+                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                held, rows = [], 0
+            held.append(batch)
+            rows += batch.num_rows
+        if held:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
 
 @dataclass(frozen=True)
 class NpyHeader:
@@ -171,8 +221,8 @@ class _NpyReader(_Reader):
     def count(self, path: str) -> int:
         return self.header(path).shape[0]
 
-    def columns(self, split: Split, lo: int, hi: int) -> dict[str, np.ndarray]:
-        with self.open(split.path) as f:
+    def columns(self, piece: Piece, lo: int, hi: int) -> dict[str, np.ndarray]:
+        with self.open(piece.path) as f:
             h = npy_header(f)
             kinds = npy_columns(h, self.names)
             size = h.dtype.itemsize
@@ -181,7 +231,7 @@ class _NpyReader(_Reader):
                 f.seek(h.offset + first * size)
                 raw = f.read(n * size)
                 if len(raw) < n * size:
-                    raise ValueError(f"{split.uri} ends before row {hi}")
+                    raise ValueError(f"{piece.uri} ends before row {hi}")
                 return np.frombuffer(raw, h.dtype)
 
             if h.dtype.names:
@@ -245,8 +295,8 @@ class _WavReader(_Reader):
         with self.open(path) as f:
             return wav_header(f).frames
 
-    def columns(self, split: Split, lo: int, hi: int) -> dict[str, np.ndarray]:
-        with self.open(split.path) as f:
+    def columns(self, piece: Piece, lo: int, hi: int) -> dict[str, np.ndarray]:
+        with self.open(piece.path) as f:
             h = wav_header(f)
             size = h.channels * h.width
             f.seek(h.offset + lo * size)
@@ -269,14 +319,13 @@ class _MatReader(_Reader):
     def count(self, path: str) -> int:
         return 1
 
-    def read(self, split: Split) -> Iterator[pa.RecordBatch]:
+    def batches(self, piece: Piece) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        if split.hi:
-            with self.open(split.path) as f:
-                rows = MAT_TABLES[self.table][0](split.uri, f.read())
-            whole = pa.Table.from_pandas(rows, to_arrow_schema(self.kinds), preserve_index=False)  # NaN becomes null
-            yield from whole.to_batches(max_chunksize=BATCH)
+        with self.open(piece.path) as f:
+            rows = MAT_TABLES[self.table][0](piece.uri, f.read())
+        whole = pa.Table.from_pandas(rows, to_arrow_schema(self.kinds), preserve_index=False)  # NaN becomes null
+        yield from whole.to_batches(max_chunksize=BATCH)
 
 
 class _Source(DataSource):
@@ -372,9 +421,45 @@ class MatSource(_Source):
         return _MatReader(self.at, self.table, schema)
 
 
+def cut_series(batches: Iterator[pa.RecordBatch], keys: list[str], cols: list[str]) -> Iterator[tuple[tuple, np.ndarray]]:
+    """The key and the records of each series. Rows come by key; several series of a batch
+    are turned to records at once where each alone would have the same types."""
+    key: tuple | None = None
+    held: list[pa.RecordBatch] = []
+
+    def records(parts: list[pa.RecordBatch]) -> np.ndarray:
+        return pa.Table.from_batches(parts).to_pandas().to_records(index=False)
+
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        new = np.ones(n, bool)
+        new[1:] = False
+        for k in keys:
+            codes = batch.column(k).dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+            new[1:] |= codes[1:] != codes[:-1]
+        at = [*np.flatnonzero(new).tolist(), n]
+        rows = batch.select(cols)
+        typed = all(c.null_count == 0 or pa.types.is_floating(c.type) for c in rows.columns)
+        whole = records([rows]) if typed and len(at) > 3 else None
+        for a, b in zip(at[:-1], at[1:], strict=True):
+            own = tuple(batch.column(k)[a].as_py() for k in keys)
+            if held and repr(own) != repr(key):
+                yield key, records(held)
+                held = []
+            key = own
+            if whole is not None and not held and b < n:
+                yield key, whole[a:b]
+            else:
+                held.append(rows.slice(a, b - a))
+    if held:
+        yield key, records(held)
+
+
 @dataclass
 class Written(WriterCommitMessage):
-    """Files of one task: where each is, and its name."""
+    """Files of one task: what each is called in the job's folder, and its name."""
 
     files: list[tuple[str, str]]
 
@@ -388,50 +473,34 @@ class _NpyWriter(DataSourceArrowWriter):
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> Written:
         system, folder, _ = _system(self.path)
-        held: list[pa.RecordBatch] = []
-        key: tuple | None = None
         out: list[tuple[str, str]] = []
         done: set[tuple] = set()
 
-        def flush() -> None:
-            if not held:
-                return
+        first = next(batches, None)
+        if first is None:
+            return Written(out)
+        for key, records in cut_series(chain([first], batches), self.keys, [c for c in first.schema.names if c not in self.keys]):
             if key in done:
                 raise ValueError(f"rows of {key} don't come together")
             done.add(key)
-            rows = pa.Table.from_batches(held)
-            records = rows.drop_columns(self.keys).to_pandas().to_records(index=False)
             if records.dtype.hasobject:
                 raise ValueError(f"columns of {records.dtype} have no place in a NPY file")
             buffer = io.BytesIO()
             np.save(buffer, records, allow_pickle=False)
             name = "_".join(quote("" if k is None else str(k), safe=" ") for k in key) + ".npy"
-            system.create_dir(f"{folder}/{self.job}", recursive=True)
-            at = f"{folder}/{self.job}/{uuid.uuid4().hex}"
-            with system.open_output_stream(at) as f:
+            if not out:
+                system.create_dir(f"{folder}/{self.job}", recursive=True)
+            at = uuid.uuid4().hex
+            with system.open_output_stream(f"{folder}/{self.job}/{at}") as f:
                 f.write(buffer.getvalue())
             out.append((at, name))
-            held.clear()
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            columns = [batch.column(k).to_pylist() for k in self.keys]
-            keys = list(zip(*columns, strict=True))
-            cuts = [0, *[i for i in range(1, len(keys)) if keys[i] != keys[i - 1]], len(keys)]
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                if keys[a] != key:
-                    flush()
-                    key = keys[a]
-                held.append(batch.slice(a, b - a))
-        flush()
         return Written(out)
 
     def commit(self, messages: list[Written | None]) -> None:
         system, folder, _ = _system(self.path)
         files = [f for m in messages if m is not None for f in m.files]
-        names = [n for _, n in files]
-        twice = sorted({n for n in names if names.count(n) > 1}) if len(set(names)) < len(names) else []
+        names = Counter(n for _, n in files)
+        twice = sorted(n for n, k in names.items() if k > 1)
         selector = pyarrow.fs.FileSelector(folder, allow_not_found=True)
         there = {f.base_name: f.path for f in system.get_file_info(selector) if f.type == pyarrow.fs.FileType.File}
         clash = [] if self.overwrite or self.existing != "error" else sorted(set(names) & set(there))
@@ -440,18 +509,21 @@ class _NpyWriter(DataSourceArrowWriter):
             raise ValueError(f"series in several tasks: {twice}" if twice else f"files are there: {clash}")
         system.create_dir(folder, recursive=True)
         if self.overwrite:
-            for path in there.values():
-                system.delete_file(path)
-        for at, name in files:
-            if not self.overwrite and self.existing == "skip" and name in there:
-                continue
-            system.move(at, f"{folder}/{name}")
+            self._each(system.delete_file, list(there.values()))
+        if not self.overwrite and self.existing == "skip":
+            files = [f for f in files if f[1] not in there]
+        self._each(lambda f: system.move(f"{folder}/{self.job}/{f[0]}", f"{folder}/{f[1]}"), files)
         self._clear(system, folder)
 
     def abort(self, messages: list[Written | None]) -> None:
         system, folder, _ = _system(self.path)
         self._clear(system, folder)
 
+    def _each(self, do: Callable, what: list) -> None:
+        with ThreadPoolExecutor(HEADERS) as pool:
+            for _ in pool.map(do, what):
+                pass
+
     def _clear(self, system: pyarrow.fs.FileSystem, folder: str) -> None:
         [found] = system.get_file_info([f"{folder}/{self.job}"])
         if found.type == pyarrow.fs.FileType.Directory:

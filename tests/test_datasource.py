@@ -2,6 +2,7 @@ import os
 import wave
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -196,3 +197,22 @@ def test_a_series_in_several_tasks_is_refused(sources, tmp_path):
     assert not os.path.exists(out) or os.listdir(out) == []
     with pytest.raises(Exception, match="no keys"):
         spread.write.format("npy").option("keys", "none").mode("append").save(out)
+
+
+def test_many_small_files_share_partitions(sources, tmp_path):
+    out = f"{tmp_path}/out"
+    rows = sources.range(3000).select((F.col("id") % 600).alias("user"), F.col("id").alias("at"), F.when(F.col("id") % 7 != 0, F.col("id") / 3).alias("x"))
+    D.write_npy(rows, out, ["user"], "at", ["at", "x"])
+    df = sources.read.format("npy").option("rows", 2).load(out)
+    assert df.rdd.getNumPartitions() <= D.PIECES + 1 < 600
+    assert sorted((r.idx, r.at) for r in df.collect()) == sorted((i // 600, i) for i in range(3000))
+    assert sorted((r.idx, r.at) for r in df.where("idx >= 1 and idx < 4").collect()) == sorted((i // 600, i) for i in range(600, 2400))
+
+
+def test_series_are_cut_across_batches():
+    a = pa.table({"k": [1, 1, 2, 3, 3, None, None, 4], "v": [1, 2, 3, 4, None, 6, 7, 8], "x": [float(i) for i in range(8)]})
+    for size in (1, 2, 3, 8):
+        got = [(k, r["v"].tolist(), r["x"].tolist()) for k, r in D.cut_series(iter(a.to_batches(size)), ["k"], ["v", "x"])]
+        assert [k for k, _, _ in got] == [(1,), (2,), (3,), (None,), (4,)]
+        assert [x for _, _, x in got] == [[0.0, 1.0], [2.0], [3.0, 4.0], [5.0, 6.0], [7.0]]
+        assert [v[0] for _, v, _ in got] == [1, 3, 4.0, 6, 8] and np.isnan(got[2][1][1])
