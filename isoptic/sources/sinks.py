@@ -19,14 +19,22 @@ def write_records(df: DataFrame, path: str, partitions: Sequence[str] = ("partic
 
 
 def append_missing(df: DataFrame, path: str, keys: Sequence[str] = ("participant", "panel")) -> None:
-    """Write the series that ``path`` does not hold yet, as partitions of it."""
+    """Write the series that ``path`` does not hold yet. Files are ordered by the keys, and
+    follow the rows' size: series have no folders of their own, unless ``path`` has those of
+    ``write_records`` already."""
     spark = df.sparkSession
     there = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there):
+    system = there.getFileSystem(spark._jsc.hadoopConfiguration())
+    folders = False
+    if system.exists(there):
+        folders = len(system.globStatus(spark._jvm.org.apache.hadoop.fs.Path(there, f"{keys[0]}=*"))) > 0
         # Partition values come from the folders' names: cast to the new rows' types.
         done = spark.read.parquet(path).select(*[F.col(k).cast(df.schema[k].dataType).alias(k) for k in keys]).distinct()
         df = df.join(done, list(keys), "left_anti")
-    write_records(df, path, keys)
+    if folders:
+        write_records(df, path, keys)
+    else:
+        df.hint("rebalance", *keys).sortWithinPartitions(*keys).write.mode("append").parquet(path)
 
 
 def write_csv(df: DataFrame, path: str, index: str | None = None) -> None:

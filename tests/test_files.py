@@ -68,6 +68,19 @@ def test_only_missing_series_are_written(spark, folder):
     assert sorted((r.participant, r.v) for r in spark.read.parquet(path).collect()) == [("p1", 1), ("p2", 20)]
 
 
+def test_series_have_no_folders_unless_they_had(spark, folder):
+    df = spark.range(400).select((F.col("id") % 200).cast("string").alias("participant"), F.lit("1").alias("panel"), F.col("id").alias("v"))
+    for layout in ("flat", "folders"):
+        path = str(folder / layout)
+        if layout == "folders":
+            sources.write_records(df.where("participant = '7'"), path)
+        for _ in range(2):
+            sources.append_missing(df.where("v % 200 < 20"), path)
+        assert sorted(r.v for r in spark.read.parquet(path).collect()) == sorted(i for i in range(400) if i % 200 < 20)
+        folders = [f for f in (folder / layout).iterdir() if f.is_dir()]
+        assert len(folders) == (20 if layout == "folders" else 0)
+
+
 def test_image_shapes(spark, folder):
     (folder / "a.png").write_bytes(b"\x89PNG\r\n\x1a\n" + struct.pack(">I4sII", 13, b"IHDR", 640, 480) + b"\x00" * 9)
     (folder / "b.jpg").write_bytes(b"\xff\xd8\xff\xe0" + struct.pack(">H", 16) + b"\x00" * 14 + b"\xff\xc0" + struct.pack(">HBHH", 11, 8, 1080, 1920) + b"\x00" * 10)
