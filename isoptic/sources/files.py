@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from .. import constants as C
 from ..schemas import FIXATION, TRAINING_RECORD
 
-#: Samples of a decoded file in one batch.
-CHUNK = 500_000
+#: Samples of decoded files in one batch, and files.
+CHUNK, FILES = 500_000, 500
 
 
 def listed(spark: SparkSession, path: str, glob: str = "*", contains: str | None = None, contents: bool = False) -> DataFrame:
@@ -53,15 +53,24 @@ def recording_date(header: Column, default: str = C.DEFAULT_RECORDING_DATE) -> C
 
 
 def _decoded(files: DataFrame, decode: Callable[[bytes], pd.DataFrame], schema: str) -> DataFrame:
-    """``path`` and the columns of ``schema``, in chunks of a file's rows."""
+    """``path`` and the columns of ``schema``, in chunks of a file's rows or of several
+    short files."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, size = [], 0
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"], strict=True):
                 rows = decode(content)
+                rows.insert(0, "path", path)
                 for k in range(0, len(rows), CHUNK):
                     part = rows.iloc[k : k + CHUNK]
-                    yield part.assign(path=path)[["path", *rows.columns]]
+                    if size + len(part) > CHUNK or len(held) >= FILES:
+                        yield pd.concat(held)
+                        held, size = [], 0
+                    held.append(part)
+                    size += len(part)
+        if held:
+            yield pd.concat(held)
 
     return files.select("path", "content").mapInPandas(run, f"path string, {schema}")
 

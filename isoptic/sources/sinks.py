@@ -4,15 +4,17 @@ from __future__ import annotations
 
 import datetime
 import io
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import pyarrow.fs
 from pyspark.ml.util import MLWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .datasource import cut_series
+
 
 def write_records(df: DataFrame, path: str, partitions: Sequence[str] = ("participant", "panel"), mode: str = "append") -> None:
     df.write.mode(mode).partitionBy(*partitions).parquet(path)
@@ -54,17 +56,21 @@ def write_npy(df: DataFrame, path: str, keys: Sequence[str], order: str, cols: S
     system, folder = pyarrow.fs.FileSystem.from_uri(path) if "://" in path else (pyarrow.fs.LocalFileSystem(), path)
     system.create_dir(folder, recursive=True)
 
-    def write(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order)
-        buffer = io.BytesIO()
-        np.save(buffer, rows[list(cols)].to_records(index=False))
-        name = f"{folder}/{'_'.join(map(str, key))}.npy"
-        with system.open_output_stream(f"{name}.part") as f:
-            f.write(buffer.getvalue())
-        system.move(f"{name}.part", name)
-        return pd.DataFrame({"n": [1]})
-
-    return df.select(*keys, order, *[c for c in cols if c not in (*keys, order)]).groupBy(*keys).applyInPandas(write, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = 0
+        for key, records in cut_series(batches, list(keys), list(cols)):
+            buffer = io.BytesIO()
+            np.save(buffer, records)
+            name = f"{folder}/{'_'.join(map(str, key))}.npy"
+            with system.open_output_stream(f"{name}.part") as f:
+                f.write(buffer.getvalue())
+            system.move(f"{name}.part", name)
+            n += 1
+        yield pa.record_batch([pa.array([n], pa.int64())], names=["n"])
+
+    rows = df.select(*keys, order, *[c for c in cols if c not in (*keys, order)])
+    rows = rows.repartition(*keys).sortWithinPartitions(*keys, F.asc_nulls_last(order))
+    return rows.mapInArrow(write, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
 def write_checkpoint(model: MLWritable, root: str, name: str, day: datetime.date | None = None) -> str:

@@ -81,6 +81,14 @@ def test_series_have_no_folders_unless_they_had(spark, folder):
         assert len(folders) == (20 if layout == "folders" else 0)
 
 
+def test_short_files_are_decoded_together(spark, folder):
+    rows = spark.range(900).select((F.col("id") % 300).alias("p"), F.col("id").cast("double").alias("t"), F.lit(0.5).alias("x"), F.lit(0.25).alias("y"), F.lit(1.0).alias("status"), F.lit(2.0).alias("evt"))
+    path = str(folder / "npy")
+    assert sources.write_npy(rows, path, ["p"], "t", ["t", "x", "y", "status", "evt"]) == 300
+    got = sources.npy_records(sources.listed(spark, path, "*.npy", contents=True)).select(F.regexp_extract("path", r"([0-9]+)\.npy$", 1).cast("int").alias("p"), "idx", "t").collect()
+    assert sorted((r.p, r.idx, r.t) for r in got) == sorted((i % 300, i // 300, float(i)) for i in range(900))
+
+
 def test_image_shapes(spark, folder):
     (folder / "a.png").write_bytes(b"\x89PNG\r\n\x1a\n" + struct.pack(">I4sII", 13, b"IHDR", 640, 480) + b"\x00" * 9)
     (folder / "b.jpg").write_bytes(b"\xff\xd8\xff\xe0" + struct.pack(">H", 16) + b"\x00" * 14 + b"\xff\xc0" + struct.pack(">HBHH", 11, 8, 1080, 1920) + b"\x00" * 10)
