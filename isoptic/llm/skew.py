@@ -16,16 +16,18 @@ def salt_of(*cols: str | Column, salts: int = SALTS) -> Column:
     return F.pmod(F.xxhash64(*cols, F.lit(7919)), F.lit(salts)).cast("int")
 
 
-def salted_join(rows: DataFrame, per_key: DataFrame, key: list[str], spread: list[str], how: str = "left", salts: int = SALTS) -> DataFrame:
+def salted_join(rows: DataFrame, per_key: DataFrame, key: list[str], spread: list[str], how: str = "left", salts: int = SALTS, follows: bool = False) -> DataFrame:
     """Join ``rows`` (any number for a key) with ``per_key`` (one row for a key).
 
     ``rows`` are dealt by key and a salt made from ``spread``; ``per_key`` is
     repeated for each salt, so no task gets a whole hot key. Keys are never
-    null on the ``per_key`` side; a null key in ``rows`` finds nothing.
+    null on the ``per_key`` side; a null key in ``rows`` finds nothing. Spark takes
+    ``per_key`` for as small as before it was repeated; if it ``follows`` the input it is
+    never broadcast, which would go through the driver.
     """
     left = rows.withColumn("_salt", salt_of(*spread, salts=salts))
     right = per_key.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.join(right, [*key, "_salt"], how).drop("_salt")
+    return left.join(right.hint("merge") if follows else right, [*key, "_salt"], how).drop("_salt")
 
 
 def hinted(ids: DataFrame, most: int = BROADCAST) -> DataFrame:

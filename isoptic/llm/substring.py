@@ -431,10 +431,10 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     runs = shared.agg(F.sum("runs")).first()[0] or 0
     shards = max(parts, runs * (window + 15) // SHARD_WORDS)
     listed = shared.groupBy("id").agg(F.collect_list("keys").alias("keys"), F.collect_list("hot").alias("hot"))
-    cut = keep(rows.withColumn("th", F.xxhash64("text")).join(listed, "id").mapInArrow(tokens.tidy(_cut(window, gram, shards)), CUT), "runs")
+    cut = keep(rows.withColumn("th", F.xxhash64("text")).join(listed.hint("merge"), "id").mapInArrow(tokens.tidy(_cut(window, gram, shards)), CUT), "runs")
     found = keep(cut.where("blob is not null").select("bucket", "blob").repartition(shards, "bucket").select("blob").mapInArrow(tokens.tidy(_index(window)), FOUND), "found")
     places = cut.where("c is not null").select("c", "id", "th", "at", "n")
-    met = salted_join(places, found, ["c"], ["id", "at"], how="inner").where("id > m or size(spans) > 0")
+    met = salted_join(places, found, ["c"], ["id", "at"], how="inner", follows=True).where("id > m or size(spans) > 0")
     word = lambda s, e: F.struct((F.col("at") + s).alias("s"), (F.col("at") + e + (window - 1)).alias("e"))
     spans = F.when(F.col("id") > F.col("m"), F.array(word(F.lit(0), F.col("n")))).otherwise(F.transform("spans", lambda x: word(x["s"], x["e"])))
     return met.select("id", "th", spans.alias("spans")).groupBy("id", "th").agg(F.flatten(F.collect_list("spans")).alias("lost"))
@@ -456,7 +456,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     i, th, spans = unused(docs.columns, "id", "th", "lost")
     lost = repeated(docs, id_col, text_col, window, gram, hot).select(F.col("id").alias(i), F.col("th").alias(th), F.col("lost").alias(spans))
     rows = docs.select(*rest)
-    joined = rows.join(lost, (F.col(id_col).cast("long") == F.col(i)) & (F.xxhash64(text_col) == F.col(th)), "left").select(*rest, spans)
+    joined = rows.join(lost.hint("merge"), (F.col(id_col).cast("long") == F.col(i)) & (F.xxhash64(text_col) == F.col(th)), "left").select(*rest, spans)
     schema = T.StructType([*rows.schema.fields, T.StructField("kept_text", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -67,3 +67,13 @@ def test_wavelet_matrix_counts():
         m = substring.WaveletMatrix(text, kinds)
         c, i = r.integers(0, kinds, 200), r.integers(0, 1001, 200)
         assert m.rank(c, i).tolist() == [int((text[:b] == a).sum()) for a, b in zip(c, i)]
+
+
+def test_what_follows_the_input_is_not_broadcast(spark):
+    words = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(i, f"{words} {i}") for i in range(4)], "doc_id long, text string")
+    from isoptic.llm import substring as sub
+
+    got = sub.without_repeats(docs)
+    assert sorted((r.doc_id, r.n_removed) for r in got.collect()) == [(0, 0), (1, 60), (2, 60), (3, 60)]
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
