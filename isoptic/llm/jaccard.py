@@ -24,7 +24,7 @@ sets, as long as the two are not connected.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -58,8 +58,9 @@ PARTS = 64
 ROUNDS = 3
 #: Sets of a block of a family.
 BLOCK = 256
-#: Bytes of the bits that tell how sets differ from a first one.
-BITS = 64 << 20
+#: Bytes of the bits that tell how sets differ from a first one, beyond which they are
+#: lists, and of those that are held against each other at a time.
+BITS, CHUNK = 16 << 20, 1 << 20
 #: Rows up to which one side of a semi-join is broadcast.
 BROADCAST = 1_000_000
 #: Bands of size that a set's partners lie in, below and above its own.
@@ -472,11 +473,12 @@ def _owned(lists: pa.Table, sets: pa.Table) -> tuple[np.ndarray, ...]:
 
 class Tally:
     """Pairs with their counts. Lists give the same pairs again, so rows are summed
-    whenever they have doubled: memory follows the pairs that differ."""
+    whenever they have doubled, and ``settled`` drops those that are known to be no
+    links: memory follows the pairs that differ and are open."""
 
-    def __init__(self) -> None:
+    def __init__(self, settled: Callable[..., tuple[np.ndarray, ...]] | None = None) -> None:
         self.parts: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64),) * 5]
-        self.rows, self.most = 0, 4 * PAIRS
+        self.rows, self.most, self.settled = 0, 2 * PAIRS, settled
 
     def add(self, cols: tuple[np.ndarray, ...]) -> None:
         self.parts.append(cols)
@@ -484,14 +486,16 @@ class Tally:
         if self.rows > self.most:
             self.parts = [self.sums()]
             self.rows = len(self.parts[0][0])
-            self.most = max(4 * PAIRS, 2 * self.rows)
+            self.most = max(2 * PAIRS, 2 * self.rows)
 
     def sums(self) -> tuple[np.ndarray, ...]:
         a, b, na, nb, c = (np.concatenate([x[k] for x in self.parts]) for k in range(5))
+        self.parts = []
         order = np.lexsort((b, a))
         a, b, na, nb, c = a[order], b[order], na[order], nb[order], c[order]
         first = _firsts(a, b)[:-1]
-        return a[first], b[first], na[first], nb[first], np.minimum(np.add.reduceat(c, first) if len(first) else c, CERTAIN)
+        out = a[first], b[first], na[first], nb[first], np.minimum(np.add.reduceat(c, first) if len(first) else c, CERTAIN)
+        return self.settled(*out) if self.settled else out
 
 
 def _packed_pairs(cols: tuple[np.ndarray, ...], buckets: int) -> pa.Table:
@@ -580,7 +584,7 @@ def _last_pairs(buckets: int):
     def run(lists: pa.Table, sets: pa.Table) -> pa.Table:
         answers = sets.filter(sets.column("o").is_valid())
         m = Mixed.of(*_owned(lists, sets.filter(sets.column("o").is_null())))
-        out = Tally()
+        out = Tally(Answers(answers).settled)
 
         def add(x: np.ndarray, y: np.ndarray, at: np.ndarray, to: np.ndarray) -> None:
             ok = _may(x, y) & (np.minimum(at, to) >= _least(x["n"], y["n"]))
@@ -595,63 +599,83 @@ def _last_pairs(buckets: int):
             add(e[i], e[k], shared[i], shared[k])
         if len(m.start):
             _derived(m, answers, add, out.add)
-        return _packed_pairs(_resolved(out.sums(), answers), buckets)
+        return _packed_pairs(out.sums(), buckets)
 
     return run
 
 
-def _marked(parts: list[np.ndarray], twice: bool) -> np.ndarray | None:
-    """Sets of hashes as rows of bits, 64 to a word; ``twice`` leaves out what one
-    set alone has. None if that takes over ``BITS`` bytes."""
-    size = np.array([len(x) for x in parts], np.int64)
-    kinds, back, n = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
-    held = n[back] > 1 if twice else np.ones(len(back), bool)
-    place = np.cumsum(n > 1) - 1 if twice else np.arange(len(kinds))
-    words = int(held.any() and place[back[held]].max() // 64 + 1)
-    if len(parts) * words * 8 > BITS:
-        return None
-    out = np.zeros((len(parts), words), np.uint64)
-    row, bit = np.repeat(np.arange(len(parts)), size)[held], place[back[held]]
-    np.bitwise_or.at(out, (row, bit // 64), np.uint64(1) << (bit % 64).astype(np.uint64))
-    return out
+class Marks:
+    """Sets of hashes by their places among all of them; ``twice`` leaves out what one
+    set alone has. As rows of bits, 64 to a word, or as lists of places where bits would
+    take over ``BITS`` bytes."""
+
+    def __init__(self, parts: list[np.ndarray], twice: bool) -> None:
+        size = np.array([len(x) for x in parts], np.int64)
+        kinds, back, n = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
+        held = n[back] > 1 if twice else np.ones(len(back), bool)
+        place = np.cumsum(n > 1) - 1 if twice else np.arange(len(kinds))
+        row, self.place = np.repeat(np.arange(len(parts)), size)[held], place[back[held]]
+        self.first = np.searchsorted(row, np.arange(len(parts) + 1))
+        self.size = np.diff(self.first)
+        self.words = int(self.place.max(initial=-1) // 64 + 1)
+        self.bits = None
+        if len(parts) * self.words * 8 <= BITS:
+            self.bits = np.zeros((len(parts), self.words), np.uint64)
+            np.bitwise_or.at(self.bits, (row, self.place // 64), np.uint64(1) << (self.place % 64).astype(np.uint64))
+
+    def both(self, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """How many hashes each two sets share, with ``CHUNK`` bytes or so at a time."""
+        out = np.zeros(len(p), np.int64)
+        if not self.words:
+            return out
+        ends = np.cumsum(np.full(len(p), self.words) if self.bits is not None else self.size[p] + self.size[q])
+        at = 0
+        while at < len(p):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + CHUNK // 8, "right")))
+            x, y = p[at:to], q[at:to]
+            if self.bits is not None:
+                out[at:to] = np.bitwise_count(self.bits[x] & self.bits[y]).sum(axis=1, dtype=np.int64)
+            else:
+                rows = np.concatenate([x, y])
+                n = self.size[rows]
+                of = np.repeat(np.tile(np.arange(to - at), 2), n)
+                key = np.sort(of << 32 | self.place[np.repeat(self.first[rows] - (np.cumsum(n) - n), n) + np.arange(n.sum())])
+                out[at:to] = np.bincount(key[1:][key[1:] == key[:-1]] >> 32, minlength=to - at)
+            at = to
+        return out
 
 
-def _resolved(cols: tuple[np.ndarray, ...], answers: pa.Table) -> tuple[np.ndarray, ...]:
-    """Pairs without those that a first set's answers show to be no links; links
-    that they show are ``CERTAIN``. Of two sets that one first set was compared
-    with, what they share follows from how each differs from it."""
-    a, b, na, nb, c = cols
-    root, s, size = (answers.column(k).to_numpy() for k in ("root", "s", "t"))
-    lost, more = ([np.frombuffer(x, np.uint64) for x in answers.column(k).to_pylist()] for k in ("lost", "more"))
-    open_, drop = c < CERTAIN, np.zeros(len(a), bool)
-    c = c.copy()
-    for leader in np.unique(root):
-        own = np.flatnonzero(root == leader)
-        own = own[np.unique(s[own], return_index=True)[1]]
-        names, n = s[own], int(size[own[0]])
-        left = np.flatnonzero(open_)
-        i, k = (np.minimum(np.searchsorted(names, x[left]), len(names) - 1) for x in (a, b))
-        both = (names[i] == a[left]) & (names[k] == b[left])
-        left, i, k = left[both], i[both], k[both]
-        if not len(left):
-            continue
-        gone, extra = ([x[j] for j in own] for x in (lost, more))
-        marks, others = _marked(gone, False), _marked(extra, True)
-        if marks is None:
-            continue
-        fewer, beyond = (np.array([len(x) for x in y], np.int64) for y in (gone, extra))
-        for at in range(0, len(left), PAIRS // 4):
-            part, p, q = left[at : at + PAIRS // 4], i[at : at + PAIRS // 4], k[at : at + PAIRS // 4]
-            shared = n - fewer[p] - fewer[q] + np.bitwise_count(marks[p] & marks[q]).sum(axis=1, dtype=np.int64)
-            # At most all of the smaller rest, where it isn't counted.
-            shared += np.minimum(beyond[p], beyond[q]) if others is None else np.bitwise_count(others[p] & others[q]).sum(axis=1, dtype=np.int64)
-            link = shared >= _need(na[part], nb[part])
-            drop[part[~link]] = True
-            if others is not None:
-                c[part[link]] = CERTAIN
-                open_[part[link]] = False
-            open_[part[~link]] = False
-    return tuple(x[~drop] for x in (a, b, na, nb, c))
+class Answers:
+    """What first sets of heavy components answer for pairs of sets: of two that one was
+    compared with, what they share follows from how each differs from it."""
+
+    def __init__(self, answers: pa.Table) -> None:
+        root, s, size = (answers.column(k).to_numpy() for k in ("root", "s", "t"))
+        lost, more = ([v for c in answers.column(k).chunks for v in _views(c)] for k in ("lost", "more"))
+        self.leaders = []
+        for leader in np.unique(root):
+            own = np.flatnonzero(root == leader)
+            own = own[np.unique(s[own], return_index=True)[1]]
+            gone, extra = ([x[j] for j in own] for x in (lost, more))
+            self.leaders.append((s[own], int(size[own[0]]), np.array([len(x) for x in gone], np.int64), Marks(gone, False), Marks(extra, True)))
+
+    def settled(self, a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Pairs without those that are no links; those that are are ``CERTAIN``."""
+        open_, drop = c < CERTAIN, np.zeros(len(a), bool)
+        c = c.copy()
+        for names, n, fewer, gone, extra in self.leaders:
+            left = np.flatnonzero(open_)
+            i, k = (np.minimum(np.searchsorted(names, x[left]), len(names) - 1) for x in (a, b))
+            met = (names[i] == a[left]) & (names[k] == b[left])
+            left, i, k = left[met], i[met], k[met]
+            lacks = _need(na[left], nb[left]) - (n - fewer[i] - fewer[k] + gone.both(i, k))
+            may = np.flatnonzero(np.minimum(extra.size[i], extra.size[k]) >= lacks)
+            link = may[extra.both(i[may], k[may]) >= lacks[may]]
+            drop[left] = True
+            drop[left[link]] = False
+            c[left[link]] = CERTAIN
+            open_[left] = False
+        return tuple(x[~drop] for x in (a, b, na, nb, c))
 
 
 def _derived(m: Mixed, answers: pa.Table, add, sure) -> None:

@@ -229,3 +229,44 @@ def test_columns_of_any_name_beside_null_ids(spark):
     got = jaccard.one_of_each(docs)
     assert got.columns == docs.columns
     assert sorted((r.doc_id or 0, r.text or "") for r in got.collect()) == [(0, ""), (0, text), (4, "a b c d e f")]
+
+
+@pytest.mark.parametrize("bits", [1 << 20, 0])
+@pytest.mark.parametrize("twice", [False, True])
+def test_marks_count_what_sets_share(bits, twice, monkeypatch):
+    monkeypatch.setattr(jaccard, "BITS", bits)
+    monkeypatch.setattr(jaccard, "CHUNK", 64)
+    r = np.random.default_rng(3)
+    parts = [np.unique(r.integers(0, 300, int(n)).astype(np.uint64)) for n in r.integers(0, 40, 30)]
+    p, q = (x.ravel() for x in np.meshgrid(np.arange(29), np.arange(30)))
+    p = p + (p >= q)  # of two sets
+    marks = jaccard.Marks(parts, twice)
+    assert marks.both(p, q).tolist() == [len(np.intersect1d(parts[i], parts[k])) for i, k in zip(p, q)]
+    assert jaccard.Marks([parts[0][:0]] * 2, twice).both(p[:1] * 0, q[:1] * 0 + 1).tolist() == [0]
+
+
+def test_pairs_of_many_sets_far_from_a_first_one_are_not_held(monkeypatch):
+    monkeypatch.setattr(jaccard, "HEAVY", 4)
+    monkeypatch.setattr(jaccard, "PAIRS", 500)
+    r = np.random.default_rng(5)
+    base = r.integers(0, 1 << 62, 120).astype(np.uint64)
+    sets = [np.unique(np.concatenate([r.permutation(base)[k:], r.integers(0, 1 << 62, k).astype(np.uint64)])) for k in [2] * 8 + [14] * 240]
+    names = [jaccard._name(x) for x in sets]
+    leader = min(names[:8])
+    first = sets[names.index(leader)]
+    lists = pa.table({"part": [5], "blob": pa.array([entries(sets).tobytes()], pa.binary())})
+    e, _ = jaccard._lists(lists.column("blob").to_pylist())
+    there, times = np.unique(e["s"], return_counts=True)
+    table = pa.table({"part": [5] * len(there), "s": there, "t": times, "root": [leader if s in names[:8] else s for s in there.tolist()], "o": pa.nulls(len(there), pa.int64()), "lost": pa.nulls(len(there), pa.binary()), "more": pa.nulls(len(there), pa.binary())})
+    answers = pa.table({"part": [5] * len(sets), "s": names, "t": [len(first)] * len(sets), "root": [leader] * len(sets), "o": [len(np.intersect1d(first, x)) for x in sets], "lost": [np.setdiff1d(first, x).tobytes() for x in sets], "more": [np.setdiff1d(x, first).tobytes() for x in sets]})
+    most, add = [0], jaccard.Tally.add
+
+    def seen(self, cols):
+        add(self, cols)
+        most[0] = max(most[0], self.rows)
+
+    monkeypatch.setattr(jaccard.Tally, "add", seen)
+    jaccard._last_pairs(3)(lists, pa.concat_tables([table, answers]))
+    far = [similarity(sets[i], sets[k]) for i in range(8, 248) for k in range(8, i)]
+    assert sum(x < 0.75 for x in far) > 20_000 and max(x for x in far) < 0.75
+    assert 0 < most[0] <= 2 * jaccard.PAIRS
