@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from . import tokens
 from .components import components
 from .jaccard import _compared, _name, _ranges, _sets
-from .skew import salted_join, tasks
+from .skew import hinted, salted_join, tasks
 from .store import discard, keep, small_batches
 
 #: The threshold is NUM / DEN.
@@ -49,6 +49,9 @@ BLOCK = 1024
 SALTS = 4
 #: Rounds in which sets are held against one other each.
 ROUNDS = 3
+#: Rows that a task takes between shuffles, and tasks at least: what is left of few sets
+#: isn't dealt to as many tasks as the session shuffles to.
+ROWS, LEAST = 20_000, 24
 #: Of all trees, those whose roots linked sets have in common at least: fewer with a
 #: probability of 2e-7 at the threshold, and less beyond.
 MET = 6
@@ -275,22 +278,27 @@ def _apart(pairs: DataFrame, roots: DataFrame | None) -> DataFrame:
     return pairs.where("root_a <> root_b")
 
 
-def _held_against(shared: DataFrame, roots: DataFrame | None, number: int) -> DataFrame:
+def _few(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` in no more tasks than ``rows`` are worth."""
+    return df.coalesce(tasks(rows, ROWS, LEAST))
+
+
+def _held_against(shared: DataFrame, roots: DataFrame | None, number: int, rows: int) -> DataFrame:
     """Each set with one of another component, ``a`` and ``b``: of the first and last
     sets of its nodes, in an order of this round, the one that it meets most often."""
     turn = F.lit(int(_constants(number + 1, 600)[number].view(np.int64)))
     owned = _owned(shared, roots)
     ends = owned.groupBy("key").agg(F.min(F.col("s").bitwiseXOR(turn)).alias("lo"), F.max(F.col("s").bitwiseXOR(turn)).alias("hi"), F.min("root").alias("u"), F.max("root").alias("v")).where("u <> v").drop("u", "v")
-    met = salted_join(owned, ends, ["key"], ["s"], how="inner", salts=SALTS)
+    met = _few(salted_join(owned, _few(ends, rows), ["key"], ["s"], how="inner", salts=SALTS), rows)
     both = met.select(F.col("s").alias("a"), F.explode(F.array("lo", "hi")).alias("b")).select("a", F.col("b").bitwiseXOR(turn).alias("b")).where("a <> b")
     often = both.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= MET)
-    best = _apart(often, roots).groupBy("a").agg(F.max(F.struct("c", "b")).alias("best"))
-    return best.select(F.least("a", "best.b").alias("a"), F.greatest("a", "best.b").alias("b")).distinct()
+    best = _few(_apart(_few(often, rows), roots).groupBy("a").agg(F.max(F.struct("c", "b")).alias("best")), rows)
+    return _few(best.select(F.least("a", "best.b").alias("a"), F.greatest("a", "best.b").alias("b")).distinct(), rows)
 
 
 def _linked(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int, name: str) -> DataFrame:
     """The pairs that are links, on full sets."""
-    return _compared(pairs, docs, classes, words, name).where(F.col("o") * (NUM + DEN) >= (F.col("na") + F.col("nb")) * NUM).select("a", "b")
+    return _compared(pairs, docs, classes, words, name, rows=pairs.count()).where(F.col("o") * (NUM + DEN) >= (F.col("na") + F.col("nb")) * NUM).select("a", "b")
 
 
 def _units(mixed: DataFrame, nodes: DataFrame, comps: DataFrame) -> DataFrame:
@@ -337,28 +345,30 @@ def _candidates(shared: DataFrame, signed: DataFrame, roots: DataFrame | None, d
     ``root_a``, ``root_b``) that meet in a node and whose sketches allow a link, each once."""
     out, entries, most = [], shared, WIDE * signed.count()
     for level in range(depth + 1):
+        held = entries.count()
         owned = _owned(entries, roots)
         several = owned.groupBy("key").agg(F.min("root").alias("u"), F.max("root").alias("v")).where("u <> v").select("key")
-        mixed = salted_join(owned, several, ["key"], ["s"], how="inner", salts=SALTS).select("key", "s", "root")
-        mixed = keep(mixed if level else _often(mixed), f"mixed-{level}")
+        mixed = _few(salted_join(owned, _few(several, held), ["key"], ["s"], how="inner", salts=SALTS).select("key", "s", "root"), held)
+        mixed = keep(mixed if level else _few(_often(mixed), held), f"mixed-{level}")
         if level:
             discard(entries)
-        comps = keep(mixed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("m")), f"parts-{level}")
+        comps = keep(_few(mixed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("m")), held), f"parts-{level}")
         sums = comps.groupBy("key").agg(F.sum("m").alias("n"), F.sum(F.col("m").cast("double") * F.col("m")).alias("sq"), F.sum(F.when(F.col("m") > BLOCK, F.col("m")).otherwise(0)).alias("own"))
         left = (F.col("n").cast("double") * F.col("n") - F.col("sq")) / 2
-        nodes = keep(sums.withColumn("open", left).withColumn("small", (F.col("n") <= BLOCK) | (left <= float(WIDE) * F.col("n"))), f"nodes-{level}")
+        nodes = keep(_few(sums, held).withColumn("open", left).withColumn("small", (F.col("n") <= BLOCK) | (left <= float(WIDE) * F.col("n"))), f"nodes-{level}")
         going = nodes.where("not small").agg(F.sum("open")).first()[0]
         if level == depth or going is not None and going <= most:
             nodes, going = nodes.withColumn("small", F.lit(True)), None
-        rows = keep(_units(mixed, nodes.where("small"), comps).join(signed.select("s", F.col("n"), "sketch"), "s"), f"units-{level}")
+        units = _few(_units(mixed, nodes.where("small"), comps), held)
+        rows = keep(_few(units.join(signed.select("s", F.col("n"), "sketch"), "s"), 8 * held), f"units-{level}")
         dealt = rows.repartition(tasks(rows.count(), 20_000), "unit").sortWithinPartitions("unit")
         out.append(keep(dealt.mapInArrow(tokens.tidy(_searched), "bucket long, blob binary"), f"found-{level}"))
         discard(rows)
         if going is None:
             break
         large = nodes.where("not small").select("key")
-        going = salted_join(mixed, large, ["key"], ["s"], how="inner", salts=SALTS).select("key", "s")
-        entries = keep(going.join(signed.select("s", "mins"), "s").select("key", "s", "mins").mapInArrow(tokens.tidy(_branched), "key long, s long"), f"entries-{level}")
+        going = _few(salted_join(mixed, large, ["key"], ["s"], how="inner", salts=SALTS).select("key", "s"), held)
+        entries = keep(_few(going.join(signed.select("s", "mins"), "s"), held).select("key", "s", "mins").mapInArrow(tokens.tidy(_branched), "key long, s long"), f"entries-{level}")
     every = out[0]
     for more in out[1:]:
         every = every.unionByName(more)
@@ -367,7 +377,7 @@ def _candidates(shared: DataFrame, signed: DataFrame, roots: DataFrame | None, d
 
 def _joined(links: DataFrame, roots: DataFrame | None) -> DataFrame:
     """``links`` beside what is connected."""
-    return keep(components(links if roots is None else links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))), "roots")
+    return hinted(keep(components(links if roots is None else links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))), "roots"))
 
 
 def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
@@ -391,20 +401,23 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
 
     entries = keep(signed.select("s", "mins").mapInArrow(tokens.tidy(_rooted), "key long, s long"), "entries")
     # Sets that meet others in few trees have no link, and nodes shrink without them.
-    some = keep(_often(_shared(entries)), "some")
-    shared = keep(_often(_shared(some)), "shared")
+    held = entries.count()
+    some = keep(_few(_often(_few(_shared(entries), held)), held), "some")
+    left = some.count()
+    shared = keep(_few(_often(_few(_shared(some), left)), left), "shared")
+    left = shared.count()
     discard(entries)
     discard(some)
     roots = None
     for number in range(ROUNDS):
-        asked = keep(_held_against(shared, roots, number), "held-against")
+        asked = keep(_held_against(shared, roots, number, left), "held-against")
         if asked.isEmpty():
             break
         links = _linked(asked, rows, classes, words, f"round-{number}")
         if links.isEmpty():
             break
         roots = _joined(links, roots)
-    left = keep(_candidates(shared, signed, roots), "candidates")
+    left = keep(_few(_candidates(shared, signed, roots), left), "candidates")
     # Of two components the likeliest pair first: mostly that connects them.
     both = F.least("root_a", "root_b").alias("u"), F.greatest("root_a", "root_b").alias("v")
     best = keep(left.groupBy(*both).agg(F.max(F.struct("c", "a", "b")).alias("x")).select("u", "v", "x.a", "x.b"), "best")

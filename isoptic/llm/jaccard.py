@@ -779,11 +779,13 @@ def _blobs(words: int, every: bool = False):
     return run
 
 
-def _texts(asked: DataFrame, docs: DataFrame, classes: DataFrame, words: int, name: str) -> DataFrame:
+def _texts(asked: DataFrame, docs: DataFrame, classes: DataFrame, words: int, name: str, rows: int | None = None) -> DataFrame:
     """The sets of the classes asked for (``s``): their texts are read again. A
     set whose first document's row is repeated comes as often, which is harmless.
-    Where no document of a class has an id, its name is looked for among those."""
-    ids = hinted(asked.distinct(), BROADCAST).join(classes, "s").select("s", F.col("first").alias("id"))
+    Where no document of a class has an id, its name is looked for among those.
+    If ``rows`` are known to be asked for, so many tasks name them, and once."""
+    asked = asked.distinct() if rows is None else keep(asked.distinct().coalesce(tasks(rows, 20_000)), f"{name}-asked")
+    ids = hinted(asked, BROADCAST).join(classes, "s").select("s", F.col("first").alias("id"))
     sets = docs.join(hinted(ids, BROADCAST), "id").mapInArrow(tokens.tidy(_blobs(words)), "s long, x binary")
     if not classes.where("first is null").isEmpty():
         every = docs.where("id is null").select("text").mapInArrow(tokens.tidy(_blobs(words, True)), "s long, x binary")
@@ -791,12 +793,13 @@ def _texts(asked: DataFrame, docs: DataFrame, classes: DataFrame, words: int, na
     return keep(sets, f"{name}-sets")
 
 
-def _compared(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int, name: str, differ: bool = False) -> DataFrame:
+def _compared(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int, name: str, differ: bool = False, rows: int | None = None) -> DataFrame:
     """The pairs (``a``, ``b``) with what they share, and how they ``differ``. Where very many sets are
-    held against one, Spark splits the join."""
-    sets = _texts(pairs.select(F.col("a").alias("s")).unionByName(pairs.select(F.col("b").alias("s"))), docs, classes, words, name)
+    held against one, Spark splits the join; if there are known to be few ``rows``, few tasks take them."""
+    sets = _texts(pairs.select(F.col("a").alias("s")).unionByName(pairs.select(F.col("b").alias("s"))), docs, classes, words, name, rows and 2 * rows)
     held = pairs.select("a", "b").join(sets.withColumnRenamed("s", "a"), "a")
     both = held.join(sets.withColumnsRenamed({"s": "b", "x": "y"}), "b")
+    both = both if rows is None else both.coalesce(tasks(rows, 500, 24))
     compare, schema = (_differ, DIFFERENT) if differ else (_compare, COMPARED)
     out = keep(both.mapInArrow(tokens.tidy(compare), schema), f"{name}-compared")
     discard(sets)

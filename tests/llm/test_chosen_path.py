@@ -155,3 +155,18 @@ def test_nulls_repeats_and_clashing_columns(spark):
     assert got == sorted([(-1, 2, 47, False), (3, 2, 47, False), (3, 2, 47, False), (2, 2, 48, True), (-1, -1, 3, True), (-1, -1, 3, True), (-1, -1, 0, True), (9, 9, 0, True)])
     assert chosen_path.similar(docs.limit(0)).collect() == []
     assert chosen_path.similar(docs.where(F.col("text").isNull())).count() == 2
+
+
+def test_few_sets_are_not_dealt_to_as_many_tasks_as_the_session_shuffles_to(spark):
+    entries = spark.range(4000).selectExpr("id % 100 as key", "id % 200 as s")
+    names = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")
+    before = [spark.conf.get(k) for k in names]
+    try:
+        for k, v in zip(names, ("211", "false")):
+            spark.conf.set(k, v)
+        asked = chosen_path._held_against(entries, None, 0, 4000)
+        assert asked.rdd.getNumPartitions() <= chosen_path.LEAST
+        assert chosen_path.components(spark.createDataFrame([(1, 2), (2, 3)], "a long, b long")).rdd.getNumPartitions() <= 2
+    finally:
+        for k, v in zip(names, before):
+            spark.conf.set(k, v)
