@@ -15,7 +15,9 @@ Where a component has many entries in a list, its first set alone is compared wi
 every set there, members and others. A member's answer follows from the first
 set's by the n-grams in which the two differ: at most so many more, or fewer, are
 shared. Members are ordered by that difference, and only those for which it
-leaves the answer open are paired with the other set.
+leaves the answer open are paired with the other set. A first set with very many
+answers has them dealt in blocks by size, of which any two are one task's: no list
+needs to hold them, and each pair is settled once.
 
 Pairs are then counted over all lists, and those whose shared prefix is too small
 for the threshold are dropped unread. What remains is compared in full, by blocks of
@@ -25,7 +27,7 @@ sets, as long as the two are not connected.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -58,6 +60,9 @@ PARTS = 64
 ROUNDS = 3
 #: Sets of a block of a family.
 BLOCK = 256
+#: Answers of a first set that go with the lists, at most, and of a block of more; bytes
+#: of a block, about; and pairs of a task that are settled at a time.
+MANY, SIDE, SIDE_BYTES, SETTLED = 128, 512, 8 << 20, 1 << 16
 #: Bytes of the bits that tell how sets differ from a first one, beyond which they are
 #: lists, and of those that are held against each other at a time.
 BITS, CHUNK = 16 << 20, 1 << 20
@@ -546,6 +551,19 @@ class Mixed:
         many = np.diff(runs) >= HEAVY
         return Mixed(e, own, shared, _firsts(list_of), runs[:-1][many], runs[1:][many], ~np.repeat(many, np.diff(runs)))
 
+    def without(self, large: np.ndarray) -> tuple[Mixed, np.ndarray]:
+        """Without the runs whose pairs are settled in blocks, and which light entries
+        have others than those. The smallest ``large`` first set of a list answers for
+        all that is light there and for larger names; smaller ones probe them still."""
+        at = np.searchsorted(self.first, self.start, "right") - 1
+        own = self.own[self.start]
+        least = np.full(len(self.first) - 1, np.iinfo(np.int64).max)
+        blocks = np.isin(own, large)
+        np.minimum.at(least, at[blocks], own[blocks])
+        left = own < least[at]
+        light = self.light & np.repeat(least == np.iinfo(np.int64).max, np.diff(self.first))
+        return replace(self, start=self.start[left], end=self.end[left]), light
+
     def probes(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(entry, heavy run) of one list and of other components; of two heavy
         ones the entry is of the larger name."""
@@ -579,18 +597,20 @@ CERTAIN = 1 << 30
 def _last_pairs(buckets: int):
     """All pairs of a part's lists that are not connected: those of light
     components by blocks, and of heavy ones what the first set's answers leave
-    open; one pair where these make a link certain."""
+    open; one pair where these make a link certain. Of answers without hashes the
+    pairs are settled in blocks (``_near``)."""
 
     def run(lists: pa.Table, sets: pa.Table) -> pa.Table:
         answers = sets.filter(sets.column("o").is_valid())
         m = Mixed.of(*_owned(lists, sets.filter(sets.column("o").is_null())))
+        m, light = m.without(np.unique(answers.filter(answers.column("lost").is_null()).column("root").to_numpy()))
         out = Tally(Answers(answers).settled)
 
         def add(x: np.ndarray, y: np.ndarray, at: np.ndarray, to: np.ndarray) -> None:
             ok = _may(x, y) & (np.minimum(at, to) >= _least(x["n"], y["n"]))
             out.add(_counted(x[ok], y[ok]))
 
-        e, own, shared = m.e[m.light], m.own[m.light], m.shared[m.light]
+        e, own, shared = m.e[light], m.own[light], m.shared[light]
         order = np.lexsort((e["p"], _band(e["n"]), e["v"]))
         e, own, shared = e[order], own[order], shared[order]
         for i, k in _block_pairs(e, _firsts(e["v"])):
@@ -645,11 +665,21 @@ class Marks:
         return out
 
 
+def _among(names: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Which of ``x`` are among the sorted ``names``."""
+    return names[np.minimum(np.searchsorted(names, x), len(names) - 1)] == x
+
+
 class Answers:
     """What first sets of heavy components answer for pairs of sets: of two that one was
-    compared with, what they share follows from how each differs from it."""
+    compared with, what they share follows from how each differs from it. Pairs of answers
+    without hashes are left to blocks."""
 
     def __init__(self, answers: pa.Table) -> None:
+        apart = answers.filter(answers.column("lost").is_null())
+        root, s = apart.column("root").to_numpy(), apart.column("s").to_numpy()
+        self.apart = [np.unique(s[root == leader]) for leader in np.unique(root)]
+        answers = answers.filter(answers.column("lost").is_valid())
         root, s, size = (answers.column(k).to_numpy() for k in ("root", "s", "t"))
         lost, more = ([v for c in answers.column(k).chunks for v in _views(c)] for k in ("lost", "more"))
         self.leaders = []
@@ -663,6 +693,9 @@ class Answers:
         """Pairs without those that are no links; those that are are ``CERTAIN``."""
         open_, drop = c < CERTAIN, np.zeros(len(a), bool)
         c = c.copy()
+        for names in self.apart:
+            drop |= open_ & _among(names, a) & _among(names, b)
+        open_ &= ~drop
         for names, n, fewer, gone, extra in self.leaders:
             left = np.flatnonzero(open_)
             i, k = (np.minimum(np.searchsorted(names, x[left]), len(names) - 1) for x in (a, b))
@@ -765,6 +798,56 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch.column("a"), batch.column("b"), *[pa.array(c, pa.int64()) for c in (both, map(len, x), map(len, y))]], names=["a", "b", "o", "na", "nb"])
 
 
+def _near(answers: DataFrame, large: DataFrame, roots: DataFrame) -> DataFrame:
+    """Links (``a``, ``b``) between sets that one ``large`` first set was compared with,
+    enough to connect what links connect. The sets of each are dealt to blocks by size and
+    hash, and those of two blocks of which sizes allow links are one task's."""
+    spread = answers.join(hinted(large), "a").join(roots.withColumnRenamed("node", "b"), "b", "left")
+    held = spread.select("a", "b", F.coalesce("root", "b").alias("root"), "na", "nb", "lost", "more", F.floor(F.log2("nb") * 8).cast("int").alias("band"))
+    held = keep(held, "near")
+    bytes_ = F.sum(F.octet_length("lost") + F.octet_length("more"))
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / SIDE), F.ceil(bytes_ / SIDE_BYTES)).cast("int").alias("blocks")
+    sizes = keep(held.groupBy("a", "band").agg(blocks), "near-sizes")
+    here = F.struct("band", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int").alias("block"))
+    mine = held.join(hinted(sizes), ["a", "band"]).withColumn("here", here).drop("blocks")
+    others = mine.withColumn("to", F.explode(F.sequence(F.col("band") - BANDS, F.col("band") + BANDS))).join(hinted(sizes.withColumnRenamed("band", "to")), ["a", "to"])
+    there = F.struct(F.col("to").alias("band"), F.col("block"))
+    met = others.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("there", there)
+    met = met.select("a", F.least("here", "there").alias("x"), F.greatest("here", "there").alias("y"), (F.col("here") <= F.col("there")).alias("before"), (F.col("here") >= F.col("there")).alias("after"), "b", "root", "na", "nb", "lost", "more")
+    return keep(met.groupBy("a", "x", "y").applyInArrow(_near_links, "a long, b long"), "near-links")
+
+
+def _near_links(rows: pa.Table) -> pa.Table:
+    """Links between sets of two blocks, or of one, by how they differ from the first set
+    of all; one between two components."""
+    s, root, n, size = (rows.column(c).to_numpy() for c in ("b", "root", "nb", "na"))
+    lost, more = ([v for c in rows.column(k).chunks for v in _views(c)] for k in ("lost", "more"))
+    before, after = (np.flatnonzero(rows.column(c).to_numpy()) for c in ("before", "after"))
+    found = [np.zeros((0, 4), np.int64)]
+    if len(before) and len(after):
+        gone, extra = Marks(lost, False), Marks(more, True)
+        fewer, new = (np.array([len(x) for x in z], np.int64) for z in (lost, more))
+        step = max(1, SETTLED // len(after))
+        for at in range(0, len(before), step):
+            i, k = (x.ravel() for x in np.meshgrid(before[at : at + step], after, indexing="ij"))
+            # Of one block each pair comes twice.
+            may = (root[i] < root[k]) if len(before) == len(after) == len(s) else (root[i] != root[k])
+            i, k = i[may], k[may]
+            need = _need(n[i], n[k])
+            may = (np.minimum(n[i], n[k]) >= need) & (size[i] - np.maximum(fewer[i], fewer[k]) + np.minimum(new[i], new[k]) >= need)
+            i, k, need = i[may], k[may], need[may]
+            lacks = need - (size[i] - fewer[i] - fewer[k] + gone.both(i, k))
+            may = np.flatnonzero(np.minimum(extra.size[i], extra.size[k]) >= lacks)
+            link = may[extra.both(i[may], k[may]) >= lacks[may]]
+            i, k = i[link], k[link]
+            some = np.unique(np.column_stack([np.minimum(root[i], root[k]), np.maximum(root[i], root[k])]), axis=0, return_index=True)[1]
+            i, k = i[some], k[some]
+            found.append(np.column_stack([np.minimum(root[i], root[k]), np.maximum(root[i], root[k]), s[i], s[k]]))
+    all_ = np.concatenate(found)
+    a, b = all_[np.unique(all_[:, :2], axis=0, return_index=True)[1], 2:].T
+    return pa.table([pa.array(a), pa.array(b)], names=["a", "b"])
+
+
 def _blobs(words: int, every: bool = False):
     """Names and sets of the texts that are those asked for, or of all."""
 
@@ -950,6 +1033,10 @@ def _classed(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFra
         known = sets.withColumns({"o": F.lit(None).cast("long"), "lost": F.lit(None).cast("binary"), "more": F.lit(None).cast("binary")})
         if not answered.isEmpty():
             answers = _compared(answered.select("a", "b").distinct(), rows, classes, words, "answers", differ=True)
+            large = keep(answers.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MANY).select("a"), "large")
+            if not large.isEmpty():
+                roots = joined(_near(answers, large, roots), roots)
+                answers = answers.join(hinted(large.withColumn("apart", F.lit(True))), "a", "left").withColumns({c: F.when(F.col("apart").isNull(), F.col(c)) for c in ("lost", "more")})
             held = answered.join(answers, ["a", "b"]).select("part", F.col("b").alias("s"), F.col("na").alias("t"), F.col("a").alias("root"), "o", "lost", "more")
             known = known.unionByName(held)
         cross = lists.groupBy("part").cogroup(known.groupBy("part")).applyInArrow(_last_pairs(parts), PACKED)

@@ -270,3 +270,79 @@ def test_pairs_of_many_sets_far_from_a_first_one_are_not_held(monkeypatch):
     far = [similarity(sets[i], sets[k]) for i in range(8, 248) for k in range(8, i)]
     assert sum(x < 0.75 for x in far) > 20_000 and max(x for x in far) < 0.75
     assert 0 < most[0] <= 2 * jaccard.PAIRS
+
+
+def differences(leader, sets, own):
+    """What ``_near_links`` is given of sets, each with its component, that one was compared with."""
+    first, names = sets[leader], sorted(sets)
+    n = [len(sets[s]) for s in names]
+    lost, more = [np.setdiff1d(first, sets[s]).tobytes() for s in names], [np.setdiff1d(sets[s], first).tobytes() for s in names]
+    return pa.table({"b": names, "root": [own[s] for s in names], "na": [len(first)] * len(names), "nb": n, "lost": pa.array(lost, pa.binary()), "more": pa.array(more, pa.binary())})
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_blocks_of_answers_find_what_links_connect(seed, monkeypatch):
+    monkeypatch.setattr(jaccard, "SETTLED", 200)
+    sets = {jaccard._name(x): x for x in made_sets(seed)}
+    own = {s: s if k % 3 else min(sets) for k, s in enumerate(sorted(sets))}
+    rows = differences(min(sets), sets, own)
+    side = np.arange(len(rows)) % 2 == 0
+    got = set()
+    for before, after in ((side, ~side), (side, side), (~side, ~side)):
+        held = rows.append_column("before", pa.array(before)).append_column("after", pa.array(after)).filter(pa.array(before | after))
+        out = jaccard._near_links(held)
+        got |= {tuple(sorted(p)) for p in zip(out.column("a").to_pylist(), out.column("b").to_pylist())}
+    links = {(a, b) for b in sets for a in sets if a < b and own[a] != own[b] and similarity(sets[a], sets[b]) >= 0.75}
+    assert got <= links
+    joined = lambda pairs: {tuple(sorted((own[a], own[b]))) for a, b in pairs}
+    assert links and joined(got) == joined(links)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_lists_leave_to_blocks_only_what_one_first_set_answers(seed, monkeypatch):
+    monkeypatch.setattr(jaccard, "HEAVY", 4)
+    sets = {jaccard._name(x): x for x in made_sets(seed)}
+    names, r, root = sorted(sets), random.Random(seed), {}
+    for a in names:
+        near = [b for b in names if b < a and b not in root and similarity(sets[a], sets[b]) >= 0.75]
+        if near and r.random() < 0.8:
+            root[a] = near[0]
+    own = {a: root.get(a, a) for a in names}
+    lists = pa.table({"part": [5], "blob": pa.array([entries(list(sets.values())).tobytes()], pa.binary())})
+    there, times = np.unique(jaccard._lists(lists.column("blob").to_pylist())[0]["s"], return_counts=True)
+    table = pa.table({"part": [5] * len(there), "s": there, "t": times, "root": [own[s] for s in there.tolist()]})
+    asked = jaccard._asked(lists, table)
+    pairs = list(zip(asked.column("a").to_pylist(), asked.column("b").to_pylist()))
+    leaders = sorted({a for a, _ in pairs})
+    large = set(leaders[1::2] or leaders)
+    kept = lambda a, x: None if a in large else x.tobytes()
+    answers = {"part": [5] * len(pairs), "s": [b for _, b in pairs], "t": [len(sets[a]) for a, _ in pairs], "root": [a for a, _ in pairs], "o": [len(np.intersect1d(sets[a], sets[b])) for a, b in pairs]}
+    answers |= {"lost": pa.array([kept(a, np.setdiff1d(sets[a], sets[b])) for a, b in pairs], pa.binary()), "more": pa.array([kept(a, np.setdiff1d(sets[b], sets[a])) for a, b in pairs], pa.binary())}
+    for name, kind in (("o", pa.int64()), ("lost", pa.binary()), ("more", pa.binary())):
+        table = table.append_column(name, pa.nulls(len(there), kind))
+    out = jaccard._last_pairs(3)(lists, pa.concat_tables([table, pa.table(answers)]))
+    e = np.concatenate([np.frombuffer(x, jaccard.PAIR) for x in out.column("blob").to_pylist()] or [np.zeros(0, jaccard.PAIR)])
+    by = {a: {b for x, b in pairs if x == a} for a in large}
+    left = lambda p: any(p[0] in x and p[1] in x for x in by.values())
+    links = {(a, b) for i, b in enumerate(names) for a in names[:i] if own[a] != own[b] and similarity(sets[a], sets[b]) >= 0.75}
+    got = set(zip(e["a"].tolist(), e["b"].tolist()))
+    root_of = lambda p: tuple(sorted((own[p[0]], own[p[1]])))
+    assert {root_of(p) for p in links if not left(p)} <= {root_of(p) for p in got}
+    assert not [p for p, c in zip(zip(e["a"].tolist(), e["b"].tolist()), e["c"].tolist()) if left(p) and c < jaccard.CERTAIN]
+
+
+def test_many_near_copies_go_to_blocks(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "MANY", 16)
+    monkeypatch.setattr(jaccard, "SIDE", 24)
+    seen, near = [], jaccard._near
+    monkeypatch.setattr(jaccard, "_near", lambda *a: seen.append(near(*a)) or seen[-1])
+    r = random.Random(11)
+    base, rows = [f"w{i}" for i in range(120)], []
+    for k in range(160):
+        t = list(base) if k < 150 else [f"z{i}" for i in range(100)]
+        for i in r.sample(range(len(t)), r.choice([1, 2, 3, 5, 6, 7])):
+            t[i] = f"{r.choice('abc')}{r.randrange(9)}"
+        rows.append((k, " ".join(t)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((x.id, x.n_shingles, x.component_id) for x in jaccard.similar(df).collect())
+    assert seen and got == brute(rows)
